@@ -5,13 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from remembra.llm.mixing import mix_report
 from remembra.llm.repetition import repetition_rules
+from remembra.llm.simhash import simhash_components
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return repetition_rules(_table(spark, sf_dir, "documents"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(_table(spark, sf_dir, "documents")).drop("source")
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_repetition": op1_repetition}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repetition, op2_mixing, op3_simhash)}
 ORACLE_SQL: dict[str, str] = {}
