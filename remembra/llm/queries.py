@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from remembra.llm.ann import nearest_neighbours
 from remembra.llm.bpe import bpe_report
+from remembra.llm.ctw import ctw_scores
 from remembra.llm.html_extract import extract_main_text
 from remembra.llm.mixing import mix_report
 from remembra.llm.repetition import repetition_rules
@@ -36,6 +37,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw_scores(_table(spark, sf_dir, "documents"), "crc32(cast(doc_id as string)) % 7 = 2")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe_report(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -62,5 +67,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repetition, op2_mixing, op3_simhash, op5_bpe, op6_html_extract, op7_substring, op8_secret_scan, op9_ann, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repetition, op2_mixing, op3_simhash, op4_ctw, op5_bpe, op6_html_extract, op7_substring, op8_secret_scan, op9_ann, op10_warc)}
 ORACLE_SQL: dict[str, str] = {}
