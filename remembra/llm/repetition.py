@@ -99,3 +99,9 @@ def repetition_rules(docs: DataFrame, text: str = "text", keep: tuple[str, ...]
     kinds = dict(docs.select(*keep).dtypes)
     rows = docs.select(*keep, F.col(text).alias("__text")).mapInArrow(_stats, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", " + STATS)
     return rows.withColumn("base_failed", base_failed()).withColumn("kept", ~(F.col("base_failed") | rejected()))
+
+
+def quality_filter(docs: DataFrame) -> DataFrame:
+    """The rows of docs that repetition_rules keeps, with all their columns, whatever their names; a null text goes."""
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), "text")
+    return repetition_rules(whole, keep=("__row",)).filter("kept").select("__row.*")
