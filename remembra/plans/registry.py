@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from remembra.plans import search
+from remembra.plans import search, upkeep
 
-MODULES = (search,)
+MODULES = (search, upkeep)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
