@@ -114,18 +114,6 @@ def touched(result: DataFrame, as_of: Column) -> DataFrame:
     return result.select("id", as_of.alias("accessed_at"), F.lit(1).cast("long").alias("accesses"))
 
 
-def knn_join(queries: DataFrame, table: DataFrame, k: int, id_: str = "id", vector: str = "vector", same: bool = False) -> DataFrame:
-    """(q, rank, id, distance): for each query row its k nearest of table. For sets of queries that are small beside the table.
-
-    The pairs are made in the join and ranked with a limit for each query before the shuffle.
-    """
-    q = queries.select(F.col(id_).alias("q"), F.col(vector).alias("qv"))
-    t = table.select(F.col(id_).alias("id"), F.col(vector).alias("v"))
-    pairs = q.join(t, F.lit(True) if same else F.col("q") != F.col("id")).select("q", "id", vectors.squared_l2(F.col("qv"), F.col("v")).alias("distance"))
-    rank = F.row_number().over(W.partitionBy("q").orderBy("distance", "id"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("q", "rank", "id", "distance")
-
-
 def recall(ranks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Recall at 1, 5 and 10 and the mean reciprocal rank over queries; ranks: a row per query with `rank` or null."""
     at = lambda k: F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)).alias(f"recall_at_{k}")

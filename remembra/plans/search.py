@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from remembra.functions import scoring, text, tiers, vectors
 from remembra.operators import search as S
+from remembra.operators.blocks import knn, similar_pairs
 from remembra.operators.bm25 import bm25, normalised, tokens
 from remembra.schemas import DEFAULT_IMPORTANCE, TYPE_BOOSTS
 from remembra.sources.memories import AS_OF, DAYS_SQL, MEMORIES_SQL, case_sql, memories, moment, table
 
 QUERIES, ORACLE = {}, {}
 
-#: The question of the search queries: a vector and the first words of a benchmark item.
-ASKED_VECTOR, ASKED_ITEM, ASKED_TERMS = 0, 0, 8
+#: The question of the search queries: a vector and the words of a benchmark item.
+ASKED_VECTOR, ASKED_ITEM = 0, 0
 
 
 def query(sql: str | None = None):
@@ -33,7 +34,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 def asked(spark: SparkSession, sf: str) -> tuple[list[float], list[str]]:
     vector = table(spark, sf, "embeddings").filter(F.col("vec_id") == ASKED_VECTOR).first().embedding
-    item = table(spark, sf, "benchmark").filter(F.col("item_id") == ASKED_ITEM).select(F.slice(tokens(F.col("text")), 1, ASKED_TERMS)).first()[0]
+    item = table(spark, sf, "benchmark").filter(F.col("item_id") == ASKED_ITEM).select(tokens(F.col("text"))).first()[0]
     return vector, item
 
 
@@ -44,7 +45,7 @@ def vector_table(spark: SparkSession, sf: str) -> DataFrame:
 TOKENS_SQL = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')"
 DISTANCE_SQL = "list_sum(list_transform(list_zip({}, {}), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))"
 KNN_SQL = f"SELECT v.vec_id AS id, {DISTANCE_SQL.format('v.embedding', 'q.embedding')} AS distance FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = {ASKED_VECTOR}) q"
-TERMS_SQL = f"SELECT DISTINCT unnest(list_slice({TOKENS_SQL.format('text')}, 1, {ASKED_TERMS})) AS term FROM benchmark WHERE item_id = {ASKED_ITEM}"
+TERMS_SQL = f"SELECT DISTINCT unnest({TOKENS_SQL.format('text')}) AS term FROM benchmark WHERE item_id = {ASKED_ITEM}"
 BM25_SQL = f"""terms AS ({TERMS_SQL}),
 split AS (SELECT doc_id AS id, {TOKENS_SQL.format('text')} AS words FROM documents),
 about AS (SELECT count(*) AS n, avg(len(words)) AS avgdl FROM split),
@@ -219,20 +220,21 @@ def default_importance(spark, sf):
     return memories(spark, sf).groupBy("type").agg(F.count("*").alias("n")).select("type", "n", scoring.default_importance(F.col("type")).alias("importance"))
 
 
-@query(f"WITH pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id < 40) SELECT a, b, round(cosine, 6) AS cosine FROM pairs WHERE cosine >= 0.35")
+DOT_SQL = "list_sum(list_transform(list_zip({0}, {1}), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
+
+
+@query(f"WITH n AS (SELECT *, sqrt({DOT_SQL.format('embedding', 'embedding')}) AS size FROM embeddings), pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, {DOT_SQL.format('a.embedding', 'b.embedding')} / (a.size * b.size) AS cosine FROM n a JOIN n b ON a.vec_id < b.vec_id) SELECT a, b, round(cosine, 6) AS cosine FROM pairs WHERE cosine >= 0.35")
 def pairwise_cosine(spark, sf):
-    v = vector_table(spark, sf)
-    pairs = v.filter("id < 40").selectExpr("id as a", "vector as va").join(v.selectExpr("id as b", "vector as vb"), F.col("a") < F.col("b"))
-    return rounded(pairs.select("a", "b", vectors.cosine(F.col("va"), F.col("vb")).alias("cosine")).filter("cosine >= 0.35"))
+    return rounded(similar_pairs(vector_table(spark, sf), 0.35))
 
 
-@query(f"WITH p AS (SELECT a.vec_id AS q, b.vec_id AS id, {DISTANCE_SQL.format('a.embedding', 'b.embedding')} AS distance FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.label = 0) SELECT q, rank, id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, id)::INT AS rank FROM p) WHERE rank <= 6")
+@query(f"WITH p AS (SELECT a.vec_id AS q, b.vec_id AS id, {DISTANCE_SQL.format('a.embedding', 'b.embedding')} AS distance FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) SELECT q, rank, id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, id)::INT AS rank FROM p) WHERE rank <= 6")
 def knn_join(spark, sf):
-    asks = table(spark, sf, "embeddings").filter("label = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return rounded(S.knn_join(asks, vector_table(spark, sf), 6))
+    v = vector_table(spark, sf)
+    return rounded(knn(v, v, 6))
 
 
-@query(f"""WITH q AS (SELECT item_id AS q, list_distinct(list_slice({TOKENS_SQL.format('text')}, 1, 12)) AS terms, text FROM benchmark),
+@query(f"""WITH q AS (SELECT item_id AS q, list_distinct({TOKENS_SQL.format('text')}) AS terms, text FROM benchmark),
 qt AS (SELECT q, unnest(terms) AS term FROM q),
 split AS (SELECT doc_id AS id, {TOKENS_SQL.format('text')} AS words FROM documents),
 about AS (SELECT count(*) AS n, avg(len(words)) AS avgdl FROM split),
@@ -246,7 +248,7 @@ def recall_mrr(spark, sf):
     from pyspark.sql import Window as W
 
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("q"), "text")
-    terms = items.select("q", F.explode(F.array_distinct(F.slice(tokens(F.col("text")), 1, 12))).alias("term"))
+    terms = items.select("q", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     m = memories(spark, sf)
     rank = F.row_number().over(W.partitionBy("q").orderBy(F.round("bm25", 9).desc(), "id"))
     top = bm25(m, terms).withColumn("rank", rank).filter("rank <= 10")
