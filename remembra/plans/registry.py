@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from remembra.plans import intake, search, upkeep
+from remembra.plans import intake, knowledge, search, upkeep
 
-MODULES = (search, upkeep, intake)
+MODULES = (search, upkeep, intake, knowledge)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
