@@ -13,6 +13,7 @@ from remembra.llm.bpe import bpe_report
 from remembra.llm.ctw import ctw_scores
 from remembra.llm.html_extract import extract_main_text
 from remembra.llm.mixing import mix_report
+from remembra.llm.oracle import ORACLE_SQL
 from remembra.llm.repetition import repetition_rules
 from remembra.llm.secret_scan import secret_report
 from remembra.llm.simhash import simhash_components
@@ -68,4 +69,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repetition, op2_mixing, op3_simhash, op4_ctw, op5_bpe, op6_html_extract, op7_substring, op8_secret_scan, op9_ann, op10_warc)}
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
