@@ -12,7 +12,7 @@ EXPORT = "struct<id:string,title:string,create_time:double,mapping:map<string,st
 
 def text_files(spark: SparkSession, folder: str, recursive: bool = True, pattern: str = "*.{md,txt,markdown}") -> DataFrame:
     """(file, text) for each text file of a folder."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).text(folder)
+    files = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).text(folder, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
