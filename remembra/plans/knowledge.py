@@ -8,6 +8,7 @@ from remembra.operators import clusters as C
 from remembra.operators import contradictions as K
 from remembra.operators import graph as G
 from remembra.operators import ingest as I
+from remembra.operators import writes as Wr
 from remembra.operators.blocks import similar_pairs
 from remembra.plans.intake import TRANSCRIPT_SQL, quoted, transcript_lines
 from remembra.plans.search import TOKENS_SQL, rounded, trim_sql, vector_table
@@ -297,3 +298,35 @@ def content_words_jaccard(spark, sf):
     a, b = claimed(spark, sf)
     p = K.features(a, "a").join(K.features(b, "b"), F.col("b_id") == F.col("a_id") + 1)
     return rounded(p.select(F.col("a_id").alias("id"), K.jaccard(F.col("a_words"), F.col("b_words")).alias("overlap")))
+
+
+def _of_kind(kind: str):
+    def ask(spark, sf):
+        found = contradicted(spark, sf).filter(F.col("kind") == kind)
+        return rounded(found.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "score"))
+
+    ask.__name__ = f"{kind}_pairs"
+    return query(f"{CONTRADICTIONS_SQL} SELECT a, b, round(score, 6) AS score FROM scored WHERE kind = '{kind}'")(ask)
+
+
+negation_pairs, status_pairs, numerical_pairs = map(_of_kind, ("negation", "status", "numerical"))
+
+
+# ---- writes ----
+
+
+@query(f"""WITH n AS (SELECT doc_id, text, source, row_number() OVER (PARTITION BY text, source ORDER BY doc_id) AS n FROM documents), h AS (SELECT *, sha256(source || chr(1) || text || chr(1) || n) AS h FROM n)
+SELECT substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-' || substring(h, 13, 4) || '-' || substring(h, 17, 4) || '-' || substring(h, 21, 12) AS id, 'general' AS namespace, 'semantic' AS type, 0.5::DOUBLE AS importance, source, 0::BIGINT AS access_count FROM h""")
+def prepared_rows(spark, sf):
+    rows = table(spark, sf, "documents").select(F.col("text").alias("content"), "source")
+    return Wr.prepared(rows, moment()).select("id", "namespace", "type", "importance", "source", "access_count")
+
+
+@query(f"""WITH s AS (SELECT (conv_id * 1000 + turn) * 2 AS id, lower(coalesce(text, '') || list_extract({_CL}, (turn % {len(CLAIMS)} + 1)::INT)) AS low FROM conversations),
+f AS (SELECT *, list_extract(list_filter(string_split(low, ' '), lambda w: length(w) > 3), 1) AS first FROM s)
+SELECT id, array_to_string(list_filter([CASE WHEN contains(low, 'is not') THEN regexp_replace(low, 'is not', 'is') WHEN contains(low, ' is ') THEN regexp_replace(low, ' is ', ' is not ') END,
+ CASE WHEN contains(low, 'distribution') THEN regexp_replace(low, 'distribution', 'product') END, CASE WHEN contains(low, 'product') THEN regexp_replace(low, 'product', 'distribution') END,
+ first || ' problems', first || ' issues', first || ' needs improvement'], lambda q: q IS NOT NULL), ' | ') AS queries FROM f""")
+def challenge_queries(spark, sf):
+    a, _ = claimed(spark, sf)
+    return a.select("id", F.array_join(Wr.challenge_queries(F.col("content")), " | ").alias("queries"))
