@@ -13,12 +13,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from remembra.llm import _memory  # noqa: F401
+
 #: White space of the word pattern [^\x20\x09-\x0D]+ as a byte mask.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 #: Bytes of text handled at once; a longer document is a piece of its own.
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)

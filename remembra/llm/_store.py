@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,3 +40,9 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     """Write df as Parquet and read it back: lineage ends there, and no executor's loss can undo it."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of queries that are over: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -21,9 +21,9 @@ LONGEST = 256
 #: Pieces that a task remembers; then it forgets all of them.
 REMEMBERED = 400_000
 #: Cells of a matrix at most.
-CELLS = 1 << 22
+CELLS = 1 << 21
 #: Text encoded at once, in bytes.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 20
 
 _NONE = np.int32(2**31 - 1)
 

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from remembra.llm._blobs import pack, pack_sorted, unpack, unpack_sorted
 from remembra.llm._bytes import Texts, mix, raw
-from remembra.llm._store import remove, workspace
+from remembra.llm._store import release, remove, workspace
 
-#: Words of a window, bytes of text in a block (the unit in which documents are hashed), windows of a batch in a shard of the index, on average.
-WINDOW, BLOCK_BYTES, SHARD_WINDOWS = 13, 8 << 20, 3 << 19
+#: Words of a window, bytes of text in a block (the unit in which documents are hashed), windows of the whole index in a shard, on average.
+WINDOW, BLOCK_BYTES, SHARD_WINDOWS = 13, 2 << 20, 1 << 21
 #: Batches in which a whole table arrives at the index.
-ARRIVALS = 3
+ARRIVALS = 6
 
 _U = np.uint64
 _ROLL, _CHECK = _U(0xC2B2AE3D27D4EB4F), _U(0xA0761D6478BD642F)
@@ -27,8 +27,13 @@ FOUND = "shard int, block int, n long, keys binary, checks binary, docs binary,
 MERGED = "kind int, place int, n long, keys binary, checks binary, firsts binary"
 
 
-def windows(t: Texts, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and counts of the words of t; the position, 64-bit hash and 16-bit check of each window.
+def key_bits(expected: int) -> int:
+    """Bits of a hash, besides the 16 of the check, for which fewer than one in 2 ** 14 indexes of so many windows holds any false match; 64 at most."""
+    return min(64, max(32, 2 * max(1, expected).bit_length() - 2))
+
+
+def windows(t: Texts, size: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and counts of the words of t; the position, `bits`-bit hash and 16-bit check of each window.
 
     Both hashes are polynomials of the words' hashes, of different bases.
     """
@@ -46,7 +51,7 @@ def windows(t: Texts, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
             power = power * int(base) % (1 << 64)
         out.append(mix(rolled))
     at = np.flatnonzero(doc[:n] == doc[size - 1 :])
-    return starts, ends, n_words, at, out[0][at], (out[1][at] >> _U(48)).astype(np.uint16)
+    return starts, ends, n_words, at, out[0][at] >> _U(64 - bits), (out[1][at] >> _U(48)).astype(np.uint16)
 
 
 def _in_order(table: pa.Table) -> pa.Table:
@@ -58,21 +63,21 @@ def _ids(table: pa.Table) -> np.ndarray:
     return table.column("doc_id").fill_null(2**63 - 1).to_numpy().astype(np.int64)
 
 
-def _find(size: int, shards: int):
+def _find(size: int, shards: int, bits: int):
     def run(table: pa.Table) -> pa.Table:
         table = _in_order(table)
         t = Texts(*raw(table.column("text")))
-        _, _, n_words, at, keys, checks = windows(t, size)
+        _, _, n_words, at, keys, checks = windows(t, size, bits)
         doc = np.repeat(np.arange(t.n, dtype=np.int32), n_words)[at]
         known = table.column("doc_id").is_valid().to_numpy()[doc] if len(doc) else np.zeros(0, bool)
         keys, checks, doc = keys[known], checks[known], doc[known]
         keys, first = np.unique(keys, return_index=True)
         checks, doc, ids = checks[first], doc[first], _ids(table)
         rows = []
-        bounds = np.searchsorted(keys, (np.arange(shards + 1, dtype=object) * (1 << 64) // shards)[:-1].astype(_U))
+        bounds = np.searchsorted(keys, (np.arange(shards + 1, dtype=object) * (1 << bits) // shards)[:-1].astype(_U))
         for s, (a, b) in enumerate(zip(bounds, [*bounds[1:], len(keys)], strict=True)):
             if b > a:
-                rows.append((s, table.column("block")[0].as_py(), int(b - a), pack_sorted(keys[a:b]), pack(checks[a:b], np.uint16), pack(doc[a:b], np.int32), pack(ids, np.int64)))
+                rows.append((s, table.column("block")[0].as_py(), int(b - a), pack_sorted(keys[a:b]), pack(checks[a:b], np.uint16), pack(doc[a:b], np.int32), pack_sorted(ids.view(_U))))
         return _table(rows, FOUND)
 
     return run
@@ -95,7 +100,7 @@ def _merge(absorbed: set[int]):
                 keys.append(k)
                 checks.append(c)
                 blocks.append(np.full(len(k), block, np.int32))
-                firsts.append(unpack(i, np.int64)[unpack(d, np.int32)])
+                firsts.append(unpack_sorted(i).view(np.int64)[unpack(d, np.int32)])
             else:
                 old_keys.append(k)
                 old_checks.append(c)
@@ -110,7 +115,7 @@ def _merge(absorbed: set[int]):
         lead = np.flatnonzero(head)[np.cumsum(head) - 1] if len(key) else np.zeros(0, np.int64)
         order = np.argsort(old, kind="stable")
         old, old_check, take = old[order], old_check[order], take[order]
-        # a match of the 64-bit hashes counts only if the independent checks agree too
+        # a match of the hashes counts only if the independent checks agree too
         place = np.searchsorted(old, key)
         place[place == len(old)] = 0
         history = (old[place] == key) & (old_check[place] == check) if len(old) else np.zeros(len(key), bool)
@@ -129,11 +134,11 @@ def _merge(absorbed: set[int]):
     return run
 
 
-def _cut(size: int):
+def _cut(size: int, bits: int):
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         docs = _in_order(docs)
         t = Texts(*raw(docs.column("text")))
-        starts, ends, n_words, at, keys, checks = windows(t, size)
+        starts, ends, n_words, at, keys, checks = windows(t, size, bits)
         known = docs.column("doc_id").is_valid().to_numpy()
         ids, doc = _ids(docs), np.repeat(np.arange(t.n), n_words)
         own = ids[doc[at]]
@@ -181,22 +186,23 @@ def _cut(size: int):
 class WindowIndex:
     """The windows of all documents that have arrived, as sorted immutable runs in a folder of the shared store.
 
-    Each run is a Parquet table of one row per shard: the sorted 64-bit hashes of its windows and
-    16 bits of an independent hash, by which a match is verified; two different windows are taken for one
-    with a probability of 2 ** -80. A batch's windows are sorted into shards, merge-joined there
+    Each run is a Parquet table of one row per shard: the sorted hashes of its windows, of as many bits as
+    the expected number of windows needs (key_bits), and 16 bits of an independent hash, by which a
+    match is verified. A batch's windows are sorted into shards, merge-joined there
     with the piece of every run, and written as a new run that takes in the newer runs no larger than
     itself, so that n batches leave about log2(n) runs. The list of runs is a file that is written last.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, shards: int = 1, window: int = WINDOW):
+    def __init__(self, spark: SparkSession, folder: str, shards: int = 1, window: int = WINDOW, expected: int = 1 << 40):
         self.spark, self.folder, self.shards, self.window = spark, folder, shards, window
+        self.bits = key_bits(expected)
         self.runs: list[tuple[int, int]] = []  # number and windows, oldest first
         self.batches = 0
 
     def _list(self) -> None:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/runs.json")
         out = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
-        out.write(bytearray(json.dumps({"window": self.window, "shards": self.shards, "batches": self.batches, "runs": self.runs}).encode()))
+        out.write(bytearray(json.dumps({"window": self.window, "shards": self.shards, "bits": self.bits, "batches": self.batches, "runs": self.runs}).encode()))
         out.close()
 
     def _run(self, k: int) -> DataFrame:
@@ -212,7 +218,7 @@ class WindowIndex:
         """
         blocks = max(1, -(-text_bytes // BLOCK_BYTES))
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(blocks)).cast("int").alias("block"))
-        found = rows.groupBy("block").applyInArrow(_find(self.window, self.shards), FOUND).withColumn("run", F.lit(None).cast("int"))
+        found = rows.groupBy("block").applyInArrow(_find(self.window, self.shards, self.bits), FOUND).withColumn("run", F.lit(None).cast("int"))
         new = self.batches
         self.batches += 1
         size = None
@@ -230,6 +236,8 @@ class WindowIndex:
         merged = found.groupBy("shard").applyInArrow(_merge(set(absorbed)), MERGED)
         path = f"{self.folder}/batch-{new}"
         merged.write.mode("overwrite").parquet(path)
+        del found, merged
+        release(self.spark)
         out = self.spark.read.schema(MERGED).parquet(path)
         count = out.filter("kind = 1").agg(F.sum("n")).first()[0] or 0
         self.runs = [r for r in self.runs if r[0] not in absorbed] + [(new, count)]
@@ -237,7 +245,7 @@ class WindowIndex:
         for k in absorbed:
             remove(self.spark, f"{self.folder}/batch-{k}")
         told = out.filter("kind = 0").select(F.col("place").alias("block"), "keys", "checks", "firsts")
-        return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_cut(self.window), "doc_id long, n_words long, n_removed long, text string")
+        return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_cut(self.window, self.bits), "doc_id long, n_words long, n_removed long, text string")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, arrivals: int = ARRIVALS) -> DataFrame:
@@ -251,7 +259,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, arrivals: int = ARRI
     about = rows.agg(F.sum(F.octet_length("text")).alias("n"), F.percentile_approx("doc_id", F.array(*map(F.lit, shares))).alias("cuts")).first()
     cuts = [None, *(about.cuts or []), None] if shares else [None, None]
     size = -(-(about.n or 0) // (len(cuts) - 1))
-    index = WindowIndex(spark, f"{place}/index", max(1, -(-size // 6 // SHARD_WINDOWS)), window)
+    index = WindowIndex(spark, f"{place}/index", max(1, -(-(about.n or 0) // (6 * SHARD_WINDOWS))), window, (about.n or 0) // 6)
     parts = []
     for k, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
         part = rows
@@ -264,6 +272,6 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, arrivals: int = ARRI
         index.dedup(part, size).write.parquet(f"{place}/out-{k}")
         parts.append(f"{place}/out-{k}")
         del part
-        spark.sparkContext._jvm.System.gc()  # lets go of the batch's shuffle files
+        release(spark)
     remove(spark, f"{place}/index")
     return spark.read.schema("doc_id long, n_words long, n_removed long, text string").parquet(*parts)
