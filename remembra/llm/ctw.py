@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from remembra.llm._blobs import pack, pack_sorted, unpack, unpack_sorted
 from remembra.llm._bytes import SPACE, Texts, pieces, raw
-from remembra.llm._store import remove, stored, workspace
+from remembra.llm._store import release, remove, stored, workspace
 
 #: Bytes of the longest context.
 DEPTH = 6
 #: Bytes of text in a block (the unit in which documents are counted and scored) and of a piece of it; contexts of a shard of the model, on average.
-BLOCK_BYTES, PIECE_BYTES, SHARD_KEYS = 32 << 20, 1 << 20, 1 << 20
+BLOCK_BYTES, PIECE_BYTES, SHARD_KEYS = 16 << 20, 1 << 19, 1 << 20
 
 _U = np.uint64
 _END = 10
@@ -204,18 +204,50 @@ def _block(table: pa.Table, depth: int) -> Iterator[tuple[pa.Table, np.ndarray,
         yield piece, hashes, n_words, context_keys(data, begin, end, depth), begin, end
 
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    return _summed(np.concatenate([np.zeros(0, _U), *(k for k, _ in parts)]), np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)]))
+class _Sum:
+    """Distinct keys and their summed counts, merged whenever what has come is a quarter of what is there."""
+
+    def __init__(self):
+        self.keys, self.counts, self.fresh, self.size = np.zeros(0, _U), np.zeros(0, np.int64), [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.fresh.append((keys, counts))
+        self.size += len(keys)
+        if self.size > max(len(self.keys) // 4, 1 << 18):
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.fresh:
+            parts = [(self.keys, self.counts), *self.fresh]
+            self.fresh, self.size = [], 0
+            self.keys, self.counts = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
+        return self.keys, self.counts
 
 
 def _counted(keys: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and how often each is learned, which may be never."""
-    s = np.sort(keys)
-    s = s[np.append(True, s[1:] != s[:-1])] if len(s) else s
-    k, n = np.unique(keys[learned], return_counts=True)
-    counts = np.zeros(len(s), np.int64)
-    counts[np.searchsorted(s, k)] = n
-    return s, counts
+    if not len(keys):
+        return keys, np.zeros(0, np.int64)
+    if keys.max() >> _U(63):
+        order = np.argsort(keys)
+        keys, flag = keys[order], learned[order].astype(np.int64)
+    else:
+        s = np.sort((keys << _U(1)) | learned)
+        keys, flag = s >> _U(1), (s & _U(1)).astype(np.int64)
+    head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[head], np.add.reduceat(flag, head)
+
+
+def _looked_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The value of each key; known is sorted and has them all. Sorted first, so that the search goes through memory in order."""
+    if not len(keys):
+        return values[:0]
+    order = np.argsort(keys)
+    s = keys[order]
+    head = np.append(True, s[1:] != s[:-1])
+    out = np.empty(len(keys), values.dtype)
+    out[order] = values[np.searchsorted(known, s[head])][np.cumsum(head) - 1]
+    return out
 
 
 def _shard_of(keys: np.ndarray, shards: int, depth: int, words: bool) -> np.ndarray:
@@ -231,14 +263,14 @@ def _split(keys: np.ndarray, shards: int, depth: int, words: bool) -> list[np.nd
     return np.split(order, np.searchsorted(shard[order], np.arange(1, shards).astype(_U)))
 
 
-def _distinct(table: pa.Table, depth: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+def _distinct(table: pa.Table, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Context keys and word hashes of a block, each with its training count."""
-    grams, words = [], []
+    grams, words = _Sum(), _Sum()
     for piece, hashes, n_words, keys, begin, end in _block(table, depth):
         train = ~piece.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-        grams.append(_counted(keys, np.repeat(train, end - begin)))
-        words.append(_counted(hashes, np.repeat(train, n_words)))
-    return _merged(grams), _merged(words)
+        grams.add(*_counted(keys, np.repeat(train, end - begin)))
+        words.add(*_counted(hashes, np.repeat(train, n_words)))
+    return [grams.merge(), words.merge()]
 
 
 def _count(shards: int, depth: int):
@@ -253,11 +285,20 @@ def _count(shards: int, depth: int):
     return run
 
 
-def _gathered(table: pa.Table) -> tuple[list[np.ndarray], list[int], np.ndarray, np.ndarray]:
-    """Keys of each block, the blocks, and the shard's distinct keys with their counts added up."""
-    keys = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
-    counts = [unpack(x, np.int32).astype(np.int64) for x in table.column("counts").to_pylist()]
-    return keys, table.column("block").to_pylist(), *_merged(list(zip(keys, counts, strict=True)))
+def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The shard's distinct keys with their counts added up."""
+    total = _Sum()
+    for keys, counts in zip(table.column("keys"), table.column("counts"), strict=True):
+        total.add(unpack_sorted(keys.as_py()), unpack(counts.as_py(), np.int32).astype(np.int64))
+    return total.merge()
+
+
+def _answers(table: pa.Table, kind: int, every: np.ndarray, values: np.ndarray, sort: type) -> Iterator[tuple]:
+    """Each block's keys with their values."""
+    for shard, block, keys in zip(table.column("shard"), table.column("block"), table.column("keys"), strict=True):
+        packed = keys.as_py()
+        k = unpack_sorted(packed)
+        yield kind, shard.as_py(), block.as_py(), len(k), 0, pack(values[np.searchsorted(every, k)], sort), packed
 
 
 def _learn(depth: int):
@@ -265,9 +306,9 @@ def _learn(depth: int):
 
     def run(table: pa.Table) -> pa.Table:
         kind, shard = table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
-        keys, blocks, every, counts = _gathered(table)
+        every, counts = _gathered(table)
         if kind == 1:
-            rows = [(1, shard, b, len(k), 0, pack(counts[np.searchsorted(every, k)], np.int64), None) for k, b in zip(keys, blocks, strict=True)]
+            rows = list(_answers(table, 1, every, counts, np.int64))
             rows.append((2, shard, None, int((counts > 0).sum()), int(counts.sum()), None, None))
         else:
             places, values = top_statistics(Forest(every[counts > 0], counts[counts > 0], depth))
@@ -285,10 +326,9 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _predict(depth: int, statistics: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        keys, blocks, every, counts = _gathered(table)
+        every, counts = _gathered(table)
         value = Top(statistics).log10(Forest(every[counts > 0], counts[counts > 0], depth), every)
-        return _table([(0, shard, b, len(k), 0, pack(value[np.searchsorted(every, k)], np.float32), None) for k, b in zip(keys, blocks, strict=True)], ANSWER)
+        return _table(list(_answers(table, 0, every, value, np.float32)), ANSWER)
 
     return run
 
@@ -296,23 +336,31 @@ def _predict(depth: int, statistics: np.ndarray):
 SCORED = "doc_id {}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(shards: int, depth: int, documents: int, tokens: int, distinct: int):
+def _sorted_answers(answers: pa.Table, kind: int, sort: type) -> tuple[np.ndarray, np.ndarray]:
+    keys, values = [np.zeros(0, _U)], [np.zeros(0, sort)]
+    for what, data, more in zip(answers.column("kind"), answers.column("data"), answers.column("more"), strict=True):
+        if what.as_py() == kind:
+            keys.append(unpack_sorted(more.as_py()))
+            values.append(unpack(data.as_py(), sort))
+    keys, values = np.concatenate(keys), np.concatenate(values)
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
+def _score(depth: int, documents: int, tokens: int, distinct: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        (grams, _), (words, _) = _distinct(docs, depth)
-        value, count = np.zeros(len(grams)), np.zeros(len(words), np.int64)
-        places = [_split(grams, shards, depth, False), _split(words, shards, depth, True)]
-        for what, shard, data in zip(*(answers.column(n).to_pylist() for n in ("kind", "shard", "data")), strict=True):
-            (value if what == 0 else count)[places[what][shard]] = unpack(data, np.float32 if what == 0 else np.int64)
+        grams, value = _sorted_answers(answers, 0, np.float32)
+        words, count = _sorted_answers(answers, 1, np.int64)
         # base: log10((c + 1) / (N + (V + 1))); the end of a text is a token too
         known = np.log10(count + 1.0) - np.log10(tokens + distinct + 1.0)
         end = np.log10(documents + 1.0) - np.log10(tokens + distinct + 1.0)
         out = []
         for piece, hashes, n_words, keys, begin, end_ in _block(docs, depth):
             doc = np.repeat(np.arange(piece.num_rows), n_words)
-            at = np.searchsorted(words, hashes)
-            base = np.bincount(doc, known[at], piece.num_rows) + end
-            seen = np.bincount(doc, count[at] > 0, piece.num_rows).astype(np.int64) + (documents > 0)
-            score = np.add.reduceat(value[np.searchsorted(grams, keys)], begin) if len(begin) else np.zeros(0)
+            c = _looked_up(hashes, words, np.arange(len(words)))
+            base = np.bincount(doc, known[c], piece.num_rows) + end
+            seen = np.bincount(doc, count[c] > 0, piece.num_rows).astype(np.int64) + (documents > 0)
+            score = np.add.reduceat(_looked_up(keys, grams, value).astype(np.float64), begin)
             n = piece.num_rows
             out.append(pa.table({"doc_id": piece.column("doc_id"), "held_out": piece.column("held_out"), "n_tokens": pa.array(n_words.astype(np.int64) + 1), "n_known": pa.array(seen), "train_tokens": pa.array(np.full(n, tokens, np.int64)), "base_score": pa.array(base), "score": pa.array(score)}))
         return pa.concat_tables(out)
@@ -343,9 +391,9 @@ def ctw_scores(docs: DataFrame, held_out: str, depth: int = DEPTH) -> DataFrame:
     shards = max(1, -(-(about.n or 0) // (16 * SHARD_KEYS)))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(blocks)).cast("int"))
     found = stored(rows.groupBy("block").applyInArrow(_count(shards, depth), FOUND), f"{place}/found")
-    spark.sparkContext._jvm.System.gc()  # lets go of the shuffled texts
+    release(spark)
     learned = stored(found.groupBy("kind", "shard").applyInArrow(_learn(depth), ANSWER), f"{place}/learned")
-    spark.sparkContext._jvm.System.gc()
+    release(spark)
     words = learned.filter("kind = 2").agg(F.sum("n").alias("distinct"), F.sum("total").alias("tokens")).first()
     documents = about.train or 0
     tokens, distinct = (words.tokens or 0) + documents, (words.distinct or 0) + (documents > 0)
@@ -354,12 +402,12 @@ def ctw_scores(docs: DataFrame, held_out: str, depth: int = DEPTH) -> DataFrame:
     for r in sums.toLocalIterator():  # PLACES rows at most
         statistics[r.place] = r.value
     predicted = found.filter("kind = 0").groupBy("shard").applyInArrow(_predict(depth, statistics), ANSWER)
-    answers = stored(learned.filter("kind = 1").union(predicted).select("kind", "shard", "block", "data"), f"{place}/answers")
+    answers = stored(learned.filter("kind = 1").union(predicted).select("kind", "block", "data", "more"), f"{place}/answers")
     for name in ("found", "learned"):
         remove(spark, f"{place}/{name}")
-    spark.sparkContext._jvm.System.gc()
+    release(spark)
     kind = dict(docs.dtypes)["doc_id"]
-    scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(shards, depth, documents, tokens, distinct), SCORED.format(kind))
+    scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(depth, documents, tokens, distinct), SCORED.format(kind))
     out = stored(scored, f"{place}/scored")
     remove(spark, f"{place}/answers")
     return out
