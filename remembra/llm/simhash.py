@@ -134,7 +134,10 @@ def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs without those that have a near-duplicate with a smaller doc_id; of rows with one doc_id, one."""
-    best = simhash_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(best, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """The rows of docs without those that have a near-duplicate with a smaller doc_id; of rows with one doc_id, one.
+
+    Rows without a doc_id have none that is smaller: of those with one text, one stays.
+    """
+    named, nameless = docs.filter("doc_id is not null"), docs.filter("doc_id is null")
+    best = simhash_components(named).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return named.join(best, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(nameless.dropDuplicates(["text"]))

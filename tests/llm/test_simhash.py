@@ -66,6 +66,12 @@ def test_components_against_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
 
 
+def test_rows_without_ids(spark):
+    df = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (None, "other words here"), (1, "a b c"), (2, "a b c")], "doc_id long, text string")
+    assert sorted(map(tuple, near_dedup(df).collect()), key=str) == [(1, "a b c"), (None, "a b c"), (None, "other words here")]
+    assert {r.component_id for r in simhash_components(df).collect()} == {1, None}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash_components(df).count() == 0
