@@ -31,6 +31,7 @@ def postings(docs: DataFrame, id_: str = "id", text: str = "content") -> tuple[D
 def bm25(docs: DataFrame, queries: DataFrame, params: Bm25 = Bm25(), id_: str = "id", text: str = "content") -> DataFrame:
     """(q, id, bm25) for each document that has a term of query q. queries: (q, term), distinct.
 
+    Scores are rounded to nine decimals, so that the order of a sum's parts decides no tie.
     Only the queries' terms are kept of the postings, before anything is shuffled.
     """
     split = docs.select(F.col(id_).alias("id"), tokens(F.col(text)).alias("terms"))
@@ -42,7 +43,7 @@ def bm25(docs: DataFrame, queries: DataFrame, params: Bm25 = Bm25(), id_: str =
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = params.k1 * (1 - params.b + params.b * F.col("dl") / F.col("avgdl"))
     scored = scored.withColumn("part", idf * F.col("tf") * (params.k1 + 1) / (F.col("tf") + norm))
-    return scored.join(queries, "term").groupBy("q", "id").agg(F.sum("part").alias("bm25"))
+    return scored.join(queries, "term").groupBy("q", "id").agg(F.round(F.sum("part"), 9).alias("bm25"))
 
 
 def normalised(scores: DataFrame, by: str = "q") -> DataFrame:

@@ -51,7 +51,7 @@ split AS (SELECT doc_id AS id, {TOKENS_SQL.format('text')} AS words FROM documen
 about AS (SELECT count(*) AS n, avg(len(words)) AS avgdl FROM split),
 tf AS (SELECT w.id, w.dl, w.term, count(*) AS tf FROM (SELECT id, len(words) AS dl, unnest(words) AS term FROM split) w JOIN terms USING (term) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-bm25 AS (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS bm25 FROM tf JOIN df USING (term), about GROUP BY id)"""
+bm25 AS (SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 9) AS bm25 FROM tf JOIN df USING (term), about GROUP BY id)"""
 
 
 @query(f"SELECT id, round(distance, 6) AS distance, round(1 / (1 + distance), 6) AS similarity FROM ({KNN_SQL}) ORDER BY distance, id LIMIT 30")
@@ -240,7 +240,7 @@ split AS (SELECT doc_id AS id, {TOKENS_SQL.format('text')} AS words FROM documen
 about AS (SELECT count(*) AS n, avg(len(words)) AS avgdl FROM split),
 tf AS (SELECT w.id, w.dl, w.term, count(*) AS tf FROM (SELECT id, len(words) AS dl, unnest(words) AS term FROM split) w WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-s AS (SELECT q, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS bm25 FROM tf JOIN df USING (term) JOIN qt USING (term), about GROUP BY q, id),
+s AS (SELECT q, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 9) AS bm25 FROM tf JOIN df USING (term) JOIN qt USING (term), about GROUP BY q, id),
 r AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY round(bm25, 9) DESC, id) AS rank FROM s),
 best AS (SELECT b.item_id AS q, min(r.rank) AS rank FROM benchmark b LEFT JOIN (SELECT r.* FROM r JOIN benchmark x ON r.q = x.item_id JOIN documents d ON d.doc_id = r.id WHERE rank <= 10 AND contains(d.text, x.text)) r ON r.q = b.item_id GROUP BY b.item_id)
 SELECT count(*) AS queries, avg(CASE WHEN rank <= 1 THEN 1::DOUBLE ELSE 0 END) AS recall_at_1, avg(CASE WHEN rank <= 5 THEN 1::DOUBLE ELSE 0 END) AS recall_at_5, avg(CASE WHEN rank <= 10 THEN 1::DOUBLE ELSE 0 END) AS recall_at_10, round(avg(coalesce(1::DOUBLE / rank, 0)), 6) AS mrr FROM best""")
