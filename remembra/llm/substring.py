@@ -214,8 +214,7 @@ class WindowIndex:
         A word goes if a window that covers it occurred in an earlier batch, or starts in a document
         of this batch with a smaller doc_id. text is what is left, words joined by one space. A
         null text has no words; rows without a doc_id lose nothing and stay out of the index; rows
-        that share a doc_id are one document. The result is lazy; it reads docs again, and what the
-        batch's merge has told, which stays with the index.
+        that share a doc_id are one document. Place for the result is the caller's; nothing is gathered.
         """
         blocks = max(1, -(-text_bytes // BLOCK_BYTES))
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(blocks)).cast("int").alias("block"))
@@ -236,7 +235,7 @@ class WindowIndex:
             found = found.unionByName(self._run(k), allowMissingColumns=True)
         merged = found.groupBy("shard").applyInArrow(_merge(set(absorbed)), MERGED)
         path = f"{self.folder}/batch-{new}"
-        merged.write.mode("overwrite").partitionBy("kind").parquet(path)
+        merged.write.mode("overwrite").parquet(path)
         del found, merged
         release(self.spark)
         out = self.spark.read.schema(MERGED).parquet(path)
@@ -244,7 +243,7 @@ class WindowIndex:
         self.runs = [r for r in self.runs if r[0] not in absorbed] + [(new, count)]
         self._list()
         for k in absorbed:
-            remove(self.spark, f"{self.folder}/batch-{k}/kind=1")
+            remove(self.spark, f"{self.folder}/batch-{k}")
         told = out.filter("kind = 0").select(F.col("place").alias("block"), "keys", "checks", "firsts")
         return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_cut(self.window, self.bits), "doc_id long, n_words long, n_removed long, text string")
 
@@ -270,10 +269,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, arrivals: int = ARRI
             part = part.filter(F.col("doc_id") <= high)
         if low is None:
             part = part if high is None else rows.filter((F.col("doc_id") <= high) | F.col("doc_id").isNull())
-        parts.append(index.dedup(part, size))
-    for k, _ in index.runs:  # no batch follows
-        remove(spark, f"{place}/index/batch-{k}/kind=1")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+        index.dedup(part, size).write.option("compression", "zstd").parquet(f"{place}/out-{k}")
+        parts.append(f"{place}/out-{k}")
+        del part
+        release(spark)
+    remove(spark, f"{place}/index")
+    return spark.read.schema("doc_id long, n_words long, n_removed long, text string").parquet(*parts)
