@@ -26,10 +26,17 @@ CLASSES = (
     (r"^[A-Za-z0-9]+$", 3.6),
     (r"^[A-Za-z0-9+/_=-]+$", 3.7),
 )
-#: A candidate needs this many digits and letters; prose and plain numbers have not both.
+#: A piece of a candidate needs this many digits and letters; prose and plain numbers have not both.
 LEAST = r"(?:[0-9][^0-9]*){3}", r"(?:[A-Za-z][^A-Za-z]*){3}"
-#: Allow-list: candidates that are placeholders, UUIDs, dates, paths or joined words, and what stands before published digests.
-ALLOWED = r"(?i)example|placeholder|changeme|your[_-]|xxxx|dummy|(?:0123456789|abcdefgh)|^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$|[0-9]{4}-[0-9]{2}-[0-9]{2}|(?:[a-z]{2,}[/_=-]){3}|(?:[/_=-][a-z]{2,}){3}|([0-9a-z]{1,4})\1{4}"
+#: Or it has this many capitals and small letters, so much entropy in some window, and so many runs of one class a
+#: character: random keys change class often, names of joined words seldom.
+MIXED = r"(?:[A-Z][^A-Z]*){3}", r"(?:[a-z][^a-z]*){3}"
+MIXED_BITS, MIXED_RUNS, RUN = 3.7, 0.4, r"[a-z]+|[A-Z]+|[0-9]+|[+/_=-]+"
+#: Words of placeholders: they allow a whole candidate of up to ALLOWED_LENGTH characters.
+PLACEHOLDER, ALLOWED_LENGTH = r"(?i)example|placeholder|changeme|your[_-]|xxxx|dummy|0123456789|abcdefgh", 64
+#: Allow-list: placeholders, UUIDs, dates, paths or joined words, and what stands before published digests. A hit cancels
+#: the windows that it touches, so that one that arises by chance in a long secret does not hide the rest.
+ALLOWED = PLACEHOLDER + r"|^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$|[0-9]{4}-[0-9]{2}-[0-9]{2}|(?:[a-z]{2,}[/_=-]){3,}[a-z]*|(?:[/_=-][a-z]{2,}){3,}|([0-9a-z]{1,4})\1{4}"
 ALLOWED_BEFORE = r"(?i)(?:sha-?[0-9]{1,3}|md5|commit|checksum|digest|integrity|etag|uuid)[\x20\"'(]*[-:=]?[\x20\"'(]*$|https?://[^\x20]*$"
 
 
@@ -83,7 +90,17 @@ def _suspicious(x: Column) -> Column:
     least = F.lit(None).cast("double")
     for pattern, bits in reversed(CLASSES):
         least = F.when(s.rlike(pattern), F.lit(bits).cast("double")).otherwise(least)
-    return s.rlike(LEAST[0]) & s.rlike(LEAST[1]) & ~s.rlike(ALLOWED) & ~b.rlike(ALLOWED_BEFORE) & F.coalesce(window_entropy(s) >= least, F.lit(False))
+    placed = (F.length(s) <= ALLOWED_LENGTH) & s.rlike(PLACEHOLDER)
+    return least.isNotNull() & ~placed & ~b.rlike(ALLOWED_BEFORE) & F.exists(F.split(s, ALLOWED, -1), lambda p: _strong(p, least))
+
+
+def _strong(p: Column, least: Column) -> Column:
+    """Whether some window of p, a piece without hits of the allow-list, is that of a secret."""
+    digits = p.rlike(LEAST[0]) & p.rlike(LEAST[1])
+    runs = F.size(F.regexp_extract_all(p, F.lit(RUN), F.lit(0)))
+    mixed = p.rlike(MIXED[0]) & p.rlike(MIXED[1]) & (runs >= MIXED_RUNS * F.length(p))
+    bits = F.when(digits, least).when(mixed, F.greatest(least, F.lit(MIXED_BITS)))
+    return (F.length(p) >= WINDOW) & bits.isNotNull() & F.coalesce(window_entropy(p) >= bits, F.lit(False))
 
 
 def _spans(found: Column, kind: int) -> Column:

@@ -72,3 +72,14 @@ def test_redact(spark):
     assert got[3].text == 'é [SECRET]" rest' and got[3].n_chars == len(got[3].text)
     assert got[2].text == TEXTS[2] and got[2].n_chars == 7 and got[0].text is None and got[2].base == "b"
     assert got[7].text == f"ß𝄞 [SECRET] {HEX[:19]} [SECRET]"
+
+
+def test_chance_hits_and_few_digits(spark):
+    r = random.Random(5)
+    some = lambda n, alphabet=string.ascii_letters + string.digits + "-_": "".join(r.choice(alphabet) for _ in range(n))
+    secrets = [f"{some(150)}{hit}{some(150)}" for hit in ("2024-01-02", "xxxx", "dummy", "ab-cd-ef-gh-", "aaaaaaaa")] + [some(3000) for _ in range(5)]
+    secrets += ["zQkvNxkPowXrGTbYvmLdBHsJ", "zQ8vNxkPowXr5TbYvmLdBHsJ"]
+    allowed = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "src/main/java/com/acme/tools/Reader2Writer33", "getUserAuthenticationFromRequestHeader", "backup-of-db1-2024-01-02-17-33-05", "123e4567-E89b-12d3-A456-426614174000"]
+    df = spark.createDataFrame(list(enumerate(f"a {x} b" for x in secrets + allowed)), "doc_id long, text string")
+    got = [x.spans for x in secret_report(df).orderBy("doc_id").collect()]
+    assert got == [f"entropy:2:{2 + len(x)}" for x in secrets] + [""] * len(allowed)
