@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,9 +113,9 @@ def secret_spans(docs: DataFrame, text: str = "text", base: str = "base", spans:
     """docs with columns `base` and `spans`: arrays of struct<s, k, e> in order of start, then kind (an index in KINDS).
 
     base holds the pattern matches: leftmost and not overlapping within a kind, those that fail the
-    kind's length dropped. spans adds the entropy candidates that overlap none of them. Places are code
+    kind's length dropped. spans adds the entropy candidates of the text outside of them. Places are code
     points, ends exclusive. A null text is empty and has none. One pass over the rows without a
-    shuffle; all other columns are kept, but for columns of those two names and __t, __a, __h, __k, __c.
+    shuffle; all other columns are kept, but for columns of those two names and __t, __a, __h, __k, __o, __c.
     """
     t = F.col("__t")
     none = F.expr("cast(array() as array<struct<s:int,e:int,m:string,b:string>>)")
@@ -127,12 +129,25 @@ def secret_spans(docs: DataFrame, text: str = "text", base: str = "base", spans:
             "__a": some(named, F.filter(_matches(t, ASSIGN, 0), lambda x: F.length(F.regexp_extract(x["m"], ASSIGN_VALUE, 1)) >= 6)),
             "__k": some(t.contains("AKIA"), _matches(t, ACCESS, 0)),
             "__h": some(t.rlike("(?<![0-9a-f])[0-9a-f]{24}"), _matches(t, HEX, 0)),
-            "__c": some(t.rlike("(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20}"), F.filter(_matches(t, CANDIDATE, 40), _suspicious)),
         }
     )
     out = out.withColumn(base, F.array_sort(F.concat(_spans(F.col("__a"), 0), _spans(F.col("__k"), 1), _spans(F.col("__h"), 2))))
-    alone = F.filter(_spans(F.col("__c"), 3), lambda x: ~F.exists(F.col(base), lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
-    return out.withColumn(spans, F.array_sort(F.concat(base, alone))).drop("__a", "__k", "__h", "__c", "__t")
+    # what is left of a candidate that base spans cut is a candidate of its own: a dot, which none holds, stands in their places
+    rest = F.when(F.size(base) > 0, _replaced(t, F.col(base), lambda n: F.repeat(F.lit("."), n))).otherwise(t)
+    o = F.col("__o")
+    out = out.withColumn("__o", rest).withColumn("__c", some(o.rlike("(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20}"), F.filter(_matches(o, CANDIDATE, 40), _suspicious)))
+    return out.withColumn(spans, F.array_sort(F.concat(base, _spans(F.col("__c"), 3)))).drop("__a", "__k", "__h", "__o", "__c", "__t")
+
+
+def _replaced(text: Column, spans: Column, mark: Callable[[Column], Column]) -> Column:
+    """text with each of the spans, in order of start and overlapping ones as one, replaced: by `mark` of its length, or of what it adds to the one before."""
+
+    def step(acc: Column, x: Column) -> Column:
+        new = F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0))), mark(x["e"] - F.greatest(acc["at"], x["s"])))
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["e"] > acc["at"], new).otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
 def shown(spans: Column) -> Column:
