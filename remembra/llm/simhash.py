@@ -22,14 +22,13 @@ SHARD = 1 << 21
 _LANE = np.uint64(0x0101010101010101)
 
 
-def fingerprints(column: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """The 64-bit SimHash of each text, A-Z lower-cased; zero without words."""
+def _shingles(column: pa.Array, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of all shingles, text by text, and their number by text; A-Z lower-cased."""
     t = Texts.of(column)
     t.lower()
     starts, ends, n_words = t.words()
-    out = np.zeros(t.n, np.uint64)
     if not len(starts):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(t.n, np.int64)
     # words with one space after each
     space = SPACE[t.data]
     keep = ~space
@@ -42,6 +41,15 @@ def fingerprints(column: pa.Array, shingle: int = SHINGLE, seed: int = SEED) ->
     last = np.minimum(which + shingle, np.repeat(first + n_words, n)) - 1
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(flat[a:b], seed) for a, b in zip(place[starts[which]].tolist(), place[ends[last]].tolist(), strict=True)], np.uint64)
+    return h, n
+
+
+def fingerprints(column: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The 64-bit SimHash of each text, A-Z lower-cased; zero without words."""
+    h, n = _shingles(column, shingle, seed)
+    out = np.zeros(len(n), np.uint64)
+    if not len(h):
+        return out
     # ones of each bit: byte lanes hold the sums of up to 255 hashes, then runs are added up
     full = np.flatnonzero(n)
     runs = -(-n[full] // 255)
