@@ -29,9 +29,13 @@ ENDS = {
     "th": (("td", "th"), ("tr", "table")),
     "option": (("option",), ("select",)),
 }
-#: A class or id with one of these words marks a part of the page that isn't the article.
+#: A class, id or role with one of these words marks a part of the page that isn't the article, unless it holds much of the text.
 OUTSIDE = frozenset("ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus discussion footer form masthead menu modal nav navbar navigation newsletter notice notices outbrain pager pagination popup promo promoted recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags taboola toolbar widget".split())
 KEPT_ANYWAY = frozenset("html body article main".split())
+#: Marked elements stay from these shares of the page's unlinked paragraphs: in general, and with one of these words or an
+#: article inside. Names that are such a word as a whole never stay by the first. A result shorter than NEARLY_EMPTY is
+#: looked for again with the first for all, then without the marks.
+MAJOR, MINOR, PERHAPS, NEARLY_EMPTY = 0.5, 0.2, frozenset("article body content entry main post story text".split()), 140
 
 #: Least length of a block that scores, characters for one point of length and the most such points, and link density from which a block is a menu.
 LEAST, PER_POINT, MOST_POINTS, MENU = 25, 100, 3, 0.5
@@ -51,9 +55,10 @@ class _Block:
         self.node, self.parts, self.linked = node, [], []
 
 
-def parse(page: str) -> tuple[list[int], list[str], list[_Block]]:
-    """Parent and tag of every element that stands outside skipped parts, and the text blocks in page order."""
-    parents, tags, blocks = [-1], ["#"], []
+def parse(page: str) -> tuple[list[int], list[str], list[_Block], dict[int, float]]:
+    """Parent and tag of every element that stands outside skipped parts, the text blocks in page order, and the marked
+    elements with the share from which they stay."""
+    parents, tags, blocks, marked = [-1], ["#"], [], {}
     stack: list[tuple[int, str, bool]] = [(0, "#", False)]  # element, tag, whether it is skipped
     skipped = links = 0
     block: _Block | None = None
@@ -122,9 +127,13 @@ def parse(page: str) -> tuple[list[int], list[str], list[_Block]]:
             continue
         rest = m["rest"]
         skip = tag in SKIPPED
-        if rest and not skip and tag not in KEPT_ANYWAY:
-            names = {w for g in _NAMED.findall(rest) for w in _WORD.findall("".join(g).lower())}
-            skip = not names.isdisjoint(OUTSIDE) or _HIDDEN.search(rest) is not None
+        if rest and not skip and tag not in ("html", "body"):
+            values = [x for g in _NAMED.findall(rest) for x in "".join(g).lower().split()]
+            names = {w for x in values for w in _WORD.findall(x)}
+            outside = not names.isdisjoint(OUTSIDE)
+            skip = tag not in KEPT_ANYWAY and (outside and tag in INLINE or _HIDDEN.search(rest) is not None)
+            if outside and not skip:
+                marked[len(tags)] = MINOR if not names.isdisjoint(PERHAPS) else MAJOR if OUTSIDE.isdisjoint(values) else 2.0
         if tag == "header" and not any(t in ("article", "main") for _, t, _ in stack):
             skip = True
         if skip:
@@ -139,7 +148,33 @@ def parse(page: str) -> tuple[list[int], list[str], list[_Block]]:
         text(rest if not re.match(r"<[a-zA-Z/!?]", rest) else "")
     for b in blocks:
         b.text, b.links = " ".join("".join(b.parts).split()), len(" ".join("".join(b.linked).split()))
-    return parents, tags, [b for b in blocks if b.text]
+    return parents, tags, [b for b in blocks if b.text], marked
+
+
+def _outside(parents: list[int], tags: list[str], blocks: list[_Block], marked: dict[int, float]) -> set[int]:
+    """The marked elements that go, with all that they hold."""
+    unlinked, total = [0] * len(tags), 0
+    for b in blocks:
+        if len(b.text) >= LEAST and b.links <= MENU * len(b.text) and tags[b.node] not in HEADINGS:
+            total += len(b.text) - b.links
+            node = b.node
+            while node >= 0:
+                unlinked[node] += len(b.text) - b.links
+                node = parents[node]
+    least = dict(marked)
+    for k, tag in enumerate(tags):
+        # comments are often articles, but marked ones
+        if tag in ("article", "main") and k not in marked and unlinked[k] >= MINOR * total:
+            node = parents[k]
+            while node >= 0:
+                if node in least:
+                    least[node] = 0.0
+                node = parents[node]
+    gone: set[int] = set()
+    for k in range(1, len(tags)):
+        if parents[k] in gone or k in least and tags[k] not in KEPT_ANYWAY and (not total or unlinked[k] < least[k] * total):
+            gone.add(k)
+    return gone
 
 
 def main_text(page: str | None) -> str:
@@ -149,11 +184,23 @@ def main_text(page: str | None) -> str:
     its parent gets all of them, the grandparent half, each further ancestor a third of its child's
     divisor less. A container's score is discounted by the share of its text that is in links. The best
     container is kept with those siblings that score well or read like paragraphs; menus within,
-    told by their links, go.
+    told by their links, go. Parts of the page that class, id or role mark as no article go before that; see _outside.
     """
     if not page:
         return ""
-    parents, tags, blocks = parse(page)
+    parents, tags, blocks, marked = parse(page)
+    text = ""
+    for marks in (marked, {k: min(v, MAJOR) for k, v in marked.items()}, {}) if marked else ({},):
+        gone = _outside(parents, tags, blocks, marks)
+        again = _article(parents, tags, [b for b in blocks if b.node not in gone])
+        if not text or len(again) > max(2 * len(text), NEARLY_EMPTY):
+            text = again
+        if len(text) >= NEARLY_EMPTY:
+            break
+    return text
+
+
+def _article(parents: list[int], tags: list[str], blocks: list[_Block]) -> str:
     scores: dict[int, float] = {}
     lengths = [0] * len(tags)
     linked = [0] * len(tags)

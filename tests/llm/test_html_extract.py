@@ -26,3 +26,13 @@ def test_odd_pages(spark):
     assert got[3].text == "plain text, no tags" and got[4].text == "unclosed" and got[8].text == LONG and got[9].text == ""
     assert got[11].n_chars == 5000 * 2 - 1 and all(r.n_chars == len(r.text) for r in got.values())
     assert extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_layout_wrappers_named_like_outside_parts():
+    body = f"<p>{LONG}</p><p>{LONG} again</p>"
+    for wrap in ("class='elementor-widget elementor-widget-theme-post-content'", "id=content-sidebar-wrap", 'class="layout has-sidebar"', "class='post-content no-comments'", "class='article-body with-share'", "class=widget"):
+        assert main_text(f"<body><div {wrap}>{body}</div></body>") == f"{LONG}\n{LONG} again", wrap
+        rest = f"<div class='sidebar'><p>{LONG} aside</p></div><div id='comments'><article class='comment-body'><p>{LONG} said</p></article></div>"
+        assert main_text(f"<body><div {wrap}>{body}{rest}</div></body>") == f"{LONG}\n{LONG} again", wrap
+        assert main_text(f"<body><div {wrap}><article>{body}</article>{rest}</div></body>") == f"{LONG}\n{LONG} again", wrap
+    assert main_text(f"<body><div class=layout>{body}</div><div class=comments>{f'<p>{LONG} no</p>' * 9}</div></body>") == f"{LONG}\n{LONG} again"
