@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only where it is unset, as in tests, a local one."""
+    """The folder of spark.checkpoint.dir, or the checkpoint folder that the session has been given; without either it raises."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if path and sc._jsc.sc().getCheckpointDir().isEmpty():
+    at = sc._jsc.sc().getCheckpointDir()
+    if path and at.isEmpty():
         sc.setCheckpointDir(path)
     if not path:
-        at = sc._jsc.sc().getCheckpointDir()
         if at.isEmpty():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="remembra-"))
+            if not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            sc.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/remembra-work")
             at = sc._jsc.sc().getCheckpointDir()
         path = at.get()
     return path.rstrip("/")
@@ -36,13 +41,34 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """For tasks that read and write files of the shared folder themselves: its file system, and the path there."""
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[5:]
+    return pafs.FileSystem.from_uri(uri)
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Spark removes the shuffle files of what is executed in here as soon as it is over, not when the driver's garbage is collected."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
     """Write df as Parquet and read it back: lineage ends there, and no executor's loss can undo it."""
-    df.write.mode("overwrite").parquet(path)
+    with tidy(df.sparkSession):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of queries that are over: it does so when the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def quoted(name: str) -> str:
+    """A column's name as Spark's expressions have it: whatever it holds, dots too."""
+    return "`" + name.replace("`", "``") + "`"

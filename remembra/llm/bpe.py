@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,15 +16,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from remembra.llm._bytes import pieces
+from remembra.llm._store import quoted
 
 #: Longest piece, in bytes, that goes through a matrix; each longer one is merged by a heap of its own.
 LONGEST = 256
-#: Pieces that a task remembers; then it forgets all of them.
-REMEMBERED = 400_000
+#: Memory for the pieces that a task remembers, in bytes, and what a piece takes beside its text; beyond it only those of the text at hand stay.
+REMEMBERED, PER_PIECE = 12 << 20, 220
 #: Cells of a matrix at most.
-CELLS = 1 << 21
-#: Text encoded at once, in bytes.
-AT_ONCE = 1 << 20
+CELLS = 1 << 19
+#: Text encoded at once, in bytes; of a longer document so many pieces at once.
+AT_ONCE, PIECES_AT_ONCE = 1 << 19, 1 << 16
 
 _NONE = np.int32(2**31 - 1)
 
@@ -34,7 +36,7 @@ class Vocabulary:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.findall = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         size = max(self.ranks.values()) + 1
         tokens = [b""] * size
         for token, rank in self.ranks.items():
@@ -165,23 +167,35 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes texts; remembers the tokens of up to REMEMBERED pieces."""
+    """Encodes texts; remembers the tokens of pieces within REMEMBERED bytes."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self._forget()
-
-    def _forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.flat, self.starts, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.starts, self.counts, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The tokens of all texts, and the number of tokens before each text and after the last."""
-        found = [self.v.findall(x) for x in texts]
-        if len(self.index) > REMEMBERED:
-            self._forget()
+    def _of(self, which: np.ndarray) -> np.ndarray:
+        """The tokens of remembered pieces, one after the other."""
+        n = self.counts[which]
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(self.starts[which] - ends + n, n) + np.arange(n.sum())]
+
+    def _forget(self, but: set[str]) -> None:
+        """Remember only those pieces: frequent ones are among them more often than not."""
+        stay = [p for p in but if p in self.index]
+        which = np.array([self.index[p] for p in stay], np.int64)
+        flat, counts = self._of(which), self.counts[which]
+        self.index = dict(zip(stay, range(len(stay)), strict=True))
+        self.flat, self.counts, self.starts = flat, counts, np.cumsum(counts) - counts
+        self.size = sum(PER_PIECE + 4 * len(p) for p in stay)
+
+    def tokens(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all pieces, and the number of tokens of each."""
+        distinct = set(found)
+        if self.size > REMEMBERED:
+            self._forget(distinct)
         known = self.index
-        fresh = list({p for one in found for p in one if p not in known})
+        fresh = [p for p in distinct if p not in known]
         if fresh:
             made = self.v.encode_pieces([p.encode() for p in fresh])
             base = len(known)
@@ -190,12 +204,24 @@ class Encoder:
             self.starts = np.append(self.starts, len(self.flat) + np.cumsum(counts) - counts)
             self.counts = np.append(self.counts, counts)
             self.flat = np.concatenate([self.flat, *made])
-        which = np.array([known[p] for one in found for p in one], np.int64)
-        n = self.counts[which]
-        ends = np.cumsum(n)
-        ids = self.flat[np.repeat(self.starts[which] - ends + n, n) + np.arange(n.sum())]
-        bounds = np.append(0, np.cumsum([len(x) for x in found]))
-        return ids, np.append(0, ends)[bounds]
+            self.size += sum(PER_PIECE + 4 * len(p) for p in fresh)
+        which = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+        return self._of(which), self.counts[which]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all texts, and the number of tokens before each text and after the last."""
+        if len(texts) == 1 and len(texts[0]) > AT_ONCE:
+            matches, parts = self.v.pattern.finditer(texts[0]), []
+            while some := [m.group() for m in islice(matches, PIECES_AT_ONCE)]:
+                parts.append(self.tokens(some)[0])
+            ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+            return ids, np.array([0, len(ids)])
+        found, bounds = [], [0]
+        for x in texts:
+            found += self.v.pattern.findall(x)
+            bounds.append(len(found))
+        ids, counts = self.tokens(found)
+        return ids, np.append(0, np.cumsum(counts))[bounds]
 
 
 @lru_cache(maxsize=2)
@@ -203,30 +229,49 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)
 
 
-def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", tokens: str = "tokens") -> DataFrame:
-    """docs with an array<int> column `tokens` in place of `text`: each match of pattern encoded by itself by the ranks in the file at path.
-
-    No special tokens; a null or empty text has no tokens. One pass without a shuffle; every other
-    column is kept. path is read where the tasks run.
-    """
-    rest = [c for c in docs.columns if c not in (text, tokens)]
-    schema = docs.select(*rest).schema.add(tokens, T.ArrayType(T.IntegerType()))
+def _encoded(docs: DataFrame, path: str, pattern: str, text: str, new: list[T.StructField], columns: Callable[[Vocabulary, np.ndarray, np.ndarray], list[pa.Array]]) -> DataFrame:
+    """docs with new columns, made of the tokens of its texts and each text's bounds among them, in place of `text`."""
+    rest = [c for c in docs.columns if c not in (text, *(f.name for f in new))]
+    names = [*rest, *(f.name for f in new)]
+    schema = docs.select(*map(quoted, rest)).schema
+    for f in new:
+        schema = schema.add(f)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary(path, pattern))
+        v = vocabulary(path, pattern)
+        encoder = Encoder(v)
         for batch in batches:
             for piece in pieces(batch, "__text", AT_ONCE):
                 ids, bounds = encoder.encode([x or "" for x in piece.column(piece.num_columns - 1).to_pylist()])
-                column = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], column], [*rest, tokens])
+                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], *columns(v, ids, bounds)], names)
+
+    return docs.select(*map(quoted, rest), F.col(quoted(text)).alias("__text")).mapInArrow(run, schema)
+
 
-    return docs.select(*rest, F.col(text).alias("__text")).mapInArrow(run, schema)
+def _lists(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
+
+
+def _bytes(v: Vocabulary, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """The bytes of each text's tokens."""
+    data, ends = v.decode(ids.astype(np.int64))
+    cut, raw = ends[bounds].tolist(), data.tobytes()
+    return [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+
+
+def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", tokens: str = "tokens") -> DataFrame:
+    """docs with an array<int> column `tokens` in place of `text`: each match of pattern encoded by itself by the ranks in the file at path.
+
+    No special tokens; a null or empty text has no tokens. One pass without a shuffle; every other
+    column is kept, a column named like `tokens` is replaced, repeated rows stay. path is read where the tasks run.
+    """
+    return _encoded(docs, path, pattern, text, [T.StructField(tokens, T.ArrayType(T.IntegerType()))], lambda v, ids, bounds: [_lists(ids, bounds)])
 
 
 def bpe_decode(encoded: DataFrame, path: str, pattern: str, tokens: str = "tokens", out: str = "bytes") -> DataFrame:
-    """encoded with a binary column `out`: the bytes of its tokens (null or empty: no bytes). Other columns are kept."""
+    """encoded with a binary column `out`: the bytes of its tokens (null or empty: no bytes). Other columns are kept, one named like `out` is replaced."""
     rest = [c for c in encoded.columns if c != out]
-    schema = encoded.select(*rest).schema.add(out, "binary")
+    schema = encoded.select(*map(quoted, rest)).schema.add(out, "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern)
@@ -235,15 +280,36 @@ def bpe_decode(encoded: DataFrame, path: str, pattern: str, tokens: str = "token
                 part = batch.slice(k, 256)
                 column = part.column(rest.index(tokens))
                 counts = np.array([0 if x is None else x for x in column.value_lengths().to_pylist()], np.int64)
-                data, ends = v.decode(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
-                cut = ends[np.append(0, np.cumsum(counts))].tolist()
-                raw = data.tobytes()
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([raw[a:b] for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], [*rest, out])
+                found = _bytes(v, column.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(counts)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], [*rest, out])
 
-    return encoded.select(*rest).mapInArrow(run, schema)
+    return encoded.select(*map(quoted, rest)).mapInArrow(run, schema)
+
+
+def bpe_round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", tokens: str = "tokens", out: str = "bytes") -> DataFrame:
+    """bpe_decode of bpe_encode in one pass of one worker: docs with `tokens` and `out`, the bytes decoded from them, in place of `text`."""
+    new = [T.StructField(tokens, T.ArrayType(T.IntegerType())), T.StructField(out, T.BinaryType())]
+    return _encoded(docs, path, pattern, text, new, lambda v, ids, bounds: [_lists(ids, bounds), pa.array(_bytes(v, ids, bounds), pa.binary())])
+
+
+def tokenised(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """docs with `tokens`, `n_tokens` (long) and, in place, the text decoded from the tokens.
+
+    A null text stays null and has no tokens, an empty one stays empty; repeated rows stay. All other columns are
+    kept, whatever their names, but for columns named tokens or n_tokens, which are replaced.
+    """
+    rest = [c for c in docs.columns if c not in ("text", "tokens", "n_tokens")]
+    whole = docs.select(F.struct(*(F.col(quoted(c)) for c in rest), F.isnull("text").alias("__null")).alias("__row"), "text")
+    found = bpe_round_trip(whole, path, pattern)
+    text = F.when(~F.col("__row.__null"), F.decode("bytes", "UTF-8")).alias("text")
+    order = [text if c == "text" else F.col("__row").getField(c).alias(c) for c in docs.columns if c not in ("tokens", "n_tokens")]
+    return found.select(*order, "tokens", F.size("tokens").cast("long").alias("n_tokens"))
 
 
 def bpe_report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row of docs: encoded, then decoded from the tokens."""
-    both = bpe_decode(bpe_encode(docs.select("doc_id", "text"), path, pattern), path, pattern)
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row of docs: encoded, then decoded from the tokens.
+
+    A null text is empty: no tokens, digests of no bytes. Repeated rows give a row each; other columns are not read.
+    """
+    both = bpe_round_trip(docs.select("doc_id", "text"), path, pattern)
     return both.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("tokens").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from remembra.llm._graph import join_hot
-from remembra.llm._store import remove, stored, workspace
+from remembra.llm._store import file_system, remove, stored, workspace
 
 #: Payload bytes of one range of records, compressed bytes after which a file is rolled, and least payload that is revisited.
 RANGE_BYTES, ROLL_BYTES, LEAST_REVISIT = 16 << 20, 32 << 20, 1000
@@ -30,12 +30,6 @@ DATE = "1970-01-01T00:00:00Z"
 MANIFEST = "temporary string, name string, records long, bytes long, sha1 string"
 
 
-def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri[5:]
-    return pafs.FileSystem.from_uri(uri)
-
-
 def _b32(digest: bytes) -> str:
     return "sha1:" + base64.b32encode(digest).decode()
 
@@ -71,7 +65,7 @@ class _File:
     """A file under a temporary name that no other attempt of the task uses."""
 
     def __init__(self, folder: str, name: str):
-        self.fs, at = _fs(folder)
+        self.fs, at = file_system(folder)
         self.name, self.temporary = name, f"tmp/{uuid.uuid4().hex}"
         self.out, self.bytes, self.records, self.sha1 = self.fs.open_output_stream(f"{at}/{self.temporary}", compression=None), 0, 0, hashlib.sha1()
         self.put(record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", _urn(name)), ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
@@ -121,7 +115,7 @@ def _write(folder: str, roll: int):
 
 def _commit(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, at = _fs(folder)
+        fs, at = file_system(folder)
         for batch in batches:
             for temporary, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if fs.get_file_info(f"{at}/{temporary}").type != pafs.FileType.NotFound:  # else an earlier attempt has moved it
@@ -161,7 +155,7 @@ def write_warc(pages: DataFrame, folder: str, roll: int = ROLL_BYTES) -> DataFra
     equal = stored(equal, f"{folder}/equal")
     decisions = join_hot(ids.select("page_id", "digest"), equal, "digest", count).select("page_id", "digest", F.lit(0).alias("kind"), "top", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html")).distinct()
     both = rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("digest"), F.lit(1).alias("kind"), F.lit(None).cast(ids.schema["page_id"].dataType).alias("top"), "url", "html").union(decisions)
-    fs, at = _fs(folder)
+    fs, at = file_system(folder)
     fs.create_dir(f"{at}/tmp", recursive=True)
     fs.create_dir(f"{at}/data", recursive=True)
     ordered = both.withColumn("bucket", bucket).join(F.broadcast(shards), "bucket").select("shard", "page_id", "digest", "kind", "top", "url", "html")
@@ -211,7 +205,7 @@ def _read(folder: str, payload: bool):
         return (number("X-Page-Id"), headers.get("WARC-Target-URI"), headers["WARC-Type"], number("X-Refers-To-Page"), size, digest.hex()) + (body,) * payload
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, at = _fs(folder)
+        fs, at = file_system(folder)
         schema = pa.schema([(n, pa.int64() if k == "long" else pa.string()) for n, k in map(str.split, READ.split(", "))] + [("payload", pa.binary())] * payload)
         for batch in batches:
             for name, count in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
