@@ -52,8 +52,7 @@ def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_substrings(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+    return dedup_substrings(_table(spark, sf_dir, "documents"), digest=True)
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
