@@ -7,7 +7,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -49,22 +50,28 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 @contextmanager
-def tidy(spark: SparkSession) -> Iterator[None]:
-    """Spark removes the shuffle files of what is executed in here as soon as it is over, not when the driver's garbage is collected."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def tidy(spark: SparkSession, records: int | None = None) -> Iterator[None]:
+    """Spark removes the shuffle files of what is executed in here as soon as it is over, not when the driver's garbage is collected.
+
+    records: rows that go to Python at once, for those that hold megabytes each; by default Spark sends thousands.
+    """
+    settings = {_CLEANUP: "true"} | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(records)} if records else {})
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """Write df as Parquet and read it back: lineage ends there, and no executor's loss can undo it."""
-    with tidy(df.sparkSession):
+def stored(df: DataFrame, path: str, records: int | None = None) -> DataFrame:
+    """Write df as Parquet and read it back: lineage ends there, and no executor's loss can undo it. records: see tidy."""
+    with tidy(df.sparkSession, records):
         df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -72,3 +79,13 @@ def stored(df: DataFrame, path: str) -> DataFrame:
 def quoted(name: str) -> str:
     """A column's name as Spark's expressions have it: whatever it holds, dots too."""
     return "`" + name.replace("`", "``") + "`"
+
+
+def held(names: list[str]) -> Column:
+    """A struct of columns, so that they pass through Python whatever their names; see released."""
+    return (F.struct(*(F.col(quoted(c)) for c in names)) if names else F.struct(F.lit(True).alias("none"))).alias("__row")
+
+
+def released(names: list[str]) -> list[Column]:
+    """The columns of held, by themselves."""
+    return [F.col("__row").getField(c).alias(c) for c in names]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from remembra.llm._bytes import pieces
-from remembra.llm._store import quoted
+from remembra.llm._store import held, quoted, released
 
 #: Longest piece, in bytes, that goes through a matrix; each longer one is merged by a heap of its own.
 LONGEST = 256
@@ -232,8 +232,8 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 def _encoded(docs: DataFrame, path: str, pattern: str, text: str, new: list[T.StructField], columns: Callable[[Vocabulary, np.ndarray, np.ndarray], list[pa.Array]]) -> DataFrame:
     """docs with new columns, made of the tokens of its texts and each text's bounds among them, in place of `text`."""
     rest = [c for c in docs.columns if c not in (text, *(f.name for f in new))]
-    names = [*rest, *(f.name for f in new)]
-    schema = docs.select(*map(quoted, rest)).schema
+    rows = docs.select(held(rest), F.col(quoted(text)).alias("__text"))
+    schema = rows.select("__row").schema
     for f in new:
         schema = schema.add(f)
 
@@ -243,9 +243,9 @@ def _encoded(docs: DataFrame, path: str, pattern: str, text: str, new: list[T.St
         for batch in batches:
             for piece in pieces(batch, "__text", AT_ONCE):
                 ids, bounds = encoder.encode([x or "" for x in piece.column(piece.num_columns - 1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], *columns(v, ids, bounds)], names)
+                yield pa.RecordBatch.from_arrays([piece.column(0), *columns(v, ids, bounds)], ["__row", *(f.name for f in new)])
 
-    return docs.select(*map(quoted, rest), F.col(quoted(text)).alias("__text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*released(rest), *(quoted(f.name) for f in new))
 
 
 def _lists(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -271,19 +271,20 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", tok
 def bpe_decode(encoded: DataFrame, path: str, pattern: str, tokens: str = "tokens", out: str = "bytes") -> DataFrame:
     """encoded with a binary column `out`: the bytes of its tokens (null or empty: no bytes). Other columns are kept, one named like `out` is replaced."""
     rest = [c for c in encoded.columns if c != out]
-    schema = encoded.select(*map(quoted, rest)).schema.add(out, "binary")
+    rows = encoded.select(held(rest), F.col(quoted(tokens)).alias("__tokens"))
+    schema = rows.select("__row").schema.add(out, "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                column = part.column(rest.index(tokens))
+                column = part.column(1)
                 counts = np.array([0 if x is None else x for x in column.value_lengths().to_pylist()], np.int64)
                 found = _bytes(v, column.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(counts)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], [*rest, out])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["__row", out])
 
-    return encoded.select(*map(quoted, rest)).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*released(rest), quoted(out))
 
 
 def bpe_round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", tokens: str = "tokens", out: str = "bytes") -> DataFrame:
@@ -299,10 +300,9 @@ def tokenised(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     kept, whatever their names, but for columns named tokens or n_tokens, which are replaced.
     """
     rest = [c for c in docs.columns if c not in ("text", "tokens", "n_tokens")]
-    whole = docs.select(F.struct(*(F.col(quoted(c)) for c in rest), F.isnull("text").alias("__null")).alias("__row"), "text")
-    found = bpe_round_trip(whole, path, pattern)
-    text = F.when(~F.col("__row.__null"), F.decode("bytes", "UTF-8")).alias("text")
-    order = [text if c == "text" else F.col("__row").getField(c).alias(c) for c in docs.columns if c not in ("tokens", "n_tokens")]
+    found = bpe_round_trip(docs.select(held(rest), F.isnull("text").alias("null"), "text"), path, pattern)
+    text = F.when(~F.col("null"), F.decode("bytes", "UTF-8")).alias("text")
+    order = [text if c == "text" else released([c])[0] for c in docs.columns if c not in ("tokens", "n_tokens")]
     return found.select(*order, "tokens", F.size("tokens").cast("long").alias("n_tokens"))
 
 
