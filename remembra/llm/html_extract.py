@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,14 +12,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from remembra.llm._bytes import pieces
+from remembra.llm._store import held, quoted, released
 
 # How elements are treated.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "xmp", "noembed", "noframes")
+#: Their content is no markup; it ends at their end tag.
+RAW = frozenset("script style noscript template textarea iframe title xmp noembed noframes".split())
+#: Without an end tag, these run to the end of the page; the other raw ones are empty then.
+UNENDED = frozenset("script style xmp".split())
 #: Never part of the text.
-SKIPPED = frozenset("head nav footer aside form button select option dialog menu canvas audio video object map label fieldset".split()) | frozenset(RAW)
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr img nobr".split())
+SKIPPED = frozenset("head nav footer aside form button select option optgroup datalist dialog menu canvas audio video svg math".split()) | RAW
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label map mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr img nobr svg math".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A start tag of one of these ends an open svg or math element.
+BREAKOUT = frozenset("article blockquote body br center dd div dl dt figure footer h1 h2 h3 h4 h5 h6 head header hr img li main menu nav ol p pre section table ul".split())
 #: A new one ends an open one of the same row, up to the elements after it.
 ENDS = {
     "li": (("li",), ("ul", "ol")),
@@ -37,41 +44,97 @@ KEPT_ANYWAY = frozenset("html body article main".split())
 #: looked for again with the first for all, then without the marks.
 MAJOR, MINOR, PERHAPS, NEARLY_EMPTY = 0.5, 0.2, frozenset("article body content entry main post story text".split()), 140
 
-#: Least length of a block that scores, characters for one point of length and the most such points, and link density from which a block is a menu.
-LEAST, PER_POINT, MOST_POINTS, MENU = 25, 100, 3, 0.5
+#: Least length of a block that scores, characters for one point of length and the most such points, link density from which a
+#: block has no points, and ancestors that get points.
+LEAST, PER_POINT, MOST_POINTS, MENU, LEVELS = 25, 100, 3, 0.5, 6
 #: Siblings of the best container are kept from this share of its score, or as paragraphs of this length with few links.
 SIBLING, SIBLING_LENGTH, SIBLING_LINKS = 0.2, 80, 0.25
+#: A list within the article, or a block of text that is no paragraph, goes as a menu if so much of it is links, of so few
+#: characters each on average, two at least.
+LIST_LINKS, LINK_LENGTH = 0.8, 60
+LISTS, PARAGRAPHS = frozenset("ul ol dl table".split()), frozenset("p pre li dt dd td th blockquote figcaption caption".split()) | HEADINGS
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?][^>]*>", re.S | re.I)
-_NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+# Quotes hold a > only after an equals sign; possessive, so a tag is gone through once. The second is for what is left of a page in which
+# a tag never ends by the first.
+_TAG = re.compile(r"<(/)?([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>", re.A)
+_LOOSE = re.compile(r"<(/)?([a-zA-Z][^\s/>]*+)([^>]*+)>", re.A)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?", re.A)
+_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>", re.A | re.I) for t in RAW}
+_NONE = re.compile(r"display\s*+:\s*+none", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
 class _Block:
-    __slots__ = ("node", "parts", "linked", "text", "links")
+    __slots__ = ("node", "parts", "linked", "text", "links", "n_links", "link")
 
     def __init__(self, node: int):
-        self.node, self.parts, self.linked = node, [], []
+        self.node, self.parts, self.linked, self.n_links, self.link = node, [], [], 0, 0
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """Start and end of each piece of markup, whether it is an end tag, its name (none for comments and the like) and its attributes.
+
+    A raw element is one piece with its content. Each character is gone through a fixed number of times: what
+    has been looked for in vain is not looked for again.
+    """
+    pattern, unended, i = _TAG, set(), page.find("<")
+    while i >= 0:
+        m = pattern.match(page, i)
+        if m is None and pattern is _TAG and page[i + 1 : i + 2].isalpha():
+            pattern = _LOOSE
+            m = pattern.match(page, i)
+        if m is not None:
+            name, end = m[2].lower(), m.end()
+            if name in RAW and not m[1] and name not in unended:
+                close = _END[name].search(page, end)
+                if close is not None:
+                    end = close.end()
+                else:
+                    unended.add(name)
+                    if name in UNENDED:
+                        end = len(page)
+            yield i, end, m[1] is not None, name, m[3]
+        elif page.startswith("<!--", i):
+            end = i + 4
+            if not page.startswith((">", "->"), end):
+                end = page.find("-->", end) + 3
+            else:
+                end = page.find(">", end) + 1
+            end = end if end > i + 4 else len(page)
+            yield i, end, False, "", ""
+        elif page.startswith(("<!", "<?", "</"), i):
+            end = page.find(">", i) + 1 or len(page)
+            yield i, end, False, "", ""
+        elif page[i + 1 : i + 2].isascii() and page[i + 1 : i + 2].isalpha():
+            yield i, len(page), False, "", ""  # a tag that the page's end cuts off
+            return
+        else:
+            end = i + 1
+        i = page.find("<", end)
 
 
 def parse(page: str) -> tuple[list[int], list[str], list[_Block], dict[int, float]]:
-    """Parent and tag of every element that stands outside skipped parts, the text blocks in page order, and the marked
+    """Parent and tag of every element, the text blocks outside skipped parts in page order, and the marked
     elements with the share from which they stay."""
     parents, tags, blocks, marked = [-1], ["#"], [], {}
-    stack: list[tuple[int, str, bool]] = [(0, "#", False)]  # element, tag, whether it is skipped
-    skipped = links = 0
+    # element, tag, whether it is skipped, the nearest element around its text that is not inline
+    stack: list[tuple[int, str, bool, int]] = [(0, "#", False, 0)]
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # places in the stack of the open elements of each tag
+    skipped = 0
     block: _Block | None = None
     at = 0
 
     def pop() -> None:
-        nonlocal skipped, links, block
-        _, tag, skip = stack.pop()
+        nonlocal skipped, block
+        _, tag, skip, _ = stack.pop()
+        opened[tag].pop()
         skipped -= skip
-        links -= tag == "a"
         if tag not in INLINE:
             block = None
 
+    def last(names: tuple[str, ...]) -> int:
+        return max((opened[n][-1] for n in names if opened[n]), default=0)
+
     def text(piece: str) -> None:
         nonlocal block
         if skipped or not piece:
@@ -79,101 +142,114 @@ def parse(page: str) -> tuple[list[int], list[str], list[_Block], dict[int, floa
         if block is None:
             if not piece.strip():
                 return
-            block = _Block(next(node for node, tag, _ in reversed(stack) if tag not in INLINE))
+            block = _Block(stack[-1][3])
             blocks.append(block)
         piece = html.unescape(piece) if "&" in piece else piece
         block.parts.append(piece)
-        if links:
+        if opened["a"]:
             block.linked.append(piece)
+            link = stack[opened["a"][-1]][0]
+            block.n_links += link != block.link
+            block.link = link
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
+    for start, end, close, tag, rest in _tags(page):
+        if start > at:
+            text(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = tag.lower()
-        if m["close"]:
+        if close:
             if tag == "br":
                 text(" ")
-            elif any(t == tag for _, t, _ in stack):
-                while stack[-1][1] != tag:
+            elif opened[tag]:
+                to = opened[tag][-1]
+                while len(stack) > to:
                     pop()
-                pop()
             elif tag not in INLINE:
                 block = None
             continue
+        foreign = last(("svg", "math"))
+        if foreign and tag in BREAKOUT and not opened["foreignobject"]:
+            while len(stack) > foreign:
+                pop()
         if tag == "br" or tag == "wbr" or tag == "img":
             if block is not None and tag == "br":
                 text(" ")
             continue
-        if tag not in INLINE:
+        if tag not in INLINE and not skipped:
             block = None
-            over = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][1] == "p"), 0)
+        if tag not in INLINE:
+            over = last(("p",))
             if over:  # block elements end an open paragraph
                 while len(stack) > over:
                     pop()
             if tag in ENDS:
                 those, until = ENDS[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][1] in until:
-                        break
-                    if stack[k][1] in those:
-                        while len(stack) > k:
-                            pop()
-                        break
-        if tag in VOID or m["rest"].endswith("/") and tag in INLINE:
+                over = last(those)
+                if over > last(until):
+                    while len(stack) > over:
+                        pop()
+        if tag in VOID or tag in RAW or rest.endswith("/") and (tag in INLINE or foreign):
             continue
-        rest = m["rest"]
         skip = tag in SKIPPED
-        if rest and not skip and tag not in ("html", "body"):
-            values = [x for g in _NAMED.findall(rest) for x in "".join(g).lower().split()]
+        if rest and not skip and not skipped and tag not in ("html", "body"):
+            values, hidden = [], False
+            for name, a, b, c in _ATTRIBUTE.findall(rest):
+                name, value = name.lower(), a or b or c
+                if name in ("class", "id", "role"):
+                    values += html.unescape(value).lower().split()
+                elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _NONE.search(value):
+                    hidden = True
             names = {w for x in values for w in _WORD.findall(x)}
             outside = not names.isdisjoint(OUTSIDE)
-            skip = tag not in KEPT_ANYWAY and (outside and tag in INLINE or _HIDDEN.search(rest) is not None)
-            if outside and not skip:
+            # the spans of a program's listing are often marked as its comments
+            skip = tag not in KEPT_ANYWAY and (hidden or outside and tag in INLINE and not opened["pre"] and not opened["code"])
+            if outside and not skip and tag not in INLINE:
                 marked[len(tags)] = MINOR if not names.isdisjoint(PERHAPS) else MAJOR if OUTSIDE.isdisjoint(values) else 2.0
-        if tag == "header" and not any(t in ("article", "main") for _, t, _ in stack):
+        if tag == "header" and not opened["article"] and not opened["main"]:
             skip = True
-        if skip:
-            block = None if tag not in INLINE else block
+        if skip and tag not in INLINE:
+            block = None
         parents.append(stack[-1][0])
         tags.append(tag)
-        stack.append((len(tags) - 1, tag, skip))
+        opened[tag].append(len(stack))
+        stack.append((len(tags) - 1, tag, skip, stack[-1][3] if tag in INLINE else len(tags) - 1))
         skipped += skip
-        links += tag == "a"
-    if at < len(page):
-        rest = page[at:]
-        text(rest if not re.match(r"<[a-zA-Z/!?]", rest) else "")
+    text(page[at:])
     for b in blocks:
         b.text, b.links = " ".join("".join(b.parts).split()), len(" ".join("".join(b.linked).split()))
     return parents, tags, [b for b in blocks if b.text], marked
 
 
-def _outside(parents: list[int], tags: list[str], blocks: list[_Block], marked: dict[int, float]) -> set[int]:
-    """The marked elements that go, with all that they hold."""
-    unlinked, total = [0] * len(tags), 0
+def _up(parents: list[int], values: list[int]) -> list[int]:
+    """Each element's value and those of all elements in it; a parent comes before its children."""
+    out = values.copy()
+    for k in range(len(parents) - 1, 0, -1):
+        out[parents[k]] += out[k]
+    return out
+
+
+def _pays(b: _Block, tags: list[str]) -> bool:
+    """Whether a block has points: prose, by its length and links."""
+    return len(b.text) >= LEAST and b.links <= MENU * len(b.text) and tags[b.node] not in HEADINGS
+
+
+def _outside(parents: list[int], tags: list[str], blocks: list[_Block], marked: dict[int, float]) -> list[bool]:
+    """Whether each element goes: marked ones without much of the text, and all in them."""
+    own = [0] * len(tags)
     for b in blocks:
-        if len(b.text) >= LEAST and b.links <= MENU * len(b.text) and tags[b.node] not in HEADINGS:
-            total += len(b.text) - b.links
-            node = b.node
-            while node >= 0:
-                unlinked[node] += len(b.text) - b.links
-                node = parents[node]
-    least = dict(marked)
-    for k, tag in enumerate(tags):
-        # comments are often articles, but marked ones
-        if tag in ("article", "main") and k not in marked and unlinked[k] >= MINOR * total:
-            node = parents[k]
-            while node >= 0:
-                if node in least:
-                    least[node] = 0.0
-                node = parents[node]
-    gone: set[int] = set()
+        if _pays(b, tags):
+            own[b.node] += len(b.text) - b.links
+    unlinked = _up(parents, own)
+    total = unlinked[0]
+    # comments are often articles, but marked ones
+    holds = [t in ("article", "main") and k not in marked and unlinked[k] >= MINOR * total for k, t in enumerate(tags)]
+    for k in range(len(tags) - 1, 0, -1):
+        holds[parents[k]] |= holds[k]
+    gone = [False] * len(tags)
     for k in range(1, len(tags)):
-        if parents[k] in gone or k in least and tags[k] not in KEPT_ANYWAY and (not total or unlinked[k] < least[k] * total):
-            gone.add(k)
+        least = marked.get(k)
+        gone[k] = gone[parents[k]] or least is not None and tags[k] not in KEPT_ANYWAY and not holds[k] and (not total or unlinked[k] < least * total)
     return gone
 
 
@@ -182,9 +258,9 @@ def main_text(page: str | None) -> str:
 
     Every block of LEAST characters or more has a point, one for each comma, and up to MOST_POINTS for its length;
     its parent gets all of them, the grandparent half, each further ancestor a third of its child's
-    divisor less. A container's score is discounted by the share of its text that is in links. The best
-    container is kept with those siblings that score well or read like paragraphs; menus within,
-    told by their links, go. Parts of the page that class, id or role mark as no article go before that; see _outside.
+    divisor less, up to LEVELS. A container's score is discounted by the share of its text that is in links. The best
+    container is kept with those siblings that score well or read like paragraphs; lists within that are but
+    short links go. Parts of the page that class, id or role mark as no article go before that; see _outside.
     """
     if not page:
         return ""
@@ -192,7 +268,7 @@ def main_text(page: str | None) -> str:
     text = ""
     for marks in (marked, {k: min(v, MAJOR) for k, v in marked.items()}, {}) if marked else ({},):
         gone = _outside(parents, tags, blocks, marks)
-        again = _article(parents, tags, [b for b in blocks if b.node not in gone])
+        again = _article(parents, tags, [b for b in blocks if not gone[b.node]])
         if not text or len(again) > max(2 * len(text), NEARLY_EMPTY):
             text = again
         if len(text) >= NEARLY_EMPTY:
@@ -202,24 +278,22 @@ def main_text(page: str | None) -> str:
 
 def _article(parents: list[int], tags: list[str], blocks: list[_Block]) -> str:
     scores: dict[int, float] = {}
-    lengths = [0] * len(tags)
-    linked = [0] * len(tags)
+    lengths, linked, links, prose = ([0] * len(tags) for _ in range(4))
     for b in blocks:
-        node = b.node
-        while node >= 0:
-            lengths[node] += len(b.text)
-            linked[node] += b.links
-            node = parents[node]
-        if len(b.text) < LEAST or b.links > MENU * len(b.text) or tags[b.node] in HEADINGS:
+        lengths[b.node] += len(b.text)
+        linked[b.node] += b.links
+        links[b.node] += b.n_links
+        if not _pays(b, tags):
             continue
+        prose[b.node] += len(b.text) - b.links
         points = 1 + sum(b.text.count(c) for c in ",，、،") + min(len(b.text) / PER_POINT, MOST_POINTS)
         # text that stands in a container itself counts for that container
-        node, level = (parents[b.node] if tags[b.node] in ("p", "pre", "td", "blockquote", "li", "dd") else b.node), 0
-        while node > 0:
-            scores[node] = scores.get(node, 0.0) + points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            node, level = parents[node], level + 1
-        if not level:
-            scores[0] = scores.get(0, 0.0) + points
+        node = parents[b.node] if tags[b.node] in ("p", "pre", "td", "blockquote", "li", "dd") else b.node
+        for level in range(LEVELS):
+            if node > 0 or not level:
+                scores[node] = scores.get(node, 0.0) + points / (1 if level == 0 else 2 if level == 1 else 3 * level)
+            node = parents[node] if node > 0 else 0
+    lengths, linked, links, prose = (_up(parents, x) for x in (lengths, linked, links, prose))
     if scores:
         final = {n: s * (1 - linked[n] / max(1, lengths[n])) for n, s in scores.items()}
         best = max(final, key=lambda n: (final[n], -n))
@@ -234,38 +308,39 @@ def _article(parents: list[int], tags: list[str], blocks: list[_Block]) -> str:
     else:
         best = next((k for k, t in enumerate(tags) if t in ("article", "main")), 0)
         final = {best: 0.0}
-    kept = {best}
-    if best and tags[best] not in ("article", "main", "body", "html"):
+    kept = [k == best for k in range(len(tags))]
+    if best and tags[best] not in ("main", "body", "html"):
         for node in range(1, len(tags)):
             if parents[node] != parents[best] or node == best:
                 continue
-            density = linked[node] / max(1, lengths[node])
-            if final.get(node, 0.0) >= max(10.0, SIBLING * final[best]) or tags[node] == "p" and lengths[node] >= SIBLING_LENGTH and density < SIBLING_LINKS:
-                kept.add(node)
-
-    def inside(node: int) -> bool:
-        while node >= 0:
-            if node in kept:
-                return True
-            node = parents[node]
-        return False
-
-    return "\n".join(b.text for b in blocks if inside(b.node) and (b.links <= MENU * len(b.text) or tags[b.node] in HEADINGS))
+            few = linked[node] < SIBLING_LINKS * lengths[node]
+            if tags[best] == "article":  # parts of one article, or another's teaser
+                good = tags[node] in ("article", "section") and few and prose[node] >= max(SIBLING * prose[best], NEARLY_EMPTY)
+            else:
+                good = final.get(node, 0.0) >= max(10.0, SIBLING * final[best]) or tags[node] == "p" and lengths[node] >= SIBLING_LENGTH and few
+            kept[node] = kept[node] or good
+    short = lambda part, whole, n: n > 1 and part > LIST_LINKS * whole and part < LINK_LENGTH * n
+    menu = [t in LISTS and short(linked[k], lengths[k], links[k]) for k, t in enumerate(tags)]
+    for k in range(1, len(tags)):
+        kept[k] = kept[k] or kept[parents[k]]
+        menu[k] = menu[k] or menu[parents[k]]
+    return "\n".join(b.text for b in blocks if kept[b.node] and not menu[b.node] and (tags[b.node] in PARAGRAPHS or not short(b.links, len(b.text), b.n_links)))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch, "__html"):
             texts = [main_text(x) for x in piece.column(piece.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], [*piece.schema.names[:-1], "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["__row", "text", "n_chars"])
 
 
 def extract_main_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages with `text` and `n_chars` (its code points) in place of the html; see main_text.
 
-    A null, empty or contentless html gives an empty text. One pass without a shuffle; repeated rows
-    stay, other columns are kept, but for columns named text or n_chars, which are replaced.
+    A null, empty or contentless html gives an empty text. One pass without a shuffle, of time and memory in proportion to a
+    page's length; repeated rows stay, other columns are kept, but for columns named text or n_chars, which are replaced.
     """
     rest = [c for c in pages.columns if c not in (html, "text", "n_chars")]
-    schema = pages.select(*rest).schema.add("text", "string").add("n_chars", "long")
-    return pages.select(*rest, F.col(html).alias("__html")).mapInArrow(_extract, schema)
+    rows = pages.select(held(rest), F.col(quoted(html)).alias("__html"))
+    found = rows.mapInArrow(_extract, rows.select("__row").schema.add("text", "string").add("n_chars", "long"))
+    return found.select(*released(rest), "text", "n_chars")

@@ -1,3 +1,7 @@
+import random
+import time
+from html.parser import HTMLParser
+
 from remembra.llm.html_extract import extract_main_text, main_text
 
 LONG = "A paragraph that goes on for a while, with commas, and words enough to count as prose, really."
@@ -19,20 +23,172 @@ def test_no_article_element():
 
 def test_odd_pages(spark):
     cases = [None, "", "   ", "plain text, no tags", "<p>unclosed", "<", "<p", "</p></div>", "<div>" * 3000 + LONG, "<script>never closed", "a < b & c", "<p>x</p>" * 5000]
-    rows = [(i, f"u{i}", h, "t", 5) for i, h in enumerate(cases)] + [(3, "u3", cases[3], "t", 5)]
-    got = {r.page_id: r for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")).collect()}
-    assert len(got) == len(cases)
+    rows = [(i, f"u{i}", h, "t", 5, 6) for i, h in enumerate(cases)] + [(3, "u3", cases[3], "t", 5, 6)]
+    got = {r.page_id: r for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int, `a.b` int")).collect()}
+    assert len(got) == len(cases) and got[3]["a.b"] == 6
     assert [got[k].text for k in (0, 1, 2)] == ["", "", ""]
-    assert got[3].text == "plain text, no tags" and got[4].text == "unclosed" and got[8].text == LONG and got[9].text == ""
+    assert got[3].text == "plain text, no tags" and got[4].text == "unclosed" and got[8].text == LONG and got[9].text == "" and got[10].text == "a < b & c"
     assert got[11].n_chars == 5000 * 2 - 1 and all(r.n_chars == len(r.text) for r in got.values())
     assert extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
 def test_layout_wrappers_named_like_outside_parts():
     body = f"<p>{LONG}</p><p>{LONG} again</p>"
-    for wrap in ("class='elementor-widget elementor-widget-theme-post-content'", "id=content-sidebar-wrap", 'class="layout has-sidebar"', "class='post-content no-comments'", "class='article-body with-share'", "class=widget"):
+    for wrap in ("class='elementor-widget elementor-widget-theme-post-content'", "id=content-sidebar-wrap", 'class="layout has-sidebar"', "class='post-content no-comments'", "class='article-body with-share'", "class=widget", 'class="post has-tags"', "class='social tags form banner notice'"):
         assert main_text(f"<body><div {wrap}>{body}</div></body>") == f"{LONG}\n{LONG} again", wrap
         rest = f"<div class='sidebar'><p>{LONG} aside</p></div><div id='comments'><article class='comment-body'><p>{LONG} said</p></article></div>"
-        assert main_text(f"<body><div {wrap}>{body}{rest}</div></body>") == f"{LONG}\n{LONG} again", wrap
+        if "social" not in wrap:
+            assert main_text(f"<body><div {wrap}>{body}{rest}</div></body>") == f"{LONG}\n{LONG} again", wrap
         assert main_text(f"<body><div {wrap}><article>{body}</article>{rest}</div></body>") == f"{LONG}\n{LONG} again", wrap
     assert main_text(f"<body><div class=layout>{body}</div><div class=comments>{f'<p>{LONG} no</p>' * 9}</div></body>") == f"{LONG}\n{LONG} again"
+
+
+def test_elements_that_do_not_end():
+    body, want = f"<article><p>{LONG}</p><p>{LONG} again</p></article>", f"{LONG}\n{LONG} again"
+    for before in ('<svg class="i"/>', '<svg><path d="M0 0"/><title>icon</title></svg>', '<svg class="i">', "<title>t", "<iframe src=x>", "<textarea>", "<noscript>", '<svg><g><path d="x">', "<!-->", "<!--->", "<?php x ?>", "</>", '<a title="it"s">', "<a b='>", "<math><mi>x</mi></math>"):
+        assert main_text(f"<html><body>{before}{body}</body></html>") == want, before
+    assert main_text(f"<body>{body}<!-- open <p>{LONG}</p>") == want
+    assert main_text(f'<body><div title="a > b">{body}</div>') == want
+    assert main_text(f"<body>{body}<div title='cut") == want
+
+
+def test_nothing_of_the_article_goes():
+    field = f"<fieldset><legend>Box</legend><label>Name</label> <object>{LONG} held</object></fieldset>"
+    links = '<p><a href="x">a paragraph that is only a link</a></p>'
+    sources = '<ol><li>Author, A. <a href="1">On the title of a longer work</a>, 1999, pages 1 to 20</li><li>Other, B. <a href="2">Second</a>, a book</li></ol>'
+    code = '<pre><code>x = 1 <span class="comment"># a note</span></code></pre>'
+    page = f"<body><article><p>{LONG}</p>{field}{links}{sources}{code}<p>{LONG}</p><ul><li><a>Home</a></li><li><a>News</a></li></ul><div><a>One</a> <a>Two</a> <a>Three</a></div></article></body>"
+    assert main_text(page).split("\n") == [LONG, "Box", "Name", f"{LONG} held", "a paragraph that is only a link", "Author, A. On the title of a longer work, 1999, pages 1 to 20", "Other, B. Second, a book", "x = 1 # a note", LONG]
+    parts = "".join(f"<section><p>{LONG} {k}</p><p>{LONG}</p></section>" for k in range(3))
+    assert main_text(f"<body><div><nav>x</nav>{parts}</div></body>").count(LONG) == 6
+    assert main_text(f"<body><div><article><p>{LONG}</p><p>{LONG}</p></article><article><p>{LONG}</p><p>{LONG} b</p></article></div></body>").count(LONG) == 4
+
+
+def test_time_in_proportion():
+    n = 1 << 20
+    junk = ["<div>x", "<a ", '<a "', "<a b='", '<a =">" ', "<p", "<!--", "<iframe>", "<b><div>", "</div><div>x<p>y", "&", "<a b", "<svg>", "<ul><li>", "<title>", "<", "= ' \" > <a ", "<div class=x >"]
+    for j in junk:
+        page = f"<article><p>{LONG}</p></article>" + j * (n // len(j))
+        began = time.process_time()
+        main_text(page)
+        assert time.process_time() - began < 8, j
+    for j in ('"', "'", "= "):
+        began = time.process_time()
+        main_text("<a " + f"{j} " * n)
+        assert time.process_time() - began < 2, j
+
+
+# ---- the scores again, over a tree of html.parser, each ancestor walked for each block ----
+
+
+class Tree(HTMLParser):
+    def __init__(self, page):
+        super().__init__()
+        self.root = self.at = {"tag": "#", "up": None, "down": [], "n": 0}
+        self.blocks, self.count, self.open = [], 0, None
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in ("a", "b"):
+            self.open = None
+        self.count += 1
+        node = {"tag": tag, "up": self.at, "down": [], "n": self.count}
+        self.at["down"].append(node)
+        self.at = node
+
+    def handle_endtag(self, tag):
+        assert self.at["tag"] == tag
+        self.at = self.at["up"]
+        if tag not in ("a", "b"):
+            self.open = None
+
+    def handle_data(self, data):
+        node, linked = self.at, False
+        while node["tag"] in ("a", "b"):
+            linked |= node["tag"] == "a"
+            node = node["up"]
+        if self.open is None:
+            if not data.strip():
+                return
+            self.open = {"node": node, "text": "", "linked": "", "links": []}
+            self.blocks.append(self.open)
+        self.open["text"] += data
+        if linked:
+            self.open["linked"] += data
+            if not any(x is self.at for x in self.open["links"]):
+                self.open["links"].append(self.at)
+
+
+def above(node):
+    while node is not None:
+        yield node
+        node = node["up"]
+
+
+def brute(page):
+    tree = Tree(page)
+    blocks = [(b["node"], " ".join(b["text"].split()), len(" ".join(b["linked"].split())), len(b["links"])) for b in tree.blocks]
+    nodes = sorted((x for b in blocks for x in above(b[0])), key=lambda x: x["n"])
+    nodes = [x for k, x in enumerate(nodes) if not k or nodes[k - 1] is not x]
+    inside = lambda x: [b for b in blocks if any(y is x for y in above(b[0]))]
+    length, linked, links = lambda x: sum(len(b[1]) for b in inside(x)), lambda x: sum(b[2] for b in inside(x)), lambda x: sum(b[3] for b in inside(x))
+    scores = {}
+    for node, text, n_linked, _ in blocks:
+        if len(text) < 25 or 2 * n_linked > len(text) or node["tag"] in ("h2",):
+            continue
+        points = 1 + text.count(",") + min(len(text) / 100, 3)
+        first = node["up"] if node["tag"] in ("p", "li") else node
+        for level, x in zip(range(6), above(first)):
+            if x["n"] or not level:
+                scores[x["n"]] = scores.get(x["n"], 0) + points / ([1, 2] + [3 * k for k in range(2, 9)])[level]
+    by = {x["n"]: x for x in nodes}
+    if not scores:
+        return None
+    final = {n: s * (1 - linked(by[n]) / max(1, length(by[n]))) for n, s in scores.items()}
+    top = max(final.values())
+    if sum(v > top * (1 - 1e-9) for v in final.values()) > 1:
+        return None  # a tie but for rounding
+    best = max(final, key=final.get)
+    kept = [by[best]]
+    if best:
+        for x in by[best]["up"]["down"]:
+            if x["n"] != best and x["n"] in by:
+                if final.get(x["n"], 0) >= max(10, 0.2 * top) or x["tag"] == "p" and length(x) >= 80 and linked(x) < 0.25 * length(x):
+                    kept.append(x)
+    short = lambda part, whole, n: n > 1 and part > 0.8 * whole and part < 60 * n
+    out = []
+    for node, text, n_linked, n in blocks:
+        ups = list(above(node))
+        if not any(x is k for x in ups for k in kept) or any(x["tag"] == "ul" and short(linked(x), length(x), links(x)) for x in ups):
+            continue
+        if node["tag"] not in ("p", "li", "h2") and short(n_linked, len(text), n):
+            continue
+        out.append(text)
+    return "\n".join(out)
+
+
+def test_scores_against_brute_force():
+    r = random.Random(12)
+    words = ["ja, und", "text", "longer words here", "x", "a sentence, of some length, with commas", LONG]
+
+    def piece(link):
+        t = " ".join(r.choice(words) for _ in range(r.randint(1, 3)))
+        return f"<a>{t}</a> " if link else t + " "
+
+    def node(depth):
+        if depth == 0 or r.random() < 0.25:
+            tag = r.choice(["p", "p", "p", "h2", "div"])
+            return f"<{tag}>" + "".join(piece(r.random() < 0.2) for _ in range(r.randint(1, 4))) + f"</{tag}>"
+        if r.random() < 0.15:
+            return "<ul>" + "".join(f"<li>{piece(r.random() < 0.8)}</li>" for _ in range(r.randint(1, 4))) + "</ul>"
+        tag = r.choice(["div", "section", "div"])
+        return f"<{tag}>" + "".join(node(depth - 1) for _ in range(r.randint(1, 4))) + f"</{tag}>"
+
+    seen = 0
+    for _ in range(400):
+        page = f"<body>{node(r.randint(1, 9))}{node(3)}</body>"
+        want = brute(page)
+        if want is not None and len(want) > 140:
+            assert main_text(page) == want, page
+            seen += 1
+    assert seen > 150
