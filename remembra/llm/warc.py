@@ -8,6 +8,8 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -16,10 +18,12 @@ from pyspark.sql import functions as F
 from remembra.llm._graph import join_hot
 from remembra.llm._store import file_system, remove, stored, workspace
 
-#: Payload bytes of one range of records, compressed bytes after which a file is rolled, and least payload that is revisited.
-RANGE_BYTES, ROLL_BYTES, LEAST_REVISIT = 16 << 20, 32 << 20, 1000
-#: Most steps of page_id by which the ranges are found.
-BUCKETS = 1 << 16
+#: Least payload bytes of one range of records, most ranges, compressed bytes after which a file is rolled, and least payload that is revisited.
+RANGE_BYTES, RANGES, ROLL_BYTES, LEAST_REVISIT = 16 << 20, 1 << 16, 32 << 20, 1000
+#: Steps of page_id that one pass of _ranges counts: at most, and for each range that is to be.
+STEPS, STEPS_A_RANGE = 1 << 17, 16
+#: Stands for a null page_id, which comes first.
+NO_ID = -(1 << 63)
 
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -125,41 +129,114 @@ def _commit(folder: str):
     return run
 
 
+def _counted(low: np.ndarray, high: np.ndarray, step: np.ndarray):
+    """Bytes of each step of the intervals low..high, from rows (id, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, n = (np.asarray(c) for c in batch.columns)
+            at = np.searchsorted(low, ids, "right") - 1
+            mine = (at >= 0) & (ids <= high[at])
+            at, ids, n = at[mine], ids[mine], n[mine]
+            part = (ids.view(np.uint64) - low[at].view(np.uint64)) // step[at]  # of any distance, modulo 2 ** 64
+            keys, which = np.unique(np.stack([at.astype(np.uint64), part]), axis=1, return_inverse=True)
+            sums = np.zeros(keys.shape[1], np.int64)
+            np.add.at(sums, which.ravel(), n)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[0].astype(np.int64)), pa.array(keys[1].astype(np.int64)), pa.array(sums)], ["at", "part", "n"])
+
+    return run
+
+
+def _ranges(ids: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """Cuts of rows (id, digest, n) in that order into ranges of about `size` bytes: where buckets of ids start, the range of each bucket, and
+    for ids that are larger than that by themselves, the range of each piece of an even division of the digests.
+
+    An interval of ids is counted in even steps, and each step that is too large again, until none is but single
+    ids: an outlying id costs a pass, and no more. All follows from the rows. The driver gets STEPS rows a pass.
+    """
+    low, high = ids.agg(F.min("id"), F.max("id")).first()
+    if low is None:
+        return np.array([NO_ID]), np.zeros(1, np.int64), {}
+    steps = min(STEPS, max(64, STEPS_A_RANGE * -(-(ids.agg(F.sum("n")).first()[0] or 0) // size)))
+    open_, done = [(low, high)], []
+    while open_:
+        lows, highs = (np.array(x, np.int64) for x in zip(*open_, strict=True))
+        step = [max(1, -(-(b - a + 1) // max(2, steps // len(open_)))) for a, b in open_]
+        found = ids.select("id", "n").mapInArrow(_counted(lows, highs, np.array(step, np.uint64)), "at long, part long, n long").groupBy("at", "part").agg(F.sum("n").alias("n")).collect()
+        again = []
+        for r in found:
+            a = open_[r.at][0] + r.part * step[r.at]
+            b = min(open_[r.at][1], a + step[r.at] - 1)
+            (again if r.n > size and b > a else done).append((a, b) if r.n > size and b > a else (a, r.n))
+        open_ = sorted(again)
+    done.sort()
+    large = [a for a, n in done if n > size]
+    pieces: dict[int, list[tuple[int, int]]] = {a: [] for a in large}
+    count = max(1, min(1 << 16, steps // max(1, len(large))))
+    if large:
+        # the digests' first four digits, in `count` even pieces
+        piece = F.floor(F.conv(F.substring("digest", 1, 4), 16, 10).cast("long") * count / (1 << 16)).cast("int")
+        some = ids.sparkSession.createDataFrame([(a,) for a in large], "id long")
+        for r in ids.join(F.broadcast(some), "id", "left_semi").groupBy("id", piece.alias("piece")).agg(F.sum("n").alias("n")).collect():
+            pieces[r.id].append((r.piece, r.n))
+    before, ranges, split = 0, [], {}
+    for a, n in done:
+        ranges.append(before // size)
+        if a in pieces:
+            own = np.zeros(count, np.int64)
+            for k, m in pieces[a]:
+                own[k] = m
+            split[a] = (before + np.cumsum(own) - own) // size
+        before += n
+    return np.array([a for a, _ in done], np.int64), np.array(ranges, np.int64), split
+
+
+def _range_of(cuts: tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]):
+    starts, ranges, split = cuts
+
+    def run(ids: pd.Series, digests: pd.Series) -> pd.Series:
+        i = ids.to_numpy(np.int64)
+        out = ranges[np.maximum(np.searchsorted(starts, i, "right") - 1, 0)]
+        for a, own in split.items():
+            at = np.flatnonzero(i == a)
+            if len(at):
+                prefix = np.array([int(d[:4], 16) for d in digests.iloc[at]], np.int64)
+                out[at] = own[prefix * len(own) >> 16]
+        return pd.Series(out.astype(np.int32))
+
+    return run
+
+
 def write_warc(pages: DataFrame, folder: str, roll: int = ROLL_BYTES) -> DataFrame:
     """Write a record for each row of pages (page_id, url, html) under folder/data; returns the manifest.
 
-    Rows are range-sorted by page_id, then payload digest and url; ranges end where about RANGE_BYTES of payload
-    are full, counted over at most BUCKETS equal steps of page_id, and each range's files are rolled at
-    `roll` compressed bytes, so files depend on the rows alone. Of equal payloads of LEAST_REVISIT bytes or more, the one with the largest page_id is a
+    Rows are range-sorted by page_id, then payload digest and url; ranges are cut where about RANGE_BYTES of payload (or the
+    RANGES-th part of all) are full, also within one page_id, each is a task's, and its files are rolled at
+    `roll` compressed bytes. Of equal payloads of LEAST_REVISIT bytes or more, the one with the largest page_id is a
     response (the first of equal rows), the others are revisits that name it; if all their page_ids
-    are null, all are responses. A null html is an empty payload, a null page_id or url has no
-    header. Tasks write under temporary names and report them; the reports of the attempts that
+    are null, all are responses. page_id is an integer. A null html is an empty payload, a null page_id or url has no
+    header; an empty table makes no file. Tasks write under temporary names and report them; the reports of the attempts that
     succeeded are written as folder/manifest, and only its files are moved to their final names, so a lost
     task or a second attempt leaves nothing behind and the archive's bytes depend on the rows alone.
     Other columns are not written.
     """
     spark = pages.sparkSession
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    ids = stored(rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").cast("long").alias("n")), f"{folder}/ids")
-    total, count, low, high = ids.agg(F.sum("n"), F.count("*"), F.min("page_id"), F.max("page_id")).first()
-    ranges = max(1, -(-(total or 0) // RANGE_BYTES))
-    step = max(1, -(-((high or 0) - (low or 0) + 1) // min(BUCKETS, 16 * ranges)))
-    bucket = F.coalesce(F.expr(f"cast((cast(page_id as decimal(20,0)) - {low or 0}) div {step} as int)"), F.lit(0))
-    filled = ids.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).orderBy("bucket").collect()  # BUCKETS rows at most
-    before, shards = 0, []
-    for r in filled:
-        shards.append((r.bucket, before // RANGE_BYTES))
-        before += r.n
-    shards = spark.createDataFrame(shards, "bucket int, shard int")
+    key = [F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("id"), F.sha1(F.col("html").cast("binary")).alias("digest")]
+    ids = stored(rows.select(*key, "page_id", F.octet_length("html").cast("long").alias("n")), f"{folder}/ids")
+    total, count = ids.agg(F.sum("n"), F.count("*")).first()
+    cuts = _ranges(ids, max(RANGE_BYTES, -(-(total or 0) // RANGES)))
+    ranges = int(max(cuts[1].max(), *(x.max() for x in cuts[2].values()))) + 1 if cuts[2] else int(cuts[1].max()) + 1
     equal = ids.filter(F.col("n") >= LEAST_REVISIT).groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("__count")).filter("__count > 1 and top is not null")
     equal = stored(equal, f"{folder}/equal")
-    decisions = join_hot(ids.select("page_id", "digest"), equal, "digest", count).select("page_id", "digest", F.lit(0).alias("kind"), "top", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html")).distinct()
-    both = rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("digest"), F.lit(1).alias("kind"), F.lit(None).cast(ids.schema["page_id"].dataType).alias("top"), "url", "html").union(decisions)
+    decisions = join_hot(ids.select("id", "page_id", "digest"), equal, "digest", count).select("id", "page_id", "digest", F.lit(0).alias("kind"), "top", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html")).distinct()
+    both = rows.select(*key, "page_id", F.lit(1).alias("kind"), F.lit(None).cast(ids.schema["page_id"].dataType).alias("top"), "url", "html").select(*decisions.columns).union(decisions)
     fs, at = file_system(folder)
     fs.create_dir(f"{at}/tmp", recursive=True)
     fs.create_dir(f"{at}/data", recursive=True)
-    ordered = both.withColumn("bucket", bucket).join(F.broadcast(shards), "bucket").select("shard", "page_id", "digest", "kind", "top", "url", "html")
-    ordered = ordered.repartition(ranges, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    shard = F.pandas_udf(_range_of(cuts), "int")("id", "digest")
+    ordered = both.withColumn("shard", shard).select("shard", "page_id", "digest", "kind", "top", "url", "html")
+    ordered = ordered.repartitionById(ranges, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
     manifest = stored(ordered.mapInArrow(_write(folder, roll), MANIFEST), f"{folder}/manifest")
     moved = manifest.repartition(max(1, ranges // 16)).mapInArrow(_commit(folder), MANIFEST).count()
     assert moved == manifest.count()
