@@ -3,20 +3,65 @@ from collections import Counter
 
 import numpy as np
 
-from remembra.llm.mixing import Mix, mix_documents, mix_report, permuted, targets
+from remembra.llm.mixing import CHUNK, Draw, Mix, mix_documents, mix_report, permuted, targets
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def shared(sizes, weights, repeats=3):
+    """Shares by the rule as it is told: those above their most are set to it, the rest is shared again."""
+    out = [None] * len(sizes)
+    while True:
+        open_ = [i for i, x in enumerate(out) if x is None]
+        left = sum(sizes) - sum(x for x in out if x is not None)
+        over = [i for i in open_ if weights[i] * left / sum(weights[j] for j in open_) > repeats * sizes[i]]
+        for i in over:
+            out[i] = float(repeats * sizes[i])
+        if not over:
+            for i in open_:
+                out[i] = weights[i] * left / sum(weights[j] for j in open_)
+            return out
 
 
 def test_targets_are_capped_and_reshared():
     assert targets([10, 0, 30], [1, 2, 3]) == [10.0, 0.0, 30.0]
     got = targets([1000, 10, 1], [1, 2, 3])
     assert got[1:] == [30.0, 3.0] and abs(sum(got) - 1011) < 1e-9
+    r = np.random.default_rng(3)
+    for _ in range(100):
+        n = int(r.integers(1, 12))
+        sizes, weights = [int(x) for x in r.integers(0, 4, n) ** r.integers(1, 9, n)], [float(1 + i % 3) for i in range(n)]
+        assert np.allclose(targets(sizes, weights), shared(sizes, weights), rtol=1e-9)
 
 
 def test_permutations():
     for n in (1, 2, 3, 7, 100, 1025):
-        p = permuted(np.arange(n), n, b"k")
+        p = permuted(np.arange(n), np.full(n, n), np.full(n, 5))
         assert sorted(p.tolist()) == list(range(n))
-    assert permuted(np.arange(1000), 1000, b"a").tolist() != permuted(np.arange(1000), 1000, b"b").tolist()
+    several = permuted(np.concatenate([np.arange(9), np.arange(1000)]), np.repeat([9, 1000], [9, 1000]), np.repeat([1, 2], [9, 1000]))
+    assert sorted(several[:9].tolist()) == list(range(9)) and sorted(several[9:].tolist()) == list(range(1000))
+    assert permuted(np.arange(1000), np.full(1000, 1000), np.full(1000, 3)).tolist() != several[9:].tolist()
+
+
+def test_draw():
+    blocks, slots = np.array([100, 7, 0, 1, 5000, 40]), np.array([250, 21, 0, 1, 1234, 40])
+    for shards in (1, 2, 7, 50):
+        draw = Draw(blocks, slots, shards, 3)
+        counts = list(draw.counts(0, shards))
+        assert [c[0] for c in counts] == list(range(shards))
+        assert (sum(c[2] + c[4] for c in counts) == slots).all() and all((c[2] >= 0).all() and (c[4] >= 0).all() for c in counts)
+        # whatever range of shards a task draws, it draws the same
+        again = [c for a in range(0, shards, 3) for c in draw.counts(a, min(shards, a + 3))]
+        assert all((x == y).all() for c, d in zip(counts, again, strict=True) for x, y in zip(c[1:], d[1:], strict=True))
+        times = Counter((int(s), int(b)) for _, source, block in draw.slots(0, shards, 7) for s, b in zip(source, block, strict=True))
+        for s in range(len(blocks)):
+            every = [times[s, b] for b in range(blocks[s])]
+            assert sum(every) == slots[s]
+            if blocks[s]:
+                assert slots[s] // blocks[s] <= min(every) <= max(every) <= -(-slots[s] // blocks[s])
+    # the counts of a shard are spread as a multinomial draw's are
+    n = np.array([c[2][0] for seed in range(300) for c in Draw(np.array([1000]), np.array([1000]), 10, seed).counts(4, 5)])
+    assert abs(n.mean() - 100) < 3 and 70 < n.var() < 115
 
 
 def table(spark):
@@ -29,7 +74,7 @@ def test_report(spark):
     df, rows = table(spark)
     got = mix_report(df).collect()
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mix_report(df.repartition(7)).collect()), key=str)
-    assert Counter((r.doc_id, r.source, r.size) for r in got) == Counter((i, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t, s, _ in rows)
+    assert Counter((r.doc_id, r.source, r.size) for r in got) == Counter((i, s, len(WORD.findall(t or ""))) for i, t, s, _ in rows)
     sizes, taken, goal = Counter(), Counter(), {}
     for r in got:
         sizes[r.source] += r.size
@@ -37,27 +82,68 @@ def test_report(spark):
         goal[r.source] = r.target
         assert 0 <= r.taken <= 3 * r.size
     names = sorted(sizes, key=lambda s: (s is None, s))
-    assert [goal[s] for s in names] == targets([sizes[s] for s in names], [1, 2, 3] * 3)
+    assert np.allclose([goal[s] for s in names], shared([sizes[s] for s in names], [1, 2, 3] * 3))
     for s in names:
         assert abs(taken[s] - goal[s]) <= 3 * 128 and all(r.source_size == sizes[s] for r in got if r.source == s)
+    assert mix_report(df.filter("false")).count() == 0
+
 
+def taken(mix):
+    return sorted(((r.doc_id, r.source, r.size, r.taken) for r in mix.taken().collect()), key=str)
 
-def test_packed_blocks_are_whole(spark):
+
+def test_taken_follows_the_draw(spark, monkeypatch):
     df, _ = table(spark)
+    monkeypatch.setattr("remembra.llm.mixing.SHARD", 64)
+    one = taken(Mix(df, block=16))
+    assert one == taken(Mix(df, block=16))
+    assert one != taken(Mix(df, block=16, draw_seed=8)) and one != taken(Mix(df, block=16, seed=8))
+    monkeypatch.setattr("remembra.llm.mixing.SHARD", 200)
+    assert one != taken(Mix(df, block=16))
+
+
+def test_packed_blocks_are_whole(spark, monkeypatch):
+    monkeypatch.setattr("remembra.llm.mixing.SHARD", 64)
+    df, rows = table(spark)
     df = df.filter("doc_id < 400 and text not like 'again%'")
     mix = Mix(df, block=16)
-    words = Counter(w for r in mix.packed(df).collect() for w in r.text.split(" "))
+    packed = mix.packed(df).collect()
+    words = Counter(w for r in packed for w in r.text.split(" "))
     want = {r.doc_id: r.taken for r in mix.taken().collect()}
     found = Counter()
     for w, n in words.items():
         found[int(w[1 : w.index("w")])] += n
     assert {k: v for k, v in want.items() if v} == dict(found)
-    assert all(len(r.text.split(" ")) <= 16 for r in mix.packed(df).collect())
+    assert all(len(r.text.split(" ")) <= 16 for r in packed)
+    # each shard holds what it has drawn
+    about = sorted(mix.sources.collect(), key=lambda r: r.s)
+    shards = -(-sum(r.slots for r in about) // 64)
+    draw = Draw(np.array([r.blocks for r in about]), np.array([r.slots for r in about]), shards, 7)
+    drawn = {(k, about[s].source): int(n) for k, _, a, _, b in draw.counts(0, shards) for s, n in enumerate(a + b) if n}
+    assert Counter((r.shard, r.source) for r in packed) == drawn and shards > 10
 
 
 def test_documents(spark):
-    df, _ = table(spark)
+    df, rows = table(spark)
     got = mix_documents(df)
     assert got.columns == df.columns
-    assert max(Counter(r.doc_id for r in got.collect() if r.doc_id != 3).values()) <= 3
+    got = got.collect()
+    assert max(Counter(r.doc_id for r in got if r.doc_id != 3).values()) <= 3
+    assert set(map(tuple, got)) <= set(rows)
+    count = lambda t: len(WORD.findall(t or ""))
+    words, sizes, longest = Counter(), Counter(), Counter()
+    for r in got:
+        words[r.source] += count(r.text)
+    for _, t, s, _ in rows:
+        sizes[s] += count(t)
+        longest[s] = max(longest[s], count(t))
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    assert len(rows) < CHUNK
+    for s, goal in zip(names, shared([sizes[s] for s in names], [1, 2, 3] * 3), strict=True):
+        assert abs(words[s] - goal) <= longest[s] + 128
     assert mix_documents(df.filter("false")).count() == 0
+
+
+def test_any_column_names(spark):
+    df = spark.createDataFrame([(1, "a b c", "s", 5, 6, 7, 8)], "doc_id long, text string, source string, `a.b` int, s int, size int, row int")
+    assert mix_documents(df).columns == df.columns and mix_documents(df).count() == 1
