@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from remembra.llm._store import stored, workspace
+
 #: Rows of a query block, rows of a candidate block, and queries whose tile is multiplied at once.
 QUERY_BLOCK, CANDIDATE_BLOCK, TILE = 2048, 8192, 256
 #: Dimensions of one product: 127 * 127 * 1024 is below 2 ** 24, so float32 holds sums of int8 products exactly.
@@ -131,6 +133,6 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 10, vec_id:
     q = packed(asked.select("id", "dim", "v"), of).select(F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(by - 1))).alias("c"), "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
     c = packed(rows, by).select(F.col("block").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(of - 1))).alias("q"), "dim", F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"))
     cells = q.join(c, ["q", "c", "dim"]).select("dim", "q_ids", "q_vectors", "c_ids", "c_vectors")
-    found = cells.mapInArrow(_cells(k, kind), "query_id long, vec_id long, score double")
+    found = stored(cells.mapInArrow(_cells(k, kind), "query_id long, vec_id long, score double"), f"{workspace(vectors.sparkSession, 'nearest')}/found", 1)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
