@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from remembra.llm._bytes import SPACE, Texts, mix, ngrams, pieces, repeated
+from remembra.llm._store import held, released
 
 #: A document is rejected if more than this share of its word characters lies in n-grams that occur twice or more.
 MAX_NGRAM_SHARE = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -96,12 +97,15 @@ def repetition_rules(docs: DataFrame, text: str = "text", keep: tuple[str, ...]
     A null or empty text has no word, fails the base rule and is not kept. Repeated rows stay
     separate. Documents of any length are measured whole; other columns of docs are not read.
     """
-    kinds = dict(docs.select(*keep).dtypes)
-    rows = docs.select(*keep, F.col(text).alias("__text")).mapInArrow(_stats, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", " + STATS)
+    named = docs.select(*keep, F.col(text).alias("__text"))
+    schema = named.select(*keep).schema
+    for column in STATS.split(", "):
+        schema = schema.add(*column.split())
+    rows = named.mapInArrow(_stats, schema)
     return rows.withColumn("base_failed", base_failed()).withColumn("kept", ~(F.col("base_failed") | rejected()))
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The rows of docs that repetition_rules keeps, with all their columns, whatever their names; a null text goes."""
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), "text")
-    return repetition_rules(whole, keep=("__row",)).filter("kept").select("__row.*")
+    """The rows of docs that repetition_rules keeps, with all their columns, whatever their names; null and empty texts go, repeated rows are judged each."""
+    whole = docs.select(held(docs.columns), "text")
+    return repetition_rules(whole, keep=("__row",)).filter("kept").select(*released(docs.columns))

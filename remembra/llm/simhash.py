@@ -46,7 +46,11 @@ def _shingles(column: pa.Array, shingle: int, seed: int) -> tuple[np.ndarray, np
 
 def fingerprints(column: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     """The 64-bit SimHash of each text, A-Z lower-cased; zero without words."""
-    h, n = _shingles(column, shingle, seed)
+    return majority(*_shingles(column, shingle, seed))
+
+
+def majority(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each text, of the n hashes that are its own in h, the bits that over half of them have."""
     out = np.zeros(len(n), np.uint64)
     if not len(h):
         return out
@@ -137,15 +141,6 @@ def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     least = member.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("__n"))
     member = stored(join_hot(member, least, "root", groups.count(), "__n").select("fp", "component_id", "__count"), f"{place}/member")
     done()
-    remove(spark, f"{place}/groups")
-    return join_hot(rows, member, "fp", total).select("doc_id", "fp", "component_id")
-
-
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs without those that have a near-duplicate with a smaller doc_id; of rows with one doc_id, one.
-
-    Rows without a doc_id have none that is smaller: of those with one text, one stays.
-    """
-    named, nameless = docs.filter("doc_id is not null"), docs.filter("doc_id is null")
-    best = simhash_components(named).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return named.join(best, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(nameless.dropDuplicates(["text"]))
+    out = stored(join_hot(rows, member, "fp", total).select("doc_id", "fp", "component_id"), workspace(spark, "simhash-components"))
+    remove(spark, place)
+    return out
