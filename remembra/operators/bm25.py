@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,29 +22,117 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def postings(docs: DataFrame, id_: str = "id", text: str = "content") -> tuple[DataFrame, DataFrame]:
-    """(term, id, tf) and (id, dl): the inverted index and the documents' lengths."""
+def postings(docs: DataFrame, id_: str = "id", text: str = "content", wanted: DataFrame | None = None) -> DataFrame:
+    """(term, id, tf, dl): the inverted index, each row with its document's length; of the terms of `wanted` only, if given, before anything is shuffled."""
     split = docs.select(F.col(id_).alias("id"), tokens(F.col(text)).alias("terms"))
-    lengths = split.select("id", F.size("terms").cast("long").alias("dl"))
-    return split.select("id", F.explode("terms").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf")), lengths
+    each = split.select("id", F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term"))
+    if wanted is not None:
+        each = each.join(wanted, "term", "left_semi")
+    return each.groupBy("term", "id", "dl").agg(F.count("*").alias("tf")).select("term", "id", "tf", "dl")
+
+
+def lengths(docs: DataFrame, text: str = "content") -> tuple[int, int]:
+    """Documents, and tokens of all."""
+    found = docs.agg(F.count("*"), F.sum(F.coalesce(F.size(tokens(F.col(text))), F.lit(0)).cast("long"))).first()
+    return found[0], found[1] or 0
+
+
+def scores(found: DataFrame, queries: DataFrame, n: int, total: int, params: Bm25 = Bm25()) -> DataFrame:
+    """(q, id, bm25) for postings `found` of the terms of queries (q, term), distinct; n documents have `total` tokens.
+
+    A term's documents are counted by an aggregation, so a common one is no single task's. Scores are rounded to nine decimals, so
+    that the order of a sum's parts decides no tie.
+    """
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = params.k1 * (1 - params.b + params.b * F.col("dl") / F.lit(total / n if total else 1.0))
+    part = idf * F.col("tf") * (params.k1 + 1) / (F.col("tf") + norm)
+    return found.join(df, "term").join(queries, "term").groupBy("q", "id").agg(F.round(F.sum(part), 9).alias("bm25"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, params: Bm25 = Bm25(), id_: str = "id", text: str = "content") -> DataFrame:
-    """(q, id, bm25) for each document that has a term of query q. queries: (q, term), distinct.
+    """(q, id, bm25) for each document that has a term of query q, without an index: every text is read twice. queries: (q, term), distinct."""
+    return scores(postings(docs, id_, text, queries.select("term").distinct()), queries, *lengths(docs, text), params)
 
-    Scores are rounded to nine decimals, so that the order of a sum's parts decides no tie.
-    Only the queries' terms are kept of the postings, before anything is shuffled.
+
+class TextIndex:
+    """Postings of documents in a folder, by a hash of the term, and how many documents and tokens there are in all.
+
+    A query reads the files of its terms' buckets, in which row groups without the terms are skipped. add() indexes more documents beside
+    those that are there; remove() makes what has been added of some ids so far count no more; build() makes all of it anew. Each of
+    these is a generation; postings live if no later generation has removed their id.
     """
-    split = docs.select(F.col(id_).alias("id"), tokens(F.col(text)).alias("terms"))
-    about = split.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
-    wanted = queries.select("term").distinct()
-    tf = split.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-    tf = tf.withColumn("df", F.count("*").over(W.partitionBy("term")))
-    scored = tf.crossJoin(F.broadcast(about))  # about is one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = params.k1 * (1 - params.b + params.b * F.col("dl") / F.col("avgdl"))
-    scored = scored.withColumn("part", idf * F.col("tf") * (params.k1 + 1) / (F.col("tf") + norm))
-    return scored.join(queries, "term").groupBy("q", "id").agg(F.round(F.sum("part"), 9).alias("bm25"))
+
+    SCHEMA = "term string, id {}, tf long, dl long, generation int, bucket int"
+
+    def __init__(self, spark: SparkSession, folder: str, id_type: str = "string", buckets: int = 64):
+        self.spark, self.folder, self.id_type, self.buckets = spark, folder.rstrip("/"), id_type, buckets
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _there(self, name: str) -> bool:
+        return self._fs.exists(self._path(f"{self.folder}/{name}"))
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        rows = self.spark.read.schema(schema)
+        return rows.parquet(f"{self.folder}/{name}") if self._there(name) else self.spark.createDataFrame([], schema)
+
+    def _totals(self) -> tuple[int, int, int]:
+        """Documents, tokens, and the next generation."""
+        n, total, last = self._read("totals", "n long, total long, generation int").agg(F.sum("n"), F.sum("total"), F.max("generation")).first()
+        return n or 0, total or 0, 0 if last is None else last + 1
+
+    def _count(self, n: int, total: int, generation: int) -> None:
+        self.spark.createDataFrame([(n, total, generation)], "n long, total long, generation int").coalesce(1).write.mode("append").parquet(f"{self.folder}/totals")
+
+    def _bucket(self, term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
+
+    def build(self, docs: DataFrame, id_: str = "id", text: str = "content") -> TextIndex:
+        """docs are all that is indexed from now on."""
+        for name in ("postings", "lengths", "removed", "totals"):
+            self._fs.delete(self._path(f"{self.folder}/{name}"), True)
+        return self.add(docs, id_, text)
+
+    def add(self, docs: DataFrame, id_: str = "id", text: str = "content") -> TextIndex:
+        generation = self._totals()[2]
+        rows = postings(docs, id_, text).withColumn("generation", F.lit(generation)).withColumn("bucket", self._bucket(F.col("term")))
+        # a bucket's rows go to a few tasks, so that a common term is not one task's
+        dealt = rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("bucket", "term", "id")
+        dealt.write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/postings")
+        docs.select(F.col(id_).alias("id"), F.coalesce(F.size(tokens(F.col(text))), F.lit(0)).cast("long").alias("dl"), F.lit(generation).alias("generation")).write.mode("append").parquet(f"{self.folder}/lengths")
+        n, total = self._lengths().filter(F.col("generation") == generation).agg(F.count("*"), F.sum("dl")).first()
+        self._count(n, total or 0, generation)
+        return self
+
+    def remove(self, ids: DataFrame) -> TextIndex:
+        """What has been added of ids (id) so far counts no more."""
+        generation = self._totals()[2]
+        gone = ids.select("id").distinct()
+        n, total = self._alive(self._lengths()).join(gone, "id", "left_semi").agg(F.count("*"), F.sum("dl")).first()
+        gone.withColumn("until", F.lit(generation)).write.mode("append").parquet(f"{self.folder}/removed")
+        self._count(-n, -(total or 0), generation)
+        return self
+
+    def _lengths(self) -> DataFrame:
+        return self._read("lengths", f"id {self.id_type}, dl long, generation int")
+
+    def _alive(self, rows: DataFrame) -> DataFrame:
+        if not self._there("removed"):
+            return rows
+        gone = self._read("removed", f"id {self.id_type}, until int").groupBy("id").agg(F.max("until").alias("until"))
+        return rows.join(gone, "id", "left").filter("until is null or generation >= until").drop("until")
+
+    def bm25(self, queries: DataFrame, terms: Sequence[str] | None = None, params: Bm25 = Bm25()) -> DataFrame:
+        """(q, id, bm25) as the function bm25 gives it. queries: (q, term), distinct; terms: all their terms, if they are few."""
+        rows = self._read("postings", self.SCHEMA.format(self.id_type))
+        if terms is None:
+            found = rows.join(queries.select("term").distinct(), "term", "left_semi")
+        else:
+            some = self.spark.createDataFrame([(t,) for t in terms], "term string").select(self._bucket(F.col("term"))).distinct().collect()
+            found = rows.filter(F.col("bucket").isin([r[0] for r in some]) & F.col("term").isin(list(terms)))
+        n, total, _ = self._totals()
+        return scores(self._alive(found).select("term", "id", "tf", "dl"), queries, n, total, params)
 
 
 def normalised(scores: DataFrame, by: str = "q") -> DataFrame:

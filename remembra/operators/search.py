@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from remembra.functions import scoring, tiers, vectors
-from remembra.operators.bm25 import bm25, normalised
+from remembra.operators.bm25 import TextIndex, bm25, normalised
 
 
 @dataclass(frozen=True)
@@ -43,10 +43,12 @@ def vector_candidates(table: DataFrame, query: Sequence[float], k: int, id_: str
     return near.orderBy("distance", "id").limit(k).select("id", vectors.similarity(F.col("distance")).alias("vector_score"))
 
 
-def text_candidates(memories: DataFrame, terms: Sequence[str], k: int) -> DataFrame:
-    """(id, bm25): the k best by BM25, ties to the smaller id, divided by the best."""
-    queries = memories.sparkSession.createDataFrame([(0, t) for t in sorted(set(terms))], "q int, term string")
-    best = bm25(memories, queries).orderBy(F.col("bm25").desc(), "id").limit(k)
+def text_candidates(memories: DataFrame, terms: Sequence[str], k: int, index: TextIndex | None = None) -> DataFrame:
+    """(id, bm25): the k best by BM25, ties to the smaller id, divided by the best; from the index, if there is one."""
+    terms = sorted(set(terms))
+    queries = memories.sparkSession.createDataFrame([(0, t) for t in terms], "q int, term string")
+    found = bm25(memories, queries) if index is None else index.bm25(queries, terms)
+    best = found.orderBy(F.col("bm25").desc(), "id").limit(k)
     return normalised(best).select("id", F.col("bm25"))
 
 
@@ -69,8 +71,13 @@ def in_namespace(name: str, prefix: bool = False) -> Column:
     return (ns == name) | ns.startswith(below)
 
 
+def project() -> Column:
+    """The project that a row's metadata names; none in other metadata, or in none."""
+    return F.coalesce(F.get_json_object("metadata", "$.project"), F.lit(""))
+
+
 def filters(o: Options) -> Column:
-    """Namespace, type, importance, tags, project and creation; a row without a project passes the project filter."""
+    """Namespace, type, importance, tags, project and creation; a row whose metadata names no project passes the project filter."""
     out = F.lit(True)
     if o.namespace:
         out = out & in_namespace(o.namespace, o.namespace_prefix)
@@ -81,7 +88,7 @@ def filters(o: Options) -> Column:
     if o.tags:
         out = out & F.coalesce(F.arrays_overlap("tags", F.array(*map(F.lit, o.tags))), F.lit(False))
     if o.project:
-        out = out & (F.coalesce("project", F.lit("")).isin("", o.project))
+        out = out & project().isin("", o.project)
     utc = lambda t: F.to_timestamp(F.lit(f"{t}+00:00"), "yyyy-MM-dd HH:mm:ssXXX")
     if o.after:
         out = out & (F.col("created_at").isNull() | (F.col("created_at") >= utc(o.after)))
@@ -91,8 +98,14 @@ def filters(o: Options) -> Column:
 
 
 def ranked(memories: DataFrame, candidates: DataFrame, as_of: Column, o: Options, boosted: DataFrame | None = None) -> DataFrame:
-    """The search's result: candidates that pass, with their scores, best first. boosted: ids whose score is raised, up to 1."""
-    rows = candidates.filter(gate(o)).join(memories, "id").filter(filters(o))
+    """The search's result: candidates that pass, with their scores, best first. boosted: ids whose score is raised, up to 1.
+
+    The candidates, at most two times o.candidates, are few: their ids go into the scan's filter, so of the memories only row groups
+    that may hold one of them are read.
+    """
+    passed = candidates.filter(gate(o)).collect()
+    kept = memories.sparkSession.createDataFrame(passed, candidates.schema)
+    rows = memories.filter(F.col("id").isin([r.id for r in passed])).join(F.broadcast(kept), "id").filter(filters(o))
     rows = rows.withColumn("recency_score", scoring.recency(F.col("accessed_at"), as_of))
     score = scoring.hybrid(F.col("vector_score"), F.col("bm25"), F.col("recency_score"), F.col("importance"), F.col("access_count"), F.col("type"))
     rows = rows.withColumn("score", score)
@@ -104,8 +117,8 @@ def ranked(memories: DataFrame, candidates: DataFrame, as_of: Column, o: Options
     return best.withColumn("content", content)
 
 
-def search(memories: DataFrame, vector_table: DataFrame, query: Sequence[float], terms: Sequence[str], as_of: Column, o: Options = Options(), boosted: DataFrame | None = None) -> DataFrame:
-    both = merged(vector_candidates(vector_table, query, o.candidates), text_candidates(memories, terms, o.candidates))
+def search(memories: DataFrame, vector_table: DataFrame, query: Sequence[float], terms: Sequence[str], as_of: Column, o: Options = Options(), boosted: DataFrame | None = None, index: TextIndex | None = None) -> DataFrame:
+    both = merged(vector_candidates(vector_table, query, o.candidates), text_candidates(memories, terms, o.candidates, index))
     return ranked(memories, both, as_of, o, boosted)
 
 

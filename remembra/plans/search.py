@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from remembra.functions import scoring, text, tiers, vectors
 from remembra.operators import search as S
 from remembra.operators.blocks import knn, similar_pairs
-from remembra.operators.bm25 import bm25, normalised, tokens
+from remembra.operators.bm25 import TextIndex, normalised, tokens
 from remembra.schemas import DEFAULT_IMPORTANCE, TYPE_BOOSTS
 from remembra.sources.memories import AS_OF, DAYS_SQL, MEMORIES_SQL, case_sql, memories, moment, table
+from remembra.sources.store import workspace
 
 QUERIES, ORACLE = {}, {}
 
@@ -61,9 +62,21 @@ def knn_topk(spark, sf):
     return rounded(near.orderBy("distance", "id").limit(30).withColumn("similarity", vectors.similarity(F.col("distance"))))
 
 
+#: The inverted index of each data folder that this process has searched, by application and folder.
+_INDEXES: dict[tuple[str, str], TextIndex] = {}
+
+
+def text_index(spark: SparkSession, sf: str) -> TextIndex:
+    """The folder's index; the first search makes it, as a store keeps one beside its rows."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        _INDEXES[key] = TextIndex(spark, workspace(spark, "text-index"), "long").build(memories(spark, sf).select("id", "content"))
+    return _INDEXES[key]
+
+
 def _bm25(spark, sf):
-    _, terms = asked(spark, sf)
-    return bm25(memories(spark, sf), spark.createDataFrame([(0, t) for t in sorted(set(terms))], "q int, term string"))
+    terms = sorted(set(asked(spark, sf)[1]))
+    return text_index(spark, sf).bm25(spark.createDataFrame([(0, t) for t in terms], "q int, term string"), terms)
 
 
 @query(f"WITH {BM25_SQL} SELECT id, round(bm25, 6) AS bm25 FROM bm25 ORDER BY bm25.bm25 DESC, id LIMIT 30")
@@ -88,7 +101,7 @@ candidates AS (SELECT coalesce(v.id, t.id) AS id, coalesce(s, 0) AS vector_score
 def hybrid_candidates_outer(spark, sf):
     vector, terms = asked(spark, sf)
     o = S.Options()
-    return rounded(S.merged(S.vector_candidates(vector_table(spark, sf), vector, o.candidates), S.text_candidates(memories(spark, sf), terms, o.candidates)))
+    return rounded(S.merged(S.vector_candidates(vector_table(spark, sf), vector, o.candidates), S.text_candidates(memories(spark, sf), terms, o.candidates, text_index(spark, sf))))
 
 
 RECENCY_SQL = f"exp(-0.693::DOUBLE * {DAYS_SQL.format('accessed_at')} / 14)"
@@ -107,9 +120,9 @@ boosted AS (SELECT * REPLACE ({score} AS score) FROM scored)
 SELECT id, type, namespace, round(score, 6) AS score, round(vector_score, 6) AS vector_score, round(bm25, 6) AS bm25{columns} FROM boosted WHERE score >= {min_score} ORDER BY boosted.score DESC, id LIMIT {limit}"""
 
 
-def run_search(spark, sf, *columns, boosted=None, **options):
+def run_search(spark, sf, *columns, boosted=None, rows=None, **options):
     vector, terms = asked(spark, sf)
-    found = S.search(memories(spark, sf), vector_table(spark, sf), vector, terms, moment(), S.Options(**options), boosted)
+    found = S.search(memories(spark, sf) if rows is None else rows, vector_table(spark, sf), vector, terms, moment(), S.Options(**options), boosted, text_index(spark, sf))
     return rounded(found.select("id", "type", "namespace", "score", "vector_score", "bm25", *columns))
 
 
@@ -148,16 +161,17 @@ def search_min_importance(spark, sf):
     return run_search(spark, sf, min_importance=0.7, min_score=0.1)
 
 
-@query(search_sql(score="CASE WHEN id IN (SELECT doc_id FROM documents WHERE contains(text, 'http')) THEN least(1::DOUBLE, score + 0.15::DOUBLE) ELSE score END", min_score=0.1))
-def search_graph_boost(spark, sf):
-    linked = memories(spark, sf).filter(F.col("content").contains("http")).select("id")
-    return run_search(spark, sf, boosted=linked, min_score=0.1)
+@query(search_sql("json_extract_string('{\"project\": \"' || CASE WHEN id % 3 = 0 THEN '' WHEN id % 3 = 1 THEN 'alpha' ELSE 'beta' END || '\"}', '$.project') IN ('', 'alpha')", min_score=0.1))
+def search_project(spark, sf):
+    meta = F.to_json(F.struct(F.when(F.col("id") % 3 == 1, "alpha").when(F.col("id") % 3 == 2, "beta").alias("project")))
+    return run_search(spark, sf, rows=memories(spark, sf).withColumn("metadata", meta), project="alpha", min_score=0.1)
 
 
 @query(search_sql(columns=", epoch_us(TIMESTAMP '" + AS_OF + "') AS touched_at, (access_count + 1)::BIGINT AS new_count"))
 def search_touch(spark, sf):
     found = run_search(spark, sf, "access_count")
-    return found.select("id", "type", "namespace", "score", "vector_score", "bm25", F.unix_micros(moment()).alias("touched_at"), (F.col("access_count") + 1).alias("new_count"))
+    touched = S.touched(found, moment()).select("id", F.unix_micros("accessed_at").alias("touched_at"), "accesses")
+    return found.join(touched, "id").select("id", "type", "namespace", "score", "vector_score", "bm25", "touched_at", (F.col("access_count") + F.col("accesses")).alias("new_count"))
 
 
 @query(f"{MEMORIES_SQL} SELECT id, round({RECENCY_SQL}, 6) AS recency FROM memories")
@@ -251,7 +265,7 @@ def recall_mrr(spark, sf):
     terms = items.select("q", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     m = memories(spark, sf)
     rank = F.row_number().over(W.partitionBy("q").orderBy(F.round("bm25", 9).desc(), "id"))
-    top = bm25(m, terms).withColumn("rank", rank).filter("rank <= 10")
+    top = text_index(spark, sf).bm25(terms).withColumn("rank", rank).filter("rank <= 10")
     hit = top.join(m.select("id", "content"), "id").join(items, "q").filter(F.col("content").contains(F.col("text"))).groupBy("q").agg(F.min("rank").alias("rank"))
     return rounded(S.recall(items.select("q").join(hit, "q", "left")))
 

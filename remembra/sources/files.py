@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SESSION_LINE = "type string, id string, timestamp string, message struct<role:string,content:string,timestamp:string>"
 BLOCKS = "array<struct<type:string,text:string,name:string>>"
-EXPORT = "struct<id:string,title:string,create_time:double,mapping:map<string,struct<message:struct<author:struct<role:string>,content:struct<content_type:string,parts:array<string>>>,parent:string,children:array<string>>>>"
 
 
-def text_files(spark: SparkSession, folder: str, recursive: bool = True, pattern: str = "*.{md,txt,markdown}") -> DataFrame:
+def text_files(spark: SparkSession, folder: str, recursive: bool = True, pattern: str = "*.{[mM][dD],[tT][xX][tT],[mM][aA][rR][kK][dD][oO][wW][nN]}") -> DataFrame:
     """(file, text) for each text file of a folder."""
     files = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).text(folder, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
@@ -42,32 +45,68 @@ def session_logs(spark: SparkSession, folder: str) -> DataFrame:
     return session_messages(lines(text_files(spark, folder, False, "*.jsonl")))
 
 
-def not_taken(files: DataFrame, ledger: DataFrame, force: bool = False) -> DataFrame:
-    """The files that the ledger (file) does not have."""
-    return files if force else files.join(ledger.select("file"), "file", "left_anti")
+def not_taken(files: DataFrame, ledger: DataFrame, force: bool = False, limit: int | None = None) -> DataFrame:
+    """The files that the ledger (file) does not have; of those the first `limit` by name, if given."""
+    new = files if force else files.join(ledger.select("file"), "file", "left_anti")
+    return new if limit is None else new.orderBy("file").limit(limit)
+
+
+def known_entities(spark: SparkSession, path: str) -> list[tuple[str, str, str]]:
+    """(pattern, name, type) of a JSON file of such objects, for graph.entities; none if it is not there or not JSON."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    stream = fs.open(at)
+    try:
+        rows = json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        return [(r["pattern"], r["name"], r["type"]) for r in rows]
+    except (ValueError, KeyError, TypeError):
+        return []
+    finally:
+        stream.close()
+
+
+def _walk(export: str | None) -> Iterator[tuple[str | None, str | None, int, str | None, str]]:
+    """One export's messages, depth first from the nodes whose parent is not there, children in their order."""
+    try:
+        c = json.loads(export or "")
+    except ValueError:
+        return
+    mapping = c.get("mapping") if isinstance(c, dict) else None
+    if not isinstance(mapping, dict):
+        return
+    todo = [n for n, v in reversed(mapping.items()) if (v or {}).get("parent") not in mapping]
+    seen, place = set(), 0
+    while todo:
+        node = todo.pop()
+        if node in seen or node not in mapping:
+            continue
+        seen.add(node)
+        v = mapping[node] or {}
+        message = v.get("message") or {}
+        parts = (message.get("content") or {}).get("parts") or []
+        text = "\n".join(p if isinstance(p, str) else json.dumps(p, separators=(",", ":"), ensure_ascii=False) for p in parts if p)
+        yield c.get("id"), c.get("title"), place, (message.get("author") or {}).get("role"), text
+        place += 1
+        todo += reversed(v.get("children") or [])
 
 
 def export_messages(conversations: DataFrame) -> DataFrame:
-    """(conversation, title, place, role, text) of chat exports (json), depth first from the roots, children in their order.
+    """(conversation, title, place, role, text) of chat exports (json), depth first from the roots, children in their order; place counts from 0.
 
-    The walk goes down level by level: a node's place is its parent's with its own number behind, so
-    places sort as the walk visits.
+    A conversation is a row and walked by itself in one pass; what is no export gives no messages.
     """
-    c = conversations.select(F.from_json("json", EXPORT).alias("c")).select("c.id", "c.title", F.explode("c.mapping").alias("node", "v"))
-    nodes = c.select(F.col("id").alias("conversation"), "title", "node", "v.parent", "v.children", F.col("v.message.author.role").alias("role"), F.array_join(F.filter(F.coalesce("v.message.content.parts", F.expr("cast(array() as array<string>)")), lambda p: p.isNotNull() & (p != "")), "\n").alias("text"))
-    known = nodes.select("conversation", F.col("node").alias("parent")).withColumn("there", F.lit(True))
-    roots = nodes.join(known, ["conversation", "parent"], "left").filter("there is null")
-    numbered = nodes.select("conversation", F.posexplode("children").alias("k", "node"))
-    level = roots.select("conversation", "node", F.array(F.concat(F.lit("0"), "node")).alias("place"))
-    found = level
-    children = numbered.join(nodes.select("conversation", "node", "parent"), ["conversation", "node"])
-    while True:
-        up = level.withColumnRenamed("node", "parent")
-        level = children.join(up, ["conversation", "parent"]).select("conversation", "node", F.concat("place", F.array(F.lpad(F.col("k").cast("string"), 9, "0"))).alias("place")).checkpoint()
-        if level.isEmpty():
-            break
-        found = found.unionByName(level)
-    return nodes.join(found, ["conversation", "node"]).select("conversation", "title", "place", "role", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for export in batch.column(0):
+                rows = list(_walk(export.as_py()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], ["conversation", "title", "place", "role", "text"])
+
+    return conversations.select("json").mapInArrow(run, "conversation string, title string, place long, role string, text string")
 
 
 def chunks(messages: DataFrame, limit: int = 2000, least: int = 20) -> DataFrame:

@@ -1,20 +1,33 @@
-"""The store: immutable snapshots in a folder, and the deltas that are folded into them."""
+"""The store: segments of rows and of removed ids in a folder, and the versions that name them."""
 
 from __future__ import annotations
 
-import tempfile
+import json
+import time
 import uuid
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Removed ids up to which they are broadcast, and segments from which a change ends in a compaction.
+BROADCAST_IDS, MOST_SEGMENTS = 100_000, 64
+#: The column that segments are partitioned by, so that a filter on it reads only its part.
+PARTITION = "type"
+#: Seconds after which a version that has been begun and is empty has lost its writer.
+LOST_AFTER = 60
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests, a folder of this machine."""
+    """spark.checkpoint.dir, or the checkpoint folder that the session has been given. On one machine, where it is unset, a folder beside the warehouse."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="remembra-"))
+        if not path and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or f"{spark.conf.get('spark.sql.warehouse.dir')}/remembra-work")
     return (path or sc._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
@@ -22,40 +35,118 @@ def workspace(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """df written as Parquet and read back, so that its lineage ends there."""
-    df.write.mode("overwrite").parquet(path)
+def stored(df: DataFrame, path: str, records: int | None = None) -> DataFrame:
+    """df written as Parquet and read back, so that its lineage ends there. records: rows that go to Python at once, for rows of megabytes."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    if records:
+        conf.set(key, str(records))
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Store:
-    """Memories in a folder of snapshots; the newest one that is complete is the store.
-
-    A change writes a new snapshot and never touches an old one, so readers go on and a failed
-    change leaves the store as it was. There is one writer at a time.
+    """Memories in a folder: the newest version that is whole is the store.
+
+    data/ holds immutable segments: rows, and ids whose earlier rows are gone. A change writes the rows it makes and the ids
+    that it replaces or removes under new names, never the rest; then a version, one small file that names all segments in order,
+    makes it take effect. A change that fails before leaves files that nobody reads; the next one takes another name. Of two
+    writers of one version the second fails. Readers go on with the version they have. Segments are folded by compact(), which a
+    change calls when there are many; vacuum() deletes what the newest version does not name. ids are of any type, one for a store.
+    defaults: values of columns that segments written before the column was there have not.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _versions(self) -> list[int]:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        names = [s.getPath() for s in fs.listStatus(path)]
-        done = [p.getName() for p in names if fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(n[1:]) for n in done if n[1:].isdigit())
+    def __init__(self, spark: SparkSession, folder: str, defaults: Mapping[str, object] | None = None):
+        self.spark, self.folder, self.defaults = spark, folder.rstrip("/"), dict(defaults or {})
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    # ---- versions ----
+
+    def _numbers(self) -> list[int]:
+        at = self._path(f"{self.folder}/versions")
+        names = [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return sorted(int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit())
+
+    def _version(self) -> tuple[int, list[dict]]:
+        """The number of the newest whole version (-1: none) and its segments."""
+        for n in reversed(self._numbers()):
+            stream = self._fs.open(self._path(f"{self.folder}/versions/{n:012d}.json"))
+            try:
+                text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            try:
+                return n, json.loads(text)["segments"]
+            except ValueError:  # its writer was lost before it had written it whole
+                continue
+        return -1, []
+
+    def _commit(self, before: int, segments: list[dict]) -> None:
+        number = before + 1
+        for n in self._numbers():
+            if n > before:  # not whole, as of a writer that was lost; a young one may still be being written
+                at = self._fs.getFileStatus(self._path(f"{self.folder}/versions/{n:012d}.json"))
+                if at.getLen() or time.time() - at.getModificationTime() / 1000 < LOST_AFTER:
+                    raise RuntimeError(f"{self.folder}: another writer has made version {n}")
+                number = n + 1
+        out = self._fs.create(self._path(f"{self.folder}/versions/{number:012d}.json"), False)  # fails if another writer was first
+        out.write(bytearray(json.dumps({"segments": segments}).encode()))
+        out.close()
+
+    def _segment(self, df: DataFrame, kind: str, seq: int) -> dict:
+        name = f"{kind}-{uuid.uuid4().hex}"
+        writer = df.write
+        if kind == "rows" and PARTITION in df.columns:
+            writer = writer.partitionBy(PARTITION)
+        writer.parquet(f"{self.folder}/data/{name}")
+        count = self._load(found := {"name": name, "kind": kind, "seq": seq, "schema": df.schema.json()}).count()
+        return found | {"rows": count}
+
+    def _load(self, segment: dict) -> DataFrame:
+        return self.spark.read.schema(T.StructType.fromJson(json.loads(segment["schema"]))).parquet(f"{self.folder}/data/{segment['name']}")
+
+    def _change(self, rows: DataFrame | None, gone: DataFrame | None) -> None:
+        number, segments = self._version()
+        seq = max((s["seq"] for s in segments), default=0) + 1
+        new = [self._segment(df, kind, seq) for kind, df in (("gone", gone), ("rows", rows)) if df is not None]
+        self._commit(number, segments + [s for s in new if s["rows"] or not segments])
+        if len(segments) + len(new) > MOST_SEGMENTS:
+            self.compact()
+
+    # ---- reading ----
+
+    def version(self) -> int:
+        """The number of the newest whole version; -1 if there is none."""
+        return self._version()[0]
+
+    def exists(self) -> bool:
+        return any(s["kind"] == "rows" for s in self._version()[1])
 
     def read(self) -> DataFrame:
-        return self.spark.read.option("mergeSchema", True).parquet(f"{self.folder}/v{self._versions()[-1]}")
-
-    def write(self, rows: DataFrame) -> None:
-        version = (self._versions() or [-1])[-1] + 1
-        rows.write.parquet(f"{self.folder}/v{version}")
-
-    def append(self, rows: DataFrame) -> None:
-        self.write(self.read().unionByName(rows, allowMissingColumns=True) if self._versions() else rows)
+        """The rows of the newest version."""
+        _, segments = self._version()
+        rows, gone = ([s for s in segments if s["kind"] == k] for k in ("rows", "gone"))
+        if not rows:
+            raise ValueError(f"{self.folder}: nothing has been written")
+        fields = {f.name: f for s in rows for f in T.StructType.fromJson(json.loads(s["schema"])).fields}
+
+        def whole(s: dict) -> DataFrame:
+            df = self._load(s)
+            missing = [F.lit(self.defaults.get(n)).cast(f.dataType).alias(n) for n, f in fields.items() if n not in df.columns]
+            df = df.select("*", *missing).select(*fields)
+            later = [g for g in gone if g["seq"] > s["seq"]]
+            if not later:
+                return df
+            ids = reduce(DataFrame.union, (self._load(g).select("id") for g in later))
+            few = sum(g["rows"] for g in later) <= BROADCAST_IDS
+            return df.join(F.broadcast(ids) if few else ids, "id", "left_anti")
+
+        return reduce(DataFrame.unionByName, map(whole, rows))
 
     def get(self, id_: str, whole: int = 36) -> DataFrame:
         """The row with a whole id, or the first by id of those that start with it."""
@@ -64,16 +155,32 @@ class Store:
             return rows.filter(F.col("id").cast("string") == id_)
         return rows.filter(F.col("id").cast("string").startswith(id_)).orderBy("id").limit(1)
 
-    def update(self, changes: DataFrame) -> None:
-        """Columns of changes (id, ...) replace those of the rows with their ids, where they are not null."""
+    # ---- changes ----
+
+    def write(self, rows: DataFrame) -> None:
+        """rows are all that there is from now on."""
+        number, segments = self._version()
+        self._commit(number, [self._segment(rows, "rows", max((s["seq"] for s in segments), default=0) + 1)])
+
+    def append(self, rows: DataFrame) -> None:
+        self._change(rows, None)
+
+    def replace(self, rows: DataFrame) -> None:
+        """rows take the place of those with their ids."""
+        made = stored(rows, f"{workspace(self.spark, 'replace')}/rows")  # read twice, and never differently
+        self._change(made, made.select("id").distinct())
+
+    def update(self, changes: DataFrame, also_nulls: Sequence[str] = ()) -> None:
+        """Columns of changes (id, ...) replace those of the rows with their ids, where they are not null; those of also_nulls even if they are. Only these rows are written."""
         rows = self.read()
         names = [c for c in changes.columns if c != "id"]
         new = changes.select("id", *(F.col(c).alias(f"__{c}") for c in names))
-        out = rows.join(new, "id", "left")
-        self.write(out.select(*(F.coalesce(f"__{c}", c).alias(c) if c in names else F.col(c) for c in rows.columns)))
+        out = rows.join(new, "id")
+        value = lambda c: F.col(f"__{c}").cast(rows.schema[c].dataType) if c in also_nulls else F.coalesce(F.col(f"__{c}").cast(rows.schema[c].dataType), F.col(c))
+        self.replace(out.select(*(value(c).alias(c) if c in names else F.col(c) for c in rows.columns)))
 
     def delete(self, ids: DataFrame) -> None:
-        self.write(self.read().join(ids.select("id").distinct(), "id", "left_anti"))
+        self._change(None, ids.select("id").distinct())
 
     def delete_prefix(self, prefix: str) -> bool:
         """Delete the one row whose id starts so; False, and nothing changes, if there is none or more than one."""
@@ -84,8 +191,31 @@ class Store:
         return True
 
     def fold(self, touches: DataFrame) -> None:
-        """Take in touches (id, accessed_at, accesses) of searches: the last access, and their number."""
+        """Take in touches (id, accessed_at, accesses) of searches: the last access, and their number. Only the touched rows are written."""
         by = touches.groupBy("id").agg(F.max("accessed_at").alias("__at"), F.sum("accesses").alias("__n"))
         rows = self.read()
-        out = rows.join(by, "id", "left").withColumn("accessed_at", F.greatest("accessed_at", "__at")).withColumn("access_count", F.col("access_count") + F.coalesce("__n", F.lit(0)))
-        self.write(out.select(*rows.columns))
+        out = rows.join(by, "id").withColumn("accessed_at", F.greatest("accessed_at", "__at")).withColumn("access_count", F.col("access_count") + F.col("__n"))
+        self.replace(out.select(*rows.columns))
+
+    def compact(self) -> None:
+        """One segment in place of all; changes since the version that is read make it fail."""
+        number, segments = self._version()
+        if segments:
+            self._commit(number, [self._segment(self.read(), "rows", max(s["seq"] for s in segments) + 1)])
+
+    def vacuum(self) -> None:
+        """Delete versions and segments that the newest version does not need; readers of older ones end."""
+        number, segments = self._version()
+        named = {s["name"] for s in segments}
+        for n in self._numbers():
+            if n < number:
+                self._fs.delete(self._path(f"{self.folder}/versions/{n:012d}.json"), False)
+        for s in self._fs.listStatus(self._path(f"{self.folder}/data")):
+            if s.getPath().getName() not in named:
+                self._fs.delete(s.getPath(), True)
+
+    def storage(self) -> dict[str, float]:
+        """Megabytes of the folder: of the segments, of everything else (indexes and versions), and of both."""
+        size = lambda p: self._fs.getContentSummary(p).getLength() if self._fs.exists(p) else 0
+        total, table = size(self._path(self.folder)), size(self._path(f"{self.folder}/data"))
+        return {"table_mb": round(table / 2**20, 2), "index_mb": round((total - table) / 2**20, 2), "total_mb": round(total / 2**20, 2)}

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from remembra.functions.text import content_hash
-from remembra.operators.ingest import exchanges, substantive
+from remembra.memory import Memory
+from remembra.operators.ingest import exchange_content, exchange_importance, exchange_metadata, exchanges, session_summary, substantive
 from remembra.sources.files import session_messages
 from remembra.sources.store import Store
 
@@ -29,6 +30,20 @@ def ingest_sessions(spark: SparkSession, folder: str, checkpoint: str, take: Cal
     return session_files(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def sessions_into(memory: Memory, as_of: Column, least: float = 0.0) -> Callable[[DataFrame, int], None]:
+    """For ingest_sessions: saves each batch's exchanges as episodic memories, with their importance and metadata, those whose content is there left out, and
+    the summaries of its sessions."""
+
+    def take(rows: DataFrame, _: int) -> None:
+        rows = rows.withColumn("importance", exchange_importance()).filter(F.col("importance") >= least)
+        said = F.concat_ws(" ", "user", "assistant")
+        made = rows.select(exchange_content().alias("content"), F.lit("episodic").alias("type"), "importance", F.lit("sessions").alias("namespace"), F.concat(F.lit("session:"), F.col("session").cast("string")).alias("source"), F.to_json(exchange_metadata(said)).alias("metadata"))
+        short = session_summary(rows).select(F.col("summary").alias("content"), F.lit("session").alias("type"), F.lit(0.5).alias("importance"), F.lit("sessions").alias("namespace"), F.concat(F.lit("session:"), F.col("session").cast("string")).alias("source"), F.to_json(F.struct(F.lit(True).alias("isSummary"), F.col("exchanges").alias("exchangeCount"))).alias("metadata"))
+        memory.save(made.unionByName(short), as_of, dedup=True)
+
+    return take
+
+
 def attention_windows(records: DataFrame, late: str = "1 hour", width: str = "1 hour") -> DataFrame:
     """(start, topic, minutes): attention by topic in tumbling windows of records (created_at, topics, duration); later ones than `late` are dropped."""
     minutes = F.when(F.coalesce(F.col("duration"), F.lit(0.0)) == 0, 1.0).otherwise(F.col("duration"))
