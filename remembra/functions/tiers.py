@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,16 +26,22 @@ def first_paragraph(c: Column) -> Column:
     return trim(F.substring(F.when(at > 1, F.substring(c, F.lit(1), at - 1)).otherwise(c), 1, L1_CHARS))
 
 
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value made once however often `then` names it: as the item of an array of one."""
+    return F.transform(F.array(value), then)[0]
+
+
 def key_terms(c: Column, sentence: Column) -> Column:
-    low = F.lower(sentence)
-    fresh = F.filter(all_matches(c, TERM), lambda t: ~F.contains(low, F.lower(t)))
-    return F.slice(F.array_distinct(fresh), 1, KEY_TERMS)
+    # distinct first: a text has far fewer different terms than terms
+    return _bound(F.lower(sentence), lambda low: F.slice(F.filter(F.array_distinct(all_matches(c, TERM)), lambda t: ~F.contains(low, F.lower(t))), 1, KEY_TERMS))
 
 
 def l0(c: Column) -> Column:
-    sentence = first_sentence(c)
-    terms = key_terms(c, sentence)
-    return F.substring(F.concat(sentence, F.when(F.size(terms) > 0, F.concat(F.lit(" ["), F.array_join(terms, ", "), F.lit("]"))).otherwise("")), 1, L0_CHARS)
+    def with_terms(sentence: Column) -> Column:
+        tail = _bound(key_terms(c, sentence), lambda terms: F.when(F.size(terms) > 0, F.concat(F.lit(" ["), F.array_join(terms, ", "), F.lit("]"))).otherwise(""))
+        return F.substring(F.concat(sentence, tail), 1, L0_CHARS)
+
+    return _bound(first_sentence(c), with_terms)
 
 
 def l1(c: Column) -> Column:

@@ -89,13 +89,12 @@ def calibration(rows: DataFrame) -> DataFrame:
     """Brier score, mean confidence and outcome and number of the resolved predictions: in all, by bucket, by domain and by holder, in one pass."""
     resolved = rows.withColumn("actual", outcome(F.col("status"))).filter("actual is not null").withColumn("bucket", bucket(F.col("confidence")))
     resolved = resolved.withColumn("brier", (F.col("confidence") - F.col("actual")) * (F.col("confidence") - F.col("actual")))
-    view = "__resolved"
-    resolved.createOrReplaceTempView(view)
-    return resolved.sparkSession.sql(
-        f"""SELECT CASE WHEN grouping(bucket) = 0 THEN 'bucket' WHEN grouping(domain) = 0 THEN 'domain' WHEN grouping(holder) = 0 THEN 'holder' ELSE 'all' END AS part,
-        coalesce(bucket, domain, cast(holder AS string), '') AS value, avg(brier) AS brier, avg(confidence) AS predicted, avg(actual) AS actual, count(*) AS n
-        FROM {view} GROUP BY GROUPING SETS ((), (bucket), (domain), (holder))"""
+    by = [F.col(c) for c in ("bucket", "domain", "holder")]
+    sets = resolved.groupingSets([[], *([c] for c in by)], *by).agg(
+        *(F.grouping(c).alias(f"no_{c}") for c in ("bucket", "domain", "holder")), F.avg("brier").alias("brier"), F.avg("confidence").alias("predicted"), F.avg("actual").alias("actual"), F.count("*").alias("n")
     )
+    part = F.when(F.col("no_bucket") == 0, "bucket").when(F.col("no_domain") == 0, "domain").when(F.col("no_holder") == 0, "holder").otherwise("all")
+    return sets.select(part.alias("part"), F.coalesce("bucket", "domain", F.col("holder").cast("string"), F.lit("")).alias("value"), "brier", "predicted", "actual", "n")
 
 
 def brier_grade(score: Column) -> Column:
@@ -149,8 +148,13 @@ def attention(records: DataFrame, as_of: Column, hours: float = 24, holder: str
     if holder is not None:
         recent = recent.filter(F.col("holder") == holder)
     minutes = F.when(F.coalesce(F.col("duration"), F.lit(0.0)) == 0, 1.0).otherwise(F.col("duration"))
-    by = recent.select(F.explode("topics").alias("topic"), minutes.alias("d")).groupBy("topic").agg(F.sum("d").alias("minutes"))
-    return by.withColumn("share", F.col("minutes") / F.sum("minutes").over(W.partitionBy()))
+    each = recent.select(F.explode("topics").alias("topic"), minutes.alias("d"))
+    return each.groupBy("topic").agg(F.sum("d").alias("minutes")).withColumn("share", F.col("minutes") / each.select(F.sum("d")).scalar())
+
+
+def focus(breadth: Column) -> Column:
+    """What a breadth of attention says, by its bands below 0.3, 0.6 and 0.8."""
+    return F.when(breadth < 0.3, "Very focused").when(breadth < 0.6, "Moderately focused").when(breadth < 0.8, "Somewhat scattered").otherwise("Very scattered")
 
 
 def attention_trend(records: DataFrame, as_of: Column, hours: float = 24) -> DataFrame:

@@ -9,39 +9,52 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK = 2048
-
-_PACKED = "block int, dim int, ids binary, vectors binary"
+from remembra.sources.store import stored, workspace
 
+BLOCK = 2048
 
-def _pack(table: pa.Table) -> pa.Table:
-    flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return pa.table({"block": [table.column("block")[0].as_py()], "dim": [table.column("dim")[0].as_py()], "ids": [table.column("id").to_numpy().astype(np.int64).tobytes()], "vectors": [flat.tobytes()]}, pa.schema([("block", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())]))
+def _packed(df: DataFrame, blocks: int, path: str) -> DataFrame:
+    """Blocks (block, dim, ids, vectors) of rows (id, vector), written once however often the grid names them; an id keeps its type."""
+    kind = dict(df.dtypes)["id"]
+    schema = f"block int, dim int, ids array<{kind}>, vectors binary"
 
+    def pack(table: pa.Table) -> pa.Table:
+        flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        ids = table.column("id").combine_chunks()
+        one = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "dim": pa.array([table.column("dim")[0].as_py()], pa.int32()), "ids": one, "vectors": pa.array([flat.tobytes()], pa.binary())})
 
-def _packed(df: DataFrame, blocks: int) -> DataFrame:
     rows = df.filter("id is not null and vector is not null").select("id", F.size("vector").alias("dim"), F.col("vector").cast("array<double>").alias("v"))
-    return rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("block", "dim").applyInArrow(_pack, _PACKED)
-
-
-def _cells(left: DataFrame, right: DataFrame, below: bool) -> DataFrame:
-    """Cells of the grid of left and right blocks; below: only those on and above the diagonal."""
-    a, b = (max(1, -(-x.count() // BLOCK)) for x in (left, right))
-    l = _packed(left, a).select(F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("j"), "dim", F.col("ids").alias("a_ids"), F.col("vectors").alias("a"))
-    r = _packed(right, b).select(F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(a - 1))).alias("i"), "dim", F.col("ids").alias("b_ids"), F.col("vectors").alias("b"))
-    if below:
+    return stored(rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("block", "dim").applyInArrow(pack, schema), path)
+
+
+def _cells(left: DataFrame, right: DataFrame | None) -> DataFrame:
+    """Cells of the grid of left and right blocks; without right, those of left with itself on and above the diagonal."""
+    place = workspace(left.sparkSession, "blocks")
+    a = max(1, -(-left.count() // BLOCK))
+    l = _packed(left, a, f"{place}/left")
+    r, b = (l, a) if right is None else (_packed(right, b := max(1, -(-right.count() // BLOCK)), f"{place}/right"), b)
+    l = l.select(F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("j"), "dim", F.col("ids").alias("a_ids"), F.col("vectors").alias("a"))
+    r = r.select(F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(a - 1))).alias("i"), "dim", F.col("ids").alias("b_ids"), F.col("vectors").alias("b"))
+    if right is None:
         l, r = l.filter("i <= j"), r.filter("i <= j")
-    return l.join(r, ["i", "j", "dim"]).select("i", "j", "dim", "a_ids", "a", "b_ids", "b")
+    return l.join(r, ["i", "j", "dim"]).select("dim", "a_ids", "a", "b_ids", "b")
 
 
-def _open(batch: pa.RecordBatch) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    for i, j, dim, a_ids, a, b_ids, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-        yield i == j, np.frombuffer(a_ids, np.int64), np.frombuffer(a).reshape(-1, dim), np.frombuffer(b_ids, np.int64), np.frombuffer(b).reshape(-1, dim)
+def _open(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The two sides of each cell: ids, and vectors as rows of a matrix. Ids compare as Python compares them, texts by code points."""
+    dim, a_ids, a, b_ids, b = batch.columns
+    for k in range(batch.num_rows):
+        sides = []
+        for ids, v in ((a_ids, a), (b_ids, b)):
+            sides += [ids[k].values.to_numpy(zero_copy_only=False), np.frombuffer(v[k].as_buffer()).reshape(-1, dim[k].as_py())]
+        yield tuple(sides)
 
 
 def _folded(parts: np.ndarray) -> np.ndarray:
@@ -55,7 +68,7 @@ def _folded(parts: np.ndarray) -> np.ndarray:
 def _unit_pairs(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, a_ids, a, b_ids, b in _open(batch):
+            for a_ids, a, b_ids, b in _open(batch):
                 na, nb = np.sqrt(_folded(a * a)), np.sqrt(_folded(b * b))
                 size = na[:, None] * nb
                 near = (a @ b.T) / np.where(size > 0, size, np.inf)
@@ -66,31 +79,46 @@ def _unit_pairs(least: float):
                 exact = _folded(a[x] * b[y]) / size[x, y]
                 low, high = np.where(swap, b_ids[y], a_ids[x]), np.where(swap, a_ids[x], b_ids[y])
                 keep = exact >= least
-                pairs = np.unique(np.stack([low[keep], high[keep]], 1), axis=0, return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0][:, 0]), pa.array(pairs[0][:, 1]), pa.array(exact[keep][pairs[1]])], ["a", "b", "cosine"])
+                # a block meets itself in one cell, where each pair comes twice
+                pairs = pd.DataFrame({"a": low[keep], "b": high[keep], "cosine": exact[keep]}).drop_duplicates(["a", "b"])
+                yield pa.RecordBatch.from_pandas(pairs, preserve_index=False)
 
     return run
 
 
 def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:
     """(a, b, cosine), a < b, for every pair of rows (id, vector) with a cosine of `least` or more. Zero vectors are similar to nothing."""
-    return _cells(vectors, vectors, True).mapInArrow(_unit_pairs(least), "a long, b long, cosine double")
+    kind = dict(vectors.dtypes)["id"]
+    found = _cells(vectors, None).mapInArrow(_typed(_unit_pairs(least), kind), f"a {kind}, b {kind}, cosine double")
+    return stored(found, f"{workspace(vectors.sparkSession, 'pairs')}/found", 1)
+
+
+def _typed(run, kind: str):
+    """What run yields, its ids of one type, also where there are none to tell it."""
+    type_ = pa.string() if kind == "string" else pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else None
+
+    def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays([c if type_ is None or pa.types.is_floating(c.type) else c.cast(type_) for c in batch.columns], batch.schema.names)
+
+    return cast
 
 
 def _nearest(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, a_ids, a, b_ids, b in _open(batch):
+            for a_ids, a, b_ids, b in _open(batch):
                 rough = (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * (a @ b.T)
                 slack = 1e-9 * (1 + np.abs(rough))
-                rough[a_ids[:, None] == b_ids] = np.inf
+                own = a_ids[:, None] == b_ids
+                rough[own] = np.inf
                 most = np.partition(rough + slack, k - 1, axis=1)[:, k - 1] if len(b) > k else np.full(len(a), np.inf)
-                x, y = np.nonzero((rough - slack <= most[:, None]) & (a_ids[:, None] != b_ids))
+                x, y = np.nonzero((rough - slack <= most[:, None]) & ~own)
                 d = _folded((a[x] - b[y]) ** 2)
-                order = np.lexsort((b_ids[y], d, x))
+                place = np.argsort(np.argsort(b_ids, kind="stable"), kind="stable")  # ids in their order, as numbers
+                order = np.lexsort((place[y], d, x))
                 x, y, d = x[order], y[order], d[order]
-                place = np.arange(len(x)) - np.searchsorted(x, x)
-                keep = place < k
+                keep = np.arange(len(x)) - np.searchsorted(x, x) < k
                 yield pa.RecordBatch.from_arrays([pa.array(a_ids[x[keep]]), pa.array(b_ids[y[keep]]), pa.array(d[keep])], ["q", "id", "distance"])
 
     return run
@@ -98,6 +126,8 @@ def _nearest(k: int):
 
 def knn(queries: DataFrame, table: DataFrame, k: int) -> DataFrame:
     """(q, rank, id, distance): the exact k nearest rows of table to each of queries, by squared distance, ties to the smaller id; not the query's own id."""
-    found = _cells(queries, table, False).mapInArrow(_nearest(k), "q long, id long, distance double")
+    kind = dict(table.dtypes)["id"]
+    found = _cells(queries, table).mapInArrow(_typed(_nearest(k), kind), f"q {kind}, id {kind}, distance double")
+    found = stored(found, f"{workspace(table.sparkSession, 'nearest')}/found", 1)
     rank = F.row_number().over(W.partitionBy("q").orderBy("distance", "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("q", "rank", "id", "distance")

@@ -3,24 +3,69 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from remembra.functions.text import words
+from remembra.operators.blocks import similar_pairs
 from remembra.sources.store import stored, workspace
 
 DIMENSIONS = 512
 
 
 def hashed_vectors(memories: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(id, vector): counts of the contents' [a-z0-9]+ tokens by the hash of the token."""
+    """(id, vector): counts of the contents' [a-z0-9]+ tokens by the hash of the token; no row where there are none. One pass without a shuffle."""
     low = F.translate("content", string.ascii_uppercase, string.ascii_lowercase)
-    tokens = memories.select("id", F.explode(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))).alias("t"))
-    bucket = F.conv(F.substring(F.md5(F.col("t").cast("binary")), 1, 6), 16, 10).cast("int") % dimensions
-    counts = tokens.groupBy("id", bucket.alias("k")).agg(F.count("*").cast("double").alias("n"))
-    by = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("m"))  # at most `dimensions` entries
-    return by.select("id", F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda k: F.coalesce(F.col("m")[k], F.lit(0.0))).alias("vector"))
+    bucket = lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 6), 16, 10).cast("int") % dimensions
+    rows = memories.select("id", F.transform(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)), bucket).alias("k"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                lists = part.column(1)
+                row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+                n = np.bincount(row * dimensions + lists.flatten().to_numpy(), minlength=len(lists) * dimensions).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.FixedSizeListArray.from_arrays(pa.array(n), dimensions).cast(pa.list_(pa.float64()))], ["id", "vector"])
+
+    return rows.filter(F.size("k") > 0).mapInArrow(count, f"id {dict(memories.dtypes)['id']}, vector array<double>")
+
+
+def collapsed(vectors: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, first) for rows (id, vector) that are not zero, and (id, vector) of the firsts: first is the row with the least key (id, key) of those
+    with equal vectors, told by 96 bits of hash. k copies are then k rows, not k * k pairs, and are counted before they are shuffled."""
+    place = workspace(vectors.sparkSession, "collapsed")
+    rows = vectors.filter(F.exists("vector", lambda x: x != 0)).join(keys.select("id", "key"), "id")
+    rows = stored(rows.select("id", "key", "vector", F.xxhash64("vector").alias("h"), F.hash("vector").alias("g")), f"{place}/rows")
+    firsts = rows.groupBy("h", "g").agg(F.min_by("id", F.struct("key", "id")).alias("first"))
+    member = stored(rows.select("id", "h", "g").join(firsts, ["h", "g"]).select("id", "first"), f"{place}/member")
+    return member, rows.join(member.filter("id = first").select("id"), "id", "left_semi").select("id", "vector")
+
+
+def leaders(vectors: DataFrame, keys: DataFrame, least: float, strict: bool = False) -> DataFrame:
+    """leader_clusters of the rows (id, vector) with a cosine of `least` or more (strict: above it).
+
+    A copy is similar to what its first is, so it follows that one: to its seed, or to itself if it is a seed.
+    """
+    member, firsts = collapsed(vectors, keys)
+    pairs = similar_pairs(firsts, least)
+    found = stored(leader_clusters(pairs.filter(F.col("cosine") > least) if strict else pairs, keys), f"{workspace(vectors.sparkSession, 'leaders')}/found")
+    copies = member.filter("id <> first").select("first", F.col("id").alias("copy"))
+    followed = copies.join(found.withColumnRenamed("member", "first"), "first", "left")
+    return found.union(followed.select(F.coalesce("seed", "first"), "copy"))
+
+
+def groups(vectors: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(id, component) of the rows (id, vector) that are linked by cosines of `least` or more, and the links (a, b, cosine) with one to each copy."""
+    member, firsts = collapsed(vectors, vectors.select("id", F.col("id").alias("key")))
+    copies = member.filter("id <> first").select("first", "id", F.lit(1.0))
+    links = stored(similar_pairs(firsts, least).union(copies), f"{workspace(vectors.sparkSession, 'groups')}/links")
+    return components(links), links
 
 
 def directed(edges: DataFrame, keys: DataFrame) -> DataFrame:
@@ -35,21 +80,27 @@ def leader_clusters(edges: DataFrame, keys: DataFrame) -> DataFrame:
     becomes a seed, and each other row goes to its first such seed.
 
     The rounds decide all rows whose earlier neighbours are decided, or one of whose is a seed; they
-    are as many as the longest chain of rows that wait for each other. Each round is a written table.
+    are as many as the longest chain of rows that wait for each other. Each round writes what it decides, and the
+    edges of rows that wait on.
     """
     spark = edges.sparkSession
     place = workspace(spark, "leaders")
     e = stored(directed(edges, keys), f"{place}/edges")
     later = e.select(F.col("later").alias("id")).distinct()
-    decided = stored(e.select(F.col("earlier").alias("id")).distinct().join(later, "id", "left_anti").withColumn("seed", F.lit(True)), f"{place}/0")
-    waiting, k = stored(later, f"{place}/w0"), 0
-    while not waiting.isEmpty():
+    new = stored(e.select(F.col("earlier").alias("id")).distinct().join(later, "id", "left_anti").withColumn("seed", F.lit(True)), f"{place}/decided/round=0")
+    waiting, k = e.select("later", "earlier"), 0
+    while True:
         k += 1
-        known = e.join(waiting.withColumnRenamed("id", "later"), "later", "left_semi").join(decided.withColumnRenamed("id", "earlier"), "earlier", "left")
-        told = known.groupBy("later").agg(F.max(F.coalesce("seed", F.lit(False))).alias("near"), F.count_if(F.col("seed").isNull()).alias("open"))
-        new = stored(told.filter("near or open = 0").select(F.col("later").alias("id"), (~F.col("near")).alias("seed")), f"{place}/new{k}")
-        decided = stored(decided.union(new), f"{place}/{k}")
-        waiting = stored(waiting.join(new, "id", "left_anti"), f"{place}/w{k}")
+        # an edge of an earlier row that was decided without being a seed says nothing more
+        told = stored(waiting.join(new.withColumnRenamed("id", "earlier"), "earlier", "left").filter("seed is null or seed"), f"{place}/told{k}")
+        by = told.groupBy("later").agg(F.count_if("seed").alias("near"))
+        # rows all of whose edges are gone are seeds; they are those that waited and have none left
+        alone = waiting.select("later").distinct().join(by, "later", "left").filter("near is null or near > 0")
+        new = stored(alone.select(F.col("later").alias("id"), F.col("near").isNull().alias("seed")), f"{place}/decided/round={k}")
+        if new.isEmpty():
+            break
+        waiting = stored(told.select("later", "earlier").join(new.select(F.col("id").alias("later")), "later", "left_anti"), f"{place}/waiting{k}")
+    decided = spark.read.schema("id " + dict(e.dtypes)["later"] + ", seed boolean").parquet(*(f"{place}/decided/round={r}" for r in range(k + 1)))
     seeds = decided.filter("seed").select(F.col("id").alias("earlier"))
     member = e.join(seeds, "earlier", "left_semi").join(seeds.withColumnRenamed("earlier", "later"), "later", "left_anti")
     return member.groupBy("later").agg(F.min_by("earlier", "earlier_key").alias("seed")).select("seed", F.col("later").alias("member"))
@@ -73,13 +124,21 @@ def components(edges: DataFrame) -> DataFrame:
         label = new.select("id", "component")
 
 
-def keepers(groups: DataFrame, rows: DataFrame) -> DataFrame:
+def keepers(found: DataFrame, rows: DataFrame) -> DataFrame:
     """(component, keep, removed): of each component (id, component) the most important row (older, then smaller id) stays."""
-    ranked = groups.join(rows.select("id", "importance", "created_at"), "id")
+    ranked = found.join(rows.select("id", "importance", "created_at"), "id")
     best = F.min(F.struct((-F.col("importance")).alias("i"), "created_at", "id"))
     return ranked.groupBy("component").agg(best["id"].alias("keep"), (F.count("*") - 1).alias("removed"))
 
 
+def dedup_groups(found: DataFrame, links: DataFrame, rows: DataFrame) -> DataFrame:
+    """(component, keep, id, similarity): a row for each member that goes, with the one that stays for it and the largest
+    cosine within the component, rounded to four digits. found (id, component), links (a, b, cosine)."""
+    best = links.select(F.col("a").alias("id"), "cosine").join(found, "id").groupBy("component").agg(F.round(F.max("cosine"), 4).alias("similarity"))
+    kept = keepers(found, rows).select("component", "keep").join(best, "component")
+    return found.join(kept, "component").filter(F.col("id") != F.col("keep")).select("component", "keep", "id", "similarity")
+
+
 def containment_edges(segments: DataFrame, least: float = 0.7, longer_than: int = 4) -> DataFrame:
     """(a, b) for segments (file, id, text) of one file that share more than `least` of the smaller one's longer words."""
     sets = segments.select("file", "id", F.array_distinct(words(F.lower("text"), longer_than)).alias("w")).withColumn("n", F.size("w"))

@@ -40,7 +40,7 @@ OPPOSITES = {
     "profitable": ["unprofitable", "losing money", "in the red"],
     "unprofitable": ["profitable", "making money", "in the black"],
 }
-NEGATION = r"(?i)\b(?:not|no|never|doesn't|don't|won't|can't|cannot|isn't|aren't|hasn't|haven't|neither|nor|without|unable|fails?)\b|\w+n't\b"
+NEGATION = r"\b(?i:not|no|never|doesn't|don't|won't|can't|cannot|isn't|aren't|hasn't|haven't|neither|nor|without|unable|fails?)\b|\w+n't\b"
 STOP_WORDS = (
     "the a an and or but in on at to for of with is are was were be been being have has had do does did will would could should may might shall "
     "that this these those it its i we you he she they my our your his her their as by from up about into through during before after then if when "

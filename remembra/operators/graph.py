@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,10 +30,15 @@ SENTENCE_END = r"(?<=[.!?])\s+"
 STRONG, WEAK, TOGETHER = 0.8, 0.3, 6
 
 
+#: Two or more words in a row that start, behind what is no letter, with a capital and a small letter.
+RUN = r"(?<!\S)[^a-zA-Z'\s]*[A-Z][a-z]\S*(?:\s+[^a-zA-Z'\s]*[A-Z][a-z]\S*)+"
+#: A strong verb between two words.
+VERB = rf"(?i)\s+(?:(?:has|also|just|now)\s+)?({'|'.join(VERBS)})(?:s|ed|ing)?\s+"
+
+
 def _people(sentence: Column) -> Column:
-    """Pairs of capitalised words, not at the sentence's start, from left to right without overlap."""
-    tokens = F.split(trim(sentence), r"\s+")
-    clean = F.transform(F.slice(tokens, 2, 1_000_000_000), lambda t: F.regexp_replace(t, r"^[^a-zA-Z']+|[^a-zA-Z']+\z", ""))
+    """Pairs of capitalised words, not at the sentence's start, from left to right without overlap. Only runs of such words are taken apart."""
+    rest = F.regexp_replace(trim(sentence), r"^\S+", "")
     start = F.struct(F.lit(None).cast("string").alias("open"), F.expr("cast(array() as array<string>)").alias("out"))
 
     def step(acc: Column, t: Column) -> Column:
@@ -43,7 +46,11 @@ def _people(sentence: Column) -> Column:
         pair = acc["open"].isNotNull() & good
         return F.struct(F.when(good & acc["open"].isNull(), t).alias("open"), F.when(pair, F.concat(acc["out"], F.array(F.concat(acc["open"], F.lit(" "), t)))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(clean, start, step, lambda acc: acc["out"])
+    def pairs(run: Column) -> Column:
+        clean = F.transform(F.split(run, r"\s+"), lambda t: F.regexp_replace(t, r"^[^a-zA-Z']+|[^a-zA-Z']+\z", ""))
+        return F.aggregate(clean, start, step, lambda acc: acc["out"])
+
+    return F.flatten(F.transform(F.regexp_extract_all(rest, F.lit(RUN), F.lit(0)), pairs))
 
 
 def entities(memories: DataFrame, known: Sequence[tuple[str, str, str]] = ()) -> DataFrame:
@@ -54,7 +61,8 @@ def entities(memories: DataFrame, known: Sequence[tuple[str, str, str]] = ()) ->
     for pattern, name, kind in known:
         parts.append(F.when(c.rlike("(?i)" + pattern), F.array(F.struct(F.lit(name).alias("name"), F.lit(kind).alias("type")))).otherwise(F.expr("cast(array() as array<struct<name:string,type:string>>)")))
     parts += [of(all_matches(c, URL), "url"), of(all_matches(c, DATE, 1), "date"), of(all_matches(c, COMPANY, 1), "company")]
-    parts.append(of(F.flatten(F.transform(F.split(c, SENTENCE_END), _people)), "person"))
+    named = F.filter(F.split(c, SENTENCE_END), lambda s: s.rlike(RUN))
+    parts.append(of(F.flatten(F.transform(named, _people)), "person"))
     rows = memories.select("id", F.posexplode(F.concat(*parts)).alias("place", "e")).select("id", "place", "e.name", "e.type").filter("length(name) between 2 and 120")
     first = F.row_number().over(W.partitionBy("id", F.lower("name")).orderBy("place"))
     return rows.withColumn("n", first).filter("n = 1").drop("n")
@@ -75,34 +83,70 @@ def together(memories: DataFrame, found: DataFrame) -> DataFrame:
     return ranked.join(right, ["id", "s"]).filter("r < r2").select("id", F.col("name").alias("source"), "target").distinct()
 
 
-def _relations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Verbs between entities need a pattern of each memory's own names; hence Python."""
-    for batch in batches:
-        rows = []
-        for id_, content, names in zip(batch["id"], batch["content"], batch["names"], strict=True):
-            names = list(names)
-            either = "|".join(map(re.escape, names))
-            verb = re.compile(rf"({either})\s+(?:(?:has|also|just|now)\s+)?({'|'.join(VERBS)})(?:s|ed|ing)?\s+({either})", re.I | re.A)
-            for sentence in re.split(SENTENCE_END, content):
-                low, seen = sentence.lower(), set()
-                for m in verb.finditer(sentence):
-                    a, b = m[1].lower(), m[3].lower()
-                    if a != b:
-                        rows.append((id_, a, b, m[2].lower(), STRONG))
-                        seen.add(frozenset((a, b)))
-                near = [n.lower() for n in names if n.lower() in low][:TOGETHER]
-                for i, a in enumerate(near):
-                    for b in near[i + 1 :]:
-                        if frozenset((a, b)) not in seen:
-                            seen.add(frozenset((a, b)))
-                            rows.append((id_, a, b, "co-occurs-with", WEAK))
-        yield pd.DataFrame(rows, columns=["id", "source", "target", "relation", "weight"]).drop_duplicates(["id", "source", "target", "relation"])
+def _said(sentence: Column, names: Column) -> Column:
+    """array<struct<a, b, relation>>: of each strong verb the longest name before it and the first of the names behind it, from left to right without overlap."""
+    hits = F.zip_with(
+        F.zip_with(F.split(sentence, VERB, -1), F.regexp_extract_all(sentence, F.lit(VERB), F.lit(0)), lambda p, h: F.struct(F.length(p).alias("n"), h.alias("h"))),
+        F.regexp_extract_all(sentence, F.lit(VERB), F.lit(1)),
+        lambda x, v: F.struct(x["n"].alias("n"), x["h"].alias("h"), F.lower(v).alias("verb")),
+    )
+    low = F.lower(sentence)
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("done"), F.expr("cast(array() as array<struct<a:string,b:string,relation:string>>)").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        at = acc["at"] + x["n"]
+        end = at + F.length(x["h"])
+        left, right = F.substring(low, acc["done"] + 1, at - acc["done"]), F.substring(low, end + 1, F.length(low))
+        before = F.array_max(F.transform(F.filter(names, lambda n: F.endswith(left, n)), lambda n: F.struct(F.length(n).alias("k"), n.alias("n"))))["n"]
+        behind = F.get(F.filter(names, lambda n: F.startswith(right, n)), F.lit(0))
+        hit = before.isNotNull() & behind.isNotNull()
+        one = F.array(F.struct(before.alias("a"), behind.alias("b"), x["verb"].alias("relation")))
+        return F.struct(end.alias("at"), F.when(hit, end + F.length(behind)).otherwise(acc["done"]).alias("done"), F.when(hit & (before != behind), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(F.filter(hits, lambda x: x["h"].isNotNull()), start, step, lambda acc: acc["out"])
 
 
 def relationships(memories: DataFrame, found: DataFrame) -> DataFrame:
-    """(id, source, target, relation, weight): what a sentence says of two entities with a strong verb, else that they share it."""
-    names = found.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]).alias("names")).filter(F.size("names") >= 2)
-    return memories.select("id", "content").join(names, "id").mapInPandas(_relations, "id long, source string, target string, relation string, weight double")
+    """(id, source, target, relation, weight): what a sentence says of two entities with a strong verb, else that they share it (the first six of a sentence).
+
+    Names are lower-cased. Sentences are rows, names arrays; no pattern is made of names.
+    """
+    names = found.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: F.lower(x["name"])).alias("names")).filter(F.size("names") >= 2)
+    rows = memories.select("id", "content").join(names, "id").select("id", "names", F.explode(F.split("content", SENTENCE_END)).alias("sentence"))
+    rows = rows.withColumn("near", F.filter("names", lambda n: F.contains(F.lower("sentence"), n))).filter(F.size("near") >= 2)
+    rows = rows.withColumn("said", _said(F.col("sentence"), F.col("names"))).withColumn("near", F.slice("near", 1, TOGETHER))
+    pairs = F.flatten(F.transform("near", lambda x, i: F.transform(F.slice("near", i + 2, F.lit(TOGETHER)), lambda y: F.struct(x.alias("a"), y.alias("b"), F.lit("co-occurs-with").alias("relation")))))
+    weak = F.filter(pairs, lambda p: ~F.exists("said", lambda s: ((s["a"] == p["a"]) & (s["b"] == p["b"])) | ((s["a"] == p["b"]) & (s["b"] == p["a"]))))
+    each = rows.select("id", F.explode(F.concat(F.transform("said", lambda s: F.struct(s.alias("r"), F.lit(STRONG).alias("w"))), F.transform(weak, lambda s: F.struct(s.alias("r"), F.lit(WEAK).alias("w"))))).alias("e"))
+    return each.select("id", F.col("e.r.a").alias("source"), F.col("e.r.b").alias("target"), F.col("e.r.relation").alias("relation"), F.col("e.w").alias("weight")).distinct()
+
+
+def entity_id(name: Column) -> Column:
+    """An entity's id: of its name in any case."""
+    return F.md5(F.lower(name))
+
+
+def tables(memories: DataFrame, known: Sequence[tuple[str, str, str]] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """entities (id, name, type, aliases), mentions (id, entity, memory) and relations (id, source, target, relation, weight, memory) of memories (id, content).
+
+    Their ids follow from what they say, so rows that are made again have the ids of those that are there.
+    """
+    found = stored(entities(memories, known), f"{workspace(memories.sparkSession, 'entities')}/found")
+    nodes = upserted(found).select(F.md5("entity").alias("id"), "name", "type", F.expr("cast(array() as array<string>)").alias("aliases"))
+    mentions = found.select(entity_id(F.col("name")).alias("entity"), F.col("id").alias("memory")).distinct()
+    mentions = mentions.select(F.md5(F.concat_ws("|", "entity", F.col("memory").cast("string"))).alias("id"), "entity", "memory")
+    edges = relationships(memories, found).select(F.md5("source").alias("source"), F.md5("target").alias("target"), "relation", "weight", F.col("id").alias("memory"))
+    edges = edges.select(F.md5(F.concat_ws("|", "source", "target", "relation", F.col("memory").cast("string"))).alias("id"), "source", "target", "relation", "weight", "memory")
+    return nodes, mentions, edges
+
+
+def query_entities(entities_: DataFrame, text: str, known: Sequence[tuple[str, str, str]] = ()) -> DataFrame:
+    """(entity): the entities that a query names: by name in any case, or the shortest name that contains it."""
+    spark = entities_.sparkSession
+    asked = entities(spark.createDataFrame([(0, text)], "id long, content string"), known).select(F.lower("name").alias("asked"))
+    near = entities_.join(F.broadcast(asked), F.contains(F.lower("name"), F.col("asked")))  # asked has the few names of one query
+    rank = F.struct((F.lower("name") != F.col("asked")).alias("other"), F.length("name").alias("n"), "id")
+    return near.groupBy("asked").agg(F.min_by("id", rank).alias("entity")).select("entity").distinct()
 
 
 # ---- queries; entities (id, name, type), edges (source, target, relation, weight) ----
@@ -116,7 +160,11 @@ def lookup(entities_: DataFrame, name: str) -> DataFrame:
 
 
 def fuzzy(entities_: DataFrame, part: str, limit: int = 20) -> DataFrame:
-    return entities_.filter(F.lower("name").contains(part.lower())).orderBy("name", "id").limit(limit)
+    """Entities whose name, or one of whose aliases, has the part, in any case."""
+    has = F.lower("name").contains(part.lower())
+    if "aliases" in entities_.columns:
+        has = has | F.coalesce(F.exists("aliases", lambda x: F.lower(x).contains(part.lower())), F.lit(False))
+    return entities_.filter(has).orderBy("name", "id").limit(limit)
 
 
 def of_entity(edges: DataFrame, entities_: DataFrame, id_: str) -> DataFrame:

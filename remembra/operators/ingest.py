@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from remembra.functions.text import all_matches, contains_any, first_case, matches, trim
+from remembra.functions.text import SPACE, all_matches, contains_any, first_case, matches, trim
+from remembra.sources.store import stored, workspace
 
 # Words of a section's name that tell its type, in this order; words that tell a text's importance.
 SECTION_TYPES = [
@@ -62,6 +63,9 @@ SKIPPED = r"^(?i:you:|me:|user:|assistant:|human:|ai:|system:|claude:)|^[>\-*#]+
 SPEAKER = r"^\[?(?i:User|Human|Assistant|AI|Claude)\]?:\s*"
 MARKS = r"^[>\-*#]+\s*"
 
+#: The place of a segment's own memory, behind those of the people that it names.
+SEGMENT = 1 << 20
+
 # Project names, and signals of an exchange's importance and of a deployment.
 ALL_PROJECTS = "myapp trading dashboard blog docs api openclaw remotion vapi convex vercel stripe".split()
 MAIN_PROJECTS = ALL_PROJECTS[:6]
@@ -116,8 +120,11 @@ def markdown_blocks(lines: DataFrame) -> DataFrame:
 def high_signal(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(file, n, type, importance, content) of the lines with a prefix of high signal, and the lines that are left."""
     bare = trim(F.regexp_replace("line", r"^[-*]\s+", ""))
-    out = lines.withColumn("bare", bare)
-    which = first_case([(F.col("bare").rlike(rf"^(?i:{p}):\s*.+"), k) for k, (p, _, _) in enumerate(PREFIXES)], -1)
+    any_ = "|".join(p for p, _, _ in PREFIXES)
+    # most lines have none of the prefixes, and are asked once, before they are trimmed
+    maybe = F.col("line").rlike(rf"^(?:[-*]\s+)?[{SPACE}]*(?i:{any_}):")
+    out = lines.withColumn("bare", F.when(maybe, bare))
+    which = first_case([(F.col("bare").isNull(), -1), *((F.col("bare").rlike(rf"^(?i:{p}):\s*.+"), k) for k, (p, _, _) in enumerate(PREFIXES))], -1)
     out = out.withColumn("which", which)
     kind = F.element_at(F.array(*(F.lit(t) for _, t, _ in PREFIXES)), F.col("which") + 1)
     value = F.element_at(F.array(*(F.lit(v) for _, _, v in PREFIXES)), F.col("which") + 1)
@@ -167,20 +174,32 @@ def person_mentions(segment: Column) -> Column:
 
 
 def transcript_memories(lines: DataFrame, namespace: str = "general") -> DataFrame:
-    """(file, n, k, type, importance, namespace, content): people at their first mention, and each segment by its class. Near-repeats are dropped by clusters.containment."""
+    """(file, n, k, j, type, importance, namespace, source, tags, content): people at their first mention (j: place among a segment's), and each segment (j: SEGMENT) by its class."""
     s = segments(lines)
     people = s.select("file", "n", "k", "segment", F.posexplode(person_mentions(F.col("segment"))).alias("j", "name"))
     first = F.row_number().over(W.partitionBy("file", F.lower("name")).orderBy("n", "k", "j"))
     people = people.withColumn("first", first).filter("first = 1")
     about = F.concat(F.lit("Person mentioned in conversation: "), "name", F.lit('. Context: "'), F.substring("segment", 1, 150), F.lit('"'))
-    people = people.select("file", "n", "k", F.lit("semantic").alias("type"), F.lit(0.6).alias("importance"), F.lit("user/people").alias("namespace"), about.alias("content"))
+    made = F.lit("extract").alias("source")
+    people = people.select("file", "n", "k", "j", F.lit("semantic").alias("type"), F.lit(0.6).alias("importance"), F.lit("user/people").alias("namespace"), made, F.array(F.lit("person"), F.lower("name")).alias("tags"), about.alias("content"))
     kind = segment_class(F.col("segment"))
     types = F.when(kind == "decision", "belief").when(kind == "lesson", "reflection").when(kind == "fact", "semantic")
     value = F.when(kind == "decision", 0.8).when(kind == "lesson", 0.75).otherwise(0.6)
-    rest = s.select("file", "n", "k", types.alias("type"), value.alias("importance"), F.lit(namespace).alias("namespace"), F.col("segment").alias("content")).filter("type is not null")
+    rest = s.select("file", "n", "k", F.lit(SEGMENT).alias("j"), types.alias("type"), value.alias("importance"), F.lit(namespace).alias("namespace"), made, F.array(kind, F.lit("extracted")).alias("tags"), F.col("segment").alias("content")).filter("type is not null")
     return people.union(rest)
 
 
+def extracted(lines: DataFrame, namespace: str = "general") -> DataFrame:
+    """transcript_memories without those that share over 0.7 of the smaller one's longer words with an earlier one of the file that stays."""
+    from remembra.operators import clusters
+
+    rows = transcript_memories(lines, namespace).withColumn("id", F.concat_ws(":", "file", "n", "k", "j"))
+    rows = stored(rows, f"{workspace(rows.sparkSession, 'extracted')}/rows")
+    edges = clusters.containment_edges(rows.select("file", "id", F.col("content").alias("text")))
+    near = clusters.leader_clusters(edges, rows.select("id", F.struct("file", "n", "k", "j").alias("key")))
+    return rows.join(near.select(F.col("member").alias("id")), "id", "left_anti").drop("id")
+
+
 # ---- sessions ----
 
 

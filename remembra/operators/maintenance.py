@@ -38,9 +38,8 @@ def stats(memories: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def share(df: DataFrame, by: str, count: str = "n") -> DataFrame:
-    """Rows of each value and their part of all; the window runs over one row a value."""
-    counted = df.groupBy(by).agg(F.count("*").alias(count))
-    return counted.withColumn("share", F.col(count) / F.sum(count).over(W.partitionBy()))
+    """Rows of each value and their part of all, which is counted by itself."""
+    return df.groupBy(by).agg(F.count("*").alias(count)).withColumn("share", F.col(count) / df.select(F.count("*")).scalar())
 
 
 def top(memories: DataFrame, column: str, k: int = 10) -> DataFrame:
@@ -134,6 +133,18 @@ def topics(memories: DataFrame, since: Column, most: int = 10) -> DataFrame:
     return each.groupBy("topic").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "topic").limit(most)
 
 
+def reflection(memories: DataFrame, beliefs: DataFrame, since: Column, hours: int, most_types: int = 5, most_topics: int = 5) -> DataFrame:
+    """One row (memories, types, topics, stale, sentence) on the memories created since then: the commonest types and topics as `name(count)`, and the
+    number of beliefs (with `stale`, see beliefs.active) that nothing has challenged for long."""
+    recent = memories.filter(F.col("created_at") >= since)
+    listed = lambda df, name: df.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col(name).alias("name"), "n"))), lambda x: F.concat(x["name"], F.lit("("), x["n"].cast("string"), F.lit(")"))), ", ")).first()[0]  # noqa: E731  # a few rows
+    kinds = listed(recent.groupBy("type").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "type").limit(most_types), "type")
+    words_ = listed(topics(memories, since, most_topics), "topic")
+    stale_ = beliefs.agg(F.count_if("stale")).first()[0]
+    text = F.concat(F.lit(f"Reflection on last {hours} hours: "), F.col("memories").cast("string"), F.lit(f" memories saved. Top types: {kinds}. Top topics: {words_}. Stale beliefs: {stale_}."))
+    return recent.agg(F.count("*").alias("memories")).select("memories", F.lit(kinds).alias("types"), F.lit(words_).alias("topics"), F.lit(stale_).alias("stale"), text.alias("sentence"))
+
+
 # Words of the self-review's classes; avoidance is what is due and not said to be done.
 SYCOPHANCY = ["great idea", "excellent", "perfect", "i agree", "sounds good", "absolutely"]
 DUE, DONE = ["should", "need to", "todo"], ["completed", "done"]
@@ -150,3 +161,8 @@ def shadow(memories: DataFrame, since: Column, hours: float, most_projects: int
     rows = [F.struct(F.lit(n).alias("class"), F.col(f"n_{n}").alias("n"), F.col(f"id_{n}").alias("first_id")) for n in classes]
     rows.append(F.struct(F.lit("breadth").alias("class"), F.when((F.col("projects") > most_projects) & F.lit(hours <= 24), F.col("projects")).otherwise(F.lit(0)).cast("long").alias("n"), F.lit(None).cast("long").alias("first_id")))
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def shadow_total(classes: DataFrame) -> DataFrame:
+    """One row (total) of the classes that shadow gives: all instances, and one more if there is too much breadth."""
+    return classes.agg(F.sum(F.when(F.col("class") == "breadth", F.least(F.lit(1), F.col("n"))).otherwise(F.col("n"))).cast("long").alias("total"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from remembra.functions import scoring, tiers
-from remembra.functions.text import trim
+from remembra.functions.text import matches, trim
 from remembra.schemas import TYPES
 
 MERGED_CHARS, MERGED_IMPORTANCE = 500, 0.7
@@ -114,6 +115,43 @@ def journal(entries: DataFrame, as_of: Column) -> DataFrame:
     return prepared(rows, as_of)
 
 
+def behaviours(signals: DataFrame, as_of: Column) -> DataFrame:
+    """What was done, of signals (content, holder, related_beliefs)."""
+    meta = F.to_json(F.struct("holder", F.coalesce("related_beliefs", F.expr("cast(array() as array<string>)")).alias("relatedBeliefs")))
+    return prepared(signals.select("content", F.lit("behavior").alias("type"), F.lit(0.6).alias("importance"), F.lit("behavior-tracker").alias("source"), meta.alias("metadata")), as_of)
+
+
+def attentions(records: DataFrame, as_of: Column) -> DataFrame:
+    """What was looked at, of records (topics, holder, duration in minutes; none or zero counts as one)."""
+    given = F.coalesce("duration", F.lit(0.0)) != 0
+    minutes = F.regexp_replace(F.col("duration").cast("string"), r"\.0$", "")
+    content = F.concat(F.lit("Attention on: "), F.array_join("topics", ", "), F.when(given, F.concat(F.lit(" ("), minutes, F.lit("m)"))).otherwise(""))
+    meta = F.to_json(F.struct("holder", "topics", F.when(given, F.col("duration")).otherwise(1.0).alias("durationMinutes"), as_of.alias("timestamp")))
+    return prepared(records.select(content.alias("content"), F.lit("attention").alias("type"), F.lit(0.3).alias("importance"), F.lit("attention-tracker").alias("source"), meta.alias("metadata")), as_of)
+
+
+def follow_ups(items: DataFrame, as_of: Column) -> DataFrame:
+    """Open follow-ups of items (content, holder, created_from)."""
+    meta = F.to_json(F.struct("holder", F.col("created_from").alias("source"), F.lit("open").alias("status"), "created_from"))
+    return prepared(items.select("content", F.lit("follow-up").alias("type"), F.lit(0.8).alias("importance"), F.lit("follow-up-tracker").alias("source"), meta.alias("metadata")), as_of)
+
+
+def beliefs(statements: DataFrame, as_of: Column) -> DataFrame:
+    """New beliefs of (content, confidence, domain, holder, evidence, tags): active, and of importance 0.6 or their confidence."""
+    have = set(statements.columns)
+    texts = "cast(array() as array<string>)"
+    col = lambda c, default: F.coalesce(F.col(c), default) if c in have else default
+    history = F.array(F.struct(as_of.alias("date"), F.col("confidence"), F.lit("initial belief").alias("reason")))
+    meta = F.to_json(
+        F.struct(
+            "confidence", "domain", col("holder", F.lit("agent")).alias("holder"), F.lit("active").alias("status"), col("evidence", F.expr(texts)).alias("evidence_for"), F.expr(texts).alias("evidence_against"),
+            as_of.alias("last_challenged"), F.lit(0).alias("times_confirmed"), F.lit(0).alias("times_refuted"), F.col("confidence").alias("stated_confidence"), history.alias("history"),
+        )
+    )
+    rows = statements.select("content", F.lit("belief").alias("type"), F.greatest(F.lit(0.6), F.col("confidence")).alias("importance"), F.lit("belief-system").alias("source"), col("tags", F.expr(texts)).alias("tags"), meta.alias("metadata"))
+    return prepared(rows, as_of)
+
+
 def _once(text: Column, old: str, new: str) -> Column:
     """text with the first `old` replaced."""
     at = F.instr(text, old)
@@ -135,7 +173,7 @@ def challenge_queries(statement: Column) -> Column:
 
 def challenged(results: DataFrame, limit: int = 10) -> DataFrame:
     """results (belief, query_no, id, type, score): each memory that is no belief once per belief, as its first query found it, the best of them."""
-    first = F.row_number().over(W.partitionBy("belief", "id").orderBy("query_no"))
+    first = F.row_number().over(W.partitionBy("belief", "id").orderBy("query_no", F.col("score").desc()))
     rows = results.filter("type <> 'belief'").withColumn("n", first).filter("n = 1")
     rank = F.row_number().over(W.partitionBy("belief").orderBy(F.col("score").desc(), "id"))
     return rows.withColumn("rank", rank).filter(F.col("rank") <= limit).select("belief", "rank", "id", "score")
@@ -164,6 +202,38 @@ def frequent_short_form(content: Column, most: int = 6) -> Column:
     return F.when(c == "", "").otherwise(F.concat(short, F.when(F.size(new) > 0, F.concat(F.lit(" ["), F.array_join(new, ", "), F.lit("]"))).otherwise("")))
 
 
+MARKERS = [
+    r"\b(decided|decision|resolved|conclusion|therefore|thus)\b", r"\b(learned|lesson|insight|takeaway|key finding)\b",
+    r"\b(important|critical|essential|note:|warning:)\b", r"\b(result:|outcome:|conclusion:)\b",
+]
+#: Words of the longer short form.
+OVERVIEW_WORDS, SHORT_OVERVIEW = 375, 200
+
+
+def overview(content: Column) -> Column:
+    """The other longer form: a short text as it is, else the first paragraph (and the second, if that makes little), headings and up to five sentences that matter, cut at 375 words."""
+    words = lambda t: F.split(t, r"\s+")
+    keep = lambda a, least: F.filter(a, lambda x: F.length(x) > least)
+    marked = lambda s: reduce(lambda a, b: a | b, (matches(s, "(?i)" + m) for m in MARKERS))
+
+    def made(c: Column) -> Column:
+        paragraphs = keep(F.transform(F.split(c, r"\n{2,}"), lambda p: trim(F.regexp_replace(p, "\n", " "))), 10)
+        headings = F.regexp_extract_all(c, F.lit(r"(?m)^#{1,3}[^\S\n]+[^\n]+$"), F.lit(0))
+        sentences = keep(F.transform(F.split(c, r"(?<=[.!?])\s+(?=[A-Z\"'\u2018\u2019\u201C])|(?<=[.!?])\z"), trim), 0)
+        points = F.slice(F.filter(F.slice(sentences, 2, 1 << 30), marked), 1, 5)
+        head = F.slice(paragraphs, 1, 1)
+        rest = F.concat(
+            F.when(F.size(headings) > 0, F.array(F.concat(F.lit("\n"), F.array_join(headings, "\n")))).otherwise(F.expr("cast(array() as array<string>)")),
+            F.when(F.size(points) > 0, F.array(F.concat(F.lit("\nKey points: "), F.array_join(points, " ")))).otherwise(F.expr("cast(array() as array<string>)")),
+        )
+        short = F.size(words(F.array_join(F.concat(head, rest), "\n"))) < SHORT_OVERVIEW
+        parts = F.concat(head, F.when(short, F.slice(paragraphs, 2, 1)).otherwise(F.expr("cast(array() as array<string>)")), rest)
+        cut = lambda t: F.when(F.size(words(t)) > OVERVIEW_WORDS, F.concat(F.array_join(F.slice(words(t), 1, OVERVIEW_WORDS), " "), F.lit("..."))).otherwise(t)
+        return F.transform(F.array(trim(F.array_join(parts, "\n"))), cut)[0]
+
+    return F.transform(F.array(trim(content)), lambda c: F.when(F.size(words(c)) <= OVERVIEW_WORDS, c).otherwise(made(c)))[0]
+
+
 def check_new(new: DataFrame, near: DataFrame, memories: DataFrame, least_similarity: float = 0.5) -> DataFrame:
     """(a, b, score, kind): contradictions of new memories with those that are near (q, id, vector_score), themselves left out."""
     from remembra.operators import contradictions as K

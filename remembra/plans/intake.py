@@ -73,10 +73,10 @@ def high_signal_lines(spark, sf):
 
 
 @query(f"""{LINES_SQL}, {SIGNAL_SQL}, rest AS (SELECT file, n, line FROM signal WHERE which < 0), {blocks_sql('rest')}
-SELECT type, importance, count(*) AS n FROM (SELECT list_extract([{', '.join(quoted(t) for _, t, _ in I.PREFIXES)}], which + 1) AS type, list_extract([{', '.join(f'{v}::DOUBLE' for _, _, v in I.PREFIXES)}], which + 1) AS importance FROM signal WHERE which >= 0
- UNION ALL SELECT {cases('section', I.SECTION_TYPES, 'semantic')}, least({cases('content', I.TEXT_IMPORTANCE, 0.5)}, 0.3::DOUBLE) FROM blocks WHERE content <> '') GROUP BY ALL""")
+SELECT file, list_extract([{', '.join(quoted(t) for _, t, _ in I.PREFIXES)}], which + 1) AS type, list_extract([{', '.join(f'{v}::DOUBLE' for _, _, v in I.PREFIXES)}], which + 1) AS importance, 'high-signal' AS tag, {trim_sql("regexp_extract(bare, '^[A-Za-z]+:\\s*(.+)', 1)")} AS content FROM signal WHERE which >= 0
+UNION ALL SELECT file, {cases('section', I.SECTION_TYPES, 'semantic')}, least({cases('content', I.TEXT_IMPORTANCE, 0.5)}, 0.3::DOUBLE), CASE WHEN section <> '' THEN regexp_replace(lower(section), '\\s+', '-', 'g') ELSE '' END, content FROM blocks WHERE content <> ''""")
 def smart_markdown(spark, sf):
-    return I.smart_markdown(file_lines(spark, sf)).groupBy("type", "importance").agg(F.count("*").alias("n"))
+    return I.smart_markdown(file_lines(spark, sf)).withColumn("tag", F.array_join("tags", ",")).drop("tags")
 
 
 TAILS = [" We decided to keep it.", " Lesson: check it twice.", " The version is 3 now and stays.", " I talked to Alice Smith about that.", " Bob said no.", "", " > quote", " api key rotated by Sarah,"]
@@ -117,7 +117,8 @@ def transcript_classes(spark, sf):
 
 NAMES_SQL = f"""named AS (SELECT *, list_filter([{', '.join(trim_sql(f'regexp_extract(segment, {quoted(p)}, 1)') for p in I.PERSON)}], lambda x: length(x) > 2 AND lower(x) NOT IN ({', '.join(map(quoted, I.NO_NAMES))})) AS a,
  list_filter(list_transform(list_filter(string_split_regex(segment, '\\s+'), lambda w: lower(regexp_replace(w, '[^a-zA-Z]', '', 'g')) IN ({', '.join(map(quoted, I.FIRST_NAMES))}) AND w[1] = upper(w[1])), lambda w: regexp_replace(w, '^([a-zA-Z]*)[^a-zA-Z]', '\\1')), lambda x: length(x) > 2) AS b FROM segments),
-mentions AS (SELECT file, n, k, unnest(list_concat(a, b)) AS name FROM named)"""
+listed AS (SELECT file, n, k, segment, list_concat(a, b) AS names FROM named),
+mentions AS (SELECT file, n, k, segment, unnest(names) AS name, generate_subscripts(names, 1) AS i FROM listed)"""
 
 
 @query(f"{TRANSCRIPT_SQL}, {NAMES_SQL} SELECT DISTINCT file, n, k, name FROM mentions")
@@ -126,10 +127,21 @@ def person_mentions(spark, sf):
     return s.select("file", "n", "k", F.explode(I.person_mentions(F.col("segment"))).alias("name"))
 
 
-@query(f"""{TRANSCRIPT_SQL}, {NAMES_SQL}, first AS (SELECT DISTINCT file, lower(name) AS name FROM mentions)
-SELECT type, count(*) AS n FROM (SELECT 'semantic' AS type FROM first UNION ALL SELECT CASE {CLASS_SQL} WHEN 'decision' THEN 'belief' WHEN 'lesson' THEN 'reflection' WHEN 'fact' THEN 'semantic' END FROM segments) WHERE type IS NOT NULL GROUP BY type""")
+EXTRACTED_SQL = f"""{TRANSCRIPT_SQL}, {NAMES_SQL}, once AS (SELECT file, n, k, segment, name, min(i) AS i FROM mentions GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY file, n, k ORDER BY i) - 1 AS j FROM once),
+people AS (SELECT *, row_number() OVER (PARTITION BY file, lower(name) ORDER BY n, k, j) AS f FROM placed),
+classed AS (SELECT *, {CLASS_SQL} AS class FROM segments),
+mem AS (SELECT file, n, k, j::INT AS j, 'semantic' AS type, 0.6::DOUBLE AS importance, 'user/people' AS namespace, 'person,' || lower(name) AS tag, 'Person mentioned in conversation: ' || name || '. Context: "' || substring(segment, 1, 150) || '"' AS content FROM people WHERE f = 1
+ UNION ALL SELECT file, n, k, {I.SEGMENT}, CASE class WHEN 'decision' THEN 'belief' WHEN 'lesson' THEN 'reflection' ELSE 'semantic' END, CASE class WHEN 'decision' THEN 0.8::DOUBLE WHEN 'lesson' THEN 0.75::DOUBLE ELSE 0.6::DOUBLE END, 'general', class || ',extracted', segment FROM classed WHERE class IS NOT NULL)"""
+
+
+def _memories(df):
+    return df.withColumn("tag", F.array_join("tags", ",")).drop("tags", "source")
+
+
+@query(f"{EXTRACTED_SQL} SELECT * FROM mem")
 def transcript_memories(spark, sf):
-    return I.transcript_memories(transcript_lines(spark, sf)).groupBy("type").agg(F.count("*").alias("n"))
+    return _memories(I.transcript_memories(transcript_lines(spark, sf)))
 
 
 # ---- sessions ----

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from remembra.operators import beliefs as B
 from remembra.operators import clusters as C
 from remembra.operators import contradictions as K
 from remembra.operators import graph as G
 from remembra.operators import ingest as I
+from remembra.operators import maintenance as M
 from remembra.operators import writes as Wr
-from remembra.operators.blocks import similar_pairs
-from remembra.plans.intake import TRANSCRIPT_SQL, quoted, transcript_lines
-from remembra.plans.search import TOKENS_SQL, rounded, trim_sql, vector_table
+from remembra.operators.blocks import knn, similar_pairs
+from remembra.plans.intake import EXTRACTED_SQL, TRANSCRIPT_SQL, quoted, transcript_lines
+from remembra.plans.search import DISTANCE_SQL, TOKENS_SQL, rounded, run_search, search_sql, trim_sql, vector_table
 from remembra.plans.upkeep import WORDS_SQL
 from remembra.sources.memories import MEMORIES_SQL, memories, moment, table
+from remembra.sources.store import stored, workspace
 
 QUERIES, ORACLE = {}, {}
 
@@ -70,10 +73,56 @@ def entity_cooccurrence(spark, sf):
     return G.together(m, G.entities(m))
 
 
-@query()
+_VERB = quoted(G.VERB)
+RELATIONS_SQL = f"""{ENTITIES_SQL}, e AS (SELECT id, lower(name) AS name, place FROM entities), many AS (SELECT id FROM e GROUP BY id HAVING count(*) >= 2),
+near AS (SELECT *, row_number() OVER (PARTITION BY id, s ORDER BY place) AS r FROM (SELECT t.id, t.s, t.sentence, e.name, e.place FROM sents t JOIN e ON e.id = t.id AND contains(lower(t.sentence), e.name) WHERE t.id IN (SELECT id FROM many))),
+two AS (SELECT DISTINCT id, s, sentence FROM near WHERE r = 2),
+cut AS (SELECT id, s, string_split_regex(sentence, {_VERB}) AS parts, regexp_extract_all(sentence, {_VERB}, 1) AS verbs FROM two),
+hits AS (SELECT id, s, unnest(range(1, len(parts))) AS i, parts, verbs FROM cut),
+src AS (SELECT h.id, h.s, h.i, arg_max(e.name, length(e.name)) AS a FROM hits h JOIN e ON e.id = h.id AND ends_with(lower(h.parts[h.i]), e.name) GROUP BY ALL),
+tgt AS (SELECT h.id, h.s, h.i, lower(h.verbs[h.i]) AS relation, arg_min(e.name, e.place) AS b FROM hits h JOIN e ON e.id = h.id AND starts_with(lower(h.parts[h.i + 1]), e.name) GROUP BY ALL),
+said AS (SELECT id, s, a, b, relation FROM src JOIN tgt USING (id, s, i) WHERE a <> b),
+weak AS (SELECT x.id, x.s, x.name AS a, y.name AS b FROM near x JOIN near y ON x.id = y.id AND x.s = y.s AND x.r < y.r WHERE y.r <= 6)
+SELECT DISTINCT id, a AS source, b AS target, relation, 0.8::DOUBLE AS weight FROM said UNION SELECT DISTINCT id, a, b, 'co-occurs-with', 0.3::DOUBLE FROM weak w WHERE NOT EXISTS (SELECT 1 FROM said t WHERE t.id = w.id AND t.s = w.s AND ((t.a = w.a AND t.b = w.b) OR (t.a = w.b AND t.b = w.a)))"""
+
+
+@query(RELATIONS_SQL)
 def entity_relations_svo(spark, sf):
     m = noted(spark, sf)
-    return G.relationships(m, G.entities(m)).groupBy("relation").agg(F.count("*").alias("n"))
+    return G.relationships(m, G.entities(m))
+
+
+#: The graph's tables of each data folder that this process has asked, by application and folder.
+_GRAPHS: dict[tuple[str, str], tuple] = {}
+
+
+def graph_tables(spark, sf):
+    """Entities, mentions and relations of the folder's notes; the first query that needs them writes them, as a store keeps them beside its rows."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _GRAPHS:
+        place = workspace(spark, "graph")
+        _GRAPHS[key] = tuple(stored(t, f"{place}/{k}") for k, t in enumerate(G.tables(noted(spark, sf))))
+    return _GRAPHS[key]
+
+
+QUESTION = "Then what did Ada Lovelace say of Acme Labs?"
+
+
+@query(search_sql(score="CASE WHEN id IN (SELECT id FROM entities WHERE lower(name) IN ('ada lovelace', 'acme labs')) THEN least(1::DOUBLE, score + 0.15::DOUBLE) ELSE score END", min_score=0.1, extra=", " + ENTITIES_SQL.removeprefix("WITH ")))
+def search_graph_boost(spark, sf):
+    nodes, mentions, _ = graph_tables(spark, sf)
+    linked = G.linked_memories(mentions, G.query_entities(nodes, QUESTION)).withColumnRenamed("memory", "id")
+    return run_search(spark, sf, boosted=linked, min_score=0.1)
+
+
+@query(f"{ENTITIES_SQL} SELECT DISTINCT md5(lower(name)) AS entity, id AS memory FROM entities")
+def graph_mentions(spark, sf):
+    return graph_tables(spark, sf)[1].select("entity", "memory")
+
+
+@query(f"SELECT md5(source) AS source, md5(target) AS target, relation, weight, id AS memory FROM ({RELATIONS_SQL})")
+def graph_relations(spark, sf):
+    return graph_tables(spark, sf)[2].select("source", "target", "relation", "weight", "memory")
 
 
 # ---- the graph of customers, suppliers, nations and regions ----
@@ -179,15 +228,14 @@ def leader_clusters(spark, sf):
 def consolidation_clusters(spark, sf):
     m = memories(spark, sf)
     keys = m.select("id", F.struct((-F.col("importance")).alias("i"), "id").alias("key"))
-    found = C.leader_clusters(similar_pairs(C.hashed_vectors(m), LEADER), keys)
+    found = C.leaders(C.hashed_vectors(m), keys, LEADER)
     return found.groupBy("seed").agg((F.count("*") + 1).alias("size"))
 
 
 @query(MEMORIES_SQL.replace("WITH typed", "WITH RECURSIVE typed", 1) + f", {hashed_sql(COPY, True)}, ranked AS (SELECT id, row_number() OVER (ORDER BY created_at, id) AS rank FROM memories WHERE id IN (SELECT a FROM pairs UNION SELECT b FROM pairs)), {leaders_sql('SELECT a, b FROM pairs')} SELECT seed, member FROM leaders")
 def audit_duplicates(spark, sf):
     m = memories(spark, sf)
-    pairs = similar_pairs(C.hashed_vectors(m), COPY).filter(F.col("cosine") > COPY)
-    return C.leader_clusters(pairs, m.select("id", F.struct("created_at", "id").alias("key")))
+    return C.leaders(C.hashed_vectors(m), m.select("id", F.struct("created_at", "id").alias("key")), COPY, strict=True)
 
 
 @query(MEMORIES_SQL.replace("WITH typed", "WITH RECURSIVE typed", 1) + f""", {hashed_sql(SAME)}, sym AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
@@ -195,7 +243,8 @@ reach AS (SELECT a AS x, a AS y FROM sym UNION SELECT reach.x, sym.b FROM reach
 SELECT component, arg_min(id, (-importance, created_at, id)) AS keep, count(*) - 1 AS removed FROM comp JOIN memories USING (id) GROUP BY component""")
 def dedup_components(spark, sf):
     m = memories(spark, sf)
-    return C.keepers(C.components(similar_pairs(C.hashed_vectors(m), SAME)), m)
+    found, _ = C.groups(C.hashed_vectors(m), SAME)
+    return C.keepers(found, m)
 
 
 @query(TRANSCRIPT_SQL.replace("WITH raw", "WITH RECURSIVE raw", 1) + f""", seg AS (SELECT file, file || ':' || n || ':' || k AS id, n, k, list_distinct({WORDS_SQL.format('segment', 4)}) AS w FROM segments),
@@ -206,6 +255,23 @@ def containment_dedup(spark, sf):
     return C.leader_clusters(C.containment_edges(s.select("file", "id", F.col("segment").alias("text"))), keys)
 
 
+@query(EXTRACTED_SQL.replace("WITH raw", "WITH RECURSIVE raw", 1) + f""", seg AS (SELECT *, file || ':' || n || ':' || k || ':' || j AS id, list_distinct({WORDS_SQL.format('content', 4)}) AS w FROM mem),
+ranked AS (SELECT id, row_number() OVER (ORDER BY file, n, k, j) AS rank FROM seg), {leaders_sql('SELECT x.id AS a, y.id AS b FROM seg x JOIN seg y ON x.file = y.file AND x.id < y.id WHERE least(len(x.w), len(y.w)) > 0 AND len(list_intersect(x.w, y.w)) / least(len(x.w), len(y.w)) > 0.7')}
+SELECT file, n, k, j, type, importance, namespace, tag, content FROM seg WHERE id NOT IN (SELECT member FROM leaders)""")
+def transcript_extract(spark, sf):
+    return I.extracted(transcript_lines(spark, sf)).withColumn("tag", F.array_join("tags", ",")).drop("tags", "source")
+
+
+@query(MEMORIES_SQL.replace("WITH typed", "WITH RECURSIVE typed", 1) + f""", {hashed_sql(SAME)}, cosines AS (SELECT a, b, d / (p.s * q.s) AS c FROM dots JOIN size p ON p.id = a JOIN size q ON q.id = b WHERE d / (p.s * q.s) >= {SAME}), sym AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach AS (SELECT a AS x, a AS y FROM sym UNION SELECT reach.x, sym.b FROM reach JOIN sym ON reach.y = sym.a), comp AS (SELECT x AS id, min(y) AS component FROM reach GROUP BY x),
+g AS (SELECT component, arg_min(id, (-importance, created_at, id)) AS keep FROM comp JOIN memories USING (id) GROUP BY component), s AS (SELECT component, round(max(c), 4) AS similarity FROM cosines JOIN comp ON id = a GROUP BY component)
+SELECT component, keep, id, similarity FROM comp JOIN g USING (component) JOIN s USING (component) WHERE id <> keep""")
+def dedup_apply(spark, sf):
+    m = memories(spark, sf)
+    found, links = C.groups(C.hashed_vectors(m), SAME)
+    return C.dedup_groups(found, links, m)
+
+
 # ---- contradictions ----
 
 CLAIMS = [" The service is working now.", " The service is not working now.", " The plan costs $49 per month.", " The plan costs $1.5k per month.", " It has 10 users today.", " It has 300 users today.", " The flag is disabled.", " The flag is enabled and 50% done."]
@@ -280,6 +346,43 @@ def contradiction_upsert(spark, sf):
     return rounded(K.upserted(cols(first, "a_id", "b_id", 1).union(cols(K.temporal(first), "b_id", "a_id", 2))))
 
 
+KEPT_SQL = f"{CONTRADICTIONS_SQL}, kept AS (SELECT a AS id, a AS memory_a, b AS memory_b, round(score, 6) AS score, kind, a % 1000 AS created, CASE WHEN a % 3 = 0 THEN 'settled' END AS resolution FROM temporal)"
+
+
+def kept(spark, sf):
+    """Contradictions as they are kept; every third is resolved."""
+    c = K.temporal(contradicted(spark, sf))
+    at = lambda s: F.timestamp_micros(F.unix_micros(moment("2024-01-01 00:00:00")) + s * 1_000_000)
+    done = F.col("a_id") % 3 == 0
+    return c.select(F.col("a_id").alias("id"), F.col("a_id").alias("memory_a"), F.col("b_id").alias("memory_b"), F.round("score", 6).alias("score"), "kind", at(F.col("a_id") % 1000).alias("created_at"), F.when(done, "settled").alias("resolution"), F.when(done, at(F.lit(0))).alias("resolved_at"))
+
+
+@query(f"{KEPT_SQL} SELECT id, memory_a, memory_b, score, kind FROM kept WHERE resolution IS NULL ORDER BY kept.score DESC, created DESC, id LIMIT 50")
+def contradictions_unresolved(spark, sf):
+    return K.unresolved(kept(spark, sf)).limit(50).select("id", "memory_a", "memory_b", "score", "kind")
+
+
+@query(f"{KEPT_SQL} SELECT id, memory_a, memory_b, score, kind FROM kept WHERE memory_a IN (2, 2002, 4004) OR memory_b IN (2, 2002, 4004)")
+def contradictions_of_memory(spark, sf):
+    rows = kept(spark, sf)
+    of = [K.of_memory(rows, i) for i in (2, 2002, 4004)]
+    return of[0].union(of[1]).union(of[2]).select("id", "memory_a", "memory_b", "score", "kind").distinct()
+
+
+@query(f"{KEPT_SQL} SELECT id, CASE WHEN id = 2002 AND resolution IS NULL THEN 'by hand' ELSE resolution END AS resolution FROM kept")
+def contradictions_resolved(spark, sf):
+    rows = K.resolved(kept(spark, sf), 2002, "by hand", moment())
+    return rows.select("id", F.when(F.col("resolved_at").isNotNull(), F.col("resolution")).alias("resolution"))
+
+
+@query(f"""{CONTRADICTIONS_SQL}, f AS (SELECT b AS new, a // 4 AS old, round(score, 6) AS score FROM temporal), bel AS (SELECT DISTINCT id, (id % 10) / 10::DOUBLE AS confidence, id % 3 AS domain FROM (SELECT new AS id FROM f UNION SELECT old FROM f)),
+r AS (SELECT f.old, f.new, f.score > 0.8::DOUBLE AND n.domain = o.domain AS resolve, row_number() OVER (PARTITION BY f.old ORDER BY f.score DESC, f.new) AS k FROM f JOIN bel n ON n.id = f.new JOIN bel o ON o.id = f.old WHERE n.confidence >= o.confidence) SELECT old, new, resolve FROM r WHERE k = 1""")
+def beliefs_superseded(spark, sf):
+    found = K.temporal(contradicted(spark, sf)).select(F.col("b_id").alias("new"), F.floor(F.col("a_id") / 4).cast("long").alias("old"), F.round("score", 6).alias("score"))
+    ids = found.select(F.col("new").alias("id")).union(found.select("old")).distinct()
+    return K.superseded(found, ids.select("id", (F.col("id") % 10 / 10.0).alias("confidence"), (F.col("id") % 3).alias("domain")))
+
+
 @query(f"{CONTRADICTIONS_SQL} SELECT id, len(words) AS n_words, len(said) AS n_sentences, len(list_filter(said, lambda s: regexp_matches(s, {quoted(K.NEGATION)}))) AS n_negated FROM fa")
 def negation_sentences(spark, sf):
     a, _ = claimed(spark, sf)
@@ -330,3 +433,34 @@ SELECT id, array_to_string(list_filter([CASE WHEN contains(low, 'is not') THEN r
 def challenge_queries(spark, sf):
     a, _ = claimed(spark, sf)
     return a.select("id", F.array_join(Wr.challenge_queries(F.col("content")), " | ").alias("queries"))
+
+
+NEIGHBOURS_SQL = f"""WITH p AS (SELECT a.vec_id AS q, b.vec_id AS id, 1 / (1 + {DISTANCE_SQL.format('a.embedding', 'b.embedding')}) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+near AS (SELECT *, rank() OVER (PARTITION BY q ORDER BY s DESC, id) AS rank FROM p QUALIFY rank <= 6)"""
+
+
+def neighbours(spark, sf):
+    v = vector_table(spark, sf)
+    return knn(v, v, 6).withColumn("vector_score", 1 / (1 + F.col("distance")))
+
+
+@query(f"{NEIGHBOURS_SQL}, m AS (SELECT q, arg_min(id, rank) AS merged_into FROM near WHERE s > 0.9 GROUP BY q) SELECT vec_id AS id, merged_into FROM embeddings LEFT JOIN m ON q = vec_id")
+def belief_restated(spark, sf):
+    return B.stated_again(vector_table(spark, sf).select("id"), neighbours(spark, sf))
+
+
+@query(f"""{NEIGHBOURS_SQL}, r AS (SELECT q AS belief, rank % 3 AS query_no, id // 2 AS id, CASE WHEN id % 5 = 0 THEN 'belief' ELSE 'fact' END AS type, round(s, 6) AS score FROM near),
+f AS (SELECT *, row_number() OVER (PARTITION BY belief, id ORDER BY query_no, score DESC) AS n FROM r WHERE type <> 'belief') SELECT belief, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY belief ORDER BY score DESC, id)::INT AS rank FROM f WHERE n = 1) WHERE rank <= 3""")
+def belief_challenged(spark, sf):
+    n = neighbours(spark, sf)
+    rows = n.select(F.col("q").alias("belief"), (F.col("rank") % 3).alias("query_no"), F.floor(F.col("id") / 2).cast("long").alias("id"), F.when(F.col("id") % 5 == 0, "belief").otherwise("fact").alias("type"), F.round("vector_score", 6).alias("score"))
+    return Wr.challenged(rows, 3)
+
+
+@query(f"""WITH d AS (SELECT doc_id, text, source, {trim_sql('text')} AS bare FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY text, source ORDER BY doc_id) AS n FROM d WHERE doc_id % 2 = 1), h AS (SELECT *, sha256(source || chr(1) || text || chr(1) || n) AS h FROM n),
+i AS (SELECT *, substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-' || substring(h, 13, 4) || '-' || substring(h, 17, 4) || '-' || substring(h, 21, 12) AS id FROM h), r AS (SELECT *, row_number() OVER (PARTITION BY bare ORDER BY id) AS k FROM i)
+SELECT id, sha256(bare) AS hash, source, 'semantic' AS type FROM r WHERE k = 1 AND bare NOT IN (SELECT bare FROM d WHERE doc_id % 2 = 0)""")
+def save_batch(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"), "source")
+    batch = Wr.prepared(docs.filter("doc_id % 2 = 1").drop("doc_id"), moment())
+    return M.new_rows(batch, docs.filter("doc_id % 2 = 0")).select("id", "hash", "source", "type")

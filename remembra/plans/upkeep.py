@@ -79,6 +79,12 @@ def decay_preview(spark, sf):
     return M.decay(memories(spark, sf), moment()).withColumn("days", F.round("days", 6))
 
 
+@query(f"{MEMORIES_SQL}, d AS (SELECT *, {DAYS_SQL.format('accessed_at')} AS days FROM memories), e AS (SELECT *, {DECAY_SQL} AS decayed FROM d) SELECT id, CASE WHEN days >= 7 AND decayed < importance - 0.01::DOUBLE THEN decayed ELSE importance END AS importance FROM e")
+def decay_apply(spark, sf):
+    m = memories(spark, sf)
+    return m.join(M.decay(m, moment()).select("id", "decayed"), "id", "left").select("id", F.coalesce("decayed", "importance").alias("importance"))
+
+
 CURATE_SQL = """concat_ws(', ', CASE WHEN importance < 0.6 AND access_count = 0 THEN 'low-importance(' || importance::VARCHAR || ')' END,
  CASE WHEN (contains(content, '**User:**') AND contains(content, '**Assistant:**')) OR (contains(content, '"role": "system"') AND contains(content, '"content":')) OR (contains(content, '"role": "user"') AND contains(content, '"role": "assistant"')) OR len(list_filter(tags, lambda t: starts_with(lower(t), 'chatgpt'))) > 0 THEN 'chatgpt-noise' END,
  CASE WHEN len(list_filter(string_split_regex(content, '[\\t-\\r ]+'), lambda w: w <> '')) < 20 THEN 'fragment' END)"""
@@ -137,6 +143,14 @@ def shadow_patterns(spark, sf):
     return M.shadow(memories(spark, sf), moment("2024-01-05 00:00:00"), 24)
 
 
+SHADOW_SQL = f"""{MEMORIES_SQL}, r AS (SELECT *, lower(content) AS low FROM memories WHERE created_at >= TIMESTAMP '2024-01-05')"""
+
+
+@query(f"{SHADOW_SQL} SELECT (count(*) FILTER ({_any(M.SYCOPHANCY)}) + count(*) FILTER ({_any(M.DUE)} AND NOT {_any(M.DONE)}) + count(*) FILTER ({_any(M.FABRICATION)}) + (count(DISTINCT source) > 5)::INT)::BIGINT AS total FROM r")
+def shadow_total(spark, sf):
+    return M.shadow_total(M.shadow(memories(spark, sf), moment("2024-01-05 00:00:00"), 24))
+
+
 # ---- beliefs: from conversations; what an assistant says is believed, what a user says was done ----
 
 
@@ -187,6 +201,15 @@ def belief_confidence_update(spark, sf):
     return B.reweighed(b, changes, moment()).select("id", "confidence", "times_confirmed", "times_refuted", "importance", F.coalesce(F.size("history"), F.lit(0)).alias("changes"))
 
 
+@query(f"""{MEMORIES_SQL}, r AS (SELECT * FROM memories WHERE created_at >= TIMESTAMP '2024-01-05'), bt AS (SELECT type, count(*) AS n FROM r GROUP BY type ORDER BY n DESC, type LIMIT 5),
+w AS (SELECT unnest(list_slice({WORDS_SQL.format('content', 4)}, 1, 10)) AS topic FROM r), tt AS (SELECT topic, count(*) AS n FROM w GROUP BY topic ORDER BY n DESC, topic LIMIT 5), {CLAIMS_SQL.removeprefix("WITH ")},
+x AS (SELECT (SELECT count(*) FROM r) AS memories, (SELECT string_agg(type || '(' || n || ')', ', ' ORDER BY n DESC, type) FROM bt) AS types, (SELECT string_agg(topic || '(' || n || ')', ', ' ORDER BY n DESC, topic) FROM tt) AS topics,
+ (SELECT count(*) FROM beliefs WHERE coalesce(status, '') IN ('', 'active') AND {DAYS_SQL.format('coalesce(last_challenged, created_at)')} > 7) AS stale)
+SELECT *, 'Reflection on last 24 hours: ' || memories || ' memories saved. Top types: ' || types || '. Top topics: ' || topics || '. Stale beliefs: ' || stale || '.' AS sentence FROM x""")
+def period_reflection(spark, sf):
+    return M.reflection(memories(spark, sf), B.active(claims(spark, sf, "assistant"), moment()), moment("2024-01-05 00:00:00"), 24)
+
+
 _LOW = "lower(b.content)"
 
 
@@ -243,8 +266,7 @@ LOOKED_AT = "2024-01-15"
 @query(f"{PREDICTIONS_SQL} SELECT id, holder, domain, epoch_us(deadline::TIMESTAMP) AS deadline FROM p WHERE status = 'open' AND DATE '{LOOKED_AT}' > deadline")
 def predictions_expired(spark, sf):
     rows = prediction_rows(spark, sf)
-    open_ = rows.filter((F.col("status") == "open") & (F.lit(LOOKED_AT).cast("date") > F.col("deadline")))
-    return open_.select("id", "holder", "domain", micros("deadline").alias("deadline"))
+    return B.predictions(rows, F.lit(LOOKED_AT).cast("timestamp"), expired=True).select("id", "holder", "domain", micros("deadline").alias("deadline"))
 
 
 @query(f"{PREDICTIONS_SQL}, d AS (SELECT id, (deadline - DATE '{LOOKED_AT}')::INT AS days FROM p WHERE status = 'open') SELECT id, CASE WHEN days > 0 THEN 'due in ' || days || 'd' WHEN days = 0 THEN 'due today' ELSE 'overdue by ' || abs(days) || 'd' END AS label FROM d")
@@ -299,6 +321,12 @@ def attention_trend(spark, sf):
     return B.attention_trend(attention_rows(spark, sf), moment("2024-01-15 00:00:00"), ATTENTION_HOURS)
 
 
+@query(f"{ATTENTION_SQL}, k AS (SELECT holder, least(1::DOUBLE, count(DISTINCT x) / 10) AS breadth FROM (SELECT holder, unnest(topics) AS x FROM n) GROUP BY holder) SELECT holder, breadth, CASE WHEN breadth < 0.3 THEN 'Very focused' WHEN breadth < 0.6 THEN 'Moderately focused' WHEN breadth < 0.8 THEN 'Somewhat scattered' ELSE 'Very scattered' END AS focus FROM k")
+def attention_focus(spark, sf):
+    a = B.attention_trend(attention_rows(spark, sf), moment("2024-01-15 00:00:00"), ATTENTION_HOURS)
+    return a.select("holder", "breadth", B.focus(F.col("breadth")).alias("focus"))
+
+
 @query("SELECT event_id AS id, user_id AS holder, epoch_us(ts) AS created FROM events WHERE event_type = 'error' AND event_id % 3 <> 0")
 def followups_open(spark, sf):
     e = table(spark, sf, "events").filter("event_type = 'error'").select(F.col("event_id").alias("id"), F.col("user_id").alias("holder"), micros("ts").alias("created"), F.when(F.col("event_id") % 3 == 0, "resolved").otherwise("open").alias("status"))

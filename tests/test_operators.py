@@ -79,8 +79,8 @@ def test_namespaces_and_gates(spark):
     assert {r[0] for r in df.filter(in_namespace("projects")).collect()} == {"projects"}
     c = spark.createDataFrame([(1, 0.1, 0.0, True, False), (2, 0.5, 0.0, True, False), (3, 0.0, 0.5, False, True), (4, 0.0, 0.1, False, True), (5, 0.0, 0.0, True, True)], "id int, vector_score double, bm25 double, has_vector boolean, has_text boolean")
     assert {r.id for r in c.filter(gate(Options())).collect()} == {2, 3, 5}
-    m = spark.createDataFrame([("p", "x"), (None, "y"), ("", "z"), ("q", "w")], "project string, id string")
-    assert {r.id for r in m.filter(filters(Options(project="p"))).collect()} == {"x", "y", "z"}
+    m = spark.createDataFrame([('{"project": "p"}', "x"), (None, "y"), ('{"project": ""}', "z"), ('{"project": "q"}', "w"), ("{}", "v"), ("no json", "u")], "metadata string, id string")
+    assert {r.id for r in m.filter(filters(Options(project="p"))).collect()} == {"x", "y", "z", "v", "u"}
 
 
 def test_decay(spark):
@@ -139,12 +139,31 @@ def test_block_pairs(spark):
     df = spark.createDataFrame(rows, "id long, vector array<double>")
     cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
     assert {(x.a, x.b) for x in similar_pairs(df, 0.8).collect()} == {(i, j) for i in range(60) for j in range(i + 1, 60) if cos(rows[i][1], rows[j][1]) >= 0.8}
+    named = df.withColumn("id", F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 3, "0")))
+    assert {(x.a, x.b) for x in similar_pairs(named, 0.8).collect()} == {(f"n{x.a:03d}", f"n{x.b:03d}") for x in similar_pairs(df, 0.8).collect()}
+    assert {(x.q, x.rank, x.id) for x in knn(named, named, 3).collect()} == {(f"n{x.q:03d}", x.rank, f"n{x.id:03d}") for x in knn(df, df, 3).collect()}
     near = {}
     for x in knn(df, df, 3).collect():
         near.setdefault(x.q, {})[x.rank] = x.id
     assert near[0] == {k + 1: j for k, (_, j) in enumerate(sorted((sum((a - b) ** 2 for a, b in zip(rows[0][1], rows[j][1])), j) for j in range(1, 61))[:3])}
 
 
+def test_copies_follow_their_first(spark):
+    r = random.Random(3)
+    some = [[r.gauss(0, 1) for _ in range(3)] for _ in range(15)] + [[0.0] * 3]
+    rows = [(i, r.choice(some)) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    keys = spark.createDataFrame([(i, (i * 37) % 80) for i in range(80)], "id long, key long")
+    pairs = similar_pairs(df, 0.9)
+    plain = lambda d: sorted(map(tuple, d.collect()))
+    assert plain(clusters.leaders(df, keys, 0.9)) == plain(clusters.leader_clusters(pairs, keys))
+    found, links = clusters.groups(df, 0.9)
+    assert plain(found) == plain(clusters.components(pairs))
+    m = spark.createDataFrame([(i, 0.5 + i % 2 / 4, datetime(2024, 1, 1 + i % 9)) for i in range(80)], "id long, importance double, created_at timestamp")
+    gone = clusters.dedup_groups(found, links, m)
+    assert gone.count() == found.count() - found.select("component").distinct().count() and gone.filter("similarity < 0.9").count() == 0
+
+
 def test_contradictions(spark):
     cases = [
         ("The payment service is working fine today", "The payment service is not working fine today", 0, "negation"),

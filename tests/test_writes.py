@@ -1,6 +1,7 @@
 """What is written, on hand-made rows."""
 
 import json
+import re
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -75,3 +76,42 @@ def test_short_form_and_summaries(spark):
     s = spark.createDataFrame([("s", k, f"u{k}", "a" * 700) for k in range(20)], "session string, exchange long, user string, assistant string")
     got = writes.summarised(s, lambda pairs: [("lesson", f"{len(pairs)} {len(pairs[0][1])} {pairs[-1][0]}")]).collect()
     assert [(r.session, r.kind, r.text) for r in got] == [("s", "lesson", "15 600 u14")]
+
+
+def test_logs(spark):
+    b = writes.behaviours(spark.createDataFrame([("skipped the run", "user", ["b1"]), ("slept", "agent", None)], "content string, holder string, related_beliefs array<string>"), as_of()).orderBy("content").collect()
+    assert [(r.type, r.importance, r.source) for r in b] == [("behavior", 0.6, "behavior-tracker")] * 2
+    assert json.loads(b[0].metadata) == {"holder": "user", "relatedBeliefs": ["b1"]} and json.loads(b[1].metadata)["relatedBeliefs"] == []
+    a = writes.attentions(spark.createDataFrame([(["x", "y"], "user", 25.0), (["z"], "user", None)], "topics array<string>, holder string, duration double"), as_of()).orderBy("content").collect()
+    assert [r.content for r in a] == ["Attention on: x, y (25m)", "Attention on: z"] and [json.loads(r.metadata)["durationMinutes"] for r in a] == [25.0, 1.0]
+    f = writes.follow_ups(spark.createDataFrame([("call back", "user", "shadow")], "content string, holder string, created_from string"), as_of())
+    assert f.first().importance == 0.8 and beliefs.follow_ups(beliefs.typed(f, "follow-up").withColumnRenamed("source", "s"), resolved=False).count() == 1
+    r = beliefs.typed(writes.beliefs(spark.createDataFrame([("it holds", 0.4, "d")], "content string, confidence double, domain string"), as_of()), "belief").first()
+    assert (r.importance, r.confidence, r.status, r.holder, r.stated_confidence) == (0.6, 0.4, "active", "agent", 0.4) and r.history[0].reason == "initial belief"
+
+
+def brute_overview(content):
+    text = content.strip()
+    words = lambda t: re.split(r"\s+", t)
+    if len(words(text)) <= 375:
+        return text
+    paragraphs = [p for p in (p.replace("\n", " ").strip() for p in re.split(r"\n{2,}", text)) if len(p) > 10]
+    parts = paragraphs[:1]
+    headings = re.findall(r"^#{1,3}[^\S\n]+[^\n]+$", text, re.M)
+    if headings:
+        parts.append("\n" + "\n".join(headings))
+    sentences = [s.strip() for s in re.split(r"(?<=[.!?])\s+(?=[A-Z\"'])", text) if s.strip()]
+    points = [s for s in sentences[1:] if any(re.search(m, s, re.I) for m in writes.MARKERS)][:5]
+    if points:
+        parts.append("\nKey points: " + " ".join(points))
+    if len(words("\n".join(parts))) < 200 and len(paragraphs) > 1:
+        parts.insert(1, paragraphs[1])
+    out = "\n".join(parts).strip()
+    return " ".join(words(out)[:375]) + "..." if len(words(out)) > 375 else out
+
+
+def test_overview(spark):
+    long = "# Title here\n\nThe first paragraph says little.\n\n## Part two\n\n" + "\n\n".join(f"Paragraph {k} goes on and on. It was decided to keep part {k}. A lesson: learned nothing in {k}!" for k in range(60))
+    texts = ["", " short. text ", long, "word " * 500, "One. " + "Important thing number one is this. " * 200, "para one is long enough\n\n" + "x " * 600]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, c string").select("i", writes.overview(F.col("c")).alias("o")).collect()
+    assert {r.i: r.o for r in got} == {i: brute_overview(t) for i, t in enumerate(texts)}
