@@ -53,9 +53,10 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
 def tidy(spark: SparkSession, records: int | None = None) -> Iterator[None]:
     """Spark removes the shuffle files of what is executed in here as soon as it is over, not when the driver's garbage is collected.
 
-    records: rows that go to Python at once, for those that hold megabytes each; by default Spark sends thousands.
+    records: rows that are read and go to Python at once, for those that hold much; by default Spark takes thousands.
     """
-    settings = {_CLEANUP: "true"} | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(records)} if records else {})
+    at_once = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    settings = {_CLEANUP: "true"} | ({k: str(records) for k in at_once} if records else {})
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
@@ -72,7 +73,7 @@ def tidy(spark: SparkSession, records: int | None = None) -> Iterator[None]:
 def stored(df: DataFrame, path: str, records: int | None = None) -> DataFrame:
     """Write df as Parquet and read it back: lineage ends there, and no executor's loss can undo it. records: see tidy."""
     with tidy(df.sparkSession, records):
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -15,13 +15,18 @@ from remembra.llm._store import remove, stored, workspace
 
 #: Bytes of the longest context.
 DEPTH = 6
-#: Bytes of text in a block (the unit in which documents are counted and scored) and of a piece of it; contexts of a shard of the model, on average.
-BLOCK_BYTES, PIECE_BYTES, SHARD_KEYS = 16 << 20, 1 << 19, 1 << 20
+#: Bytes of text in a block (the unit in which documents are counted and scored) and of a piece of it; contexts of a shard of the model, on
+#: average; contexts whose trees are in memory at once, and keys of a block that travel in one row.
+BLOCK_BYTES, PIECE_BYTES, SHARD_KEYS, SLICE, ROW_KEYS = 8 << 20, 1 << 19, 1 << 19, 1 << 16, 1 << 17
+#: A context is split over shards by its next byte if it has more than so many keys, counted by block, and more than one in so many of all.
+HEAVY_KEYS, HEAVY_SHARE = 1 << 18, 4096
+#: Rows that go to Python at once: of megabytes of keys, and of texts or the keys of a block in a shard.
+AT_ONCE, SOME = 2, 64
 
 _U = np.uint64
 _END = 10
-FOUND = "kind int, shard int, block int, n long, keys binary, counts binary"
-ANSWER = "kind int, shard int, block int, n long, total long, data binary, more binary"
+FOUND = "kind int, shard int, block int, part int, n long, keys binary, counts binary"
+ANSWER = "kind int, shard int, block int, part int, n long, total long, data binary, more binary"
 _KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 
 
@@ -60,7 +65,7 @@ def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Nodes:
     """The binary nodes of all contexts of one depth at one bit: id (context and the byte's bits before), counts, share of the node's own estimate."""
 
-    __slots__ = ("ids", "zeros", "ones", "own", "log_weighted")
+    __slots__ = ("ids", "zeros", "ones", "own", "log_weighted", "children")
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, bit: int, below: Nodes | None):
         ids = keys >> _U(8 - bit)
@@ -69,14 +74,13 @@ class Nodes:
         self.ids = ids[head]
         self.ones = np.add.reduceat(np.where(one == 1, counts, 0), head)
         self.zeros = np.add.reduceat(counts, head) - self.ones
-        kt = log_kt(self.zeros, self.ones)
+        kt, self.children = log_kt(self.zeros, self.ones), np.zeros(len(head))
         if below is None:
             self.log_weighted, self.own = kt, np.ones(len(kt))
         else:
-            sums = np.zeros(len(kt))
             parent = ((below.ids >> _U(bit + 8)) << _U(bit)) | (below.ids & _U((1 << bit) - 1))
-            np.add.at(sums, np.searchsorted(self.ids, parent), below.log_weighted)
-            self.weigh(kt, sums)
+            np.add.at(self.children, np.searchsorted(self.ids, parent), below.log_weighted)
+            self.weigh(kt, self.children)
 
     def weigh(self, kt: np.ndarray, children: np.ndarray) -> None:
         """P = KT / 2 + (product over the children) / 2."""
@@ -100,7 +104,7 @@ class Nodes:
 
 
 class Forest:
-    """The nodes of depth `least` and more of those contexts whose counts are given; keys are contexts, nearest byte first, then the byte."""
+    """The nodes of depth `least` and more of whole trees whose counts are given; keys are contexts, nearest byte first, then the byte."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int, least: int = 2):
         self.depth, self.least, self.nodes = depth, least, {}
@@ -123,45 +127,108 @@ class Forest:
         return out
 
 
-#: Places of the counts (context byte, byte) and, behind, of the log probabilities of all depth-1 nodes' children, by bit.
-PAIRS, PLACES = 1 << 16, (1 << 16) + 256 * 255
+#: Numbers of a context above the shards: the counts of its bytes and, behind, the log probabilities of all its nodes' children, by bit.
+WIDTH = 256 + 255
 
 
-def top_statistics(forest: Forest) -> tuple[np.ndarray, np.ndarray]:
-    """What the nodes of depth 0 and 1 need of a forest of depth 2: places and values to add up."""
+class Upper:
+    """The contexts that stand above the shards: those of depths 0 and 1, and heavy ones of depth 2 and more.
+
+    With each one the shorter ones of the same bytes are there. The first context of a key that is not here is the
+    root of a tree that is whole in one shard.
+    """
+
+    def __init__(self, depth: int, heavy: dict[int, np.ndarray] | None = None):
+        self.depth, self.contexts = depth, [np.zeros(1, _U), np.arange(256, dtype=_U)]
+        for d in range(2, depth):
+            some = np.unique((heavy or {}).get(d, np.zeros(0, _U)))
+            some = some[_within(some >> _U(8), self.contexts[-1])]
+            if not len(some):
+                break
+            self.contexts.append(some)
+        self.first = np.append(0, np.cumsum([len(c) for c in self.contexts]))
+        self.size = int(self.first[-1]) * WIDTH
+
+    def context(self, keys: np.ndarray, d: int) -> np.ndarray:
+        return keys >> _U(8 * (self.depth - d) + 8)
+
+    def roots(self, keys: np.ndarray) -> np.ndarray:
+        """The depth of the root of each key's tree."""
+        out = np.full(len(keys), 2)
+        for d, some in enumerate(self.contexts[2:], 2):
+            out[(out == d) & _within(self.context(keys, d), some)] = d + 1
+        return out
+
+    def trees(self, keys: np.ndarray) -> np.ndarray:
+        """What tells each key's tree from others: its root, of whatever depth."""
+        depth, out = self.roots(keys), np.zeros(len(keys), _U)
+        for d in np.unique(depth).tolist():
+            out[depth == d] = (self.context(keys[depth == d], d) << _U(3)) | _U(d)
+        return out
+
+    def slices(self, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Depth of the roots, and places of sorted keys: whole trees, as many as SLICE keys hold, or one."""
+        roots = self.roots(keys)
+        for d in np.unique(roots).tolist():
+            at = np.flatnonzero(roots == d)
+            root = self.context(keys[at], d)
+            heads = np.append(np.flatnonzero(np.append(True, root[1:] != root[:-1])), len(at))
+            k = 0
+            while heads[k] < len(at):
+                to = max(k + 1, int(np.searchsorted(heads, heads[k] + SLICE, "right")) - 1)
+                yield d, at[heads[k] : heads[to]]
+                k = to
+
+    def place(self, d: int, contexts: np.ndarray) -> np.ndarray:
+        return (self.first[d] + np.searchsorted(self.contexts[d], contexts)) * WIDTH
+
+
+def _within(values: np.ndarray, those: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(those, values)
+    at[at == len(those)] = 0
+    return those[at] == values if len(those) else np.zeros(len(values), bool)
+
+
+def top_statistics(forest: Forest, upper: Upper) -> tuple[np.ndarray, np.ndarray]:
+    """What the contexts above a forest of whole trees need of it: places and values to add up."""
     if not len(forest.keys):
         return np.zeros(0, np.int64), np.zeros(0)
-    places, values = [((forest.keys >> _U(16)) << _U(8) | (forest.keys & _U(255))).astype(np.int64)], [forest.counts.astype(np.float64)]
+    d = forest.least - 1
+    places, values = [upper.place(d, forest.keys >> _U(16)) + (forest.keys & _U(255)).astype(np.int64)], [forest.counts.astype(np.float64)]
     for bit in range(8):
-        nodes = forest.nodes[2, bit]
-        parent = ((nodes.ids >> _U(bit + 8)) << _U(bit)) | (nodes.ids & _U((1 << bit) - 1))
-        places.append(PAIRS + 256 * ((1 << bit) - 1) + parent.astype(np.int64))
+        nodes = forest.nodes[forest.least, bit]
+        places.append(upper.place(d, nodes.ids >> _U(bit + 8)) + 255 + (1 << bit) + (nodes.ids & _U((1 << bit) - 1)).astype(np.int64))
         values.append(nodes.log_weighted)
     return _summed(np.concatenate(places), np.concatenate(values))
 
 
 class Top:
-    """The nodes of depths 1 and 0, from the statistics of all forests added up; no more than PLACES numbers."""
-
-    def __init__(self, statistics: np.ndarray):
-        pairs = statistics[:PAIRS].round().astype(np.int64)
-        keys = np.flatnonzero(pairs)
-        self.nodes = {}
-        for d, (k, n) in ((1, (keys.astype(_U), pairs[keys])), (0, _summed((keys & 255).astype(_U), pairs[keys]))):
-            for bit in range(8):
-                self.nodes[d, bit] = nodes = Nodes(k, n, bit, None if d else self.nodes[1, bit]) if len(k) else None
-                if d and nodes is not None:
-                    nodes.weigh(log_kt(nodes.zeros, nodes.ones), statistics[PAIRS + 256 * ((1 << bit) - 1) + nodes.ids.astype(np.int64)])
+    """The nodes of the contexts above the shards, from the statistics of all forests added up."""
+
+    def __init__(self, upper: Upper, statistics: np.ndarray):
+        self.upper, self.nodes, counts = upper, {}, None
+        table = statistics.reshape(-1, WIDTH)
+        for d in range(len(upper.contexts) - 1, -1, -1):
+            own, those = table[upper.first[d] : upper.first[d + 1]], upper.contexts[d]
+            total = own[:, :256].round().astype(np.int64)
+            if counts is not None:
+                np.add.at(total, np.searchsorted(those, upper.contexts[d + 1] >> _U(8)), counts)
+            counts = total
+            row, byte = np.nonzero(total)
+            for bit in range(8) if len(row) else ():
+                self.nodes[d, bit] = nodes = Nodes((those[row] << _U(8)) | byte.astype(_U), total[row, byte], bit, self.nodes.get((d + 1, bit)))
+                # children that are trees, beside those that are here
+                sums = own[np.searchsorted(those, nodes.ids >> _U(bit)), 255 + (1 << bit) + (nodes.ids & _U((1 << bit) - 1)).astype(np.int64)]
+                nodes.weigh(log_kt(nodes.zeros, nodes.ones), nodes.children + sums)
 
     def log10(self, forest: Forest, keys: np.ndarray) -> np.ndarray:
         """log10 of the probability of each key's byte in its context: its eight bits, each mixed over all depths."""
-        total = np.zeros(len(keys))
-        near, byte = keys >> _U(8 * forest.depth), keys & _U(255)
+        total, byte = np.zeros(len(keys)), keys & _U(255)
         for bit in range(8):
             p, bits, top = forest.mixed(keys, bit), (keys >> _U(7 - bit)) & _U(1), byte >> _U(8 - bit)
-            if self.nodes[1, bit] is not None:
-                p = self.nodes[1, bit].mixed((near << _U(bit)) | top, bits, p)
-                p = self.nodes[0, bit].mixed(top, bits, p)
+            for d in range(forest.least - 1, -1, -1):
+                if (d, bit) in self.nodes:
+                    p = self.nodes[d, bit].mixed((self.upper.context(keys, d) << _U(bit)) | top, bits, p)
             total += np.log10(np.where(np.isnan(p), 0.5, p))
         return total
 
@@ -238,29 +305,13 @@ def _counted(keys: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndar
     return keys[head], np.add.reduceat(flag, head)
 
 
-def _looked_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """The value of each key; known is sorted and has them all. Sorted first, so that the search goes through memory in order."""
-    if not len(keys):
-        return values[:0]
-    order = np.argsort(keys)
-    s = keys[order]
-    head = np.append(True, s[1:] != s[:-1])
-    out = np.empty(len(keys), values.dtype)
-    out[order] = values[np.searchsorted(known, s[head])][np.cumsum(head) - 1]
-    return out
-
-
-def _shard_of(keys: np.ndarray, shards: int, depth: int, words: bool) -> np.ndarray:
-    """All contexts that share their two nearest bytes are in one shard."""
-    near = keys if words else keys >> _U(8 * (depth - 1))
-    return ((near * _U(0x9E3779B97F4A7C15)) >> _U(40)) % _U(shards)
-
-
-def _split(keys: np.ndarray, shards: int, depth: int, words: bool) -> list[np.ndarray]:
-    """The places of each shard's keys, in order."""
-    shard = _shard_of(keys, shards, depth, words)
+def _split(values: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard that values fall to by their hash, and their places, in order."""
+    shard = ((values * _U(0x9E3779B97F4A7C15)) >> _U(40)) % _U(shards)
     order = np.argsort(shard, kind="stable")
-    return np.split(order, np.searchsorted(shard[order], np.arange(1, shards).astype(_U)))
+    cut = np.append(0, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else ()
+    for at in np.split(order, cut[1:]) if len(order) else ():
+        yield int(shard[at[0]]), at
 
 
 def _distinct(table: pa.Table, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -274,17 +325,48 @@ def _distinct(table: pa.Table, depth: int) -> list[tuple[np.ndarray, np.ndarray]
 
 
 def _count(shards: int, depth: int):
+    """Kind 0: pieces of the block's sorted context keys. Kind 1: its words, by shard. Kind 4: its contexts of depth `shard` that may be heavy, and their keys."""
+
     def run(table: pa.Table) -> pa.Table:
         block, rows = table.column("block")[0].as_py(), []
-        for kind, (keys, counts) in enumerate(_distinct(table, depth)):
-            for s, at in enumerate(_split(keys, shards, depth, kind == 1)):
-                if len(at):
-                    rows.append((kind, s, block, len(at), pack_sorted(keys[at]), pack(counts[at], np.int32)))
+        (keys, counts), (words, n) = _distinct(table, depth)
+        for k, a in enumerate(range(0, len(keys), ROW_KEYS)):
+            part = keys[a : a + ROW_KEYS]
+            rows.append((0, None, block, k, len(part), pack_sorted(part), pack(counts[a : a + ROW_KEYS], np.int32)))
+        for s, at in _split(words, shards):
+            rows.append((1, s, block, 0, len(at), pack_sorted(words[at]), pack(n[at], np.int32)))
+        for d in range(2, depth if len(keys) else 0):
+            some = keys >> _U(8 * (depth - d) + 8)
+            head = np.append(np.flatnonzero(np.append(True, some[1:] != some[:-1])), len(keys))
+            often = np.flatnonzero(np.diff(head) * HEAVY_SHARE > len(keys))  # one that is so nowhere isn't heavy
+            if len(often):
+                rows.append((4, d, block, 0, len(often), pack_sorted(some[head[often]]), pack(np.diff(head)[often], np.int64)))
         return _table(rows, FOUND)
 
     return run
 
 
+def _heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for d, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            n = unpack(counts, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), d, np.int32)), pa.array(unpack_sorted(keys).view(np.int64)), pa.array(n)], ["d", "context", "n"])
+
+
+def _dealt(shards: int, upper: Upper):
+    """The blocks' context keys by shard; all keys of a tree are in one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, part, keys, counts in zip(*(batch.column(c) for c in ("block", "part", "keys", "counts")), strict=True):
+                k, n, rows = unpack_sorted(keys.as_py()), unpack(counts.as_py(), np.int32), []
+                for s, at in _split(upper.trees(k), shards):
+                    rows.append((0, s, block.as_py(), part.as_py(), len(at), pack_sorted(k[at]), pack(n[at], np.int32)))
+                yield from _table(rows, FOUND).to_batches()
+
+    return run
+
+
 def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The shard's distinct keys with their counts added up."""
     total = _Sum()
@@ -294,26 +376,32 @@ def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _answers(table: pa.Table, kind: int, every: np.ndarray, values: np.ndarray, sort: type) -> Iterator[tuple]:
-    """Each block's keys with their values."""
-    for shard, block, keys in zip(table.column("shard"), table.column("block"), table.column("keys"), strict=True):
-        packed = keys.as_py()
-        k = unpack_sorted(packed)
-        yield kind, shard.as_py(), block.as_py(), len(k), 0, pack(values[np.searchsorted(every, k)], sort), packed
+    """The values of each block's keys, in their order; the block knows them."""
+    for shard, block, part, keys in zip(*(table.column(c) for c in ("shard", "block", "part", "keys")), strict=True):
+        k = unpack_sorted(keys.as_py())
+        yield kind, shard.as_py(), block.as_py(), part.as_py(), len(k), 0, pack(values[np.searchsorted(every, k)], sort), None
 
 
-def _learn(depth: int):
-    """Word counts go back to the blocks; of the contexts, what depths 0 and 1 need."""
+def _count_words(table: pa.Table) -> pa.Table:
+    """The training count of each word goes back to the blocks, and the shard's sums to all."""
+    every, counts = _gathered(table)
+    rows = list(_answers(table, 1, every, counts, np.int64))
+    rows.append((2, table.column("shard")[0].as_py(), None, None, int((counts > 0).sum()), int(counts.sum()), None, None))
+    return _table(rows, ANSWER)
+
+
+def _learn(upper: Upper):
+    """What the contexts above the shards need of a shard's trees, which are in memory SLICE keys at a time."""
 
     def run(table: pa.Table) -> pa.Table:
-        kind, shard = table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
+        shard, parts = table.column("shard")[0].as_py(), []
         every, counts = _gathered(table)
-        if kind == 1:
-            rows = list(_answers(table, 1, every, counts, np.int64))
-            rows.append((2, shard, None, int((counts > 0).sum()), int(counts.sum()), None, None))
-        else:
-            places, values = top_statistics(Forest(every[counts > 0], counts[counts > 0], depth))
-            rows = [(3, shard, None, len(places), 0, pack(places, np.int32), pack(values, np.float64))]
-        return _table(rows, ANSWER)
+        del table
+        every, counts = every[counts > 0], counts[counts > 0]
+        for d, at in upper.slices(every):
+            parts.append(top_statistics(Forest(every[at], counts[at], upper.depth, d), upper))
+        places, values = _summed(*map(np.concatenate, zip(*parts, strict=True))) if parts else (np.zeros(0, np.int64), np.zeros(0))
+        return _table([(3, shard, None, None, len(places), 0, pack(places, np.int64), pack(values, np.float64))], ANSWER)
 
     return run
 
@@ -321,13 +409,16 @@ def _learn(depth: int):
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for data, more in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(unpack(data, np.int32)), pa.array(unpack(more, np.float64))], ["place", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(unpack(data, np.int64)), pa.array(unpack(more, np.float64))], ["place", "value"])
 
 
-def _predict(depth: int, statistics: np.ndarray):
+def _predict(upper: Upper, statistics: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
         every, counts = _gathered(table)
-        value = Top(statistics).log10(Forest(every[counts > 0], counts[counts > 0], depth), every)
+        top, value = Top(upper, statistics), np.zeros(len(every), np.float32)
+        for d, at in upper.slices(every):
+            keys, n = every[at], counts[at]
+            value[at] = top.log10(Forest(keys[n > 0], n[n > 0], upper.depth, d), keys)
         return _table(list(_answers(table, 0, every, value, np.float32)), ANSWER)
 
     return run
@@ -336,32 +427,52 @@ def _predict(depth: int, statistics: np.ndarray):
 SCORED = "doc_id {}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _sorted_answers(answers: pa.Table, kind: int, sort: type) -> tuple[np.ndarray, np.ndarray]:
-    keys, values = [np.zeros(0, _U)], [np.zeros(0, sort)]
-    for what, data, more in zip(answers.column("kind"), answers.column("data"), answers.column("more"), strict=True):
+def _answered(answers: pa.Table, kind: int, by: np.ndarray, shards: int, sort: type) -> np.ndarray:
+    """The values of the block's sorted keys, of which `by` decides the shards: each shard's come in order, part by part."""
+    parts: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for what, shard, part, data in zip(*(answers.column(c) for c in ("kind", "shard", "part", "data")), strict=True):
         if what.as_py() == kind:
-            keys.append(unpack_sorted(more.as_py()))
-            values.append(unpack(data.as_py(), sort))
-    keys, values = np.concatenate(keys), np.concatenate(values)
+            parts.setdefault(shard.as_py(), []).append((part.as_py(), unpack(data.as_py(), sort)))
+    out = np.empty(len(by), sort)
+    for s, at in _split(by, shards):
+        out[at] = np.concatenate([v for _, v in sorted(parts[s], key=lambda x: x[0])])
+    return out
+
+
+def _heads(s: np.ndarray) -> np.ndarray:
+    """Distinct values of a sorted array."""
+    return s[np.append(True, s[1:] != s[:-1])[: len(s)]]
+
+
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the place of each key among them."""
     order = np.argsort(keys)
-    return keys[order], values[order]
+    s = keys[order]
+    head = np.append(True, s[1:] != s[:-1])[: len(s)]
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(head, dtype=np.int32) - 1
+    return s[head], place
 
 
-def _score(depth: int, documents: int, tokens: int, distinct: int):
+def _score(upper: Upper, shards: int, documents: int, tokens: int, distinct: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        grams, value = _sorted_answers(answers, 0, np.float32)
-        words, count = _sorted_answers(answers, 1, np.int64)
+        parts = []
+        for piece, hashes, n_words, keys, begin, _ in _block(docs, upper.depth):
+            parts.append((piece.select(["doc_id", "held_out"]), n_words, begin, *_ranked(hashes), *_ranked(keys)))
+        words, grams = (_heads(np.sort(np.concatenate([np.zeros(0, _U), *(p[i] for p in parts)]))) for i in (3, 5))
+        count = _answered(answers, 1, words, shards, np.int64)
+        value = _answered(answers, 0, upper.trees(grams), shards, np.float32)
         # base: log10((c + 1) / (N + (V + 1))); the end of a text is a token too
         known = np.log10(count + 1.0) - np.log10(tokens + distinct + 1.0)
         end = np.log10(documents + 1.0) - np.log10(tokens + distinct + 1.0)
         out = []
-        for piece, hashes, n_words, keys, begin, end_ in _block(docs, depth):
-            doc = np.repeat(np.arange(piece.num_rows), n_words)
-            c = _looked_up(hashes, words, np.arange(len(words)))
-            base = np.bincount(doc, known[c], piece.num_rows) + end
-            seen = np.bincount(doc, count[c] > 0, piece.num_rows).astype(np.int64) + (documents > 0)
-            score = np.add.reduceat(_looked_up(keys, grams, value).astype(np.float64), begin)
+        for piece, n_words, begin, own_words, word, own_grams, gram in parts:
             n = piece.num_rows
+            doc = np.repeat(np.arange(n), n_words)
+            c = np.searchsorted(words, own_words)[word]
+            base = np.bincount(doc, known[c], n) + end
+            seen = np.bincount(doc, count[c] > 0, n).astype(np.int64) + (documents > 0)
+            score = np.add.reduceat(value[np.searchsorted(grams, own_grams)].astype(np.float64)[gram], begin)
             out.append(pa.table({"doc_id": piece.column("doc_id"), "held_out": piece.column("held_out"), "n_tokens": pa.array(n_words.astype(np.int64) + 1), "n_known": pa.array(seen), "train_tokens": pa.array(np.full(n, tokens, np.int64)), "base_score": pa.array(base), "score": pa.array(score)}))
         return pa.concat_tables(out)
 
@@ -379,32 +490,44 @@ def ctw_scores(docs: DataFrame, held_out: str, depth: int = DEPTH) -> DataFrame:
     -score / log10(2) / bytes is the code length per byte. base_score is that of single words with
     one added to each count. Word counts are exact but for collisions of 64-bit hashes; a byte's
     probability travels as float32. A null text is empty (one token, its end); repeated rows count
-    and are scored each time. Counts are summed in blocks before they are sorted into shards by the two
-    nearest bytes; the driver gets only the nodes of depths 0 and 1, at most PLACES numbers.
+    and are scored each time, an empty table gives no rows. Counts are summed in blocks before they are dealt to shards by the two
+    nearest bytes, or more where those are heavy (HEAVY_KEYS, HEAVY_SHARE); the driver gets the WIDTH numbers of each context
+    above the shards: 257, and heavy ones, of which each depth has fewer than HEAVY_SHARE.
     """
     spark = docs.sparkSession
     place = workspace(spark, "ctw")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("held_out", F.coalesce(F.expr(held_out), F.lit(False)))
     about = rows.agg(F.sum(F.octet_length("text")).alias("n"), F.count_if(~F.col("held_out")).alias("train")).first()
     blocks = max(1, -(-(about.n or 0) // BLOCK_BYTES))
-    # a block has a distinct key for every sixteen bytes or so
+    # a block has a distinct key for every ten bytes or so, and all blocks together for every forty
     shards = max(1, -(-(about.n or 0) // (16 * SHARD_KEYS)))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(blocks)).cast("int"))
-    found = stored(rows.groupBy("block").applyInArrow(_count(shards, depth), FOUND), f"{place}/found")
-    learned = stored(found.groupBy("kind", "shard").applyInArrow(_learn(depth), ANSWER), f"{place}/learned")
-    words = learned.filter("kind = 2").agg(F.sum("n").alias("distinct"), F.sum("total").alias("tokens")).first()
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    found = stored(rows.groupBy("block").applyInArrow(_count(shards, depth), FOUND), f"{place}/found", SOME)
+    grams, heavy = found.filter("kind = 0"), {}
+    total = grams.agg(F.sum("n")).first()[0] or 0
+    sizes = found.filter("kind = 4").select("shard", "keys", "counts").mapInArrow(_heavy, "d int, context long, n long").groupBy("d", "context").agg(F.sum("n").alias("n"))
+    sizes = stored(sizes, f"{place}/heavy", AT_ONCE)
+    for r in sizes.filter(F.col("n") > max(HEAVY_KEYS, total // HEAVY_SHARE)).collect():  # fewer than HEAVY_SHARE of each depth
+        heavy.setdefault(r.d, []).append(r.context)
+    upper = Upper(depth, {d: np.array(c, np.int64).view(_U) for d, c in heavy.items()})
+    dealt = stored(grams.select("block", "part", "keys", "counts").mapInArrow(_dealt(shards, upper), FOUND), f"{place}/dealt", AT_ONCE)
+    counted = stored(found.filter("kind = 1").groupBy("shard").applyInArrow(_count_words, ANSWER), f"{place}/words", SOME)
+    remove(spark, f"{place}/found")
+    words = counted.filter("kind = 2").agg(F.sum("n").alias("distinct"), F.sum("total").alias("tokens")).first()
     documents = about.train or 0
     tokens, distinct = (words.tokens or 0) + documents, (words.distinct or 0) + (documents > 0)
-    statistics = np.zeros(PLACES)
-    sums = learned.filter("kind = 3").select("data", "more").mapInArrow(_spread, "place int, value double").groupBy("place").agg(F.sum(F.col("value").cast("decimal(38,6)")).cast("double").alias("value"))
-    for r in sums.toLocalIterator():  # PLACES rows at most
+    learned = stored(dealt.groupBy("shard").applyInArrow(_learn(upper), ANSWER), f"{place}/learned", SOME)
+    statistics = np.zeros(upper.size)
+    sums = learned.select("data", "more").mapInArrow(_spread, "place long, value double").groupBy("place").agg(F.sum(F.col("value").cast("decimal(38,6)")).cast("double").alias("value"))
+    for r in stored(sums, f"{place}/sums", AT_ONCE).toLocalIterator():  # upper.size rows at most
         statistics[r.place] = r.value
-    predicted = found.filter("kind = 0").groupBy("shard").applyInArrow(_predict(depth, statistics), ANSWER)
-    answers = stored(learned.filter("kind = 1").union(predicted).select("kind", "block", "data", "more"), f"{place}/answers")
-    for name in ("found", "learned"):
+    predicted = stored(dealt.groupBy("shard").applyInArrow(_predict(upper, statistics), ANSWER), f"{place}/predicted", SOME)
+    for name in ("dealt", "learned", "sums", "heavy"):
         remove(spark, f"{place}/{name}")
+    answers = counted.filter("kind = 1").union(predicted).select("kind", "block", "shard", "part", "data")
     kind = dict(docs.dtypes)["doc_id"]
-    scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(depth, documents, tokens, distinct), SCORED.format(kind))
-    out = stored(scored, f"{place}/scored")
-    remove(spark, f"{place}/answers")
+    scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(upper, shards, documents, tokens, distinct), SCORED.format(kind))
+    out = stored(scored, f"{place}/scored", SOME)
+    for name in ("words", "predicted"):
+        remove(spark, f"{place}/{name}")
     return out

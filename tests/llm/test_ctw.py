@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from remembra.llm.ctw import PLACES, Forest, Top, ctw_scores, log_gamma_half, top_statistics
+from remembra.llm.ctw import Forest, Top, Upper, ctw_scores, log_gamma_half, top_statistics
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -85,7 +85,14 @@ def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr("remembra.llm.ctw.BLOCK_BYTES", 900)
     monkeypatch.setattr("remembra.llm.ctw.PIECE_BYTES", 300)
     monkeypatch.setattr("remembra.llm.ctw.SHARD_KEYS", 200)
+    monkeypatch.setattr("remembra.llm.ctw.SLICE", 50)
+    monkeypatch.setattr("remembra.llm.ctw.ROW_KEYS", 100)
     close(sorted(map(tuple, ctw_scores(df, "crc32(cast(doc_id as string)) % 7 = 2", 4).collect()), key=str), brute(rows, 4))
+    # contexts of several depths are heavy and split over the shards
+    monkeypatch.setattr("remembra.llm.ctw.HEAVY_KEYS", 20)
+    monkeypatch.setattr("remembra.llm.ctw.HEAVY_SHARE", 100)
+    for depth in (3, 6):
+        close(sorted(map(tuple, ctw_scores(df, "crc32(cast(doc_id as string)) % 7 = 2", depth).collect()), key=str), brute(rows, depth))
 
 
 def test_nothing_to_learn(spark):
@@ -100,13 +107,16 @@ def test_probabilities_of_a_context_add_up_to_one():
     r = np.random.default_rng(1)
     keys = np.unique(r.integers(0, 3, (500, 4)).astype(np.uint64) @ np.array([1 << 24, 1 << 16, 1 << 8, 1], np.uint64))
     counts = r.integers(1, 50, len(keys))
-    forest = Forest(keys, counts, 3)
-    s = np.zeros(PLACES)
-    places, values = top_statistics(forest)
-    s[places] = values
-    for context in (0, 0x010203, 0x00FF00, 0xFFFFFF):
-        every = np.uint64(context << 8) | np.arange(256, dtype=np.uint64)
-        assert math.isclose((10 ** Top(s).log10(forest, every)).sum(), 1, rel_tol=1e-9)
+    for heavy in ({}, {2: np.array([0x0001, 0x0102], np.uint64)}):
+        upper = Upper(3, heavy)
+        trees = {d: Forest(keys[upper.roots(keys) == d], counts[upper.roots(keys) == d], 3, d) for d in (2, 3)}
+        s = np.zeros(upper.size)
+        for forest in trees.values():
+            places, values = top_statistics(forest, upper)
+            s[places] += values
+        for context in (0, 0x010203, 0x010203 >> 8, 0x00FF00, 0xFFFFFF):
+            every = np.uint64(context << 8) | np.arange(256, dtype=np.uint64)
+            assert math.isclose((10 ** Top(upper, s).log10(trees[upper.roots(every)[0]], every)).sum(), 1, rel_tol=1e-9)
 
 
 def test_log_gamma():
