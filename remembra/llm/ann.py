@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from remembra.llm._store import stored, workspace
 
 #: Rows of a query block, rows of a candidate block, and queries whose tile is multiplied at once.
-QUERY_BLOCK, CANDIDATE_BLOCK, TILE = 2048, 8192, 256
+QUERY_BLOCK, CANDIDATE_BLOCK, TILE = 8192, 8192, 256
 #: Dimensions of one product: 127 * 127 * 1024 is below 2 ** 24, so float32 holds sums of int8 products exactly.
 DEPTH = 1024
 #: Queries whose heaps a task holds.
