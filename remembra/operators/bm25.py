@@ -129,8 +129,8 @@ class TextIndex:
         if terms is None:
             found = rows.join(queries.select("term").distinct(), "term", "left_semi")
         else:
-            some = self.spark.createDataFrame([(t,) for t in terms], "term string").select(self._bucket(F.col("term"))).distinct().collect()
-            found = rows.filter(F.col("bucket").isin([r[0] for r in some]) & F.col("term").isin(list(terms)))
+            # constants, so that other buckets' files are not even listed
+            found = rows.filter(F.col("bucket").isin([self._bucket(F.lit(t)) for t in terms]) & F.col("term").isin(list(terms)))
         n, total, _ = self._totals()
         return scores(self._alive(found).select("term", "id", "tf", "dl"), queries, n, total, params)
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import string
+import hashlib
+import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,29 +20,45 @@ from remembra.sources.store import stored, workspace
 DIMENSIONS = 512
 
 
+#: Tokens of a text that are counted at once, and tokens whose places a task remembers.
+AT_ONCE, REMEMBERED = 1 << 16, 1 << 18
+
+
 def hashed_vectors(memories: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(id, vector): counts of the contents' [a-z0-9]+ tokens by the hash of the token; no row where there are none. One pass without a shuffle."""
-    low = F.translate("content", string.ascii_uppercase, string.ascii_lowercase)
-    bucket = lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 6), 16, 10).cast("int") % dimensions
-    rows = memories.select("id", F.transform(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)), bucket).alias("k"))
+    """(id, vector): counts of the contents' [a-z0-9]+ tokens by the hash of the token; no row where there are none. One pass without a shuffle;
+    a token is hashed once in a task, as long as it remembers it."""
+    kind = dict(memories.dtypes)["id"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, known = re.compile(rb"[a-z0-9]+"), {}
+
+        def place(t: bytes) -> int:
+            known[t] = k = int(hashlib.md5(t).hexdigest()[:6], 16) % dimensions
+            return k
+
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                lists = part.column(1)
-                row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-                n = np.bincount(row * dimensions + lists.flatten().to_numpy(), minlength=len(lists) * dimensions).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.FixedSizeListArray.from_arrays(pa.array(n), dimensions).cast(pa.list_(pa.float64()))], ["id", "vector"])
-
-    return rows.filter(F.size("k") > 0).mapInArrow(count, f"id {dict(memories.dtypes)['id']}, vector array<double>")
-
-
-def collapsed(vectors: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, first) for rows (id, vector) that are not zero, and (id, vector) of the firsts: first is the row with the least key (id, key) of those
+                n, some = np.zeros((part.num_rows, dimensions)), []
+                for row, text in enumerate(part.column(1).cast(pa.binary())):
+                    found = (m.group() for m in token.finditer((text.as_py() or b"").lower()))
+                    while chunk := list(islice(found, AT_ONCE)):
+                        n[row] += np.bincount([known[t] if t in known else place(t) for t in chunk], minlength=dimensions)
+                    if len(known) > REMEMBERED:
+                        known.clear()
+                some = np.flatnonzero(n.any(1))
+                vectors = pa.FixedSizeListArray.from_arrays(pa.array(n[some].ravel()), dimensions).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some)), vectors], ["id", "vector"])
+
+    return memories.select("id", "content").mapInArrow(count, f"id {kind}, vector array<double>")
+
+
+def collapsed(vectors: DataFrame, keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id, first) for rows (id, vector) that are not zero, and (id, vector) of the firsts: first is the row with the least key (id, key; or id) of those
     with equal vectors, told by 96 bits of hash. k copies are then k rows, not k * k pairs, and are counted before they are shuffled."""
     place = workspace(vectors.sparkSession, "collapsed")
-    rows = vectors.filter(F.exists("vector", lambda x: x != 0)).join(keys.select("id", "key"), "id")
+    rows = vectors.filter(F.exists("vector", lambda x: x != 0))
+    rows = rows.withColumn("key", F.col("id")) if keys is None else rows.join(keys.select("id", "key"), "id")
     rows = stored(rows.select("id", "key", "vector", F.xxhash64("vector").alias("h"), F.hash("vector").alias("g")), f"{place}/rows")
     firsts = rows.groupBy("h", "g").agg(F.min_by("id", F.struct("key", "id")).alias("first"))
     member = stored(rows.select("id", "h", "g").join(firsts, ["h", "g"]).select("id", "first"), f"{place}/member")
@@ -62,7 +80,7 @@ def leaders(vectors: DataFrame, keys: DataFrame, least: float, strict: bool = Fa
 
 def groups(vectors: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """(id, component) of the rows (id, vector) that are linked by cosines of `least` or more, and the links (a, b, cosine) with one to each copy."""
-    member, firsts = collapsed(vectors, vectors.select("id", F.col("id").alias("key")))
+    member, firsts = collapsed(vectors)
     copies = member.filter("id <> first").select("first", "id", F.lit(1.0))
     links = stored(similar_pairs(firsts, least).union(copies), f"{workspace(vectors.sparkSession, 'groups')}/links")
     return components(links), links

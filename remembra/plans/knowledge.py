@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from remembra.operators import beliefs as B
@@ -93,15 +94,18 @@ def entity_relations_svo(spark, sf):
 
 
 #: The graph's tables of each data folder that this process has asked, by application and folder.
-_GRAPHS: dict[tuple[str, str], tuple] = {}
+_GRAPHS: dict[tuple[str, str, int], DataFrame] = {}
 
 
-def graph_tables(spark, sf):
-    """Entities, mentions and relations of the folder's notes; the first query that needs them writes them, as a store keeps them beside its rows."""
-    key = (spark.sparkContext.applicationId, sf)
+def graph_table(spark, sf, which):
+    """Entities (0), mentions (1) or relations (2) of the folder's notes; the first query that needs one writes it, as a store keeps them beside its rows."""
+    key = (spark.sparkContext.applicationId, sf, which)
     if key not in _GRAPHS:
-        place = workspace(spark, "graph")
-        _GRAPHS[key] = tuple(stored(t, f"{place}/{k}") for k, t in enumerate(G.tables(noted(spark, sf))))
+        made = G.tables(noted(spark, sf))
+        for k, table_ in enumerate(made):
+            # entities and mentions come of one extraction, which is written; relations wait until they are asked for
+            if k == which or k < 2 and which < 2:
+                _GRAPHS[key[:2] + (k,)] = stored(table_, f"{workspace(spark, 'graph')}/{k}")
     return _GRAPHS[key]
 
 
@@ -110,19 +114,18 @@ QUESTION = "Then what did Ada Lovelace say of Acme Labs?"
 
 @query(search_sql(score="CASE WHEN id IN (SELECT id FROM entities WHERE lower(name) IN ('ada lovelace', 'acme labs')) THEN least(1::DOUBLE, score + 0.15::DOUBLE) ELSE score END", min_score=0.1, extra=", " + ENTITIES_SQL.removeprefix("WITH ")))
 def search_graph_boost(spark, sf):
-    nodes, mentions, _ = graph_tables(spark, sf)
-    linked = G.linked_memories(mentions, G.query_entities(nodes, QUESTION)).withColumnRenamed("memory", "id")
+    linked = G.linked_memories(graph_table(spark, sf, 1), G.query_entities(graph_table(spark, sf, 0), QUESTION)).withColumnRenamed("memory", "id")
     return run_search(spark, sf, boosted=linked, min_score=0.1)
 
 
 @query(f"{ENTITIES_SQL} SELECT DISTINCT md5(lower(name)) AS entity, id AS memory FROM entities")
 def graph_mentions(spark, sf):
-    return graph_tables(spark, sf)[1].select("entity", "memory")
+    return graph_table(spark, sf, 1).select("entity", "memory")
 
 
 @query(f"SELECT md5(source) AS source, md5(target) AS target, relation, weight, id AS memory FROM ({RELATIONS_SQL})")
 def graph_relations(spark, sf):
-    return graph_tables(spark, sf)[2].select("source", "target", "relation", "weight", "memory")
+    return graph_table(spark, sf, 2).select("source", "target", "relation", "weight", "memory")
 
 
 # ---- the graph of customers, suppliers, nations and regions ----
@@ -362,16 +365,16 @@ def contradictions_unresolved(spark, sf):
     return K.unresolved(kept(spark, sf)).limit(50).select("id", "memory_a", "memory_b", "score", "kind")
 
 
-@query(f"{KEPT_SQL} SELECT id, memory_a, memory_b, score, kind FROM kept WHERE memory_a IN (2, 2002, 4004) OR memory_b IN (2, 2002, 4004)")
+@query(f"{KEPT_SQL} SELECT id, memory_a, memory_b, score, kind FROM kept WHERE memory_a IN (4, 6004, 8001) OR memory_b IN (4, 6004, 8001)")
 def contradictions_of_memory(spark, sf):
     rows = kept(spark, sf)
-    of = [K.of_memory(rows, i) for i in (2, 2002, 4004)]
+    of = [K.of_memory(rows, i) for i in (4, 6004, 8001)]
     return of[0].union(of[1]).union(of[2]).select("id", "memory_a", "memory_b", "score", "kind").distinct()
 
 
-@query(f"{KEPT_SQL} SELECT id, CASE WHEN id = 2002 AND resolution IS NULL THEN 'by hand' ELSE resolution END AS resolution FROM kept")
+@query(f"{KEPT_SQL} SELECT id, CASE WHEN id = 6004 AND resolution IS NULL THEN 'by hand' ELSE resolution END AS resolution FROM kept")
 def contradictions_resolved(spark, sf):
-    rows = K.resolved(kept(spark, sf), 2002, "by hand", moment())
+    rows = K.resolved(kept(spark, sf), 6004, "by hand", moment())
     return rows.select("id", F.when(F.col("resolved_at").isNotNull(), F.col("resolution")).alias("resolution"))
 
 
