@@ -13,6 +13,8 @@ L0_CHARS, L1_CHARS, FALLBACK_CHARS, KEY_TERMS = 400, 2000, 200, 10
 
 # Fixed value: what counts as a key term.
 TERM = r"\b(?:[A-Z][a-zA-Z]{2,}(?:\.[a-zA-Z]+)*|[a-z]+(?:DB|AI|ML|API|CLI|SDK|URL|LLM|RAG|MCP|SST|CDK|SQS|SNS|RDS|EC2|S3|VPC|IAM))\b"
+#: The same for Spark: a term starts and ends with word characters.
+WHOLE_TERM = r"(?<!\w)".join(TERM.split(r"\b", 1)).replace(r"\b", r"(?!\w)")
 SENTENCE = r"^[^.!?\n]+(?:[.!?]|\z)"
 
 
@@ -33,7 +35,7 @@ def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
 
 def key_terms(c: Column, sentence: Column) -> Column:
     # distinct first: a text has far fewer different terms than terms
-    return _bound(F.lower(sentence), lambda low: F.slice(F.filter(F.array_distinct(all_matches(c, TERM)), lambda t: ~F.contains(low, F.lower(t))), 1, KEY_TERMS))
+    return _bound(F.lower(sentence), lambda low: F.slice(F.filter(F.array_distinct(all_matches(c, WHOLE_TERM)), lambda t: ~F.contains(low, F.lower(t))), 1, KEY_TERMS))
 
 
 def l0(c: Column) -> Column:

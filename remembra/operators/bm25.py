@@ -17,6 +17,10 @@ class Bm25:
     b: float = 0.75
 
 
+#: Terms of a query up to which their counts are gathered and broadcast.
+FEW_TERMS = 1000
+
+
 def tokens(text: Column) -> Column:
     """[a-z0-9]+ of the text with A-Z lower-cased."""
     return F.regexp_extract_all(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), F.lit("[a-z0-9]+"), F.lit(0))
@@ -37,13 +41,18 @@ def lengths(docs: DataFrame, text: str = "content") -> tuple[int, int]:
     return found[0], found[1] or 0
 
 
-def scores(found: DataFrame, queries: DataFrame, n: int, total: int, params: Bm25 = Bm25()) -> DataFrame:
-    """(q, id, bm25) for postings `found` of the terms of queries (q, term), distinct; n documents have `total` tokens.
+def scores(found: DataFrame, queries: DataFrame, n: int, total: int, params: Bm25 = Bm25(), few: bool = False) -> DataFrame:
+    """(q, id, bm25) for postings `found` of the terms of queries (q, term), distinct; n documents have `total` tokens. few: the terms are those of
+    a query or so, and their counts and they themselves go to every task.
 
     A term's documents are counted by an aggregation, so a common one is no single task's. Scores are rounded to nine decimals, so
     that the order of a sum's parts decides no tie.
     """
     df = found.groupBy("term").agg(F.count("*").alias("df"))
+    if few:
+        spark = found.sparkSession
+        df = F.broadcast(spark.createDataFrame(df.collect(), "term string, df long"))  # a row for each of the terms
+        queries = F.broadcast(queries)
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = params.k1 * (1 - params.b + params.b * F.col("dl") / F.lit(total / n if total else 1.0))
     part = idf * F.col("tf") * (params.k1 + 1) / (F.col("tf") + norm)
@@ -132,7 +141,7 @@ class TextIndex:
             # constants, so that other buckets' files are not even listed
             found = rows.filter(F.col("bucket").isin([self._bucket(F.lit(t)) for t in terms]) & F.col("term").isin(list(terms)))
         n, total, _ = self._totals()
-        return scores(self._alive(found).select("term", "id", "tf", "dl"), queries, n, total, params)
+        return scores(self._alive(found).select("term", "id", "tf", "dl"), queries, n, total, params, terms is not None and len(terms) <= FEW_TERMS)
 
 
 def normalised(scores: DataFrame, by: str = "q") -> DataFrame:

@@ -117,7 +117,7 @@ def leader_clusters(edges: DataFrame, keys: DataFrame) -> DataFrame:
         new = stored(alone.select(F.col("later").alias("id"), F.col("near").isNull().alias("seed")), f"{place}/decided/round={k}")
         if new.isEmpty():
             break
-        waiting = stored(told.select("later", "earlier").join(new.select(F.col("id").alias("later")), "later", "left_anti"), f"{place}/waiting{k}")
+        waiting = told.select("later", "earlier").join(new.select(F.col("id").alias("later")), "later", "left_anti")
     decided = spark.read.schema("id " + dict(e.dtypes)["later"] + ", seed boolean").parquet(*(f"{place}/decided/round={r}" for r in range(k + 1)))
     seeds = decided.filter("seed").select(F.col("id").alias("earlier"))
     member = e.join(seeds, "earlier", "left_semi").join(seeds.withColumnRenamed("earlier", "later"), "later", "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from remembra.functions.text import all_matches, trim
+from remembra.functions.text import all_matches, from_word, trim
 from remembra.sources.store import stored, workspace
 
 # Patterns of entities, verbs of strong relationships, and capitalised words that are no names.
@@ -60,7 +60,7 @@ def entities(memories: DataFrame, known: Sequence[tuple[str, str, str]] = ()) ->
     parts = []
     for pattern, name, kind in known:
         parts.append(F.when(c.rlike("(?i)" + pattern), F.array(F.struct(F.lit(name).alias("name"), F.lit(kind).alias("type")))).otherwise(F.expr("cast(array() as array<struct<name:string,type:string>>)")))
-    parts += [of(all_matches(c, URL), "url"), of(all_matches(c, DATE, 1), "date"), of(all_matches(c, COMPANY, 1), "company")]
+    parts += [of(all_matches(c, URL), "url"), of(all_matches(c, from_word(DATE), 1), "date"), of(all_matches(c, from_word(COMPANY), 1), "company")]
     named = F.filter(F.split(c, SENTENCE_END), lambda s: s.rlike(RUN))
     parts.append(of(F.flatten(F.transform(named, _people)), "person"))
     rows = memories.select("id", F.posexplode(F.concat(*parts)).alias("place", "e")).select("id", "place", "e.name", "e.type").filter("length(name) between 2 and 120")

@@ -89,13 +89,15 @@ def curate(memories: DataFrame, as_of: Column, least: float = CURATE_IMPORTANCE,
     return memories.withColumn("reasons", reasons).filter(F.col("reasons") != "")
 
 
-def export(memories: DataFrame, namespace: str | None = None, kind: str | None = None, limit: int = 50) -> DataFrame:
-    """One markdown line a memory, the most important first."""
+def export(memories: DataFrame, namespace: str | None = None, kind: str | None = None, limit: int = 50, project: str | None = None) -> DataFrame:
+    """One markdown line a memory, the most important first; of a project only those whose metadata names it."""
     out = memories
     if namespace:
         out = out.filter(F.col("namespace") == namespace)
     if kind:
         out = out.filter(F.col("type") == kind)
+    if project:
+        out = out.filter(F.get_json_object("metadata", "$.project") == project)
     out = out.orderBy(F.col("importance").desc(), "id").limit(limit)
     return out.withColumn("line", F.concat(F.lit("- ["), "type", F.lit("] "), F.substring(F.regexp_replace("content", r"\s+", " "), 1, 120)))
 

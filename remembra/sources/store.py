@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
 import time
 import uuid
 from collections.abc import Mapping, Sequence
@@ -21,13 +24,19 @@ LOST_AFTER = 60
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or the checkpoint folder that the session has been given. On one machine, where it is unset, a folder beside the warehouse."""
+    """spark.checkpoint.dir, or the checkpoint folder that the session has been given. Without either it raises, but for a session that is one
+    process: that gets a folder of its own, which ends with it."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not path and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(path or f"{spark.conf.get('spark.sql.warehouse.dir')}/remembra-work")
+        if not path:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            path = tempfile.mkdtemp(prefix="remembra-")
+            atexit.register(shutil.rmtree, path, ignore_errors=True)
+            sc.setCheckpointDir(path)
+            return path
+        sc.setCheckpointDir(path)
     return (path or sc._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
