@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -14,7 +17,8 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or the checkpoint folder that the session has been given; without either it raises."""
+    """The folder of spark.checkpoint.dir, or the checkpoint folder that the session has been given. Without either it raises, but for a
+    session that is one process: that gets a folder of its own, which ends with it."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     at = sc._jsc.sc().getCheckpointDir()
@@ -22,9 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(path)
     if not path:
         if at.isEmpty():
-            if not sc.master.startswith("local["):
+            if sc.master != "local" and not sc.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            sc.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/remembra-work")
+            own = tempfile.mkdtemp(prefix="remembra-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            sc.setCheckpointDir(own)
             at = sc._jsc.sc().getCheckpointDir()
         path = at.get()
     return path.rstrip("/")

@@ -1,8 +1,12 @@
+import hashlib
 import random
 import re
 
+import numpy as np
+import pytest
+
 from remembra.llm._store import workspace
-from remembra.llm.substring import WindowIndex, dedup_substrings
+from remembra.llm.substring import WindowIndex, _among, dedup_substrings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -68,3 +72,29 @@ def test_runs_are_compacted(spark):
         assert got.n_removed == (3 if b else 0)
         sizes.append(len(index.runs))
     assert sizes == [1, 1, 2, 1]
+
+
+def test_ids_are_integers(spark):
+    with pytest.raises(TypeError, match="doc_id"):
+        dedup_substrings(spark.createDataFrame([("a", "x y")], "doc_id string, text string"))
+
+
+def test_windows_that_share_a_key(spark):
+    """Windows are told by the key and the check: with keys of few bits, many share one."""
+    rows = corpus(60)
+    folder = workspace(spark, "few")
+    index = WindowIndex(spark, folder, 3)
+    index.bits = 32
+    df = spark.createDataFrame([(i, t) for i, t in rows if i is not None], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.text) for r in index.dedup(df, 10_000).collect())
+    assert got == sorted(brute([(i, t) for i, t in rows if i is not None]))
+    key, check = np.array([5, 5, 7, 9], np.uint64), np.array([1, 2, 3, 4], np.uint32)
+    old, old_check = np.array([5, 5, 5, 9], np.uint64), np.array([3, 2, 9, 5], np.uint32)
+    assert _among(key, check, old, old_check).tolist() == [False, True, False, False]
+
+
+def test_digests(spark):
+    rows = [(1, "a b c"), (2, None), (None, " x  y ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = {r.doc_id: r.text for r in dedup_substrings(df).collect()}
+    assert {r.doc_id: r.kept_sha256 for r in dedup_substrings(df, digest=True).collect()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items()} and texts == {1: "a b c", 2: "", None: "x y"}
