@@ -261,6 +261,12 @@ def _whole(size: int, bits: int, check: type, digest: bool):
     return run
 
 
+def _checked(docs: DataFrame) -> None:
+    kind = docs.select("doc_id").schema["doc_id"].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"doc_id decides what comes first and is an integer, not {kind.simpleString()}")
+
+
 class WindowIndex:
     """The windows of all documents that have arrived, as sorted immutable runs in a folder of the shared store.
 
@@ -295,9 +301,7 @@ class WindowIndex:
         `digest`, its SHA-256 as kept_sha256 instead. A null text has no words; rows without a doc_id lose nothing and stay
         out of the index; rows that share a doc_id do not lose to each other. Place for the result is the caller's; nothing is gathered.
         """
-        kind = docs.select("doc_id").schema["doc_id"].dataType
-        if not isinstance(kind, T.IntegralType):
-            raise TypeError(f"doc_id decides what comes first and is an integer, not {kind.simpleString()}")
+        _checked(docs)
         blocks = max(1, -(-text_bytes // BLOCK_BYTES))
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
         named = rows.filter("doc_id is not null").withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
@@ -344,6 +348,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, arrivals: int = ARRI
     """(doc_id, n_words, n_removed, text) for each row of docs: without words covered by a window whose
     words also start in a document with a smaller doc_id. The table arrives at a new WindowIndex
     in batches of ascending doc_id; see there for nulls, repeated rows and `digest`. An empty table gives none."""
+    _checked(docs)
     spark = docs.sparkSession
     place = workspace(spark, "substring")
     rows = docs.select("doc_id", "text")
