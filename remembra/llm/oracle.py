@@ -47,4 +47,12 @@ t AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top, row_numb
 r AS (SELECT *, payload_bytes >= 1000 AND top IS NOT NULL AND (page_id IS DISTINCT FROM top OR copy > 1) AS visit FROM t)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN visit THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN visit THEN top END AS refers_to FROM r"""
 
-ORACLE_SQL = {"op1_repetition": OP1, "op7_substring": OP7, "op9_ann": OP9, "op10_warc": OP10}
+OP12 = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)::BIGINT) AS e FROM embeddings
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = o.label AS same, o.vec_id AS id, coalesce(list_sum(list_transform(list_zip(a.e, o.e), lambda z: z[1] * z[2])), 0)::BIGINT AS score FROM v a JOIN v o ON a.vec_id <> o.vec_id AND len(a.e) = len(o.e) WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS place FROM s WHERE same) WHERE place <= 5),
+n AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+ FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT * FROM n WHERE rank <= 5"""
+
+ORACLE_SQL = {"op1_repetition": OP1, "op7_substring": OP7, "op9_ann": OP9, "op10_warc": OP10, "op12_hard_negatives": OP12}

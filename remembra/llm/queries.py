@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from remembra.llm.ann import nearest_neighbours
 from remembra.llm.bpe import bpe_report
 from remembra.llm.ctw import ctw_scores
+from remembra.llm.hard_negatives import hard_negatives
 from remembra.llm.html_extract import extract_main_text
 from remembra.llm.mixing import mix_report
 from remembra.llm.oracle import ORACLE_SQL
@@ -67,6 +68,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repetition, op2_mixing, op3_simhash, op4_ctw, op5_bpe, op6_html_extract, op7_substring, op8_secret_scan, op9_ann, op10_warc)}
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 12 over all of `embeddings`: anchors are the ids divisible by 100, ids divisible by 7 take the next label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repetition, op2_mixing, op3_simhash, op4_ctw, op5_bpe, op6_html_extract, op7_substring, op8_secret_scan, op9_ann, op10_warc, op12_hard_negatives)}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
