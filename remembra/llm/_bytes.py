@@ -73,9 +73,9 @@ class Texts:
         d = self.data
         d += ((d >= 65) & (d <= 90)).astype(np.uint8) << 5
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start and end of each word, and the number of words of each document."""
-        space = SPACE[self.data]
+    def words(self, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end of each word, and the number of words of each document; space: which bytes part words, the newline among them."""
+        space = space[self.data]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1  # the buffer starts and ends with a newline
         starts, ends = edge[::2], edge[1::2]
         bounds = np.searchsorted(starts, np.append(self.begin, len(self.data)))

@@ -55,4 +55,18 @@ n AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id,
  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
 SELECT * FROM n WHERE rank <= 5"""
 
-ORACLE_SQL = {"op1_repetition": OP1, "op7_substring": OP7, "op9_ann": OP9, "op10_warc": OP10, "op12_hard_negatives": OP12}
+_TERMS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13 = f"""WITH d AS (SELECT row_number() OVER () AS doc, doc_id, coalesce({_TERMS.format('text')}, []) AS ts FROM documents),
+c AS (SELECT count(*) AS nn, coalesce(sum(len(ts)), 0)::BIGINT AS ll FROM d WHERE len(ts) > 0),
+p AS (SELECT doc, t, count(*) AS tf FROM (SELECT doc, unnest(ts) AS t FROM d) GROUP BY doc, t),
+f AS (SELECT t, count(*) AS df FROM p GROUP BY t),
+m AS (SELECT doc, doc_id, 100 - 25 + ((25 * len(ts) * nn) // ll) AS m FROM d, c WHERE len(ts) > 0),
+q AS (SELECT row_number() OVER () AS item, item_id, {_TERMS.format('text')} AS ts FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+u AS (SELECT item, t, count(*) AS times FROM (SELECT item, unnest(ts) AS t FROM q) GROUP BY item, t),
+w AS (SELECT item, t, times * floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM u JOIN f USING (t), c),
+s AS (SELECT item, doc, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM w JOIN p USING (t) JOIN m USING (doc) GROUP BY item, doc, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST, doc)::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r JOIN q USING (item) WHERE rank <= 20"""
+
+ORACLE_SQL = {"op1_repetition": OP1, "op7_substring": OP7, "op9_ann": OP9, "op10_warc": OP10, "op12_hard_negatives": OP12, "op13_treaps": OP13}

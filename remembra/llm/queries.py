@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from remembra.llm._store import workspace
 from remembra.llm.ann import nearest_neighbours
 from remembra.llm.bpe import bpe_report
 from remembra.llm.ctw import ctw_scores
@@ -19,6 +20,7 @@ from remembra.llm.repetition import repetition_rules
 from remembra.llm.secret_scan import secret_report
 from remembra.llm.simhash import simhash_components
 from remembra.llm.substring import dedup_substrings
+from remembra.llm.treaps import build_index, search
 from remembra.llm.warc import warc_round_trip
 
 
@@ -74,6 +76,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repetition, op2_mixing, op3_simhash, op4_ctw, op5_bpe, op6_html_extract, op7_substring, op8_secret_scan, op9_ann, op10_warc, op12_hard_negatives)}
+def op13_treaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 13: all of `documents` indexed, then ranked for each item of `benchmark`."""
+    index = build_index(_table(spark, sf_dir, "documents"), workspace(spark, "index"))
+    return search(index, _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repetition, op2_mixing, op3_simhash, op4_ctw, op5_bpe, op6_html_extract, op7_substring, op8_secret_scan, op9_ann, op10_warc, op12_hard_negatives, op13_treaps)}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
