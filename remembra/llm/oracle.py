@@ -47,6 +47,20 @@ t AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top, row_numb
 r AS (SELECT *, payload_bytes >= 1000 AND top IS NOT NULL AND (page_id IS DISTINCT FROM top OR copy > 1) AS visit FROM t)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN visit THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN visit THEN top END AS refers_to FROM r"""
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = rf"""WITH RECURSIVE docs AS (SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+raw AS (SELECT doc, array_to_string(ws, ' ') AS g FROM docs WHERE len(ws) BETWEEN 1 AND 4
+ UNION ALL SELECT doc, array_to_string(ws[i:i + 4], ' ') FROM (SELECT doc, ws, unnest(generate_series(1, len(ws) - 4)) AS i FROM docs WHERE len(ws) >= 5)),
+g AS (SELECT DISTINCT doc, hash(g) AS g FROM raw),
+n AS (SELECT doc, count(*) AS n FROM g GROUP BY doc),
+i AS (SELECT a.doc AS a, b.doc AS b, count(*) AS shared FROM g a JOIN g b ON a.g = b.g AND a.doc < b.doc GROUP BY 1, 2),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc = a JOIN n y ON y.doc = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc, doc AS to_doc FROM docs UNION SELECT r.doc, e.b FROM r JOIN e ON e.a = r.to_doc),
+c AS (SELECT r.doc, min(d.doc_id) AS component_id FROM r JOIN docs d ON d.doc = r.to_doc GROUP BY r.doc)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM docs JOIN c USING (doc) LEFT JOIN n USING (doc)"""
+
 OP12 = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)::BIGINT) AS e FROM embeddings
  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT a.vec_id AS anchor_id, a.label = o.label AS same, o.vec_id AS id, coalesce(list_sum(list_transform(list_zip(a.e, o.e), lambda z: z[1] * z[2])), 0)::BIGINT AS score FROM v a JOIN v o ON a.vec_id <> o.vec_id AND len(a.e) = len(o.e) WHERE a.vec_id % 100 = 0),
@@ -69,4 +83,4 @@ s AS (SELECT item, doc, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 *
 r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST, doc)::INT AS rank FROM s WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM r JOIN q USING (item) WHERE rank <= 20"""
 
-ORACLE_SQL = {"op1_repetition": OP1, "op7_substring": OP7, "op9_ann": OP9, "op10_warc": OP10, "op12_hard_negatives": OP12, "op13_treaps": OP13}
+ORACLE_SQL = {"op1_repetition": OP1, "op7_substring": OP7, "op9_ann": OP9, "op10_warc": OP10, "op11_minhash": OP11, "op12_hard_negatives": OP12, "op13_treaps": OP13}

@@ -14,6 +14,7 @@ from remembra.llm.bpe import bpe_report
 from remembra.llm.ctw import ctw_scores
 from remembra.llm.hard_negatives import hard_negatives
 from remembra.llm.html_extract import extract_main_text
+from remembra.llm.minhash import minhash_components
 from remembra.llm.mixing import mix_report
 from remembra.llm.oracle import ORACLE_SQL
 from remembra.llm.repetition import repetition_rules
@@ -70,6 +71,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 11 over all of `documents`: 5-word shingles, links at a similarity of 0.85 or more."""
+    return minhash_components(_table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 12 over all of `embeddings`: anchors are the ids divisible by 100, ids divisible by 7 take the next label."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -82,6 +88,6 @@ def op13_treaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(index, _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repetition, op2_mixing, op3_simhash, op4_ctw, op5_bpe, op6_html_extract, op7_substring, op8_secret_scan, op9_ann, op10_warc, op12_hard_negatives, op13_treaps)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repetition, op2_mixing, op3_simhash, op4_ctw, op5_bpe, op6_html_extract, op7_substring, op8_secret_scan, op9_ann, op10_warc, op11_minhash, op12_hard_negatives, op13_treaps)}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
