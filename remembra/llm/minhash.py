@@ -103,7 +103,7 @@ def survivors(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, percen
 
 def shared(x: list[np.ndarray], y: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of the pairs x[a], y[b] of sorted sets."""
-    if len(a) < 4 * (len(x) + len(y)):
+    if len(a) <= 4 * (len(x) + len(y)):
         return np.array([len(np.intersect1d(x[i], y[j], assume_unique=True)) for i, j in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
     # many pairs: the sets as rows of ones, their products summed over runs of shingles that two sets have at least
     flat = np.concatenate([*x, *y])
