@@ -277,10 +277,11 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int, path: str) -> DataF
     return out
 
 
-def link_sets(texts: DataFrame, whole: Callable[[DataFrame], DataFrame], place: str, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+def link_sets(texts: DataFrame, whole: Callable[[DataFrame], DataFrame], place: str, percent: int = PERCENT, shingle: int = SHINGLE, extra: DataFrame | None = None) -> DataFrame:
     """Links (a, b) that connect what the similarity of shingle sets connects, of texts (node, n_shingles, signature), one row for each distinct set.
 
     Sets are linked if 100 * intersection >= percent * union. whole gives (node, __text) for a table of nodes, of each a text or more.
+    extra: candidates (a, b) from elsewhere, nodes of texts, which are compared too.
 
     Texts that share a band of minima meet in a bucket. First each is compared with its bucket's leader, the smallest node; buckets whose texts are in one component
     then are done. In the others all pairs of different components are compared, in cells of two chunks of the bucket, however large it is. Signatures are
@@ -294,7 +295,11 @@ def link_sets(texts: DataFrame, whole: Callable[[DataFrame], DataFrame], place:
     buckets = stored(at.groupBy("bucket").agg(F.count("*").alias("__count"), F.min("node").alias("leader")).filter("__count > 1"), f"{place}/buckets")
     member = stored(join_hot(at, buckets, "bucket", n * BANDS), f"{place}/member")
     # blocks: texts that have their smallest leader in common, in parts if they are many, with others if they are few
-    near = stored(member.groupBy("node").agg(F.min("leader").alias("near")).join(full.select("node", "n_shingles"), "node"), f"{place}/near")
+    met = member.select("leader", "node")
+    if extra is not None:
+        extra = stored(extra.select(F.col("a").alias("leader"), F.col("b").alias("node")).filter("a <> b"), f"{place}/extra")
+        met = met.union(extra).union(extra.select("leader", F.col("leader").alias("node")))
+    near = stored(met.groupBy("node").agg(F.min("leader").alias("near")).join(full.select("node", "n_shingles"), "node"), f"{place}/near")
     size = near.groupBy("near").agg(F.ceil(F.greatest(F.sum("n_shingles") / F.lit(BLOCK), F.count("*") / F.lit(BLOCK_TEXTS))).alias("parts"), F.count("*").alias("__count"), F.sum("n_shingles").alias("__size"))
     some, shingles = near.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     groups = F.lit(max(1, -(-shingles // BLOCK), -(-some // BLOCK_TEXTS)))
@@ -303,7 +308,7 @@ def link_sets(texts: DataFrame, whole: Callable[[DataFrame], DataFrame], place:
     sets = whole(blocks.select("node")).mapInArrow(_set_rows(shingle), "node long, hashes binary").dropDuplicates(["node"])
     sets = stored(sets.join(full, "node"), f"{place}/sets")
     # every text with its leaders
-    led = stored(member.filter("leader <> node").select("leader", "node").distinct().join(blocks, "node"), f"{place}/led")
+    led = stored(met.filter("leader <> node").distinct().join(blocks, "node"), f"{place}/led")
     leaders = led.groupBy("leader").agg(F.count("*").alias("__count")).join(blocks.select(F.col("node").alias("leader"), F.col("block").alias("leader_block")), "leader")
     both = join_hot(led, leaders, "leader", led.count()).select("node", "leader", "block", "leader_block")
     pairs = stored(both.mapInArrow(_with_leaders, "x long, y long, pairs binary"), f"{place}/pairs")
@@ -322,7 +327,7 @@ def link_sets(texts: DataFrame, whole: Callable[[DataFrame], DataFrame], place:
     cells = opened.withColumn("task", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(max(1, -(-rows // ROWS_AT_ONCE)))))
     cells = stored(cells.groupBy("task").applyInArrow(_within(percent), "x long, y long, pairs binary"), f"{place}/cells")
     second = _linked(cells, sets, percent, f"{place}/second")
-    for name in ("buckets", "member", "near", "blocks", "sets", "led", "pairs", "known", "several", "cells"):
+    for name in ("buckets", "member", "near", "blocks", "sets", "led", "pairs", "known", "several", "cells", "extra"):
         remove(spark, f"{place}/{name}")
     return first.union(second)
 

@@ -1,11 +1,10 @@
-"""Near copies by the Jaccard similarity of shingles: operator 3's ball hashing and, for copies whose fingerprints lie farther apart, bands of
+"""Near copies by the Jaccard similarity of shingles: operator 3's ball hashing and, for copies whose fingerprints lie farther apart, buckets of
 minima find candidates; their shingles decide."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,63 +12,22 @@ from pyspark.sql import functions as F
 from remembra.llm._bytes import pieces
 from remembra.llm._graph import components, join_hot
 from remembra.llm._store import held, quoted, released, remove, stored, workspace
+from remembra.llm.minhash import link_sets, sketch
 from remembra.llm.simhash import SEED, _shingles, links, majority
 
-#: Words of a shingle, and least similarity of near copies.
-SHINGLE, SIMILARITY = 5, 0.8
-#: Bands and minima of a band: a pair at 0.8 shares a band with a probability above 0.9999.
-BANDS, ROWS = 24, 5
-#: Buckets of up to so many texts give all pairs; larger ones pair each text with LEADERS of them.
-SMALL, LEADERS = 16, 4
+#: Words of a shingle, and 100 times the least similarity of near copies.
+SHINGLE, PERCENT = 5, 80
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_SALT = np.random.default_rng(SEED).integers(1, 1 << 63, (BANDS, ROWS, 2), np.uint64) | np.uint64(1)
+_SKETCH = sketch(SHINGLE)
 
 
-def bands(h: np.ndarray, n: np.ndarray) -> pa.Array:
-    """list<int64> of each text, of the n shingle hashes that are its own in h: a key for each band, equal if all its minima are; empty without words."""
-    full = np.flatnonzero(n)
-    keys = np.zeros((len(full), BANDS), np.uint64)
-    if len(full):
-        first = np.cumsum(n)[full] - n[full]
-        for k in range(BANDS):
-            key = np.full(len(full), k + 1, np.uint64)
-            for x, a in _SALT[k]:
-                key = (key ^ np.minimum.reduceat((h ^ x) * a, first)) * _MIX
-                key ^= key >> np.uint64(29)
-            keys[:, k] = key
-    offsets = np.append(0, np.cumsum((n > 0) * BANDS)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))
-
-
-def sets(column: pa.Array) -> list[bytes]:
-    """The distinct shingles of each text as sorted 32-bit hashes."""
-    h, n = _shingles(column, SHINGLE, SEED)
-    return [np.unique(x.astype(np.uint32)).tobytes() for x in np.split(h, np.cumsum(n)[:-1])]
-
-
-def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Puts the fingerprint and what sketch gives in the place of the text."""
     for batch in batches:
         for piece in pieces(batch, "__text"):
-            h, n = _shingles(piece.column(piece.num_columns - 1), SHINGLE, SEED)
-            yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(majority(h, n).view(np.int64)), bands(h, n)], [*piece.schema.names[:-1], "fp", "bands"])
-
-
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for piece in pieces(batch, "__text"):
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sets(piece.column(1)), pa.binary())], ["node", "hashes"])
-
-
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
-            low, high = sorted((len(x), len(y)))
-            both = len(np.intersect1d(x, y, assume_unique=True)) if low >= SIMILARITY * high else 0
-            keep.append(both >= SIMILARITY * (low + high - both))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            fp = majority(*_shingles(piece.column(piece.num_columns - 1), SHINGLE, SEED))
+            made = pa.Table.from_batches(_SKETCH(iter([piece]))).combine_chunks().to_batches()[0]
+            yield made.append_column("fp", pa.array(fp.view("int64")))
 
 
 def _balls(texts: DataFrame, place: str) -> DataFrame:
@@ -81,20 +39,6 @@ def _balls(texts: DataFrame, place: str) -> DataFrame:
     return same.union(near)
 
 
-def _bands(texts: DataFrame, place: str) -> DataFrame:
-    """Candidates (a, b), a < b, of texts (node, bands) that share a band."""
-    at = texts.select("node", F.explode("bands").alias("bucket"))
-    total = texts.count() * BANDS
-    leaders = [F.expr(f"min_by(node, xxhash64(node, {k}))").alias(f"l{k}") for k in range(LEADERS)]
-    buckets = stored(at.groupBy("bucket").agg(F.count("*").alias("__count"), *leaders).filter("__count > 1"), f"{place}/buckets")
-    member = stored(join_hot(at, buckets, "bucket", total), f"{place}/member")
-    few = member.filter(F.col("__count") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list("node")).alias("n"))
-    every = few.select(F.explode(F.expr("flatten(transform(n, (x, i) -> transform(slice(n, i + 2, size(n)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
-    led = member.filter(F.col("__count") > SMALL).select("node", F.explode(F.array(*[f"l{k}" for k in range(LEADERS)])).alias("l"))
-    led = led.filter("l <> node").select(F.least("l", "node").alias("a"), F.greatest("l", "node").alias("b"))
-    return every.union(led)
-
-
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs without those that links lead to a row that comes before; equal rows of one doc_id and text are one.
 
@@ -106,31 +50,26 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     place = workspace(spark, "copies")
     kind = dict(docs.dtypes)["doc_id"]
-    node = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", F.lit(0).cast("long")).otherwise(F.xxhash64("text"))
-    whole = F.xxhash64(*(F.col(quoted(c)) for c, k in docs.dtypes if "map<" not in k))
-    keyed = docs.select(held(docs.columns).alias("__doc"), "doc_id", F.xxhash64("doc_id", "text").alias("row"), whole.alias("whole"), node.alias("node"), F.col("text").alias("__text"))
-    rows = keyed.select("doc_id", "row", "whole", "node", "__text")
-    rows = stored(rows.mapInArrow(_band_rows, f"doc_id {kind}, row long, whole long, node long, fp long, bands array<long>"), f"{place}/rows")
+    every = F.xxhash64(*(F.col(quoted(c)) for c, k in docs.dtypes if "map<" not in k))
+    keyed = docs.select(held(docs.columns).alias("__doc"), "doc_id", F.xxhash64("doc_id", "text").alias("row"), every.alias("whole"), F.col("text").alias("__text"))
+    rows = keyed.select("doc_id", "row", "whole", "__text").mapInArrow(_rows, f"doc_id {kind}, row long, whole long, n_shingles long, node long, signature binary, fp long")
+    rows = stored(rows, f"{place}/rows")
     best = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row", "whole")).alias("best")
-    texts = stored(rows.groupBy("node").agg(best, F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")), f"{place}/texts")
-    pairs = stored(_balls(texts, place).union(_bands(texts, place)).distinct(), f"{place}/pairs")
+    some = [F.any_value(c).alias(c) for c in ("n_shingles", "signature", "fp")]
+    texts = stored(rows.groupBy("node").agg(best, F.count("*").alias("__count"), *some), f"{place}/texts")
+    total = rows.count()
     remove(spark, f"{place}/rows")
-    # one row of each text that is in a pair
-    some = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    some = texts.join(some, "node", "left_semi").select(F.col("best.row").alias("row"), F.col("best.whole").alias("whole"))
-    hashes = keyed.join(some, ["row", "whole"], "left_semi").select("node", "__text")
-    hashes = stored(hashes.mapInArrow(_set_rows, "node long, hashes binary").dropDuplicates(["node"]), f"{place}/hashes")
-    n = pairs.count()
-    side = lambda c, h: hashes.join(pairs.groupBy(c).agg(F.count("*").alias("__count")).withColumnRenamed(c, "node"), "node").select(F.col("node").alias(c), F.col("hashes").alias(h), "__count")
-    two = join_hot(pairs, side("b", "y"), "b", n).select("a", "b", "y")
-    two = join_hot(two, side("a", "x"), "a", n).select("a", "b", "x", "y")
-    alike = stored(two.mapInArrow(_alike, "a long, b long"), f"{place}/links")
-    for name in ("buckets", "member", "pairs", "hashes", "fingerprints"):
-        remove(spark, f"{place}/{name}")
+
+    def whole(nodes: DataFrame) -> DataFrame:
+        those = texts.join(nodes, "node", "left_semi").select(F.col("best.whole").alias("whole"), "node", "__count")
+        return join_hot(keyed.select("whole", "__text"), those, "whole", total).select("node", "__text")
+
+    alike = link_sets(texts, whole, place, PERCENT, SHINGLE, _balls(texts.filter("n_shingles > 0"), place))
     roots, done = components(alike)
     found = texts.select("node", "best").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "best")
     first = stored(found.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"), F.col("best.whole").alias("whole")), f"{place}/first")
     done()
-    remove(spark, f"{place}/texts")
+    for name in ("texts", "fingerprints"):
+        remove(spark, f"{place}/{name}")
     kept = keyed.join(first, ["row", "whole"], "left_semi").dropDuplicates(["row", "whole"])
     return kept.select(F.col("__doc").alias("__row")).select(*released(docs.columns))

@@ -42,7 +42,7 @@ def corpus():
             for share in (0.004, 0.01, 0.018, 0.03, 0.06):
                 texts.append(" ".join(word() if r.random() < share else w for w in base))
     base = [word() for _ in range(200)]
-    texts += [" ".join([*base, f"x{k}"]) for k in range(60)]  # a bucket above SMALL
+    texts += [" ".join([*base, f"x{k}"]) for k in range(60)]
     return [(i, t) for i, t in enumerate(texts)]
 
 
@@ -52,6 +52,21 @@ def test_against_brute_force(spark):
     assert sorted(r.doc_id for r in got) == [rows[i][0] for i in kept(rows)]
 
 
+def test_template_in_one_bucket(spark):
+    """Thousands of texts of one template, most of them at 0.7 to 0.79 of one another, some pairs above 0.8: as brute force has it."""
+    r = random.Random(9)
+    base = [f"w{r.randrange(3000)}" for _ in range(160)]
+    rows = []
+    for i in range(1500):
+        text = list(base)
+        for _ in range(r.choice((2, 3, 3, 4))):
+            text[r.randrange(160)] = f"x{i}"
+        rows.append((i, " ".join(text)))
+    got = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = [rows[i][0] for i in kept(rows)]
+    assert sorted(x.doc_id for x in got) == want and 1 < len(want) < 1500
+
+
 def test_shared_and_null_ids(spark):
     a, b, c = (" ".join(f"{x}{k}" for k in range(100)) for x in "abc")
     rows = [(1, a), (2, a + " more"), (2, b), (2, b), (None, a + " end"), (None, b), (None, c), (None, c + " end"), (3, None)]
