@@ -24,6 +24,8 @@ BLOCK_DOCS, BLOCK_BYTES = 4096, 4 << 20
 ITEM_TERMS = 8192
 #: Subtrees of an item that the first round opens; each round opens twice as many as the one before.
 OPEN = 8
+#: Terms of all items, 20 bytes each, up to which they are broadcast.
+BROADCAST_TERMS = 1 << 18
 #: Slots of document blocks that a block of items is sent to, at most.
 SLOTS = 1 << 14
 
@@ -348,7 +350,7 @@ def search(index: DataFrame, items: DataFrame, k: int = 20, item_id: str = "item
     with a term and n terms in a document, a term weighs floor(1000 ln((2N + 2) / (2 df + 1))), a document has m = 75 + 25 n N div L, and its score is
     the sum over the item's terms, repeats included, of weight * (10^9 tf div (1000 tf + 12 m)). Equal scores are ordered by doc_id, null ids last.
 
-    Items are cut into blocks and meet each block of documents in a row of a join keyed by both. There a treap of impacts is made for each term that is asked for, and
+    Items are cut into blocks; each meets each block of documents in a row of a join. There a treap of impacts is made for each term that is asked for, and
     search_block walks them; a task carries each item's k best from block to block. Terms are told by 64-bit hashes.
 
     Items equal in id and text are asked once, items that share an id each by itself; an item without terms, or a null text, gives no rows. Documents with a null
@@ -360,18 +362,22 @@ def search(index: DataFrame, items: DataFrame, k: int = 20, item_id: str = "item
     asked = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("__text")).filter("__text is not null").distinct()
     asked = asked.withColumn("item", F.xxhash64("item_id", "__text"))
     terms = stored(asked.select("item", "__text").mapInArrow(_item_terms, "item long, term long, times long"), f"{place}/terms")
-    blocks = max(1, -(-terms.count() // ITEM_TERMS))
+    n_asked = terms.count()
+    blocks = max(1, -(-n_asked // ITEM_TERMS))
     found = index.select(F.explode(F.arrays_zip("terms", "dfs")).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.dfs").alias("df"))
     df = found.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
     weight = F.floor(1000 * F.log(F.lit(2 * n_docs + 2).cast("double") / (2 * F.col("df") + 1).cast("double"))).cast("long")
     weighed = terms.join(df, "term").select("item", "term", (weight * F.col("times")).alias("weight")).filter("weight > 0")
     gathered = weighed.withColumn("tid", F.pmod("item", F.lit(blocks))).groupBy("tid").applyInArrow(_gather, _GATHERED)
     gathered = stored(gathered, f"{place}/items")
-    # a block of items meets a slot's blocks of documents
-    slots = F.lit(max(1, min(SLOTS, index.count())))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
-    blocked = index.withColumn("slot", F.pmod("block", slots).cast("long")).withColumn("tid", every(F.lit(blocks)))
-    cells = blocked.join(gathered.withColumn("slot", every(slots)), ["tid", "slot"]).select("ids", "lens", "terms", "dfs", "docs", "tfs", "items", "sizes", "wanted", "weights")
+    blocked = index.withColumn("tid", every(F.lit(blocks)))
+    if n_asked <= BROADCAST_TERMS:
+        cells = blocked.join(F.broadcast(gathered), "tid")
+    else:  # a block of items meets a slot's blocks of documents in a shuffle
+        slots = F.lit(max(1, min(SLOTS, index.count())))
+        cells = blocked.withColumn("slot", F.pmod("block", slots).cast("long")).join(gathered.withColumn("slot", every(slots)).hint("merge"), ["tid", "slot"])
+    cells = cells.select("ids", "lens", "terms", "dfs", "docs", "tfs", "items", "sizes", "wanted", "weights")
     kind = dict(index.dtypes)["ids"].removeprefix("array<").removesuffix(">")
     arrow = spark.createDataFrame([], f"x {kind}").toArrow().schema.field("x").type
     rows = stored(cells.mapInArrow(_search(k, n_docs, n_terms, arrow), f"item long, doc_id {kind}, score long"), f"{place}/found", 8)

@@ -52,6 +52,7 @@ def corpus():
 def test_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(module, "BLOCK_DOCS", block)
     monkeypatch.setattr(module, "ITEM_TERMS", 8192 if block == 4096 else 40)
+    monkeypatch.setattr(module, "BROADCAST_TERMS", module.BROADCAST_TERMS if block == 4096 else 0)
     docs, items = corpus()
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("ids", F.lit(1)).withColumn("block", F.lit("x"))
     q = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1)).withColumn("term", F.lit("x"))
