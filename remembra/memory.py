@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Sequence
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,9 @@ from remembra.functions import tiers
 from remembra.operators import beliefs, clusters, contradictions, graph, maintenance, search, writes
 from remembra.operators.blocks import knn
 from remembra.operators.bm25 import TextIndex
+from remembra.operators.metric import VectorIndex
 from remembra.schemas import METADATA
+from remembra.sources.log import Log
 from remembra.sources.store import Store, stored, workspace
 
 #: Neighbours that a new memory is checked against, and their least similarity.
@@ -21,17 +24,30 @@ CHECKED, CHECKED_SIMILARITY = 10, 0.5
 HASH = "sha2(concat_ws('|', {}), 256)"
 
 
+def whole(change):
+    """All that a method changes takes effect together, if it does not fail."""
+
+    @wraps(change)
+    def run(self: Memory, *args, **options):
+        with self.log.transaction():
+            return change(self, *args, **options)
+
+    return run
+
+
 class Memory:
     """Memories in a folder: rows with vectors, postings, entities, mentions, relations and contradictions.
 
-    embed(texts) gives vectors of `dimensions` components; it runs in the tasks. Every change takes its time, as_of. Changes write
-    the rows they make first, then what follows from them; each part can be made again from the rows (rebuild_index, backfill_graph).
+    embed(texts) gives vectors of `dimensions` components; it runs in the tasks. Every change takes its time, as_of. What a change does to the rows, the two
+    indexes, the graph and the contradictions is one version of one log, so it takes effect at once or not at all; two changes at once that touch
+    different rows both succeed. Searches add touches, which meet nothing. Each part can be made again from the rows (rebuild_index, backfill_graph).
     """
 
     def __init__(self, spark: SparkSession, folder: str, embed: Callable[[list[str]], Sequence[Sequence[float]]], dimensions: int, known: Sequence[tuple[str, str, str]] = (), buckets: int = 64):
         self.spark, self.embed, self.dimensions, self.known = spark, embed, dimensions, known
-        part = lambda name: Store(spark, f"{folder}/{name}")
-        self.store, self.index = part("memories"), TextIndex(spark, f"{folder}/text", buckets=buckets)
+        self.log = Log(spark, folder)
+        part = lambda name: Store(spark, folder, log=self.log, part=name, unique=name in ("entities", "mentions", "relations"))
+        self.store, self.index, self.vectors = part("memories"), TextIndex(spark, folder, buckets=buckets, log=self.log), VectorIndex(spark, folder, self.log)
         self.entities, self.mentions, self.relations, self.conflicts = map(part, ("entities", "mentions", "relations", "contradictions"))
 
     def read(self) -> DataFrame:
@@ -42,37 +58,43 @@ class Memory:
 
     # ---- writing ----
 
-    def save(self, inputs: DataFrame, as_of: Column, dedup: bool = False, check: bool = False, source: str = "cli", importance: float | None = None) -> DataFrame:
+    def save(self, inputs: DataFrame, as_of: Column, dedup: bool = False, check: bool = False, source: str = "cli", importance: float | None = None, batch: str | None = None) -> DataFrame:
         """Take in inputs (content, and any of the columns that writes.prepared names); the rows that were made.
 
-        dedup: those whose content is there, or earlier in the batch, are left out. check: contradictions with similar memories are
+        batch: a name of this save; if one of that name has been committed, nothing is done and no rows are told. dedup: those whose content is there, or earlier in the batch, are left out. check: contradictions with similar memories are
         looked for, and beliefs that a new one contradicts are superseded. Invalid inputs raise, and nothing is taken.
         """
-        bad = writes.invalid(inputs).select("reason").first()
-        if bad is not None:
-            raise ValueError(f"not taken: {bad.reason}")
-        rows = writes.prepared(writes.imported(inputs), as_of, source, importance)
-        if dedup:
-            there = self.read() if self.store.exists() else rows.limit(0)
-            rows = maintenance.new_rows(rows, there).drop("hash")
-        # the same text may be saved again: the time and the version tell the rows apart
-        rows = rows.withColumn("id", writes.row_id(F.col("id"), F.unix_micros(as_of).cast("string"), F.lit(self.store.version())))
-        made = self._made(writes.embedded(rows, self.embed, self.dimensions))
-        self._take(made)
-        if check:
-            self.check(made, as_of)
-        return made
-
+        with self.log.transaction(batch) as now:
+            if now.done:
+                return self.read().limit(0)
+            bad = writes.invalid(inputs).select("reason").first()
+            if bad is not None:
+                raise ValueError(f"not taken: {bad.reason}")
+            rows = writes.prepared(writes.imported(inputs), as_of, source, importance)
+            if dedup:
+                there = self.read() if self.store.exists() else rows.limit(0)
+                rows = maintenance.new_rows(rows, there).drop("hash")
+            # the same text may be saved again: the time and a number tell the rows apart
+            rows = rows.withColumn("id", writes.row_id(F.col("id"), F.unix_micros(as_of).cast("string"), F.lit(uuid.uuid4().hex)))
+            made = self._made(writes.embedded(rows, self.embed, self.dimensions))
+            self._take(made)
+            if check:
+                self.check(made, as_of)
+            return made
+
+    @whole
     def _take(self, made: DataFrame) -> None:
         self.store.append(made)
         self.index.add(made)
+        self.vectors.add(made)
         self.link(made)
 
+    @whole
     def save_beliefs(self, statements: DataFrame, as_of: Column) -> DataFrame:
         """Take in beliefs (content, confidence, domain, and any of holder, evidence, tags). (id, merged_into): one that restates a belief that
         is there changes that one's confidence, domain and history instead of being saved."""
         rows = writes.beliefs(statements, as_of)
-        rows = rows.withColumn("id", writes.row_id(F.col("id"), F.unix_micros(as_of).cast("string"), F.lit(self.store.version())))
+        rows = rows.withColumn("id", writes.row_id(F.col("id"), F.unix_micros(as_of).cast("string"), F.lit(uuid.uuid4().hex)))
         new = self._made(writes.embedded(rows, self.embed, self.dimensions))
         held = self.read().filter("type = 'belief'") if self.store.exists() else new.limit(0)
         near = knn(new.select("id", "vector"), held.select("id", "vector"), 1).withColumn("vector_score", 1 / (1 + F.col("distance")))
@@ -91,6 +113,7 @@ class Memory:
             self.store.update(self._made(old.select("id", F.to_json(meta).alias("metadata"))))
         return told.select("id", "merged_into")
 
+    @whole
     def challenge(self, id_: str, as_of: Column, limit: int = 10) -> tuple[DataFrame, DataFrame]:
         """Of a belief the memories that may contradict it (belief, rank, id, score), and those that support it (id, score); its metadata says when it was challenged."""
         found = self.store.get(id_).filter("type = 'belief'").select("id", "content", "metadata", writes.challenge_queries(F.col("content")).alias("queries")).first()
@@ -104,6 +127,7 @@ class Memory:
         self.store.update(self._made(self.read().filter(F.col("id") == found.id).select("id", F.to_json(meta).alias("metadata"))))
         return against, supporting
 
+    @whole
     def update(self, changes: DataFrame, as_of: Column) -> DataFrame:
         """Columns of changes (id, any of content, namespace, type, importance, tags, metadata) replace those of the rows; short forms, vectors and
         postings follow the content. The rows as they are now; ids that are not there have none."""
@@ -115,10 +139,12 @@ class Memory:
         new = new.withColumns({"l0_content": tiers.l0(c), "l1_content": tiers.l1(c), "updated_at": as_of})
         made = self._made(writes.embedded(new.drop("vector"), self.embed, self.dimensions).select(*rows.columns))
         self.store.replace(made)
-        self.index.remove(made)
-        self.index.add(made)
+        for index in (self.index, self.vectors):
+            index.remove(made)
+            index.add(made)
         return made
 
+    @whole
     def delete(self, ids: DataFrame) -> int:
         """Delete the rows of ids (id); how many were there."""
         gone = self._made(self.read().join(ids.select("id").distinct(), "id", "left_semi").select("id"))
@@ -126,8 +152,15 @@ class Memory:
         if count:
             self.store.delete(gone)
             self.index.remove(gone)
+            self.vectors.remove(gone)
         return count
 
+    @whole
+    def delete_prefix(self, prefix: str) -> bool:
+        """Delete the one row whose id starts so, its postings and its vector; False, and nothing changes, if there is none or more than one."""
+        found = self.read().filter(F.col("id").startswith(prefix)).select("id").limit(2).collect()
+        return len(found) == 1 and self.delete(self.spark.createDataFrame([(found[0].id,)], "id string")) == 1
+
     # ---- searching ----
 
     def search(self, text: str, as_of: Column, options: search.Options = search.Options(), graph_boost: bool = False, touch: bool = True) -> DataFrame:
@@ -135,7 +168,7 @@ class Memory:
         words = re.findall("[a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
         boosted = self.boosted(text) if graph_boost and self.entities.exists() else None
         rows = self.read()
-        found = self._made(search.search(rows, rows.select("id", "vector"), list(map(float, self.embed([text])[0])), words, as_of, options, boosted, self.index))
+        found = self._made(search.search(rows, rows.select("id", "vector"), list(map(float, self.embed([text])[0])), words, as_of, options, boosted, self.index, self.vectors))
         if touch and not found.isEmpty():
             self.store.fold(search.touched(found, as_of))
         return found.orderBy(F.col("score").desc(), "id")
@@ -147,11 +180,13 @@ class Memory:
 
     # ---- what hangs on the rows ----
 
+    @whole
     def link(self, rows: DataFrame) -> None:
         """Take the entities, mentions and relations of rows into the graph; what is there stays as it is."""
         for part, new in zip((self.entities, self.mentions, self.relations), graph.tables(rows.select("id", "content"), self.known), strict=True):
             part.append(new.join(part.read().select("id"), "id", "left_anti") if part.exists() else new)
 
+    @whole
     def backfill_graph(self) -> int:
         """Link the memories that no entity mentions yet; how many there are."""
         rows = self.read()
@@ -161,14 +196,18 @@ class Memory:
         self.link(rows)
         return rows.count()
 
+    @whole
     def rebuild_index(self) -> None:
+        """Make both indexes anew from the rows."""
         self.index.build(self.read())
+        self.vectors.build(self.read())
 
+    @whole
     def check(self, new: DataFrame, as_of: Column) -> DataFrame:
         """(memory_a, memory_b, score, kind) of contradictions of new rows with similar ones; they are kept, the best score of each pair, and
         beliefs that a surer new one contradicts are superseded."""
         rows = self.read()
-        near = knn(new.select("id", "vector"), rows.select("id", "vector"), CHECKED).withColumn("vector_score", 1 / (1 + F.col("distance")))
+        near = self.vectors.nearest(new.select(F.col("id").alias("q"), "vector"), CHECKED, own=False).withColumn("vector_score", 1 / (1 + F.col("distance")))
         found = self._made(writes.check_new(new, near, rows, CHECKED_SIMILARITY))
         pairs = contradictions.upserted(found.withColumn("at", F.lit(0)))
         pairs = pairs.withColumn("id", F.expr(HASH.format("memory_a, memory_b"))).withColumn("created_at", as_of).withColumns({"resolution": F.lit(None).cast("string"), "resolved_at": F.lit(None).cast("timestamp")})
@@ -182,6 +221,7 @@ class Memory:
         self._supersede(found, as_of)
         return pairs.select("memory_a", "memory_b", "score", "kind")
 
+    @whole
     def _supersede(self, found: DataFrame, as_of: Column) -> None:
         rows = self.read()
         held = beliefs.typed(rows, "belief").select("id", "confidence", "domain")
@@ -198,6 +238,7 @@ class Memory:
 
     # ---- upkeep ----
 
+    @whole
     def dedup(self, least: float = 0.9, auto: bool = False) -> DataFrame:
         """(component, keep, id, similarity) of near duplicates that can go; auto: they go."""
         rows = self.read()
@@ -207,6 +248,7 @@ class Memory:
             self.delete(out)
         return out
 
+    @whole
     def consolidate(self, as_of: Column, least: float = 0.85, dry_run: bool = True) -> DataFrame:
         """(seed, member) of clusters of similar memories; unless dry_run, each becomes one memory and its members go."""
         rows = self.read()
@@ -219,6 +261,7 @@ class Memory:
             self.delete(gone)
         return found
 
+    @whole
     def decay(self, as_of: Column, apply: bool = False, **options: float) -> DataFrame:
         """The rows whose importance falls, and to what; apply: it does."""
         out = self._made(maintenance.decay(self.read(), as_of, **options))
@@ -226,6 +269,7 @@ class Memory:
             self.store.update(out.select("id", F.col("decayed").alias("importance")))
         return out
 
+    @whole
     def curate(self, as_of: Column, delete: bool = False, **options: float) -> DataFrame:
         """The rows that a look-through flags, with reasons; delete: they go."""
         out = self._made(maintenance.curate(self.read(), as_of, **options).select("id", "reasons"))
@@ -233,10 +277,12 @@ class Memory:
             self.delete(out)
         return out
 
+    @whole
     def purge_copies(self) -> int:
         """Delete rows whose content an older row has; how many."""
         return self.delete(maintenance.duplicates(self.read()))
 
+    @whole
     def lay_out(self, projects: Sequence[str] = tuple(maintenance.PROJECTS)) -> DataFrame:
         """Move rows to the namespaces that they belong to; (id, namespace) of those that moved."""
         rows = self.read().withColumn("__new", maintenance.laid_out(projects))
@@ -247,7 +293,5 @@ class Memory:
 
     def storage(self) -> dict[str, float]:
         """Megabytes of the rows, of what hangs on them, and of both."""
-        rows = self.store.storage()["total_mb"]
-        size = lambda folder: self.store._fs.getContentSummary(self.store._path(folder)).getLength() / 2**20 if self.store._fs.exists(self.store._path(folder)) else 0.0
-        rest = round(sum(map(size, (self.index.folder, *(p.folder for p in (self.entities, self.mentions, self.relations, self.conflicts))))), 2)
-        return {"table_mb": rows, "index_mb": rest, "total_mb": round(rows + rest, 2)}
+        total, rows = round(self.log.megabytes(), 2), round(self.log.megabytes(self.store.part), 2)
+        return {"table_mb": rows, "index_mb": round(total - rows, 2), "total_mb": total}

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from remembra.sources.log import Log
+from remembra.sources.store import Store
+
 
 @dataclass(frozen=True)
 class Bm25:
@@ -65,83 +68,75 @@ def bm25(docs: DataFrame, queries: DataFrame, params: Bm25 = Bm25(), id_: str =
 
 
 class TextIndex:
-    """Postings of documents in a folder, by a hash of the term, and how many documents and tokens there are in all.
+    """Postings of documents in a folder, by a hash of the term, and how many documents and tokens there are in all: two parts of a log of versions, one
+    for postings and one for lengths, so a change of both takes effect at once.
 
     A query reads the files of its terms' buckets, in which row groups without the terms are skipped. add() indexes more documents beside
-    those that are there; remove() makes what has been added of some ids so far count no more; build() makes all of it anew. Each of
-    these is a generation; postings live if no later generation has removed their id.
+    those that are there; remove() makes what has been added of some ids so far count no more; build() makes all of it anew beside what is there, which counts until then.
     """
 
-    SCHEMA = "term string, id {}, tf long, dl long, generation int, bucket int"
-
-    def __init__(self, spark: SparkSession, folder: str, id_type: str = "string", buckets: int = 64):
-        self.spark, self.folder, self.id_type, self.buckets = spark, folder.rstrip("/"), id_type, buckets
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _there(self, name: str) -> bool:
-        return self._fs.exists(self._path(f"{self.folder}/{name}"))
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        rows = self.spark.read.schema(schema)
-        return rows.parquet(f"{self.folder}/{name}") if self._there(name) else self.spark.createDataFrame([], schema)
+    SCHEMA = "term string, id {}, tf long, dl long, bucket int"
 
-    def _totals(self) -> tuple[int, int, int]:
-        """Documents, tokens, and the next generation."""
-        n, total, last = self._read("totals", "n long, total long, generation int").agg(F.sum("n"), F.sum("total"), F.max("generation")).first()
-        return n or 0, total or 0, 0 if last is None else last + 1
+    def __init__(self, spark: SparkSession, folder: str, id_type: str = "string", buckets: int = 64, log: Log | None = None):
+        self.spark, self.id_type, self.buckets = spark, id_type, buckets
+        self.log = log or Log(spark, folder)
+        self.postings = Store(spark, folder, log=self.log, part="postings", partition="bucket")
+        self.lengths = Store(spark, folder, log=self.log, part="lengths", partition=None)
 
-    def _count(self, n: int, total: int, generation: int) -> None:
-        self.spark.createDataFrame([(n, total, generation)], "n long, total long, generation int").coalesce(1).write.mode("append").parquet(f"{self.folder}/totals")
+    def _totals(self) -> tuple[int, int]:
+        """Documents and tokens."""
+        facts = self.lengths.facts()
+        return facts.get("n", 0), facts.get("total", 0)
 
     def _bucket(self, term: Column) -> Column:
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
+    def _parts(self, docs: DataFrame, id_: str, text: str) -> tuple[DataFrame, DataFrame]:
+        rows = postings(docs, id_, text).withColumn("bucket", self._bucket(F.col("term")))
+        # a bucket's rows go to a few tasks, so that a common term is not one task's
+        dealt = rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("bucket", "term", "id")
+        return dealt, docs.select(F.col(id_).alias("id"), F.coalesce(F.size(tokens(F.col(text))), F.lit(0)).cast("long").alias("dl"))
+
+    @staticmethod
+    def _sums(lengths: DataFrame) -> dict[str, int]:
+        n, total = lengths.agg(F.count("*"), F.sum("dl")).first()
+        return {"n": n, "total": total or 0}
+
     def build(self, docs: DataFrame, id_: str = "id", text: str = "content") -> TextIndex:
         """docs are all that is indexed from now on."""
-        for name in ("postings", "lengths", "removed", "totals"):
-            self._fs.delete(self._path(f"{self.folder}/{name}"), True)
-        return self.add(docs, id_, text)
+        rows, lengths = self._parts(docs, id_, text)
+        with self.log.transaction():
+            self.postings.write(rows)
+            self.lengths.write(lengths, self._sums)
+        return self
 
     def add(self, docs: DataFrame, id_: str = "id", text: str = "content") -> TextIndex:
-        generation = self._totals()[2]
-        rows = postings(docs, id_, text).withColumn("generation", F.lit(generation)).withColumn("bucket", self._bucket(F.col("term")))
-        # a bucket's rows go to a few tasks, so that a common term is not one task's
-        dealt = rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("bucket", "term", "id")
-        dealt.write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/postings")
-        docs.select(F.col(id_).alias("id"), F.coalesce(F.size(tokens(F.col(text))), F.lit(0)).cast("long").alias("dl"), F.lit(generation).alias("generation")).write.mode("append").parquet(f"{self.folder}/lengths")
-        n, total = self._lengths().filter(F.col("generation") == generation).agg(F.count("*"), F.sum("dl")).first()
-        self._count(n, total or 0, generation)
+        rows, lengths = self._parts(docs, id_, text)
+        with self.log.transaction():
+            self.postings.append(rows)
+            self.lengths.append(lengths, self._sums)
         return self
 
     def remove(self, ids: DataFrame) -> TextIndex:
         """What has been added of ids (id) so far counts no more."""
-        generation = self._totals()[2]
-        gone = ids.select("id").distinct()
-        n, total = self._alive(self._lengths()).join(gone, "id", "left_semi").agg(F.count("*"), F.sum("dl")).first()
-        gone.withColumn("until", F.lit(generation)).write.mode("append").parquet(f"{self.folder}/removed")
-        self._count(-n, -(total or 0), generation)
+        if self.lengths.exists():
+            with self.log.transaction():
+                gone = ids.select("id").distinct()
+                lost = self._sums(self.lengths.read().join(gone, "id", "left_semi"))
+                self.postings.delete(gone)
+                self.lengths.delete(gone, {k: -v for k, v in lost.items()})
         return self
 
-    def _lengths(self) -> DataFrame:
-        return self._read("lengths", f"id {self.id_type}, dl long, generation int")
-
-    def _alive(self, rows: DataFrame) -> DataFrame:
-        if not self._there("removed"):
-            return rows
-        gone = self._read("removed", f"id {self.id_type}, until int").groupBy("id").agg(F.max("until").alias("until"))
-        return rows.join(gone, "id", "left").filter("until is null or generation >= until").drop("until")
-
     def bm25(self, queries: DataFrame, terms: Sequence[str] | None = None, params: Bm25 = Bm25()) -> DataFrame:
         """(q, id, bm25) as the function bm25 gives it. queries: (q, term), distinct; terms: all their terms, if they are few."""
-        rows = self._read("postings", self.SCHEMA.format(self.id_type))
+        rows = self.postings.read() if self.postings.exists() else self.spark.createDataFrame([], self.SCHEMA.format(self.id_type))
         if terms is None:
             found = rows.join(queries.select("term").distinct(), "term", "left_semi")
         else:
             # constants, so that other buckets' files are not even listed
             found = rows.filter(F.col("bucket").isin([self._bucket(F.lit(t)) for t in terms]) & F.col("term").isin(list(terms)))
-        n, total, _ = self._totals()
-        return scores(self._alive(found).select("term", "id", "tf", "dl"), queries, n, total, params, terms is not None and len(terms) <= FEW_TERMS)
+        n, total = self._totals()
+        return scores(found.select("term", "id", "tf", "dl"), queries, n, total, params, terms is not None and len(terms) <= FEW_TERMS)
 
 
 def normalised(scores: DataFrame, by: str = "q") -> DataFrame:

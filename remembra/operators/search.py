@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from remembra.functions import scoring, tiers, vectors
 from remembra.operators.bm25 import TextIndex, bm25, normalised
+from remembra.operators.metric import VectorIndex
 
 
 @dataclass(frozen=True)
@@ -117,8 +118,10 @@ def ranked(memories: DataFrame, candidates: DataFrame, as_of: Column, o: Options
     return best.withColumn("content", content)
 
 
-def search(memories: DataFrame, vector_table: DataFrame, query: Sequence[float], terms: Sequence[str], as_of: Column, o: Options = Options(), boosted: DataFrame | None = None, index: TextIndex | None = None) -> DataFrame:
-    both = merged(vector_candidates(vector_table, query, o.candidates), text_candidates(memories, terms, o.candidates, index))
+def search(memories: DataFrame, vector_table: DataFrame, query: Sequence[float], terms: Sequence[str], as_of: Column, o: Options = Options(), boosted: DataFrame | None = None, index: TextIndex | None = None, near: VectorIndex | None = None) -> DataFrame:
+    """near: an index of the vectors, in place of a scan of vector_table."""
+    by_vector = vector_candidates(vector_table, query, o.candidates) if near is None else near.candidates(list(query), o.candidates)
+    both = merged(by_vector, text_candidates(memories, terms, o.candidates, index))
     return ranked(memories, both, as_of, o, boosted)
 
 

@@ -1,4 +1,4 @@
-"""The store: segments of rows and of removed ids in a folder, and the versions that name them."""
+"""The store: rows by id, as segments of rows, of removed ids and of touches."""
 
 from __future__ import annotations
 
@@ -6,21 +6,22 @@ import atexit
 import json
 import shutil
 import tempfile
-import time
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from remembra.sources.log import Conflict, Log
+
 #: Removed ids up to which they are broadcast, and segments from which a change ends in a compaction.
 BROADCAST_IDS, MOST_SEGMENTS = 100_000, 64
 #: The column that segments are partitioned by, so that a filter on it reads only its part.
 PARTITION = "type"
-#: Seconds after which a version that has been begun and is empty has lost its writer.
-LOST_AFTER = 60
+#: Numbers that a segment says of itself, made from its rows.
+Facts = Callable[[DataFrame], dict[str, int]]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -58,104 +59,100 @@ def stored(df: DataFrame, path: str, records: int | None = None) -> DataFrame:
 
 
 class Store:
-    """Memories in a folder: the newest version that is whole is the store.
+    """Rows by id in a folder: a part of its log of versions, the only one or one of several (see log.Log).
 
-    data/ holds immutable segments: rows, and ids whose earlier rows are gone. A change writes the rows it makes and the ids
-    that it replaces or removes under new names, never the rest; then a version, one small file that names all segments in order,
-    makes it take effect. A change that fails before leaves files that nobody reads; the next one takes another name. Of two
-    writers of one version the second fails. Readers go on with the version they have. Segments are folded by compact(), which a
+    Segments hold rows, ids whose earlier rows are gone, or touches, which add to rows wherever these are. A change writes the rows it makes and the ids
+    that it replaces or removes, never the rest. Readers go on with the version they have. Segments are folded by compact(), which a
     change calls when there are many; vacuum() deletes what the newest version does not name. ids are of any type, one for a store.
-    defaults: values of columns that segments written before the column was there have not.
+    defaults: values of columns that segments written before the column was there have not. unique: rows of one id say the same, so of two writers that add
+    one the first does.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, defaults: Mapping[str, object] | None = None):
-        self.spark, self.folder, self.defaults = spark, folder.rstrip("/"), dict(defaults or {})
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    # ---- versions ----
-
-    def _numbers(self) -> list[int]:
-        at = self._path(f"{self.folder}/versions")
-        names = [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
-        return sorted(int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit())
+    def __init__(self, spark: SparkSession, folder: str, defaults: Mapping[str, object] | None = None, log: Log | None = None, part: str = "", partition: str | None = PARTITION, unique: bool = False):
+        self.spark, self.defaults, self.unique = spark, dict(defaults or {}), unique
+        self.log, self.part, self.partition = log or Log(spark, folder), part, partition
+        self.log.parts[part] = self
+        self.folder, self._path, self._fs, self._numbers = self.log.folder, self.log.path, self.log.fs, self.log.numbers
 
     def _version(self) -> tuple[int, list[dict]]:
-        """The number of the newest whole version (-1: none) and its segments."""
-        for n in reversed(self._numbers()):
-            stream = self._fs.open(self._path(f"{self.folder}/versions/{n:012d}.json"))
-            try:
-                text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-            finally:
-                stream.close()
-            try:
-                return n, json.loads(text)["segments"]
-            except ValueError:  # its writer was lost before it had written it whole
-                continue
-        return -1, []
+        number, state = self.log.version()
+        return number, state["segments"]
 
     def _commit(self, before: int, segments: list[dict]) -> None:
-        number = before + 1
-        for n in self._numbers():
-            if n > before:  # not whole, as of a writer that was lost; a young one may still be being written
-                at = self._fs.getFileStatus(self._path(f"{self.folder}/versions/{n:012d}.json"))
-                if at.getLen() or time.time() - at.getModificationTime() / 1000 < LOST_AFTER:
-                    raise RuntimeError(f"{self.folder}: another writer has made version {n}")
-                number = n + 1
-        out = self._fs.create(self._path(f"{self.folder}/versions/{number:012d}.json"), False)  # fails if another writer was first
-        out.write(bytearray(json.dumps({"segments": segments}).encode()))
-        out.close()
-
-    def _segment(self, df: DataFrame, kind: str, seq: int) -> dict:
-        name = f"{kind}-{uuid.uuid4().hex}"
-        writer = df.write
-        if kind == "rows" and PARTITION in df.columns:
-            writer = writer.partitionBy(PARTITION)
-        writer.parquet(f"{self.folder}/data/{name}")
-        count = self._load(found := {"name": name, "kind": kind, "seq": seq, "schema": df.schema.json()}).count()
-        return found | {"rows": count}
-
-    def _load(self, segment: dict) -> DataFrame:
-        return self.spark.read.schema(T.StructType.fromJson(json.loads(segment["schema"]))).parquet(f"{self.folder}/data/{segment['name']}")
-
-    def _change(self, rows: DataFrame | None, gone: DataFrame | None) -> None:
-        number, segments = self._version()
-        seq = max((s["seq"] for s in segments), default=0) + 1
-        new = [self._segment(df, kind, seq) for kind, df in (("gone", gone), ("rows", rows)) if df is not None]
-        self._commit(number, segments + [s for s in new if s["rows"] or not segments])
-        if len(segments) + len(new) > MOST_SEGMENTS:
-            self.compact()
+        self.log.put(before, {"segments": segments})
+
+    def _segment(self, df: DataFrame, kind: str, facts: Facts | None = None) -> dict:
+        base = max((s["seq"] for s in self.log.segments(self.part)), default=0)
+        made = self.log.segment(df, self.part, kind, self.partition if kind == "rows" else None)
+        return made | {"base": base, "facts": facts(self.log.load(made)) if facts else {}}
+
+    def _change(self, rows: DataFrame | None, gone: DataFrame | None, facts: Facts | None = None, gone_facts: Mapping[str, int] | None = None) -> None:
+        with self.log.transaction():
+            first = not self.log.segments(self.part)
+            new = []
+            if gone is not None:
+                new.append(self._segment(gone, "gone") | {"facts": dict(gone_facts or {})})
+            if rows is not None:
+                new.append(self._segment(rows, "rows", facts))
+            self.log.change([s for s in new if s["rows"] or first])
+
+    def tidy(self) -> None:
+        """Fold the segments if there are many; if another writer is at it, leave it to that one."""
+        if len(self.log.segments(self.part)) > MOST_SEGMENTS:
+            try:
+                self.compact()
+            except Conflict:
+                pass
 
     # ---- reading ----
 
     def version(self) -> int:
         """The number of the newest whole version; -1 if there is none."""
-        return self._version()[0]
+        return self.log.version()[0]
 
     def exists(self) -> bool:
-        return any(s["kind"] == "rows" for s in self._version()[1])
+        return any(s["kind"] == "rows" for s in self.log.segments(self.part))
+
+    def facts(self) -> dict[str, int]:
+        """The sums of what segments say of themselves."""
+        out: dict[str, int] = {}
+        for s in self.log.segments(self.part):
+            for k, v in s.get("facts", {}).items():
+                out[k] = out.get(k, 0) + v
+        return out
 
     def read(self) -> DataFrame:
-        """The rows of the newest version."""
-        _, segments = self._version()
-        rows, gone = ([s for s in segments if s["kind"] == k] for k in ("rows", "gone"))
+        """The rows of the newest version; in a transaction, of the version that it started from with its own changes."""
+        segments = self.log.segments(self.part)
+        rows, gone, touches = ([s for s in segments if s["kind"] == k] for k in ("rows", "gone", "touch"))
         if not rows:
             raise ValueError(f"{self.folder}: nothing has been written")
         fields = {f.name: f for s in rows for f in T.StructType.fromJson(json.loads(s["schema"])).fields}
 
         def whole(s: dict) -> DataFrame:
-            df = self._load(s)
+            df = self.log.load(s)
             missing = [F.lit(self.defaults.get(n)).cast(f.dataType).alias(n) for n, f in fields.items() if n not in df.columns]
-            df = df.select("*", *missing).select(*fields)
-            later = [g for g in gone if g["seq"] > s["seq"]]
-            if not later:
-                return df
-            ids = reduce(DataFrame.union, (self._load(g).select("id") for g in later))
-            few = sum(g["rows"] for g in later) <= BROADCAST_IDS
-            return df.join(F.broadcast(ids) if few else ids, "id", "left_anti")
-
-        return reduce(DataFrame.unionByName, map(whole, rows))
+            return df.select("*", *missing).select(*fields, F.lit(s["seq"]).alias("__seq"), F.lit(s.get("base", s["seq"])).alias("__base"))
+
+        def few(some: list[dict], by: DataFrame) -> DataFrame:
+            return F.broadcast(by) if sum(s["rows"] for s in some) <= BROADCAST_IDS else by
+
+        def later(some: list[dict], place: str) -> list[dict]:
+            return [g for g in some if any(g["seq"] > s.get(place, s["seq"]) for s in rows)]
+
+        out = reduce(DataFrame.unionByName, map(whole, rows))
+        if gone := later(gone, "seq"):
+            ids = reduce(DataFrame.union, (self.log.load(g).select("id", F.lit(g["seq"]).alias("__until")) for g in gone))
+            ids = ids.groupBy("id").agg(F.max("__until").alias("__until"))
+            out = out.join(few(gone, ids), "id", "left").filter("__until is null or __until < __seq")
+        if touches := later(touches, "base"):
+            # one for each id and segment, so a row's list is no longer than there are segments
+            told = reduce(DataFrame.union, (self.log.load(t).select("id", F.struct(F.lit(t["seq"]).alias("seq"), F.col("accessed_at").alias("at"), F.col("accesses").alias("n")).alias("t")) for t in touches))
+            out = out.join(few(touches, told.groupBy("id").agg(F.collect_list("t").alias("__told"))), "id", "left")
+            own = F.filter("__told", lambda t: t["seq"] > F.col("__base"))
+            at, n = F.array_max(F.transform(own, lambda t: t["at"])), F.aggregate(own, F.lit(0).cast("long"), lambda x, t: x + t["n"])
+            out = out.withColumns({"accessed_at": F.greatest("accessed_at", at), "access_count": (F.col("access_count") + F.coalesce(n, F.lit(0).cast("long"))).cast(fields["access_count"].dataType)})
+        return out.select(*fields)
 
     def get(self, id_: str, whole: int = 36) -> DataFrame:
         """The row with a whole id, or the first by id of those that start with it."""
@@ -166,13 +163,15 @@ class Store:
 
     # ---- changes ----
 
-    def write(self, rows: DataFrame) -> None:
+    def write(self, rows: DataFrame, facts: Facts | None = None) -> None:
         """rows are all that there is from now on."""
-        number, segments = self._version()
-        self._commit(number, [self._segment(rows, "rows", max((s["seq"] for s in segments), default=0) + 1)])
+        with self.log.transaction():
+            old = [s["name"] for s in self.log.segments(self.part)]
+            self.log.change([self._segment(rows, "rows", facts)], old, whole=True)
 
-    def append(self, rows: DataFrame) -> None:
-        self._change(rows, None)
+    def append(self, rows: DataFrame, facts: Facts | None = None) -> None:
+        """facts: what a segment of these rows says of itself."""
+        self._change(rows, None, facts)
 
     def replace(self, rows: DataFrame) -> None:
         """rows take the place of those with their ids."""
@@ -181,50 +180,46 @@ class Store:
 
     def update(self, changes: DataFrame, also_nulls: Sequence[str] = ()) -> None:
         """Columns of changes (id, ...) replace those of the rows with their ids, where they are not null; those of also_nulls even if they are. Only these rows are written."""
-        rows = self.read()
         names = [c for c in changes.columns if c != "id"]
         new = changes.select("id", *(F.col(c).alias(f"__{c}") for c in names))
-        out = rows.join(new, "id")
-        value = lambda c: F.col(f"__{c}").cast(rows.schema[c].dataType) if c in also_nulls else F.coalesce(F.col(f"__{c}").cast(rows.schema[c].dataType), F.col(c))
-        self.replace(out.select(*(value(c).alias(c) if c in names else F.col(c) for c in rows.columns)))
+        with self.log.transaction():
+            rows = self.read()
+            value = lambda c: F.col(f"__{c}").cast(rows.schema[c].dataType) if c in also_nulls else F.coalesce(F.col(f"__{c}").cast(rows.schema[c].dataType), F.col(c))
+            self.replace(rows.join(new, "id").select(*(value(c).alias(c) if c in names else F.col(c) for c in rows.columns)))
 
-    def delete(self, ids: DataFrame) -> None:
-        self._change(None, ids.select("id").distinct())
+    def delete(self, ids: DataFrame, facts: Mapping[str, int] | None = None) -> None:
+        self._change(None, ids.select("id").distinct(), gone_facts=facts)
 
     def delete_prefix(self, prefix: str) -> bool:
         """Delete the one row whose id starts so; False, and nothing changes, if there is none or more than one."""
-        found = self.read().filter(F.col("id").cast("string").startswith(prefix)).select("id").limit(2).collect()
-        if len(found) != 1:
-            return False
-        self.delete(self.read().filter(F.col("id") == found[0].id))
-        return True
-
-    def fold(self, touches: DataFrame) -> None:
-        """Take in touches (id, accessed_at, accesses) of searches: the last access, and their number. Only the touched rows are written."""
-        by = touches.groupBy("id").agg(F.max("accessed_at").alias("__at"), F.sum("accesses").alias("__n"))
-        rows = self.read()
-        out = rows.join(by, "id").withColumn("accessed_at", F.greatest("accessed_at", "__at")).withColumn("access_count", F.col("access_count") + F.col("__n"))
-        self.replace(out.select(*rows.columns))
+        with self.log.transaction():
+            found = self.read().filter(F.col("id").cast("string").startswith(prefix)).select("id").limit(2).collect()
+            if len(found) == 1:
+                self.delete(self.read().filter(F.col("id") == found[0].id))
+        return len(found) == 1
+
+    def fold(self, touches: DataFrame, batch: str | None = None) -> None:
+        """Take in touches (id, accessed_at, accesses) of searches: the last access, and their number. No row is written: a segment of touches is, one for each id, which
+        every reader adds and compact() folds; touches never meet other changes. batch: see Log."""
+        by = touches.groupBy("id").agg(F.max("accessed_at").alias("accessed_at"), F.sum("accesses").cast("long").alias("accesses"))
+        with self.log.transaction(batch) as now:
+            if not now.done:
+                self.log.change([s for s in [self._segment(by, "touch")] if s["rows"]])
 
     def compact(self) -> None:
-        """One segment in place of all; changes since the version that is read make it fail."""
-        number, segments = self._version()
-        if segments:
-            self._commit(number, [self._segment(self.read(), "rows", max(s["seq"] for s in segments) + 1)])
+        """One segment in place of all; what others add meanwhile stays beside it, and if others have folded the same segments it raises Conflict."""
+        with self.log.transaction():
+            segments = self.log.segments(self.part)
+            if segments:
+                top = max(s["seq"] for s in segments)
+                made = self.log.segment(self.read(), self.part, "rows", self.partition)
+                self.log.change([made | {"seq": top, "base": top, "facts": self.facts()}], [s["name"] for s in segments])
 
     def vacuum(self) -> None:
-        """Delete versions and segments that the newest version does not need; readers of older ones end."""
-        number, segments = self._version()
-        named = {s["name"] for s in segments}
-        for n in self._numbers():
-            if n < number:
-                self._fs.delete(self._path(f"{self.folder}/versions/{n:012d}.json"), False)
-        for s in self._fs.listStatus(self._path(f"{self.folder}/data")):
-            if s.getPath().getName() not in named:
-                self._fs.delete(s.getPath(), True)
+        """See Log.vacuum."""
+        self.log.vacuum()
 
     def storage(self) -> dict[str, float]:
         """Megabytes of the folder: of the segments, of everything else (indexes and versions), and of both."""
-        size = lambda p: self._fs.getContentSummary(p).getLength() if self._fs.exists(p) else 0
-        total, table = size(self._path(self.folder)), size(self._path(f"{self.folder}/data"))
-        return {"table_mb": round(table / 2**20, 2), "index_mb": round((total - table) / 2**20, 2), "total_mb": round(total / 2**20, 2)}
+        total, table = self.log.megabytes(), self.log.megabytes(self.part)
+        return {"table_mb": round(table, 2), "index_mb": round(total - table, 2), "total_mb": round(total, 2)}
