@@ -161,6 +161,62 @@ class Memory:
         found = self.read().filter(F.col("id").startswith(prefix)).select("id").limit(2).collect()
         return len(found) == 1 and self.delete(self.spark.createDataFrame([(found[0].id,)], "id string")) == 1
 
+    # ---- changes of state ----
+
+    def _typed(self, kind: str, changes: DataFrame) -> DataFrame:
+        """The rows of a type that changes (id) name, their metadata as columns besides as text."""
+        rows = self.read().filter(F.col("type") == kind).join(changes.select("id").distinct(), "id", "left_semi")
+        rows = rows.select("id", "type", "importance", "metadata", F.col("metadata").alias("__text"))
+        return beliefs.typed(rows, kind).withColumnRenamed("__text", "metadata")
+
+    def _restate(self, kind: str, rows: DataFrame, as_of: Column) -> DataFrame:
+        """Write back what the columns of a type's rows say; (id, metadata, importance)."""
+        made = self._made(rows.select("id", beliefs.encoded(kind).alias("metadata"), "importance", as_of.alias("updated_at")))
+        if not made.isEmpty():
+            self.store.update(made)
+        return made.drop("updated_at")
+
+    @whole
+    def reweigh(self, changes: DataFrame, as_of: Column) -> DataFrame:
+        """Give beliefs the confidences of changes (id, new_confidence, reason), one for each id: counted as confirmed or refuted against the old one (0.5 without), added to the
+        history, and the importance follows. The beliefs that changed, (id, metadata, importance); ids of no belief do nothing."""
+        held = self._typed("belief", changes).withColumn("confidence", F.coalesce(F.nullif("confidence", F.lit(0.0)), F.lit(0.5)))
+        return self._restate("belief", beliefs.reweighed(held, changes, as_of).withColumn("last_challenged", as_of), as_of)
+
+    @whole
+    def judge(self, verdicts: DataFrame, as_of: Column) -> DataFrame:
+        """Take verdicts (id, verdict: confirmed or refuted, why) on beliefs into their status, counters and history; as reweigh."""
+        bad = verdicts.filter(~F.coalesce(F.col("verdict").isin("confirmed", "refuted"), F.lit(False))).first()
+        if bad is not None:
+            raise ValueError(f"no verdict: {bad.verdict}")
+        return self._restate("belief", writes.judged(self._typed("belief", verdicts), verdicts, as_of), as_of)
+
+    @whole
+    def settle(self, outcomes: DataFrame, as_of: Column) -> DataFrame:
+        """Take outcomes (id, outcome: correct, wrong or partial, text) of predictions into their status and resolution; as reweigh."""
+        bad = writes.invalid(outcomes).select("reason").first()
+        if bad is not None:
+            raise ValueError(f"not taken: {bad.reason}")
+        return self._restate("prediction", writes.settled(self._typed("prediction", outcomes), outcomes, as_of), as_of)
+
+    @whole
+    def follow_up(self, resolutions: DataFrame, as_of: Column) -> DataFrame:
+        """Resolve the follow-ups of resolutions (id, text); as reweigh."""
+        outcomes = resolutions.select("id", F.lit("resolved").alias("outcome"), "text")
+        return self._restate("follow-up", writes.settled(self._typed("follow-up", outcomes), outcomes, as_of), as_of)
+
+    def conflict(self, id_: str) -> DataFrame:
+        """The contradiction with a whole id, or the first by id of those that start with it; none if there is none."""
+        return self.conflicts.get(id_, 64) if self.conflicts.exists() else self.spark.createDataFrame([], "id string, memory_a string, memory_b string, score double, kind string, resolution string, resolved_at timestamp")
+
+    @whole
+    def resolve(self, id_: str, text: str, as_of: Column) -> bool:
+        """Resolve a contradiction that is not yet (see conflict); whether there was one."""
+        found = self._made(contradictions.resolved(self.conflict(id_).filter("resolved_at is null"), F.col("id"), text, as_of).select("id", "resolution", "resolved_at"))
+        if not found.isEmpty():
+            self.conflicts.update(found)
+        return not found.isEmpty()
+
     # ---- searching ----
 
     def search(self, text: str, as_of: Column, options: search.Options = search.Options(), graph_boost: bool = False, touch: bool = True) -> DataFrame:
@@ -178,6 +234,11 @@ class Memory:
         asked = graph.query_entities(self.entities.read(), text, self.known)
         return graph.linked_memories(self.mentions.read(), asked).withColumnRenamed("memory", "id")
 
+    def mentioning(self, name: str, limit: int = 10) -> DataFrame:
+        """(memory, content, deleted): memories that mention the entity that a name finds; deleted ones are told as such."""
+        asked = graph.lookup(self.entities.read(), name).select(F.col("id").alias("entity"))
+        return graph.mentioning(self.mentions.read(), self.read(), asked, limit)
+
     # ---- what hangs on the rows ----
 
     @whole
@@ -203,12 +264,12 @@ class Memory:
         self.vectors.build(self.read())
 
     @whole
-    def check(self, new: DataFrame, as_of: Column) -> DataFrame:
-        """(memory_a, memory_b, score, kind) of contradictions of new rows with similar ones; they are kept, the best score of each pair, and
+    def check(self, new: DataFrame, as_of: Column, least: float = CHECKED_SIMILARITY) -> DataFrame:
+        """least: the similarity from which a memory is compared (0.4 for a check by hand). (memory_a, memory_b, score, kind) of contradictions of new rows with similar ones; they are kept, the best score of each pair, and
         beliefs that a surer new one contradicts are superseded."""
         rows = self.read()
         near = self.vectors.nearest(new.select(F.col("id").alias("q"), "vector"), CHECKED, own=False).withColumn("vector_score", 1 / (1 + F.col("distance")))
-        found = self._made(writes.check_new(new, near, rows, CHECKED_SIMILARITY))
+        found = self._made(writes.check_new(new, near, rows, least))
         pairs = contradictions.upserted(found.withColumn("at", F.lit(0)))
         pairs = pairs.withColumn("id", F.expr(HASH.format("memory_a, memory_b"))).withColumn("created_at", as_of).withColumns({"resolution": F.lit(None).cast("string"), "resolved_at": F.lit(None).cast("timestamp")})
         if self.conflicts.exists():

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from remembra.functions import scoring
 from remembra.functions.text import contains_any, words
@@ -23,6 +24,15 @@ def typed(memories: DataFrame, kind: str) -> DataFrame:
     return memories.filter(F.col("type") == kind).withColumn("m", F.from_json("metadata", METADATA[kind])).select("*", "m.*").drop("m", "metadata")
 
 
+def encoded(kind: str) -> Column:
+    """The JSON metadata of a type's columns, the other way of typed; needs also `metadata`, whose other keys are kept, with their values as text."""
+    names = [f.name for f in T.StructType.fromDDL(METADATA[kind]).fields]
+    known = F.to_json(F.struct(*names))
+    rest = F.to_json(F.map_filter(F.coalesce(F.from_json("metadata", "map<string,string>"), F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin(names)))
+    inner = F.transform(F.array(known, rest), lambda x: x.substr(F.lit(2), F.length(x) - 2))  # without the braces
+    return F.concat(F.lit("{"), F.array_join(F.filter(inner, lambda x: x != ""), ","), F.lit("}"))
+
+
 def active(beliefs: DataFrame, as_of: Column, stale_after: float = 0, domain: str | None = None, holder: str | None = None) -> DataFrame:
     """Beliefs without a status or active, the surest first, with whether none has challenged them for long (0: 7 days)."""
     out = beliefs.filter(F.coalesce("status", F.lit("")).isin("", "active"))

@@ -175,6 +175,13 @@ def of_entity(edges: DataFrame, entities_: DataFrame, id_: str) -> DataFrame:
     return out.unionByName(into).join(other, "other").select("direction", "relation", "weight", "other", "name")
 
 
+def mentioning(mentions: DataFrame, memories: DataFrame, ids: DataFrame, limit: int = 10) -> DataFrame:
+    """(memory, content, deleted): the first `limit` memories by id that mention any of the entities (entity); of a deleted one the content is "(deleted)"."""
+    found = linked_memories(mentions, ids).orderBy("memory").limit(limit)
+    rows = memories.select(F.col("id").alias("memory"), "content", F.lit(False).alias("deleted"))
+    return found.join(rows, "memory", "left").select("memory", F.when(F.col("deleted").isNull(), "(deleted)").otherwise(F.col("content")).alias("content"), F.col("deleted").isNull().alias("deleted"))
+
+
 def linked_memories(mentions: DataFrame, ids: DataFrame) -> DataFrame:
     """The memories (memory) that mention any of the entities (entity)."""
     return mentions.join(ids.select("entity"), "entity", "left_semi").select("memory").distinct()

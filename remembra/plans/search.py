@@ -9,6 +9,7 @@ from remembra.functions import scoring, text, tiers, vectors
 from remembra.operators import search as S
 from remembra.operators.blocks import knn, similar_pairs
 from remembra.operators.bm25 import TextIndex, normalised, tokens
+from remembra.operators.metric import VectorIndex
 from remembra.schemas import DEFAULT_IMPORTANCE, TYPE_BOOSTS
 from remembra.sources.memories import AS_OF, DAYS_SQL, MEMORIES_SQL, case_sql, memories, moment, table
 from remembra.sources.store import workspace
@@ -277,3 +278,30 @@ def regression_check(spark, sf):
     e = table(spark, sf, "events").withColumn("day", F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', cast(date_trunc('day', ts) as timestamp_ntz))")))
     runs = e.groupBy(F.col("event_type").alias("suite"), "day").agg(F.round(F.avg("value"), 6).alias("recall"), F.round(F.avg(F.col("value") * F.col("value")), 6).alias("latency"))
     return S.regressions(runs, "suite", "day").select("suite", F.unix_micros("day").alias("day"), "recall", "latency", "regressed")
+
+
+# ---- indexes that are built, changed and asked ----
+
+
+@query(f"""WITH c AS (SELECT * FROM embeddings WHERE vec_id % 11 <> 5 AND embedding IS NOT NULL), q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0),
+p AS (SELECT q.vec_id AS q, c.vec_id AS id, {DISTANCE_SQL.format('c.embedding', 'q.embedding')} AS distance FROM q JOIN c ON q.vec_id <> c.vec_id)
+SELECT q, rank, id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, id)::INT AS rank FROM p) WHERE rank <= 10""")
+def metric_index_knn(spark, sf):
+    """An index of half of the vectors, the rest added, some removed; then the ten nearest of each hundredth."""
+    rows = vector_table(spark, sf)
+    index = VectorIndex(spark, workspace(spark, "vectors")).build(rows.filter("id % 2 = 0"))
+    index.add(rows.filter("id % 2 = 1"))
+    index.remove(rows.filter("id % 11 = 5"))
+    return rounded(index.nearest(rows.filter("id % 100 = 0").select(F.col("id").alias("q"), "vector"), 10, own=False))
+
+
+@query(f"WITH {BM25_SQL.replace('FROM documents', 'FROM documents WHERE doc_id % 3 <> 1')} SELECT id, round(bm25, 6) AS bm25 FROM bm25 ORDER BY bm25.bm25 DESC, id LIMIT 30")
+def text_index_changes(spark, sf):
+    """An index of half of the documents, the rest added, a third removed."""
+    rows = memories(spark, sf).select("id", "content")
+    index = TextIndex(spark, workspace(spark, "text-index"), "long").build(rows.filter("id % 2 = 0"))
+    index.add(rows.filter("id % 2 = 1"))
+    index.remove(rows.filter("id % 3 = 1"))
+    terms = sorted(set(asked(spark, sf)[1]))
+    found = index.bm25(spark.createDataFrame([(0, t) for t in terms], "q int, term string"), terms)
+    return rounded(found.orderBy(F.col("bm25").desc(), "id").limit(30).select("id", "bm25"))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from remembra.operators import beliefs as B
 from remembra.operators import maintenance as M
+from remembra.operators import writes
 from remembra.plans.search import rounded, trim_sql
-from remembra.schemas import DECAY
+from remembra.schemas import DECAY, METADATA
 from remembra.sources.memories import AS_OF, DAYS_SQL, MEMORIES_SQL, memories, moment, table
+from remembra.sources.store import Store, workspace
 
 QUERIES, ORACLE = {}, {}
 
@@ -331,3 +334,62 @@ def attention_focus(spark, sf):
 def followups_open(spark, sf):
     e = table(spark, sf, "events").filter("event_type = 'error'").select(F.col("event_id").alias("id"), F.col("user_id").alias("holder"), micros("ts").alias("created"), F.when(F.col("event_id") % 3 == 0, "resolved").otherwise("open").alias("status"))
     return B.follow_ups(e, resolved=False).drop("status")
+
+
+# ---- stores that are written, changed and read again ----
+
+
+def _store(spark, sf) -> Store:
+    store = Store(spark, workspace(spark, "store"))
+    store.append(memories(spark, sf).filter("id % 2 = 0"))
+    store.append(memories(spark, sf).filter("id % 2 = 1"))
+    return store
+
+
+CHANGED_SQL = f"""{MEMORIES_SQL} SELECT id, type, namespace, CASE WHEN id % 10 = 3 THEN round(importance / 2, 9) ELSE round(importance, 9) END AS importance,
+ access_count + CASE WHEN id % 5 = 1 THEN 2 ELSE 0 END + CASE WHEN id % 6 = 1 THEN 1 ELSE 0 END AS access_count,
+ epoch_us(CASE WHEN id % 6 = 1 OR id % 5 = 1 THEN greatest(accessed_at, TIMESTAMP '{AS_OF}') ELSE accessed_at END) AS accessed_at
+ FROM memories WHERE id % 7 <> 4"""
+
+
+def _changed(spark, sf) -> Store:
+    """Touched, updated, touched again, and some deleted."""
+    store = _store(spark, sf)
+    rows = memories(spark, sf)
+    touch = lambda some, n: rows.filter(some).select("id", moment().alias("accessed_at"), F.lit(n).cast("long").alias("accesses"))
+    store.fold(touch("id % 5 = 1", 2))
+    store.update(rows.filter("id % 10 = 3").select("id", (F.col("importance") / 2).alias("importance")))
+    store.fold(touch("id % 6 = 1", 1), "once")
+    store.fold(touch("id % 6 = 1", 1), "once")
+    store.delete(rows.filter("id % 7 = 4"))
+    return store
+
+
+def _told(store: Store):
+    return store.read().select("id", "type", "namespace", F.round("importance", 9).alias("importance"), "access_count", F.unix_micros("accessed_at").alias("accessed_at"))
+
+
+@query(CHANGED_SQL)
+def store_changes(spark, sf):
+    return _told(_changed(spark, sf))
+
+
+@query(CHANGED_SQL)
+def store_compacted(spark, sf):
+    store = _changed(spark, sf)
+    store.compact()
+    return _told(store)
+
+
+@query(f"{CLAIMS_SQL} SELECT id, CASE WHEN id % 4 = 0 THEN 'confirmed' WHEN id % 4 = 1 THEN 'refuted' ELSE status END AS status, confidence, (id % 4 = 0)::INT AS times_confirmed, (id % 4 = 1)::INT AS times_refuted, (id % 4 < 2)::INT AS changes FROM beliefs")
+def store_beliefs_judged(spark, sf):
+    """Beliefs as rows with JSON metadata in a store, judged, written back, and read again."""
+    held = claims(spark, sf, "assistant").withColumns({"metadata": F.lit(None).cast("string"), "type": F.lit("belief")})
+    names = [f for f in T.StructType.fromDDL(METADATA["belief"]).fields]
+    held = held.select(*[c for c in held.columns if c in ("id", "type", "content", "metadata", "created_at")], *[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in held.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in names])
+    store = Store(spark, workspace(spark, "store"))
+    store.append(held.withColumn("metadata", B.encoded("belief")).select("id", "type", "content", "created_at", "metadata"))
+    verdicts = held.filter("id % 4 < 2").select("id", F.when(F.col("id") % 4 == 0, "confirmed").otherwise("refuted").alias("verdict"), F.lit("seen").alias("why"))
+    told = B.typed(store.read().withColumn("__m", F.col("metadata")), "belief").withColumnRenamed("__m", "metadata")
+    store.update(writes.judged(told, verdicts, moment()).select("id", B.encoded("belief").alias("metadata")))
+    return B.typed(store.read(), "belief").select("id", "status", "confidence", F.coalesce("times_confirmed", F.lit(0)).alias("times_confirmed"), F.coalesce("times_refuted", F.lit(0)).alias("times_refuted"), F.coalesce(F.size("history"), F.lit(0)).alias("changes"))

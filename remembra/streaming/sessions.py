@@ -30,16 +30,16 @@ def ingest_sessions(spark: SparkSession, folder: str, checkpoint: str, take: Cal
     return session_files(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def sessions_into(memory: Memory, as_of: Column, least: float = 0.0) -> Callable[[DataFrame, int], None]:
+def sessions_into(memory: Memory, as_of: Column, least: float = 0.0, name: str | None = None) -> Callable[[DataFrame, int], None]:
     """For ingest_sessions: saves each batch's exchanges as episodic memories, with their importance and metadata, those whose content is there left out, and
-    the summaries of its sessions."""
+    the summaries of its sessions. name: of the stream, one for each checkpoint; with it, a batch that is run again does nothing."""
 
-    def take(rows: DataFrame, _: int) -> None:
+    def take(rows: DataFrame, number: int) -> None:
         rows = rows.withColumn("importance", exchange_importance()).filter(F.col("importance") >= least)
         said = F.concat_ws(" ", "user", "assistant")
         made = rows.select(exchange_content().alias("content"), F.lit("episodic").alias("type"), "importance", F.lit("sessions").alias("namespace"), F.concat(F.lit("session:"), F.col("session").cast("string")).alias("source"), F.to_json(exchange_metadata(said)).alias("metadata"))
         short = session_summary(rows).select(F.col("summary").alias("content"), F.lit("session").alias("type"), F.lit(0.5).alias("importance"), F.lit("sessions").alias("namespace"), F.concat(F.lit("session:"), F.col("session").cast("string")).alias("source"), F.to_json(F.struct(F.lit(True).alias("isSummary"), F.col("exchanges").alias("exchangeCount"))).alias("metadata"))
-        memory.save(made.unionByName(short), as_of, dedup=True)
+        memory.save(made.unionByName(short), as_of, dedup=True, batch=f"{name}:{number}" if name else None)
 
     return take
 
@@ -57,5 +57,5 @@ def first_seen(memories: DataFrame, late: str = "7 days") -> DataFrame:
 
 
 def fold_touches(touches: DataFrame, store: Store, checkpoint: str):
-    """Start folding searches' touches (id, accessed_at, accesses) into the store, a snapshot for each batch."""
-    return touches.writeStream.foreachBatch(lambda rows, _: store.fold(rows)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Start folding searches' touches (id, accessed_at, accesses) into the store, a segment of touches for each batch; a batch that is run again counts once."""
+    return touches.writeStream.foreachBatch(lambda rows, n: store.fold(rows, f"{checkpoint}:{n}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -147,6 +147,34 @@ def test_beliefs_and_contradictions(spark, memory):
     assert memory.conflicts.read().count() == count
 
 
+def test_changes_of_state(spark, memory):
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    made = {}
+    for kind, text, meta in (("belief", "Tea is better than coffee", {"confidence": 0.5, "domain": "food", "note": "kept"}), ("belief", "The sky is blue", None), ("prediction", "It rains tomorrow", {"status": "open", "confidence": 0.8}), ("follow-up", "Call Ada", {"status": "open", "holder": "me"}), ("fact", "Water is wet", None)):
+        made[text] = (kind, json.dumps(meta) if meta else None)
+    ids = {r.content: r.id for r in memory.save(frame([(t, k, m) for t, (k, m) in made.items()], "content string, type string, metadata string"), at()).collect()}
+    tea, sky, rain, call, wet = (ids[t] for t in made)
+    got = {r.id: r for r in memory.reweigh(frame([(tea, 0.9, "tasted"), (sky, 0.2, "clouds"), (wet, 0.1, "no belief")], "id string, new_confidence double, reason string"), at(2)).collect()}
+    assert set(got) == {tea, sky} and got[tea].importance == 0.9 and got[sky].importance == 0.6
+    memory.judge(frame([(tea, "confirmed", "again")], "id string, verdict string, why string"), at(3))
+    memory.settle(frame([(rain, "wrong", "dry"), (tea, "wrong", "no prediction")], "id string, outcome string, text string"), at(3))
+    memory.follow_up(frame([(call, "called")], "id string, text string"), at(4))
+    with pytest.raises(ValueError):
+        memory.judge(frame([(sky, "maybe", "x")], "id string, verdict string, why string"), at(3))
+    rows = {r.id: r for r in memory.read().collect()}
+    meta = {i: json.loads(r.metadata) for i, r in rows.items() if r.metadata}
+    assert (meta[tea]["confidence"], meta[tea]["status"], meta[tea]["times_confirmed"], meta[tea]["note"], meta[tea]["domain"]) == (0.9, "confirmed", 2, "kept", "food")
+    assert [(h["confidence"], h["reason"]) for h in meta[tea]["history"]] == [(0.9, "tasted"), (0.9, "confirmed: again")] and meta[tea]["last_challenged"].startswith("2024-06-03")
+    assert meta[sky]["times_refuted"] == 1 and meta[rain]["status"] == "wrong" and meta[rain]["resolution"] == "dry" and meta[call]["status"] == "resolved"
+    assert rows[tea].updated_at == datetime(2024, 6, 3) and rows[wet].updated_at == datetime(2024, 6, 1)
+    # contradictions by hand, and deletion by prefix
+    memory.conflicts.append(frame([("ab1", tea, sky, 0.6, "negation", datetime(2024, 6, 1), None, None), ("ab2", tea, wet, 0.5, "negation", datetime(2024, 6, 1), None, None)], "id string, memory_a string, memory_b string, score double, kind string, created_at timestamp, resolution string, resolved_at timestamp"))
+    assert memory.resolve("ab", "both hold", at(5)) and not memory.resolve("ab1", "again", at(6)) and not memory.resolve("zz", "none", at(6))
+    assert {r.id: r.resolution for r in memory.conflicts.read().collect()} == {"ab1": "both hold", "ab2": None}
+    assert not memory.delete_prefix("") and memory.delete_prefix(wet[:30]) and memory.read().count() == 4
+    assert memory.index.bm25(frame([(0, "wet")], "q int, term string")).count() == 0 and wet not in {r.id for r in memory.vectors.rows.read().collect()}
+
+
 def test_store_recovers(spark):
     store = Store(spark, workspace(spark, "store"), {"note": "none"})
     store.append(spark.createDataFrame([(k, f"t{k}", "fact" if k % 2 else "belief") for k in range(10)], "id long, content string, type string"))
