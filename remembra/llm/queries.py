@@ -30,44 +30,54 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 1 over all of `documents`: counts, coverage of repeats and the verdict."""
     return repetition_rules(_table(spark, sf_dir, "documents"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 2 over all of `documents`: what the mix takes of each."""
     return mix_report(_table(spark, sf_dir, "documents")).drop("source")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3 over all of `documents`: fingerprints and components."""
     found = simhash_components(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op4_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4 over all of `documents`: trained on those whose crc32 modulo 7 is not 2."""
     return ctw_scores(_table(spark, sf_dir, "documents"), "crc32(cast(doc_id as string)) % 7 = 2")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5 over all of `documents`: digests of the tokens and of the decoded bytes."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe_report(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6 over all of `pages`: the main text."""
     return extract_main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 7 over all of `documents`: what 13-word windows of earlier documents leave."""
     return dedup_substrings(_table(spark, sf_dir, "documents"), digest=True)
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8 over all of `documents`: spans of secrets."""
     return secret_report(_table(spark, sf_dir, "documents"))
 
 
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9 over all of `embeddings`: ten neighbours of each hundredth row."""
     return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 10 over all of `pages`: written as WARC and read back."""
     return warc_round_trip(_table(spark, sf_dir, "pages"))
 
 
