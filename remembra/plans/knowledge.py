@@ -16,7 +16,7 @@ from remembra.operators.blocks import knn, similar_pairs
 from remembra.plans.intake import EXTRACTED_SQL, TRANSCRIPT_SQL, quoted, transcript_lines
 from remembra.plans.search import DISTANCE_SQL, TOKENS_SQL, rounded, run_search, search_sql, trim_sql, vector_table
 from remembra.plans.upkeep import WORDS_SQL
-from remembra.sources.memories import MEMORIES_SQL, memories, moment, table
+from remembra.sources.memories import MEMORIES_SQL, files_of, memories, moment, table
 from remembra.sources.store import stored, workspace
 
 QUERIES, ORACLE = {}, {}
@@ -93,13 +93,13 @@ def entity_relations_svo(spark, sf):
     return G.relationships(m, G.entities(m))
 
 
-#: The graph's tables of each data folder that this process has asked, by application and folder.
-_GRAPHS: dict[tuple[str, str, int], DataFrame] = {}
+#: The graph's tables of each data folder that this process has asked, by application and the folder's files.
+_GRAPHS: dict[tuple, DataFrame] = {}
 
 
 def graph_table(spark, sf, which):
     """Entities (0), mentions (1) or relations (2) of the folder's notes; the first query that needs one writes it, as a store keeps them beside its rows."""
-    key = (spark.sparkContext.applicationId, sf, which)
+    key = (spark.sparkContext.applicationId, files_of(spark, sf, "documents", "labels"), which)
     if key not in _GRAPHS:
         made = G.tables(noted(spark, sf))
         for k, table_ in enumerate(made):

@@ -11,7 +11,7 @@ from remembra.operators.blocks import knn, similar_pairs
 from remembra.operators.bm25 import TextIndex, normalised, tokens
 from remembra.operators.metric import VectorIndex
 from remembra.schemas import DEFAULT_IMPORTANCE, TYPE_BOOSTS
-from remembra.sources.memories import AS_OF, DAYS_SQL, MEMORIES_SQL, case_sql, memories, moment, table
+from remembra.sources.memories import AS_OF, DAYS_SQL, MEMORIES_SQL, case_sql, files_of, memories, moment, table
 from remembra.sources.store import workspace
 
 QUERIES, ORACLE = {}, {}
@@ -63,13 +63,13 @@ def knn_topk(spark, sf):
     return rounded(near.orderBy("distance", "id").limit(30).withColumn("similarity", vectors.similarity(F.col("distance"))))
 
 
-#: The inverted index of each data folder that this process has searched, by application and folder.
-_INDEXES: dict[tuple[str, str], TextIndex] = {}
+#: The inverted index of each data folder that this process has searched, by application and the folder's files.
+_INDEXES: dict[tuple, TextIndex] = {}
 
 
 def text_index(spark: SparkSession, sf: str) -> TextIndex:
     """The folder's index; the first search makes it, as a store keeps one beside its rows."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = (spark.sparkContext.applicationId, files_of(spark, sf, "documents", "labels"))
     if key not in _INDEXES:
         _INDEXES[key] = TextIndex(spark, workspace(spark, "text-index"), "long").build(memories(spark, sf).select("id", "content"))
     return _INDEXES[key]

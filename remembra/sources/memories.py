@@ -16,6 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def files_of(spark: SparkSession, sf_dir: str, *names: str) -> tuple[tuple[str, int, int], ...]:
+    """The files of tables with their lengths and times, by which what was made of them is known to be theirs still."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    out = []
+    for name in names:
+        at = path(f"{sf_dir}/{name}.parquet")
+        out += [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)]
+    return tuple(sorted(out))
+
+
 def moment(text: str = AS_OF):
     """A timestamp in UTC, whatever the session's zone."""
     return F.to_timestamp(F.lit(f"{text}+00:00"), "yyyy-MM-dd HH:mm:ssXXX")
