@@ -21,7 +21,10 @@ RAW = frozenset("script style noscript template textarea iframe title xmp noembe
 #: Without an end tag, these run to the end of the page; the other raw ones are empty then.
 UNENDED = frozenset("script style xmp".split())
 #: Never part of the text.
-SKIPPED = frozenset("head nav footer aside form button select option optgroup datalist dialog menu canvas audio video svg math".split()) | RAW
+SKIPPED = frozenset("head nav footer aside button select option optgroup datalist menu canvas audio video svg math".split()) | RAW
+#: These, and hidden elements, are part of it only if they wrap the page: they hold so much of its unlinked paragraphs, and no article or main
+#: element is outside of them.
+WRAPPERS, WRAPS = frozenset("form dialog".split()), 0.9
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label map mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr img nobr svg math".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag of one of these ends an open svg or math element.
@@ -62,6 +65,7 @@ _ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'
 _END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>", re.A | re.I) for t in RAW}
 _NONE = re.compile(r"display\s*+:\s*+none", re.I)
 _WORD = re.compile(r"[a-z]+")
+_DIGITS = re.compile(r"[0-9]+")
 
 
 class _Block:
@@ -113,10 +117,23 @@ def _tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
         i = page.find("<", end)
 
 
-def parse(page: str) -> tuple[list[int], list[str], list[_Block], dict[int, float]]:
-    """Parent and tag of every element, the text blocks outside skipped parts in page order, and the marked
-    elements with the share from which they stay."""
-    parents, tags, blocks, marked = [-1], ["#"], [], {}
+class Page:
+    """A parsed page: parent, tag and look (tag, first class and id, without digits) of every element, the text blocks outside
+    skipped parts in page order, the marked elements with the share from which they stay, and the elements that may wrap the page."""
+
+    def __init__(self):
+        self.parents: list[int] = [-1]
+        self.tags: list[str] = ["#"]
+        self.looks: list[tuple[str, str, str]] = [("#", "", "")]
+        self.blocks: list[_Block] = []
+        self.marked: dict[int, float] = {}
+        self.wrappers: set[int] = set()
+
+
+def parse(page: str) -> Page:
+    """The page's elements and blocks; see Page."""
+    out = Page()
+    parents, tags, looks, blocks, marked = out.parents, out.tags, out.looks, out.blocks, out.marked
     # element, tag, whether it is skipped, the nearest element around its text that is not inline
     stack: list[tuple[int, str, bool, int]] = [(0, "#", False, 0)]
     opened: defaultdict[str, list[int]] = defaultdict(list)  # places in the stack of the open elements of each tag
@@ -191,34 +208,42 @@ def parse(page: str) -> tuple[list[int], list[str], list[_Block], dict[int, floa
                         pop()
         if tag in VOID or tag in RAW or rest.endswith("/") and (tag in INLINE or foreign):
             continue
-        skip = tag in SKIPPED
+        skip, look, wrapper = tag in SKIPPED, (tag, "", ""), tag in WRAPPERS
         if rest and not skip and not skipped and tag not in ("html", "body"):
-            values, hidden = [], False
+            values, hidden, first = [], False, {}
             for name, a, b, c in _ATTRIBUTE.findall(rest):
                 name, value = name.lower(), a or b or c
                 if name in ("class", "id", "role"):
-                    values += html.unescape(value).lower().split()
+                    some = html.unescape(value).lower().split()
+                    values += some
+                    first.setdefault(name, _DIGITS.sub("", some[0]) if some else "")
                 elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _NONE.search(value):
                     hidden = True
+            look = (tag, first.get("class", ""), first.get("id", ""))
             names = {w for x in values for w in _WORD.findall(x)}
             outside = not names.isdisjoint(OUTSIDE)
             # the spans of a program's listing are often marked as its comments
-            skip = tag not in KEPT_ANYWAY and (hidden or outside and tag in INLINE and not opened["pre"] and not opened["code"])
-            if outside and not skip and tag not in INLINE:
+            skip = tag in INLINE and (hidden or outside and not opened["pre"] and not opened["code"])
+            wrapper |= hidden and tag not in KEPT_ANYWAY and tag not in INLINE
+            if outside and tag not in INLINE:
                 marked[len(tags)] = MINOR if not names.isdisjoint(PERHAPS) else MAJOR if OUTSIDE.isdisjoint(values) else 2.0
         if tag == "header" and not opened["article"] and not opened["main"]:
             skip = True
         if skip and tag not in INLINE:
             block = None
+        if wrapper and not skipped:
+            out.wrappers.add(len(tags))
         parents.append(stack[-1][0])
         tags.append(tag)
+        looks.append(look)
         opened[tag].append(len(stack))
         stack.append((len(tags) - 1, tag, skip, stack[-1][3] if tag in INLINE else len(tags) - 1))
         skipped += skip
     text(page[at:])
     for b in blocks:
         b.text, b.links = " ".join("".join(b.parts).split()), len(" ".join("".join(b.linked).split()))
-    return parents, tags, [b for b in blocks if b.text], marked
+    out.blocks = [b for b in blocks if b.text]
+    return out
 
 
 def _up(parents: list[int], values: list[int]) -> list[int]:
@@ -234,13 +259,37 @@ def _pays(b: _Block, tags: list[str]) -> bool:
     return len(b.text) >= LEAST and b.links <= MENU * len(b.text) and tags[b.node] not in HEADINGS
 
 
-def _outside(parents: list[int], tags: list[str], blocks: list[_Block], marked: dict[int, float]) -> list[bool]:
-    """Whether each element goes: marked ones without much of the text, and all in them."""
+def _prose(parents: list[int], tags: list[str], blocks: list[_Block]) -> list[int]:
+    """Characters of unlinked prose in each element."""
     own = [0] * len(tags)
     for b in blocks:
         if _pays(b, tags):
             own[b.node] += len(b.text) - b.links
-    unlinked = _up(parents, own)
+    return _up(parents, own)
+
+
+def _unwrapped(page: Page) -> list[_Block]:
+    """The blocks outside of forms, dialogs and hidden elements, but for those that wrap the page."""
+    if not page.wrappers:
+        return page.blocks
+    parents, tags = page.parents, page.tags
+    unlinked = _prose(parents, tags, page.blocks)
+    inside, articles = [False] * len(tags), [0] * len(tags)
+    for k in range(1, len(tags)):
+        inside[k] = inside[parents[k]] or tags[k] in ("article", "main")
+    for b in page.blocks:
+        articles[b.node] += inside[b.node]
+    articles = _up(parents, articles)
+    gone = [False] * len(tags)
+    for k in range(1, len(tags)):
+        wraps = unlinked[0] and unlinked[k] >= WRAPS * unlinked[0] and articles[k] == articles[0]
+        gone[k] = gone[parents[k]] or k in page.wrappers and not wraps
+    return [b for b in page.blocks if not gone[b.node]]
+
+
+def _outside(parents: list[int], tags: list[str], blocks: list[_Block], marked: dict[int, float]) -> list[bool]:
+    """Whether each element goes: marked ones without much of the text, and all in them."""
+    unlinked = _prose(parents, tags, blocks)
     total = unlinked[0]
     # comments are often articles, but marked ones
     holds = [t in ("article", "main") and k not in marked and unlinked[k] >= MINOR * total for k, t in enumerate(tags)]
@@ -259,16 +308,17 @@ def main_text(page: str | None) -> str:
     Every block of LEAST characters or more has a point, one for each comma, and up to MOST_POINTS for its length;
     its parent gets all of them, the grandparent half, each further ancestor a third of its child's
     divisor less, up to LEVELS. A container's score is discounted by the share of its text that is in links. The best
-    container is kept with those siblings that score well or read like paragraphs; lists within that are but
-    short links go. Parts of the page that class, id or role mark as no article go before that; see _outside.
+    container is kept with those siblings that score well or read like paragraphs, and with the rows of a layout that it is one
+    of, see _repeated; lists within that are but short links go. Parts of the page that class, id or role mark as no article go
+    before that, see _outside, forms, dialogs and hidden parts unless they wrap the page.
     """
     if not page:
         return ""
-    parents, tags, blocks, marked = parse(page)
-    text = ""
+    parsed = parse(page)
+    blocks, marked, text = _unwrapped(parsed), parsed.marked, ""
     for marks in (marked, {k: min(v, MAJOR) for k, v in marked.items()}, {}) if marked else ({},):
-        gone = _outside(parents, tags, blocks, marks)
-        again = _article(parents, tags, [b for b in blocks if not gone[b.node]])
+        gone = _outside(parsed.parents, parsed.tags, blocks, marks)
+        again = _article(parsed, [b for b in blocks if not gone[b.node]])
         if not text or len(again) > max(2 * len(text), NEARLY_EMPTY):
             text = again
         if len(text) >= NEARLY_EMPTY:
@@ -276,7 +326,38 @@ def main_text(page: str | None) -> str:
     return text
 
 
-def _article(parents: list[int], tags: list[str], blocks: list[_Block]) -> str:
+def _repeated(page: Page, blocks: list[_Block], best: int, lengths: list[int], linked: list[int], prose: list[int]) -> list[int]:
+    """The elements of a layout that repeats the best container, or one around it, as rows, columns or sections.
+
+    From the best container up, as long as what is taken is most of the parent's prose: its children that look the same, with their
+    first prose as deep and few links, are taken, and with them those of the same look that have no prose, such as headings.
+    """
+    parents, tags, looks = page.parents, page.tags, page.looks
+    depth, children, first = [0] * len(tags), defaultdict(list), [0] * len(tags)
+    for k in range(1, len(tags)):
+        depth[k] = depth[parents[k]] + 1
+        children[parents[k]].append(k)
+    for b in reversed(blocks):
+        if _pays(b, tags):
+            first[b.node] = depth[b.node]
+    for k in range(len(tags) - 1, 0, -1):
+        first[parents[k]] = first[k] or first[parents[k]]
+    taken, node = [], best
+    while node > 0 and tags[node] not in KEPT_ANYWAY:
+        alike = [k for k in children[parents[node]] if k != node and lengths[k] and looks[k] == looks[node] and linked[k] < SIBLING_LINKS * lengths[k]]
+        rows = [k for k in alike if not prose[k] or first[k] - depth[k] == first[node] - depth[node]]
+        whole = prose[node]
+        if any(prose[k] for k in rows):
+            taken += [node, *rows]
+            whole += sum(prose[k] for k in rows)
+        node = parents[node]
+        if whole < MAJOR * prose[node]:
+            break
+    return taken
+
+
+def _article(page: Page, blocks: list[_Block]) -> str:
+    parents, tags = page.parents, page.tags
     scores: dict[int, float] = {}
     lengths, linked, links, prose = ([0] * len(tags) for _ in range(4))
     for b in blocks:
@@ -319,6 +400,8 @@ def _article(parents: list[int], tags: list[str], blocks: list[_Block]) -> str:
             else:
                 good = final.get(node, 0.0) >= max(10.0, SIBLING * final[best]) or tags[node] == "p" and lengths[node] >= SIBLING_LENGTH and few
             kept[node] = kept[node] or good
+        for node in _repeated(page, blocks, best, lengths, linked, prose):
+            kept[node] = True
     short = lambda part, whole, n: n > 1 and part > LIST_LINKS * whole and part < LINK_LENGTH * n
     menu = [t in LISTS and short(linked[k], lengths[k], links[k]) for k, t in enumerate(tags)]
     for k in range(1, len(tags)):

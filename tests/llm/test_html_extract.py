@@ -64,6 +64,38 @@ def test_nothing_of_the_article_goes():
     assert main_text(f"<body><div><article><p>{LONG}</p><p>{LONG}</p></article><article><p>{LONG}</p><p>{LONG} b</p></article></div></body>").count(LONG) == 4
 
 
+def test_paragraphs_in_rows_and_columns():
+    tall = " ".join([LONG] * 4)
+    texts = [f"{tall} {k}" for k in range(12)]
+    for n in range(1, 13):
+        for deep in (1, 2, 3, 5):
+            rows = "".join("<div>" * deep + f"<p>{t}</p>" + "</div>" * deep for t in texts[:n])
+            for page in (f"<body><div class=page>{rows}</div></body>", f"<body><nav>x</nav>{rows}</body>", f"<body><h1>Site</h1><div class=page>{rows}</div><div class=sidebar><p>{LONG}</p></div></body>"):
+                assert main_text(page) == "\n".join(texts[:n]), (n, deep)
+        grid = "".join(f"<div class='row r{k}'><div class=col-6><p>{t}</p></div><div class=col-4><p>{t} b</p></div></div>" for k, t in enumerate(texts[:n]))
+        assert main_text(f"<body><div id=main>{grid}</div><div id=side><div><p>{LONG}</p></div></div></body>") == "\n".join(f"{t}\n{t} b" for t in texts[:n])
+    parts = "".join(f"<section><div><h2>Part {k}</h2><p>{tall} {k}</p><p>{tall} b</p></div></section>" for k in range(3))
+    assert main_text(f"<body><div>{parts}</div></body>") == "\n".join(f"Part {k}\n{tall} {k}\n{tall} b" for k in range(3))
+    mixed = f"<div><div><h2>Title</h2></div></div><div><div><p>{tall}</p></div></div><div><div><p>Short.</p></div></div><div><div><p>{tall} b</p></div></div>"
+    assert main_text(f"<body><div class=page>{mixed}</div></body>") == f"Title\n{tall}\nShort.\n{tall} b"
+    # what stands beside the article and does not look like it stays out
+    aside = f"<div><p>{tall}</p></div><div class=legal><div><p>{LONG}</p></div></div><div><div><div><p>{LONG} a</p></div></div></div>"
+    assert main_text(f"<body>{aside}</body>") == tall
+
+
+def test_forms_dialogs_and_hidden_parts():
+    body, want = f"<h1>Head</h1><p>{LONG}</p><p>{LONG} again</p>", f"Head\n{LONG}\n{LONG} again"
+    controls = "<select><option>One</option></select><button>Send this form now, please, if you like it</button><textarea>draft</textarea>"
+    for wrap, end in (("<form id=aspnet method=post action='x'>", "</form>"), ("<div hidden>", "</div>"), ("<div style='display: none'>", "</div>"), ("<dialog open>", "</dialog>"), ("<form><div aria-hidden=true>", "</div></form>")):
+        assert main_text(f"<body>{wrap}{controls}<div class=content>{body}</div>{end}</body>") == want, wrap
+        assert main_text(f"<body>{wrap}{controls}<article>{body}</article>{end}<footer>{LONG}</footer></body>") == want, wrap
+        # beside an article or other prose they go, however long they are
+        assert main_text(f"<body><article><p>Little.</p></article>{wrap}<p>{LONG}</p>{end}</body>") == "Little.", wrap
+        assert main_text(f"<body><div class=content>{body}</div>{wrap}<p>{LONG}</p>{end}</body>") == want, wrap
+        assert main_text(f"<body><article>{body}{wrap}<p>{LONG} no</p>{end}</article></body>") == want, wrap
+    assert main_text(f"<body><article><p>{LONG}<span hidden>no</span></p></article></body>") == LONG
+
+
 def test_time_in_proportion():
     n = 1 << 20
     junk = ["<div>x", "<a ", '<a "', "<a b='", '<a =">" ', "<p", "<!--", "<iframe>", "<b><div>", "</div><div>x<p>y", "&", "<a b", "<svg>", "<ul><li>", "<title>", "<", "= ' \" > <a ", "<div class=x >"]
@@ -155,6 +187,18 @@ def brute(page):
             if x["n"] != best and x["n"] in by:
                 if final.get(x["n"], 0) >= max(10, 0.2 * top) or x["tag"] == "p" and length(x) >= 80 and linked(x) < 0.25 * length(x):
                     kept.append(x)
+    pays = [b for b in blocks if len(b[1]) >= 25 and 2 * b[2] <= len(b[1]) and b[0]["tag"] != "h2"]
+    prose = lambda x: sum(len(b[1]) - b[2] for b in pays if any(y is x for y in above(b[0])))
+    deep = lambda x: next([y["n"] for y in above(b[0])].index(x["n"]) for b in pays if any(y is x for y in above(b[0])))
+    at = by[best]
+    while at["n"] and at["tag"] != "body":
+        same = [x for x in at["up"]["down"] if x is not at and x["tag"] == at["tag"] and inside(x) and linked(x) < 0.25 * length(x)]
+        rows = [x for x in same if prose(x) and deep(x) == deep(at)]
+        if rows:
+            kept += [at, *rows, *(x for x in same if not prose(x))]
+        if 2 * (prose(at) + sum(map(prose, rows))) < prose(at["up"]):
+            break
+        at = at["up"]
     short = lambda part, whole, n: n > 1 and part > 0.8 * whole and part < 60 * n
     out = []
     for node, text, n_linked, n in blocks:
