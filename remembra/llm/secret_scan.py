@@ -41,7 +41,11 @@ PLACEHOLDER, ALLOWED_LENGTH = r"(?i)example|placeholder|changeme|your[_-]|xxxx|d
 #: the windows that it touches, so that one that arises by chance in a long secret does not hide the rest. Possessive, so a
 #: candidate of any length is gone through without recursion, and each run of letters once.
 ALLOWED = PLACEHOLDER + r"|^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$|[0-9]{4}-[0-9]{2}-[0-9]{2}|(?<![a-z])(?:[a-z]{2,}+[/_=-]){3,}+[a-z]*+|(?:[/_=-][a-z]{2,}+){3,}+|([0-9a-z]{1,4})\1{4}"
-ALLOWED_BEFORE = r"(?i)(?:sha-?[0-9]{1,3}|md5|commit|checksum|digest|integrity|etag|uuid)[\x20\"'(]*[-:=]?[\x20\"'(]*$|https?://[^\x20]*$"
+ALLOWED_BEFORE = r"(?i)(?:sha-?[0-9]{1,3}|md5|commit|checksum|digest|integrity|etag|uuid)[\x20\"'(]*[-:=]?[\x20\"'(]*$"
+#: What a published digest looks like: hexadecimal, or base64 of 16, 20, 32, 48 or 64 bytes. Other values after those words are no digests.
+DIGEST = r"^(?:sha-?[0-9]{1,3}[-=])?(?:[0-9a-fA-F-]{20,128}|[A-Za-z0-9+/]{22}==|[A-Za-z0-9+/]{27}=|[A-Za-z0-9+/]{43}=|[A-Za-z0-9+/]{64}|[A-Za-z0-9+/]{86}==)$"
+#: Host and path of a URL are no place for entropy candidates, whatever their length; its user part, query and fragment are.
+URL = r"(?:(?i:https?)://|@(?=[A-Za-z0-9-]*+\.))[A-Za-z0-9.-]++(?::[0-9]{1,5}+(?=/))?+(?:/[^\s\"'<>?#]*+|(?![@:%_+=~!$&]))"
 
 
 #: Items that one step of _scan takes, and code points of a piece in _chunks.
@@ -165,7 +169,7 @@ def _suspicious(x: Column) -> Column:
     for pattern, bits in reversed(CLASSES):
         least = F.when(s.rlike(pattern), F.lit(bits).cast("double")).otherwise(least)
     placed = (F.length(s) <= ALLOWED_LENGTH) & s.rlike(PLACEHOLDER)
-    return least.isNotNull() & ~placed & ~b.rlike(ALLOWED_BEFORE) & F.exists(F.split(s, ALLOWED, -1), lambda p: _strong(p, least))
+    return least.isNotNull() & ~placed & ~(b.rlike(ALLOWED_BEFORE) & s.rlike(DIGEST)) & F.exists(F.split(s, ALLOWED, -1), lambda p: _strong(p, least))
 
 
 def _strong(p: Column, least: Column) -> Column:
@@ -183,8 +187,8 @@ def secret_spans(docs: DataFrame, text: str = "text", base: str = "base", spans:
     """docs with columns `base` and `spans`: arrays of struct<s, k, e> in order of start, then kind (an index in KINDS).
 
     base holds the pattern matches: leftmost and not overlapping within a kind, those that fail the
-    kind's length dropped. spans adds the entropy candidates of the text outside of them. Places are code
-    points, ends exclusive. A null text is empty and has none; repeated rows have a row each, texts of any length are scanned whole.
+    kind's length dropped. spans adds the entropy candidates of the text outside of them and of the hosts and paths of URLs. Places are
+    code points, ends exclusive. A null text is empty and has none; repeated rows have a row each, texts of any length are scanned whole.
     One pass over the rows without a shuffle; all other columns are kept, whatever their names, but for columns of those two names.
     """
     t = F.col("__t")
@@ -202,10 +206,11 @@ def secret_spans(docs: DataFrame, text: str = "text", base: str = "base", spans:
         }
     )
     out = out.withColumn("__b", F.array_sort(F.concat(_spans(F.col("__a"), 0), _spans(F.col("__k"), 1), _spans(F.col("__h"), 2))))
-    # what is left of a candidate that base spans cut is a candidate of its own: a dot, which none holds, stands in their places
+    # what is left of a candidate that base spans or URLs cut is a candidate of its own: a dot, which none holds, stands in their places
     dots = lambda n, fresh: F.repeat(F.lit("."), n)
     o = F.col("__o")
-    out = out.withColumn("__o", F.when(F.size("__b") > 0, _replaced(t, F.col("__b"), dots)).otherwise(t))
+    out = out.withColumn("__u", F.array_sort(F.concat("__b", _spans(some(t.contains("://"), _matches(t, URL, 0)), len(KINDS)))))
+    out = out.withColumn("__o", F.when(F.size("__u") > 0, _replaced(t, F.col("__u"), dots)).otherwise(t))
     out = out.withColumn("__c", some(o.rlike("(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20}"), F.filter(_matches(o, CANDIDATE, 40), _suspicious)))
     rest = [F.col("__row").getField(c).alias(c) for c in docs.columns if c not in (base, spans)]
     return out.select(*rest, F.col("__b").alias(base), F.array_sort(F.concat("__b", _spans(F.col("__c"), 3))).alias(spans))
