@@ -20,6 +20,8 @@ from remembra.llm._store import file_system, quoted, remove, stored, workspace
 BLOCK, SHARD, REPEATS, WEIGHTS = 128, 4096, 3, (1, 2, 3)
 #: Rows of a source whose places are numbered by one task, on average, and output shards that are drawn by one.
 CHUNK, SHARDS_AT_ONCE = 8192, 16
+#: Populations from which numpy draws without replacement are smaller than this.
+EXACT = 10**9
 
 _U = np.uint64
 
@@ -77,13 +79,50 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def without_replacement(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n drawn of good + bad are good.
+
+    From EXACT on, where numpy has no such draw: binomial if the smaller of what is drawn and what counts is so small that no draw is
+    likely to meet another, else a rounded normal draw of the same mean and variance.
+    """
+    total = good + bad
+    if total < EXACT:
+        return int(rng.hypergeometric(good, bad, n))
+    few, many = sorted((min(good, bad), min(n, total - n)))
+    if few * few < total:
+        x = int(rng.binomial(few, many / total))
+    else:
+        share = many / total
+        x = round(few * share + (few * share * (1 - share) * (total - few) / (total - 1)) ** 0.5 * rng.standard_normal())
+    x = min(max(x, 0), few)
+    # x counts the rarer kind within the smaller of the two parts
+    x = x if good <= bad else min(n, total - n) - x
+    x = x if n <= total - n else good - x
+    return min(max(x, n - bad, 0), good, n)
+
+
+def several_without_replacement(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
+    """How many of each kind are among n drawn of all: multivariate hypergeometric."""
+    left = int(counts.sum())
+    if left < EXACT:
+        return rng.multivariate_hypergeometric(counts, n, method="marginals")
+    out = np.zeros(len(counts), np.int64)
+    for i, c in enumerate(counts.tolist()):
+        out[i] = without_replacement(rng, c, left - c, n)
+        left, n = left - c, n - int(out[i])
+    return out
+
+
 class Draw:
-    """The draw of each output shard's source counts: multinomial, given each source's total.
+    """The draw of each output shard's source counts: multinomial, given each source's total and the shards' equal sizes.
 
     Of `slots` of a source with `blocks` blocks, those that fill whole epochs (every block once) are dealt to the shards in order of
     index; a shard gets as many as it draws. Of the last epoch's indices, each shard owns an equal range; it takes the first
-    of them, as many as it draws. Shards are halved again and again, and each source's slots with them by a binomial draw that
-    the halves' place names, so that any task can draw any shard's counts by itself.
+    of them, as many as it draws. Shards are halved again and again, and their slots with them: of a source's last epoch a half gets what a
+    draw without replacement from all indices has in its range, and of the whole epochs of all sources as many, drawn
+    without replacement, as make its size up. Where whole epochs cannot, slots of last epochs that have room in the other half's range
+    change sides; where these cannot either (all ranges full), shards differ by that rounding. Each draw's seed is the halves'
+    place, so that any task can draw any shard's counts by itself.
     """
 
     def __init__(self, blocks: np.ndarray, slots: np.ndarray, shards: int, seed: int):
@@ -107,10 +146,21 @@ class Draw:
                 return
             m = (a + b) // 2
             rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([self.seed, a, b])))
-            share = (m - a) / (b - a)
-            mine = rng.binomial(whole, share)
             mid = self._edge(m)
-            part = np.clip(rng.binomial(rest, share), rest - (self._edge(b) - mid), mid - self._edge(a))
+            room, other = mid - self._edge(a), self._edge(b) - mid
+            if (room + other < EXACT).all():
+                part = rng.hypergeometric(room, other, rest)
+            else:
+                part = np.array([without_replacement(rng, *x) for x in zip(room.tolist(), other.tolist(), rest.tolist(), strict=True)], np.int64)
+            size, dealt = (int(whole.sum()) + int(rest.sum())) * (m - a) // (b - a), int(whole.sum())
+            over, under = int(part.sum()) - size, size - int(part.sum()) - dealt
+            if over > 0:
+                some = np.minimum(part, other - (rest - part))
+                part = part - several_without_replacement(rng, some, min(over, int(some.sum())))
+            elif under > 0:
+                some = np.minimum(rest - part, room - part)
+                part = part + several_without_replacement(rng, some, min(under, int(some.sum())))
+            mine = several_without_replacement(rng, whole, min(max(size - int(part.sum()), 0), dealt))
             yield from halves(a, m, start, mine, part)
             yield from halves(m, b, start + mine, whole - mine, rest - part)
 
@@ -118,7 +168,7 @@ class Draw:
         yield from halves(0, self.shards, zero, self.epochs * self.blocks, self.rest)
 
     def slots(self, first: int, last: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Each shard of first:last: the source and the block of each of its slots, by the permutations of `seed`."""
+        """Each shard of first:last: the source and the block of each of its slots, by the permutations of `seed`, in random order."""
         seed = _U(seed * 0xD1342543DE82EF95 & (2**64 - 1))
         for shard, start, whole, edge, rest in self.counts(first, last):
             n = np.stack([whole, rest], 1).ravel()
@@ -127,7 +177,8 @@ class Draw:
             j = np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())
             epoch, index = np.divmod(j, self.blocks[source])
             key = _mixed(_mixed(source.astype(_U) + seed) + epoch.astype(_U))
-            yield shard, source, permuted(index, self.blocks[source], key)
+            order = np.random.Generator(np.random.Philox(np.random.SeedSequence([self.seed, shard]))).permutation(len(source))
+            yield shard, source[order], permuted(index, self.blocks[source], key)[order]
 
 
 def _goals(block: int, repeats: int, weights: tuple[float, ...], kind: pa.DataType):
@@ -192,12 +243,22 @@ class Mix:
 
         chunks = max(1, -(-self.total // CHUNK))
         named = self.sources.select("s", F.struct("source").alias("__source"), "__count")
-        rows = join_hot(sized.withColumn("__source", F.struct("source")), named, "__source", self.total).withColumn("c", F.pmod(F.xxhash64("doc_id", "row"), F.lit(chunks)))
-        sums = rows.groupBy("s", "c").agg(F.sum("size").alias("n"))
-        sums = sums.withColumn("base", F.sum("n").over(W.partitionBy("s").orderBy("c")) - F.col("n")).withColumnRenamed("s", "__s").withColumnRenamed("c", "__c").drop("n")
-        inside = F.sum("size").over(W.partitionBy("s", "c").orderBy("doc_id", "row", "size").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
-        rows = rows.withColumn("inside", inside).join(sums, (F.col("s") == F.col("__s")) & (F.col("c") == F.col("__c")))
-        self.rows = stored(rows.select("doc_id", "source", "row", "s", "size", (F.col("base") + F.col("inside")).alias("start")), f"{self.place}/rows")
+        numbered = lambda rows: join_hot(rows.withColumn("__source", F.struct("source")), named, "__source", self.total)
+        # equal rows are placed together; rows without words need no place
+        groups = sized.filter("size > 0").groupBy("doc_id", "source", "row", "size").agg(F.count("*").alias("times"))
+        groups = numbered(groups).withColumn("c", F.pmod(F.xxhash64("doc_id", "row"), F.lit(chunks))).withColumn("n", F.col("size") * F.col("times"))
+        sums = groups.groupBy("s", "c").agg(F.sum("n").alias("m"))
+        sums = sums.withColumn("base", F.sum("m").over(W.partitionBy("s").orderBy("c")) - F.col("m")).withColumnRenamed("s", "__s").withColumnRenamed("c", "__c").drop("m")
+        inside = F.sum("n").over(W.partitionBy("s", "c").orderBy("doc_id", "row", "size").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
+        groups = groups.withColumn("inside", inside).join(sums, (F.col("s") == F.col("__s")) & (F.col("c") == F.col("__c")))
+        groups = groups.select("doc_id", "source", "row", "s", "size", "times", (F.col("base") + F.col("inside")).alias("start"))
+        # a row for each copy; more than a chunk of them are made by several tasks
+        many = groups.filter(F.col("times") > CHUNK).withColumn("k", F.explode(F.expr(f"sequence(0L, (times - 1) div {CHUNK})")))
+        many = many.repartition("s", "start", "k").withColumns({"start": F.col("start") + F.col("k") * CHUNK * F.col("size"), "times": F.least(F.col("times") - F.col("k") * CHUNK, F.lit(CHUNK))}).drop("k")
+        copies = groups.filter(F.col("times") <= CHUNK).unionByName(many).withColumn("k", F.explode(F.expr("sequence(0L, times - 1)")))
+        placed = copies.select("doc_id", "source", "row", "s", "size", (F.col("start") + F.col("k") * F.col("size")).alias("start"))
+        empty = numbered(sized.filter("size = 0")).select("doc_id", "source", "row", "s", "size", F.lit(0).cast("long").alias("start"))
+        self.rows = stored(placed.unionByName(empty), f"{self.place}/rows")
         remove(spark, f"{self.place}/sizes")
 
         shards = max(1, -(-(slots or 0) // SHARD))

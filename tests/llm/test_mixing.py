@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 
-from remembra.llm.mixing import CHUNK, Draw, Mix, mix_documents, mix_report, permuted, targets
+from remembra.llm.mixing import CHUNK, Draw, Mix, mix_documents, mix_report, permuted, several_without_replacement, targets, without_replacement
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -60,8 +60,58 @@ def test_draw():
             if blocks[s]:
                 assert slots[s] // blocks[s] <= min(every) <= max(every) <= -(-slots[s] // blocks[s])
     # the counts of a shard are spread as a multinomial draw's are
-    n = np.array([c[2][0] for seed in range(300) for c in Draw(np.array([1000]), np.array([1000]), 10, seed).counts(4, 5)])
-    assert abs(n.mean() - 100) < 3 and 70 < n.var() < 115
+    n = np.array([c[2][0] for seed in range(300) for c in Draw(np.array([1000, 9000]), np.array([1000, 9000]), 10, seed).counts(4, 5)])
+    assert abs(n.mean() - 100) < 3 and 60 < n.var() < 105
+
+
+def test_shards_are_equal_and_mixed():
+    r = np.random.default_rng(8)
+    for _ in range(60):
+        blocks = r.integers(1, 10 ** r.integers(1, 5), r.integers(1, 9))
+        slots = np.minimum((blocks * r.random(len(blocks)) * 3).astype(np.int64) + r.integers(0, 2), 3 * blocks)
+        shards = int(r.integers(1, 20))
+        counts = [int((c[2] + c[4]).sum()) for c in Draw(blocks, slots, shards, 5).counts(0, shards)]
+        assert sum(counts) == slots.sum() and max(counts) - min(counts) <= 2 + 2 * len(blocks)
+        if (slots >= 2 * blocks).all():
+            assert max(counts) - min(counts) <= 1 + shards.bit_length()
+    (_, source, _), = Draw(np.array([500, 500]), np.array([500, 500]), 1, 5).slots(0, 1, 7)
+    assert 400 < (np.diff(source) != 0).sum() < 600
+
+
+def test_last_epoch_is_drawn_without_replacement():
+    """Against the draw done slot by slot: indices drawn one after another, counted by the half that owns them; a second source makes sizes up."""
+    for blocks, slots in ((1000, 990), (1000, 950), (40, 13), (7, 6)):
+        drawn = [c[4][0] for seed in range(1500) for c in Draw(np.array([blocks, 4000]), np.array([slots, 4000]), 2, seed).counts(0, 1)]
+        r = np.random.default_rng(1)
+        brute = [(r.permutation(blocks)[:slots] < blocks // 2).sum() for _ in range(1500)]
+        assert abs(np.mean(drawn) - np.mean(brute)) < 0.25 and abs(np.std(drawn) - np.std(brute)) < 0.12 * np.std(brute) + 0.02
+        assert abs(np.mean(np.array(drawn) == min(slots, blocks // 2)) - np.mean(np.array(brute) == min(slots, blocks // 2))) < 0.05
+
+
+def test_draws_of_large_populations(monkeypatch):
+    """The draws that stand in for numpy's have its moments, at sizes where both can be done."""
+    r = np.random.default_rng(2)
+    for good, bad, n in ((5000, 5000, 6000), (9000, 1000, 300), (1000, 9000, 9700), (3, 9997, 5000), (9990, 10, 40), (0, 10000, 7), (10000, 0, 7), (5000, 5000, 10000), (5000, 5000, 0)):
+        want = r.hypergeometric(good, bad, n, 3000)
+        with monkeypatch.context() as m:
+            m.setattr("remembra.llm.mixing.EXACT", 10)
+            got = np.array([without_replacement(r, good, bad, n) for _ in range(3000)])
+            several = several_without_replacement(r, np.array([good, bad, 50]), n)
+        assert abs(got.mean() - want.mean()) < 0.1 * want.std() + 0.01 and abs(got.std() - want.std()) < 0.06 * want.std() + 0.02, (good, bad, n)
+        assert got.min() >= max(0, n - bad) and got.max() <= min(good, n) and several.sum() == n and (several <= [good, bad, 50]).all()
+
+
+def test_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr("remembra.llm.mixing.CHUNK", 50)
+    rows = [(None, "", "s0")] * 700 + [(None, "a b c", "s0")] * 333 + [(7, "a b c", None)] * 120 + [(k, f"w{k} x", "s1") for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = Mix(df, block=16)
+    placed = mix.rows.collect()
+    assert Counter((r.doc_id, r.source, r.size) for r in placed) == Counter((i, s, len(t.split())) for i, t, s in rows)
+    for s in (0, 1, 2):
+        at = sorted((r.start, r.size) for r in placed if r.s == s and r["size"])
+        assert [a for a, _ in at] == [sum(n for _, n in at[:k]) for k in range(len(at))]
+    assert mix.taken().count() == len(rows)
 
 
 def table(spark):
