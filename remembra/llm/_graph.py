@@ -36,10 +36,6 @@ def components(edges: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     spark = edges.sparkSession
     place = workspace(spark, "components")
 
-    def hang(pairs: DataFrame, least: DataFrame) -> DataFrame:
-        total = least.agg(F.sum("__count")).first()[0] or 0
-        return join_hot(pairs, least, "u", total)
-
     def signed(df: DataFrame):
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
@@ -48,14 +44,14 @@ def components(edges: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     while True:
         both = stored(now.selectExpr("a as u", "b as v").union(now.selectExpr("b", "a")).distinct(), f"{place}/{k}-both")
         least = stored(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("__count")).withColumn("m", F.least("m", "u")), f"{place}/{k}-least")
-        large = stored(hang(both, least).filter("v > u").selectExpr("v as a", "m as b").filter("a <> b").distinct(), f"{place}/{k}-large")
-        down = large.selectExpr("greatest(a, b) as u", "least(a, b) as v").distinct()
-        down = stored(down, f"{place}/{k}-down")
+        # both and down have no more rows than this; m <= u < v, so a larger neighbour hangs on a smaller node
+        most = 2 * seen[0]
+        down = stored(join_hot(both, least, "u", most).filter("v > u").selectExpr("v as u", "m as v").distinct(), f"{place}/{k}-down")
         least = stored(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("__count")), f"{place}/{k}-least2")
-        small = hang(down, least).selectExpr("v as a", "m as b").union(least.select("u", "m")).filter("a <> b").distinct()
+        small = join_hot(down, least, "u", most).selectExpr("v as a", "m as b").union(least.select("u", "m")).filter("a <> b").distinct()
         k += 1
         before, now = now, stored(small, f"{place}/{k}")
-        for name in ("both", "least", "large", "down", "least2"):
+        for name in ("both", "least", "down", "least2"):
             remove(spark, f"{place}/{k - 1}-{name}")
         remove(spark, f"{place}/{k - 1}")
         del before

@@ -79,3 +79,24 @@ def test_components_of_a_chain_and_a_star(spark):
     found = {r.node: r.root for r in found.collect()}
     done()
     assert found == {i: 100 for i in range(100, 161)} | {i: 7 for i in [7, *range(200, 230)]}
+
+
+def test_components_of_hubs_and_chains(spark):
+    r = random.Random(1)
+    edges = [(r.randrange(500), r.randrange(500)) for _ in range(300)] + [(7, k) for k in range(200)] + [(k, k + 1) for k in range(300, 420)] + [(499, 499)] * 2
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = sorted((top(a), top(b)))
+            up[b] = a
+    for some, want in ((edges, {x: top(x) for x in list(up)}), ([], {})):
+        found, done = components(spark.createDataFrame(some, "a long, b long"))
+        rows = found.collect()
+        done()
+        assert {x.node: x.root for x in rows} == want and len(rows) == len(want)
