@@ -1,7 +1,8 @@
 """Similarity of vectors in blocks: every pair of blocks meets once, as two matrices.
 
-Rows are packed into blocks of a fixed size; the cells of the block grid are made by an equi-join
-on both block numbers, so work is spread evenly whatever the data, and only pairs that pass leave a cell.
+Rows are packed into blocks; the cells of the block grid are made by an equi-join on both block numbers, so
+work is spread evenly whatever the data, and only pairs that pass leave a cell. There are MOST_BLOCKS blocks at most until
+they reach BLOCK_BYTES, so what is shuffled grows with the rows, not with their square; a cell is multiplied in strips.
 """
 
 from __future__ import annotations
@@ -9,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -17,44 +17,59 @@ from pyspark.sql import functions as F
 
 from remembra.sources.store import stored, workspace
 
-BLOCK = 2048
+#: Rows of a strip, which are the least of a block; blocks of a side, and bytes of one beyond which there are more; pairs that are computed exactly at once.
+BLOCK, MOST_BLOCKS, BLOCK_BYTES, PAIRS = 2048, 24, 64 << 20, 8192
+#: How the vectors' numbers are kept.
+NUMBERS = {"array<float>": "f4", "array<int>": "i4", "array<double>": "f8"}
+
+
+def _blocks(df: DataFrame) -> int:
+    n, dim = df.agg(F.count("*"), F.max(F.size("vector"))).first()
+    size = n * max(dim or 0, 1) * np.dtype(NUMBERS[dict(df.dtypes)["vector"]]).itemsize
+    return max(1, min(-(-n // BLOCK), MOST_BLOCKS), -(-size // BLOCK_BYTES))
+
 
 def _packed(df: DataFrame, blocks: int, path: str) -> DataFrame:
-    """Blocks (block, dim, ids, vectors) of rows (id, vector), written once however often the grid names them; an id keeps its type."""
-    kind = dict(df.dtypes)["id"]
-    schema = f"block int, dim int, ids array<{kind}>, vectors binary"
+    """Blocks (block, dim, kind, ids, vectors) of rows (id, vector), written once however often the grid names them; ids and numbers keep their type."""
+    kinds = dict(df.dtypes)
+    kind = NUMBERS[kinds["vector"]]
+    schema = f"block int, dim int, ids array<{kinds['id']}>, vectors binary"
 
     def pack(table: pa.Table) -> pa.Table:
-        flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind)
         ids = table.column("id").combine_chunks()
         one = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
         return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "dim": pa.array([table.column("dim")[0].as_py()], pa.int32()), "ids": one, "vectors": pa.array([flat.tobytes()], pa.binary())})
 
-    rows = df.filter("id is not null and vector is not null").select("id", F.size("vector").alias("dim"), F.col("vector").cast("array<double>").alias("v"))
-    return stored(rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("block", "dim").applyInArrow(pack, schema), path)
+    rows = df.filter("id is not null and vector is not null").select("id", F.size("vector").alias("dim"), F.col("vector").alias("v"))
+    packed = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("block", "dim").applyInArrow(pack, schema)
+    return stored(packed.select("block", "dim", F.lit(kind).alias("kind"), "ids", "vectors"), path)
 
 
 def _cells(left: DataFrame, right: DataFrame | None) -> DataFrame:
     """Cells of the grid of left and right blocks; without right, those of left with itself on and above the diagonal."""
     place = workspace(left.sparkSession, "blocks")
-    a = max(1, -(-left.count() // BLOCK))
+    a = _blocks(left)
     l = _packed(left, a, f"{place}/left")
-    r, b = (l, a) if right is None else (_packed(right, b := max(1, -(-right.count() // BLOCK)), f"{place}/right"), b)
-    l = l.select(F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("j"), "dim", F.col("ids").alias("a_ids"), F.col("vectors").alias("a"))
-    r = r.select(F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(a - 1))).alias("i"), "dim", F.col("ids").alias("b_ids"), F.col("vectors").alias("b"))
+    r, b = (l, a) if right is None else (_packed(right, b := _blocks(right), f"{place}/right"), b)
+    l = l.select(F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("j"), "dim", F.col("kind").alias("a_kind"), F.col("ids").alias("a_ids"), F.col("vectors").alias("a"))
+    r = r.select(F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(a - 1))).alias("i"), "dim", F.col("kind").alias("b_kind"), F.col("ids").alias("b_ids"), F.col("vectors").alias("b"))
     if right is None:
         l, r = l.filter("i <= j"), r.filter("i <= j")
-    return l.join(r, ["i", "j", "dim"]).select("dim", "a_ids", "a", "b_ids", "b")
+    # as many parts as cells, since their work is large where their bytes are few
+    l, r = (x.repartition(min(a * b, 1024), "i", "j", "dim") for x in (l, r))
+    met = F.lit(right is None) & (F.col("i") == F.col("j"))
+    return l.join(r, ["i", "j", "dim"]).select("dim", met.alias("met"), "a_kind", "a_ids", "a", "b_kind", "b_ids", "b")
 
 
-def _open(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """The two sides of each cell: ids, and vectors as rows of a matrix. Ids compare as Python compares them, texts by code points."""
-    dim, a_ids, a, b_ids, b = batch.columns
+def _open(batch: pa.RecordBatch) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Whether a cell's two sides are one block, and of each side ids, and vectors as rows of a matrix. Ids compare as Python compares them, texts by code points."""
+    dim, met, *both = batch.columns
     for k in range(batch.num_rows):
         sides = []
-        for ids, v in ((a_ids, a), (b_ids, b)):
-            sides += [ids[k].values.to_numpy(zero_copy_only=False), np.frombuffer(v[k].as_buffer()).reshape(-1, dim[k].as_py())]
-        yield tuple(sides)
+        for kind, ids, v in (both[:3], both[3:]):
+            sides += [ids[k].values.to_numpy(zero_copy_only=False), np.frombuffer(v[k].as_buffer(), kind[k].as_py()).reshape(-1, dim[k].as_py())]
+        yield (met[k].as_py(), *sides)
 
 
 def _folded(parts: np.ndarray) -> np.ndarray:
@@ -65,34 +80,121 @@ def _folded(parts: np.ndarray) -> np.ndarray:
     return total
 
 
-def _unit_pairs(least: float):
+def _by_parts(x: np.ndarray, y: np.ndarray, exact) -> np.ndarray:
+    """exact(x, y) of pairs of rows, of PAIRS at a time."""
+    return np.concatenate([exact(x[k : k + PAIRS], y[k : k + PAIRS]) for k in range(0, len(x), PAIRS)] or [np.zeros(0)])
+
+
+def _lengths(v: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.concatenate([_folded(v[k : k + PAIRS].astype(np.float64) ** 2) for k in range(0, len(v), PAIRS)] or [np.zeros(0)]))
+
+
+def _rounding(dim: int) -> float:
+    """Bound of a single-precision product's error, of vectors of length one."""
+    return (dim + 8) * 1.2e-7
+
+
+def _strips(met: bool, a: np.ndarray, b: np.ndarray, least: float, strict: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, cosine) of the rows of a and b with a cosine of `least` or more (strict: above it), by strips of b within strips of a; of one block with itself each pair once."""
+    na, nb = _lengths(a), _lengths(b)
+    unit = lambda v, n: (v / np.where(n > 0, n, np.inf)[:, None]).astype(np.float32)
+    for s in range(0, len(a), BLOCK):
+        ua = unit(a[s : s + BLOCK], na[s : s + BLOCK])
+        for t in range(s if met else 0, len(b), BLOCK):
+            near = ua @ unit(b[t : t + BLOCK], nb[t : t + BLOCK]).T
+            x, y = np.nonzero(near >= least - _rounding(a.shape[1]))
+            some = (na[s + x] > 0) & (nb[t + y] > 0) & ((s + x < t + y) | (not met))
+            x, y = s + x[some], t + y[some]
+            exact = _by_parts(x, y, lambda p, q: _folded(a[p].astype(np.float64) * b[q]) / (na[p] * nb[q]))
+            keep = exact > least if strict else exact >= least
+            yield x[keep], y[keep], exact[keep]
+
+
+def _pairs(ids_a: np.ndarray, ids_b: np.ndarray, cosine: np.ndarray) -> pa.RecordBatch:
+    swap = ids_a > ids_b
+    return pa.RecordBatch.from_arrays([pa.array(np.where(swap, ids_b, ids_a)), pa.array(np.where(swap, ids_a, ids_b)), pa.array(cosine)], ["a", "b", "cosine"])
+
+
+def _unit_pairs(least: float, strict: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a_ids, a, b_ids, b in _open(batch):
-                na, nb = np.sqrt(_folded(a * a)), np.sqrt(_folded(b * b))
-                size = na[:, None] * nb
-                near = (a @ b.T) / np.where(size > 0, size, np.inf)
-                x, y = np.nonzero(near >= least - 1e-9)
-                other = a_ids[x] != b_ids[y]
-                x, y = x[other], y[other]
-                swap = a_ids[x] > b_ids[y]
-                exact = _folded(a[x] * b[y]) / size[x, y]
-                low, high = np.where(swap, b_ids[y], a_ids[x]), np.where(swap, a_ids[x], b_ids[y])
-                keep = exact >= least
-                # a block meets itself in one cell, where each pair comes twice
-                pairs = pd.DataFrame({"a": low[keep], "b": high[keep], "cosine": exact[keep]}).drop_duplicates(["a", "b"])
-                yield pa.RecordBatch.from_pandas(pairs, preserve_index=False)
+            for met, a_ids, a, b_ids, b in _open(batch):
+                for x, y, cosine in _strips(met, a, b, least, strict):
+                    yield _pairs(a_ids[x], b_ids[y], cosine)
 
     return run
 
 
-def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:
-    """(a, b, cosine), a < b, for every pair of rows (id, vector) with a cosine of `least` or more. Zero vectors are similar to nothing."""
+def _forest(x: np.ndarray, y: np.ndarray, cosine: np.ndarray, n: int) -> np.ndarray:
+    """Places of the pairs (x, y) of nodes below n that span what all of them connect, those of the largest cosines."""
+    order = np.argsort(-cosine, kind="stable")
+    x, y, label, kept, left = x[order], y[order], np.arange(n), [], np.arange(len(x))
+    while len(left := left[label[x[left]] != label[y[left]]]):
+        best = np.full(n, len(x))  # of each tree the first pair that leaves it
+        for side in (x, y):
+            np.minimum.at(best, label[side[left]], left)
+        kept.append(np.unique(best[best < len(x)]))
+        p, q, to = label[x[kept[-1]]], label[y[kept[-1]]], np.arange(n)
+        while (to[p] != to[q]).any():
+            m = np.minimum(to[p], to[q])
+            for old in (p, q, to[p], to[q]):
+                np.minimum.at(to, old, m)
+            to = to[to]
+        label = to[label]
+    return order[np.concatenate(kept)] if kept else order[:0]
+
+
+def _spanning(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for met, a_ids, a, b_ids, b in _open(batch):
+                shift = 0 if met else len(a)
+                x, y, cosine = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+                for found in _strips(met, a, b, least, False):
+                    x, y, cosine = np.concatenate([x, found[0]]), np.concatenate([y, found[1]]), np.concatenate([cosine, found[2]])
+                    if len(found[0]):
+                        keep = _forest(x, y + shift, cosine, shift + len(b))
+                        x, y, cosine = x[keep], y[keep], cosine[keep]
+                yield _pairs(a_ids[x], b_ids[y], cosine)
+
+    return run
+
+
+def similar_pairs(vectors: DataFrame, least: float, strict: bool = False) -> DataFrame:
+    """(a, b, cosine), a < b, for every pair of rows (id, vector) with a cosine of `least` or more (strict: above it). Zero vectors are similar to nothing."""
+    return _found(vectors, _unit_pairs(least, strict))
+
+
+def spanning_pairs(vectors: DataFrame, least: float) -> DataFrame:
+    """Those of similar_pairs that connect what all of them connect, the most similar of each component among them; of each cell of blocks at most one pair for a row."""
+    return _found(vectors, _spanning(least))
+
+
+def _found(vectors: DataFrame, run) -> DataFrame:
     kind = dict(vectors.dtypes)["id"]
-    found = _cells(vectors, None).mapInArrow(_typed(_unit_pairs(least), kind), f"a {kind}, b {kind}, cosine double")
+    found = _cells(vectors, None).mapInArrow(_typed(run, kind), f"a {kind}, b {kind}, cosine double")
     return stored(found, f"{workspace(vectors.sparkSession, 'pairs')}/found", 1)
 
 
+def _first(least: float, strict: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for met, a_ids, a, b_ids, b in _open(batch):
+                best = np.full(len(b), np.iinfo(np.int64).max)
+                for x, y, _ in _strips(met, a, b, least, strict):
+                    np.minimum.at(best, y, a_ids[x])
+                some = best < np.iinfo(np.int64).max
+                yield pa.RecordBatch.from_arrays([pa.array(b_ids[some]), pa.array(best[some])], ["id", "first"])
+
+    return run
+
+
+def first_similar(table: DataFrame, rows: DataFrame, least: float, strict: bool = False) -> DataFrame:
+    """(id, first): for each of rows (id, vector) the smallest id of table's rows with a cosine of `least` or more (strict: above it); no row where there is none. Ids are numbers."""
+    found = stored(_cells(table, rows).mapInArrow(_first(least, strict), "id long, first long"), f"{workspace(table.sparkSession, 'first')}/found", 1)
+    return found.groupBy("id").agg(F.min("first").alias("first"))
+
+
 def _typed(run, kind: str):
     """What run yields, its ids of one type, also where there are none to tell it."""
     type_ = pa.string() if kind == "string" else pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else None
@@ -104,22 +206,42 @@ def _typed(run, kind: str):
     return cast
 
 
+def _near(a: np.ndarray, b: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, distance) of the k rows of b that are nearest to each row of a, strip by strip of b: after the first, only what may be within the k-th distance so far is computed exactly."""
+    kind = np.float32 if max(np.abs(a).max(initial=0), np.abs(b).max(initial=0)) < 1e15 else np.float64
+    sa, slack = (a.astype(np.float64) ** 2).sum(1), _rounding(a.shape[1])
+    single, most = a.astype(kind), np.full(len(a), np.inf)
+    x, y, d = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    for t in range(0, len(b), BLOCK):
+        part = b[t : t + BLOCK]
+        size = sa[:, None] + (part.astype(np.float64) ** 2).sum(1)
+        # no less than this: a lower bound of the squared distance
+        low = (size * (1 - slack) - 1e-30).astype(kind) - 2 * (single @ part.astype(kind).T)
+        low[a_ids[:, None] == b_ids[None, t : t + BLOCK]] = np.inf
+        bound = most.astype(kind)
+        if not np.isfinite(bound).all() and len(part) > k:
+            width = (2 * slack * size.max(1) + 2e-30).astype(kind)
+            bound = np.minimum(bound, np.partition(low, k - 1, axis=1)[:, k - 1] + width)
+        nx, ny = np.nonzero((low <= (bound + np.abs(bound) * kind(1e-6))[:, None]) & (low < np.inf))
+        near = _by_parts(nx, ny + t, lambda p, q: _folded((a[p].astype(np.float64) - b[q]) ** 2))
+        x, y, d = np.concatenate([x, nx]), np.concatenate([y, ny + t]), np.concatenate([d, near])
+        order = np.lexsort((place[y], d, x))
+        x, y, d = x[order], y[order], d[order]
+        keep = np.arange(len(x)) - np.searchsorted(x, x) < k
+        x, y, d = x[keep], y[keep], d[keep]
+        full = np.flatnonzero(np.bincount(x, minlength=len(a)) >= k)
+        most[full] = d[np.searchsorted(x, full, "right") - 1]
+    return x, y, d
+
+
 def _nearest(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a_ids, a, b_ids, b in _open(batch):
-                rough = (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * (a @ b.T)
-                slack = 1e-9 * (1 + np.abs(rough))
-                own = a_ids[:, None] == b_ids
-                rough[own] = np.inf
-                most = np.partition(rough + slack, k - 1, axis=1)[:, k - 1] if len(b) > k else np.full(len(a), np.inf)
-                x, y = np.nonzero((rough - slack <= most[:, None]) & ~own)
-                d = _folded((a[x] - b[y]) ** 2)
+            for _, a_ids, a, b_ids, b in _open(batch):
                 place = np.argsort(np.argsort(b_ids, kind="stable"), kind="stable")  # ids in their order, as numbers
-                order = np.lexsort((place[y], d, x))
-                x, y, d = x[order], y[order], d[order]
-                keep = np.arange(len(x)) - np.searchsorted(x, x) < k
-                yield pa.RecordBatch.from_arrays([pa.array(a_ids[x[keep]]), pa.array(b_ids[y[keep]]), pa.array(d[keep])], ["q", "id", "distance"])
+                for s in range(0, len(a), BLOCK):
+                    x, y, d = _near(a[s : s + BLOCK], b, a_ids[s : s + BLOCK], b_ids, place, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(a_ids[s + x]), pa.array(b_ids[y]), pa.array(d)], ["q", "id", "distance"])
 
     return run
 
