@@ -12,7 +12,7 @@ from remembra.operators import graph as G
 from remembra.operators import ingest as I
 from remembra.operators import maintenance as M
 from remembra.operators import writes as Wr
-from remembra.operators.blocks import knn, similar_pairs
+from remembra.operators.blocks import knn
 from remembra.plans.intake import EXTRACTED_SQL, TRANSCRIPT_SQL, quoted, transcript_lines
 from remembra.plans.search import DISTANCE_SQL, TOKENS_SQL, rounded, run_search, search_sql, trim_sql, vector_table
 from remembra.plans.upkeep import WORDS_SQL
@@ -224,7 +224,7 @@ pairs AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id < b.id WHERE lis
 def leader_clusters(spark, sf):
     v = vector_table(spark, sf)
     keys = v.select("id", F.struct((-(F.col("id") % 10)).alias("i"), "id").alias("key"))
-    return C.leader_clusters(similar_pairs(v, NEAR), keys)
+    return C.leaders(v, keys, NEAR)
 
 
 @query(MEMORIES_SQL.replace("WITH typed", "WITH RECURSIVE typed", 1) + f", {hashed_sql(LEADER)}, ranked AS (SELECT id, row_number() OVER (ORDER BY importance DESC, id) AS rank FROM memories WHERE id IN (SELECT a FROM pairs UNION SELECT b FROM pairs)), {leaders_sql('SELECT a, b FROM pairs')} SELECT seed, count(*) + 1 AS size FROM leaders GROUP BY seed")

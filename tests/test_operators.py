@@ -5,6 +5,7 @@ import math
 import random
 from datetime import datetime
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from remembra.functions import scoring, text, tiers
@@ -164,6 +165,71 @@ def test_copies_follow_their_first(spark):
     assert gone.count() == found.count() - found.select("component").distinct().count() and gone.filter("similarity < 0.9").count() == 0
 
 
+def test_strips_of_a_cell(monkeypatch):
+    """A block is multiplied in strips, and no more pairs than PAIRS are computed exactly at once."""
+    from remembra.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK", 7)
+    monkeypatch.setattr(blocks, "PAIRS", 5)
+    g = np.random.default_rng(4)
+    a, b = (np.vstack([g.normal(size=(20, 4)), np.zeros((1, 4)), g.integers(0, 2, (n, 4))]).astype(np.float32) for n in (9, 14))
+    size = lambda v: np.sqrt((v.astype(float) ** 2).sum(1))
+    for other, met in ((b, False), (a, True)):
+        with np.errstate(invalid="ignore", divide="ignore"):
+            near = (a.astype(float) @ other.T) / np.outer(size(a), size(other)) >= 0.8
+        got = [(x, y) for part in blocks._strips(met, a, other, 0.8, False) for x, y in zip(part[0], part[1])]
+        assert sorted(got) == [(x, y) for x, y in np.argwhere(near).tolist() if not met or x < y]
+    ids, others = np.arange(len(a)), np.arange(len(b)) * 2
+    x, y, d = blocks._near(a, b, ids, others, np.arange(len(b)), 3)
+    exact = ((a[:, None].astype(float) - b) ** 2).sum(2)
+    wanted = [(i, j) for i in range(len(a)) for _, j in sorted((exact[i, j], j) for j in range(len(b)) if others[j] != i)[:3]]
+    assert list(zip(x, y)) == wanted and np.allclose(d, [exact[i, j] for i, j in wanted])
+
+
+def test_blocks_do_not_grow_in_number(spark):
+    from remembra.operators import blocks
+
+    few = spark.range(blocks.BLOCK * 100).select("id", F.array(F.lit(1.0).cast("float")).alias("vector"))
+    assert blocks._blocks(few) == blocks.MOST_BLOCKS and blocks._blocks(few.limit(5)) == 1
+
+
+def test_spanning_pairs(spark):
+    from remembra.operators import blocks
+
+    g = np.random.default_rng(5)
+    x, y, c = g.integers(0, 30, 80), g.integers(30, 60, 80), g.random(80)
+    keep = blocks._forest(x, y, c, 60)
+
+    def parts(some):
+        root = list(range(60))
+        for k in some:
+            p, q = root[x[k]], root[y[k]]
+            root = [p if r == q else r for r in root]
+        return {frozenset(i for i in range(60) if root[i] == r) for r in set(root)}
+
+    assert parts(keep) == parts(range(80)) and len(keep) == 60 - len(parts(keep))
+    best = lambda some: {p: max(c[k] for k in some if x[k] in p) for p in parts(range(80)) if len(p) > 1}
+    assert best(keep) == best(range(80))
+    # a hundred rows that are all alike: a pair for each, not one for each two
+    df = spark.createDataFrame([(i, [100.0, float(i % 7), float(i)]) for i in range(100)], "id long, vector array<double>")
+    assert similar_pairs(df, 0.5).count() == 4950 and clusters.groups(df, 0.5)[1].count() == 99
+
+
+def test_leaders_in_batches(spark, monkeypatch):
+    """Batches give what one pass gives, and rows near an earlier seed are paired no more."""
+    r = random.Random(6)
+    df = spark.createDataFrame([(i, [float(r.randrange(5)) for _ in range(3)]) for i in range(150)], "id long, vector array<double>")
+    keys = spark.createDataFrame([(i, (i * 37) % 151) for i in range(150)], "id long, key long")
+    paired = []
+    pairs = clusters.similar_pairs
+    monkeypatch.setattr(clusters, "FIRST_BATCH", 15)
+    monkeypatch.setattr(clusters, "similar_pairs", lambda *a: paired.append(pairs(*a)) or paired[-1])
+    for strict in (False, True):
+        wanted = sorted(map(tuple, clusters.leader_clusters(pairs(df, 0.9, strict), keys).collect()))
+        assert sorted(map(tuple, clusters.leaders(df, keys, 0.9, strict).collect())) == wanted
+    assert len(paired) > 4 and sum(p.count() for p in paired) < pairs(df, 0.9).count() / 2
+
+
 def test_contradictions(spark):
     cases = [
         ("The payment service is working fine today", "The payment service is not working fine today", 0, "negation"),
