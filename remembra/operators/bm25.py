@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import string
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,8 +23,8 @@ class Bm25:
     b: float = 0.75
 
 
-#: Terms of a query up to which their counts are gathered and broadcast.
-FEW_TERMS = 1000
+#: Terms of a query up to which their counts are gathered and broadcast, and terms of all queries up to which these are broadcast.
+FEW_TERMS, MOST_ASKED = 1000, 100_000
 
 
 def tokens(text: Column) -> Column:
@@ -30,12 +33,27 @@ def tokens(text: Column) -> Column:
 
 
 def postings(docs: DataFrame, id_: str = "id", text: str = "content", wanted: DataFrame | None = None) -> DataFrame:
-    """(term, id, tf, dl): the inverted index, each row with its document's length; of the terms of `wanted` only, if given, before anything is shuffled."""
-    split = docs.select(F.col(id_).alias("id"), tokens(F.col(text)).alias("terms"))
-    each = split.select("id", F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term"))
-    if wanted is not None:
-        each = each.join(wanted, "term", "left_semi")
-    return each.groupBy("term", "id", "dl").agg(F.count("*").alias("tf")).select("term", "id", "tf", "dl")
+    """(term, id, tf, dl): the inverted index, each row with its document's length; of the terms of `wanted` only, if given. A document's terms are
+    counted where it is read, so no token is shuffled. Ids are distinct."""
+    kind = dict(docs.dtypes)[id_]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = re.compile(rb"[a-z0-9]+")
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                terms, tf, dl, of = [], [], [], []
+                for row, content in enumerate(part.column(1).cast(pa.binary())):
+                    found = Counter(m.group() for m in token.finditer((content.as_py() or b"").lower()))
+                    terms += found
+                    tf += found.values()
+                    dl += [found.total()] * len(found)
+                    of += [row] * len(found)
+                columns = [pa.array(terms, pa.binary()).cast(pa.string()), part.column(0).take(pa.array(of, pa.int32())), pa.array(tf, pa.int64()), pa.array(dl, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["term", "id", "tf", "dl"])
+
+    each = docs.select(F.col(id_).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(count, f"term string, id {kind}, tf long, dl long")
+    return each if wanted is None else each.join(wanted, "term", "left_semi")
 
 
 def lengths(docs: DataFrame, text: str = "content") -> tuple[int, int]:
@@ -46,7 +64,8 @@ def lengths(docs: DataFrame, text: str = "content") -> tuple[int, int]:
 
 def scores(found: DataFrame, queries: DataFrame, n: int, total: int, params: Bm25 = Bm25(), few: bool = False) -> DataFrame:
     """(q, id, bm25) for postings `found` of the terms of queries (q, term), distinct; n documents have `total` tokens. few: the terms are those of
-    a query or so, and their counts and they themselves go to every task.
+    a query or so, and their counts and they themselves go to every task; else the counts and queries are broadcast up to MOST_ASKED rows, and the postings
+    are dealt by their document, whose score is then made where they meet.
 
     A term's documents are counted by an aggregation, so a common one is no single task's. Scores are rounded to nine decimals, so
     that the order of a sum's parts decides no tie.
@@ -56,15 +75,27 @@ def scores(found: DataFrame, queries: DataFrame, n: int, total: int, params: Bm2
         spark = found.sparkSession
         df = F.broadcast(spark.createDataFrame(df.collect(), "term string, df long"))  # a row for each of the terms
         queries = F.broadcast(queries)
+    elif _asked(queries):
+        found, df, queries = found.repartition("id"), F.broadcast(df), F.broadcast(queries)
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = params.k1 * (1 - params.b + params.b * F.col("dl") / F.lit(total / n if total else 1.0))
     part = idf * F.col("tf") * (params.k1 + 1) / (F.col("tf") + norm)
     return found.join(df, "term").join(queries, "term").groupBy("q", "id").agg(F.round(F.sum(part), 9).alias("bm25"))
 
 
+def _asked(queries: DataFrame) -> bool:
+    return queries.limit(MOST_ASKED + 1).count() <= MOST_ASKED
+
+
+def _of(found: DataFrame, queries: DataFrame) -> DataFrame:
+    """The postings of the queries' terms; by a broadcast, if they are not too many, as by a shuffle a common term would be one task's."""
+    terms = queries.select("term").distinct()
+    return found.join(F.broadcast(terms) if _asked(queries) else terms, "term", "left_semi")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, params: Bm25 = Bm25(), id_: str = "id", text: str = "content") -> DataFrame:
     """(q, id, bm25) for each document that has a term of query q, without an index: every text is read twice. queries: (q, term), distinct."""
-    return scores(postings(docs, id_, text, queries.select("term").distinct()), queries, *lengths(docs, text), params)
+    return scores(_of(postings(docs, id_, text), queries), queries, *lengths(docs, text), params)
 
 
 class TextIndex:
@@ -131,7 +162,7 @@ class TextIndex:
         """(q, id, bm25) as the function bm25 gives it. queries: (q, term), distinct; terms: all their terms, if they are few."""
         rows = self.postings.read() if self.postings.exists() else self.spark.createDataFrame([], self.SCHEMA.format(self.id_type))
         if terms is None:
-            found = rows.join(queries.select("term").distinct(), "term", "left_semi")
+            found = _of(rows, queries)
         else:
             # constants, so that other buckets' files are not even listed
             found = rows.filter(F.col("bucket").isin([self._bucket(F.lit(t)) for t in terms]) & F.col("term").isin(list(terms)))

@@ -230,6 +230,30 @@ def test_leaders_in_batches(spark, monkeypatch):
     assert len(paired) > 4 and sum(p.count() for p in paired) < pairs(df, 0.9).count() / 2
 
 
+def test_postings_are_counted_where_documents_are_read(spark):
+    from remembra.operators import bm25
+
+    docs = spark.createDataFrame([(1, "A a B-c É c1"), (2, None), (3, ""), (4, "b")], "id int, content string")
+    found = bm25.postings(docs)
+    assert sorted(map(tuple, found.collect())) == [("a", 1, 2, 5), ("b", 1, 1, 5), ("b", 4, 1, 1), ("c", 1, 1, 5), ("c1", 1, 1, 5)]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_common_terms_are_not_one_task(spark):
+    """Postings of many queries' terms meet these by broadcast, however small the threshold, not in a shuffle by the term."""
+    from remembra.operators import bm25
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.range(30).select("id", F.concat(F.lit("the n"), F.col("id").cast("string")).alias("content"))
+        queries = spark.createDataFrame([(q, t) for q in range(3) for t in ("the", f"n{q}")], "q int, term string")
+        scored = bm25.bm25(docs, queries)
+        assert scored.count() == 90 and {(r.q, r.id) for r in scored.filter("bm25 > 1").collect()} == {(q, q) for q in range(3)}
+        assert "SortMergeJoin" not in scored._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_contradictions(spark):
     cases = [
         ("The payment service is working fine today", "The payment service is not working fine today", 0, "negation"),
