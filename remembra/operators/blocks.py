@@ -19,20 +19,20 @@ from remembra.sources.store import stored, workspace
 
 #: Rows of a strip, which are the least of a block; blocks of a side, and bytes of one beyond which there are more; pairs that are computed exactly at once.
 BLOCK, MOST_BLOCKS, BLOCK_BYTES, PAIRS = 2048, 24, 64 << 20, 8192
-#: How the vectors' numbers are kept.
+#: How the vectors' numbers are kept; others as doubles.
 NUMBERS = {"array<float>": "f4", "array<int>": "i4", "array<double>": "f8"}
 
 
 def _blocks(df: DataFrame) -> int:
     n, dim = df.agg(F.count("*"), F.max(F.size("vector"))).first()
-    size = n * max(dim or 0, 1) * np.dtype(NUMBERS[dict(df.dtypes)["vector"]]).itemsize
+    size = n * max(dim or 0, 1) * np.dtype(NUMBERS.get(dict(df.dtypes)["vector"], "f8")).itemsize
     return max(1, min(-(-n // BLOCK), MOST_BLOCKS), -(-size // BLOCK_BYTES))
 
 
 def _packed(df: DataFrame, blocks: int, path: str) -> DataFrame:
     """Blocks (block, dim, kind, ids, vectors) of rows (id, vector), written once however often the grid names them; ids and numbers keep their type."""
     kinds = dict(df.dtypes)
-    kind = NUMBERS[kinds["vector"]]
+    kind = NUMBERS.get(kinds["vector"], "f8")
     schema = f"block int, dim int, ids array<{kinds['id']}>, vectors binary"
 
     def pack(table: pa.Table) -> pa.Table:
@@ -41,7 +41,7 @@ def _packed(df: DataFrame, blocks: int, path: str) -> DataFrame:
         one = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
         return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "dim": pa.array([table.column("dim")[0].as_py()], pa.int32()), "ids": one, "vectors": pa.array([flat.tobytes()], pa.binary())})
 
-    rows = df.filter("id is not null and vector is not null").select("id", F.size("vector").alias("dim"), F.col("vector").alias("v"))
+    rows = df.filter("id is not null and vector is not null").select("id", F.size("vector").alias("dim"), F.col("vector").cast(kinds["vector"] if kinds["vector"] in NUMBERS else "array<double>").alias("v"))
     packed = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("block", "dim").applyInArrow(pack, schema)
     return stored(packed.select("block", "dim", F.lit(kind).alias("kind"), "ids", "vectors"), path)
 

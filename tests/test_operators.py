@@ -192,6 +192,9 @@ def test_blocks_do_not_grow_in_number(spark):
 
     few = spark.range(blocks.BLOCK * 100).select("id", F.array(F.lit(1.0).cast("float")).alias("vector"))
     assert blocks._blocks(few) == blocks.MOST_BLOCKS and blocks._blocks(few.limit(5)) == 1
+    whole = spark.createDataFrame([(1, [1, 2]), (2, [2, 4]), (3, [-1, 0])], "id long, vector array<bigint>")
+    for kind in ("bigint", "int", "float", "double", "decimal(9,2)"):
+        assert [(x.a, x.b) for x in similar_pairs(whole.withColumn("vector", F.col("vector").cast(f"array<{kind}>")), 0.9).collect()] == [(1, 2)]
 
 
 def test_spanning_pairs(spark):
