@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: White space that trimming removes, as a character class body.
 SPACE = r"\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+_SPACES = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 _BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
@@ -35,7 +36,7 @@ def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def words(text: Column, longer_than: int = 0) -> Column:

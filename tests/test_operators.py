@@ -26,6 +26,23 @@ def one(spark, *columns):
     return spark.range(1).select(*columns).first()
 
 
+def executed(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_smart_markdown_reads_lines_once(spark):
+    texts = ["## Decision log", "Key: one", "some prose", "prefer: no", "* Lesson:  two \u2003", "and more", "", "- always this", "Fix: three", "#### deep", "\u00a0", "# ", "Bug: four"]
+    lines = spark.createDataFrame([(1, n, x) for n, x in enumerate(texts)] + [(2, 0, "alone")], "file int, n int, line string")
+    got = sorted((r.file, r.type, r.importance, r.tags, r.content) for r in ingest.smart_markdown(lines).collect())
+    log = (["decision-log"], "episodic")
+    assert got == sorted(
+        [(1, t, i, ["high-signal"], c) for t, i, c in (("fact", 0.8, "one"), ("lesson", 0.85, "two"), ("lesson", 0.75, "three"), ("lesson", 0.75, "four"), ("preference", 0.7, "no"))]
+        + [(1, log[1], 0.3, log[0], c) for c in ("some prose\nand more", "always this\n#### deep", "#")]
+        + [(2, "semantic", 0.3, [], "alone")]
+    )
+    assert executed(ingest.smart_markdown(lines)).count("ExistingRDD") == 1 and "regexp_replace" not in executed(lines.select(text.trim(F.col("line"))))
+
+
 def test_recency(spark):
     ages = spark.createDataFrame([(d,) for d in (0, 1, 14, 30, 365)], "d int").select(scoring.recency(F.timestamp_micros(F.unix_micros(as_of()) - F.col("d").cast("long") * 86_400_000_000), as_of()).alias("r"))
     now, day, half, month, year = [r.r for r in ages.collect()]
