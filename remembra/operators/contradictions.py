@@ -55,7 +55,7 @@ LEAST = 0.3
 
 def content_words(text: Column) -> Column:
     """Longer words without stop words, repeats kept."""
-    found = F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s'-]", " "), r"\s+")
+    found = F.split(F.lower(text), r"[^a-z0-9'-]+")
     return F.filter(found, lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS))
 
 
@@ -64,13 +64,17 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / both)
 
 
-def sentences(text: Column) -> Column:
-    parts = F.transform(F.split(text, r"[.!?\n]+"), trim)
-    return F.filter(parts, lambda s: (F.length(s) > 8) & (F.size(F.split(s, r"\s+")) >= 3))
+def is_sentence(part: Column) -> Column:
+    """Whether a trimmed part of a text is long enough to say something."""
+    return (F.length(part) > 8) & (F.size(F.split(part, r"\s+")) >= 3)
+
+
+#: NEGATION, spelled for Java so that most places are told by one look back.
+_NEGATED = NEGATION.replace(r"\b(?i:", r"(?<!\w)(?i:").replace(r")\b|", r")(?!\w)|").replace(r"\w+n't\b", r"\wn't(?!\w)")
 
 
 def negated(sentence: Column) -> Column:
-    return sentence.rlike(java(NEGATION))
+    return sentence.rlike(_NEGATED)
 
 
 def numbers(text: Column) -> Column:
@@ -100,15 +104,18 @@ def opposed(a: Column, b: Column) -> Column:
 def features(memories: DataFrame, prefix: str) -> DataFrame:
     """The columns of memories (id, content, ...) and those that scoring needs, under a prefix. Computed once for a memory, not for a pair."""
     c = F.col("content")
-    out = memories.select(
+    # no word reaches over the end of a part, so the text's words are those of its parts
+    parts = F.transform(F.split(c, r"[.!?\n]+"), lambda s: F.struct(trim(s).alias("s"), content_words(s).alias("w")))
+    cut = memories.select("id", "created_at", "content", parts.alias("parts"))
+    said = F.transform(F.filter("parts", lambda p: is_sentence(p["s"])), lambda p: F.struct(F.array_distinct(p["w"]).alias("w"), negated(p["s"]).alias("n")))
+    return cut.select(
         F.col("id").alias(f"{prefix}_id"),
         F.col("created_at").alias(f"{prefix}_at"),
-        content_words(c).alias(f"{prefix}_words"),
-        F.transform(sentences(c), lambda s: F.struct(F.array_distinct(content_words(s)).alias("w"), negated(s).alias("n"))).alias(f"{prefix}_said"),
+        F.flatten(F.transform("parts", lambda p: p["w"])).alias(f"{prefix}_words"),
+        said.alias(f"{prefix}_said"),
         F.lower(c).alias(f"{prefix}_low"),
         numbers(c).alias(f"{prefix}_numbers"),
     )
-    return out
 
 
 def scored(pairs: DataFrame) -> DataFrame:
@@ -133,10 +140,14 @@ def scored(pairs: DataFrame) -> DataFrame:
 
     some = F.exists("a_numbers", lambda x: F.exists("b_numbers", lambda y: differs(x, y)))
     numerical = F.when((over > 0.25) & some, F.least(F.lit(0.92), 0.35 + over * 0.7)).otherwise(0.0)
-    rows = rows.withColumns({"negation": negation, "status": status, "numerical": numerical})
-    score = F.greatest("negation", "status", "numerical")
+    kinds = ["negation", "status", "numerical"]
+    told = F.struct(negation.alias("negation"), status.alias("status"), numerical.alias("numerical"))
+    # rows that score too little go from an array, as a filter would have the scores made again below it
+    rows = rows.withColumn("told", F.explode(F.filter(F.array(told), lambda x: F.greatest(*(x[k] for k in kinds)) >= LEAST)))
+    rows = rows.withColumns({k: F.col(f"told.{k}") for k in kinds}).drop("told")
+    score = F.greatest(*kinds)
     kind = F.when(F.col("negation") == score, "negation").when(F.col("status") == score, "status").otherwise("numerical")
-    return rows.withColumn("score", score).withColumn("kind", kind).filter(F.col("score") >= LEAST)
+    return rows.withColumn("score", score).withColumn("kind", kind)
 
 
 def temporal(rows: DataFrame) -> DataFrame:

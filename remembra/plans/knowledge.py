@@ -296,6 +296,12 @@ def contradicted(spark, sf):
     return K.scored(K.features(a, "a").join(K.features(b, "b"), F.col("b_id") == F.col("a_id") + 1))
 
 
+def contradicted_once(spark, sf):
+    """contradicted, scored once and written, for queries that read it several times."""
+    rows = contradicted(spark, sf).select("a_id", "b_id", "a_at", "b_at", "overlap", "score", "kind")
+    return stored(rows, f"{workspace(spark, 'contradicted')}/rows")
+
+
 _CL = "[" + ", ".join(map(quoted, CLAIMS)) + "]"
 _STOP = ", ".join(map(quoted, K.STOP_WORDS))
 
@@ -381,7 +387,7 @@ def contradictions_resolved(spark, sf):
 @query(f"""{CONTRADICTIONS_SQL}, f AS (SELECT b AS new, a // 4 AS old, round(score, 6) AS score FROM temporal), bel AS (SELECT DISTINCT id, (id % 10) / 10::DOUBLE AS confidence, id % 3 AS domain FROM (SELECT new AS id FROM f UNION SELECT old FROM f)),
 r AS (SELECT f.old, f.new, f.score > 0.8::DOUBLE AND n.domain = o.domain AS resolve, row_number() OVER (PARTITION BY f.old ORDER BY f.score DESC, f.new) AS k FROM f JOIN bel n ON n.id = f.new JOIN bel o ON o.id = f.old WHERE n.confidence >= o.confidence) SELECT old, new, resolve FROM r WHERE k = 1""")
 def beliefs_superseded(spark, sf):
-    found = K.temporal(contradicted(spark, sf)).select(F.col("b_id").alias("new"), F.floor(F.col("a_id") / 4).cast("long").alias("old"), F.round("score", 6).alias("score"))
+    found = K.temporal(contradicted_once(spark, sf)).select(F.col("b_id").alias("new"), F.floor(F.col("a_id") / 4).cast("long").alias("old"), F.round("score", 6).alias("score"))
     ids = found.select(F.col("new").alias("id")).union(found.select("old")).distinct()
     return K.superseded(found, ids.select("id", (F.col("id") % 10 / 10.0).alias("confidence"), (F.col("id") % 3).alias("domain")))
 

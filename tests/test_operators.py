@@ -318,6 +318,18 @@ def test_contradictions(spark):
     assert amounts == [1000.0, 1500.0, 50.0, 10.0]
 
 
+def test_contradictions_are_scored_once(spark):
+    said = ["It isn't  here now. The cannot word, no-one said; ok?! Never mind that", "Fails twice a day... not\nshe can't do'nt, \u00c9t\u00e9 isn't x", "", "nothing knot cannots isn'ts"]
+    rows = spark.createDataFrame([(k, t, datetime(2024, 1, 1)) for k, t in enumerate(said)], "id int, content string, created_at timestamp")
+    f = {r.id: r for r in contradictions.features(rows, "x").select(F.col("x_id").alias("id"), "x_words", "x_said").collect()}
+    assert f[0].x_words == ["isn't", "cannot", "word", "no-one", "said", "never", "mind"] and [s.n for s in f[0].x_said] == [True, True, True]
+    assert f[1].x_words == ["fails", "twice", "day", "not", "can't", "do'nt", "isn't"] and [s.n for s in f[1].x_said] == [True, True]
+    assert f[2].x_words == [] and [s.n for s in f[3].x_said] == [False]
+    pairs = contradictions.features(rows, "a").crossJoin(contradictions.features(rows, "b"))
+    filters = [x for x in executed(contradictions.scored(pairs)).splitlines() if "Filter " in x or "Join " in x]
+    assert not any("array_union" in x or "array_intersect" in x for x in filters)
+
+
 def test_graph(spark):
     m = spark.createDataFrame([(1, "Today Acme Labs uses Big Data Systems. Then Ada Lovelace met Bob Stone on 2024-01-05."), (2, "see https://x.y/z, ok")], "id long, content string")
     found = graph.entities(m, [(r"acme\w*", "Acme", "project")])
