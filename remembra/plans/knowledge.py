@@ -350,7 +350,7 @@ def temporal_contradiction(spark, sf):
 
 @query(f"{CONTRADICTIONS_SQL} SELECT s.a AS memory_a, s.b AS memory_b, round(greatest(s.score, t.score), 6) AS score, s.kind FROM scored s JOIN temporal t ON s.a = t.a")
 def contradiction_upsert(spark, sf):
-    first = contradicted(spark, sf)
+    first = contradicted_once(spark, sf)
     cols = lambda df, x, y, at: df.select(F.col(x).alias("a"), F.col(y).alias("b"), "score", "kind", F.lit(at).alias("at"))
     return rounded(K.upserted(cols(first, "a_id", "b_id", 1).union(cols(K.temporal(first), "b_id", "a_id", 2))))
 
@@ -358,9 +358,9 @@ def contradiction_upsert(spark, sf):
 KEPT_SQL = f"{CONTRADICTIONS_SQL}, kept AS (SELECT a AS id, a AS memory_a, b AS memory_b, round(score, 6) AS score, kind, a % 1000 AS created, CASE WHEN a % 3 = 0 THEN 'settled' END AS resolution FROM temporal)"
 
 
-def kept(spark, sf):
+def kept(spark, sf, made=contradicted):
     """Contradictions as they are kept; every third is resolved."""
-    c = K.temporal(contradicted(spark, sf))
+    c = K.temporal(made(spark, sf))
     at = lambda s: F.timestamp_micros(F.unix_micros(moment("2024-01-01 00:00:00")) + s * 1_000_000)
     done = F.col("a_id") % 3 == 0
     return c.select(F.col("a_id").alias("id"), F.col("a_id").alias("memory_a"), F.col("b_id").alias("memory_b"), F.round("score", 6).alias("score"), "kind", at(F.col("a_id") % 1000).alias("created_at"), F.when(done, "settled").alias("resolution"), F.when(done, at(F.lit(0))).alias("resolved_at"))
@@ -373,7 +373,7 @@ def contradictions_unresolved(spark, sf):
 
 @query(f"{KEPT_SQL} SELECT id, memory_a, memory_b, score, kind FROM kept WHERE memory_a IN (4, 6004, 8001) OR memory_b IN (4, 6004, 8001)")
 def contradictions_of_memory(spark, sf):
-    rows = kept(spark, sf)
+    rows = kept(spark, sf, contradicted_once)
     of = [K.of_memory(rows, i) for i in (4, 6004, 8001)]
     return of[0].union(of[1]).union(of[2]).select("id", "memory_a", "memory_b", "score", "kind").distinct()
 

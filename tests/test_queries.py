@@ -41,3 +41,8 @@ def test_query(spark, db, name):
     want = db.sql(ORACLE[name])
     assert sorted(df.columns) == sorted(want.columns)
     assert got == rows(want.fetchall(), want.columns)
+
+
+@pytest.mark.parametrize("name", ["beliefs_superseded", "contradiction_upsert", "contradictions_of_memory"])
+def test_pairs_are_scored_once(spark, name):
+    assert not any(f.endswith("conversations.parquet") for f in QUERIES[name](spark, DATA).inputFiles())
