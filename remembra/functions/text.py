@@ -31,6 +31,11 @@ def matches(text: Column, pattern: str) -> Column:
     return text.rlike(java(pattern))
 
 
+def matches_any(text: Column, patterns: list[str]) -> Column:
+    """Whether one of the patterns, whatever the case, is found, in one pass over the text; each begins with \\b before a word character."""
+    return text.rlike(r"(?i)(?<!\w)(?:" + "|".join(java(p.removeprefix(r"\b")) for p in patterns) + ")")
+
+
 def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(java(pattern)), F.lit(group))
 

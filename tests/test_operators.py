@@ -330,6 +330,14 @@ def test_contradictions_are_scored_once(spark):
     assert not any("array_union" in x or "array_intersect" in x for x in filters)
 
 
+def test_transcript_classes_are_found_once(spark):
+    told = ["We decided: no, she'll go on", "learned it the hard way", "The undecided one was here all day long", "x decisions are not facts", "They have it, and it works"]
+    rows = spark.createDataFrame([(1, n, x) for n, x in enumerate(told)], "file int, n int, line string")
+    got = ingest.transcript_memories(rows)
+    assert {r.n: r.tags[0] for r in got.collect() if r.j == ingest.SEGMENT} == {0: "decision", 1: "lesson", 2: "fact"}
+    assert executed(ingest.transcript_memories(rows)).count("we decided") == 1
+
+
 def test_graph(spark):
     m = spark.createDataFrame([(1, "Today Acme Labs uses Big Data Systems. Then Ada Lovelace met Bob Stone on 2024-01-05."), (2, "see https://x.y/z, ok")], "id long, content string")
     found = graph.entities(m, [(r"acme\w*", "Acme", "project")])
