@@ -13,14 +13,15 @@ from remembra.llm._store import remove, stored, workspace
 HOT = 1000
 
 
-def join_hot(rows: DataFrame, groups: DataFrame, key: str, total: int, count: str = "__count") -> DataFrame:
+def join_hot(rows: DataFrame, groups: DataFrame, key: str, total: int, count: str = "__count", hint: str | None = None) -> DataFrame:
     """rows inner-joined with groups, which has one row for each key and in `count` how many rows have it.
 
     The fewer than HOT keys with over total / HOT rows are broadcast, so the rows of a hot key
-    stay where they are; all others meet in a shuffle, where no key has more than total / HOT rows.
+    stay where they are; all others meet in a shuffle, where no key has more than total / HOT rows. hint: how these are joined, whatever their size.
     """
     hot = groups.filter(F.col(count) * HOT > total)
     cold = groups.filter(F.col(count) * HOT <= total)
+    cold = cold.hint(hint) if hint else cold
     apart = rows.join(F.broadcast(hot), key)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
     return apart.unionByName(rest)

@@ -320,5 +320,6 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     ids = groups.select(key.alias("__key"), copies.cast("int").alias("__copies"), "__count")
     ids = stored(ids.filter("__copies > 0"), workspace(mix.spark, "copies"))
     remove(mix.spark, mix.place)
-    rows = join_hot(docs.withColumn("__key", F.struct(F.col("doc_id"), F.col("source"), F.xxhash64("text").alias("row"))), ids, "__key", mix.total)
+    # nearly all rows are taken, so ids are as many as rows: they aren't broadcast while they are still small enough to be
+    rows = join_hot(docs.withColumn("__key", F.struct(F.col("doc_id"), F.col("source"), F.xxhash64("text").alias("row"))), ids, "__key", mix.total, hint="merge")
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*map(quoted, docs.columns))

@@ -197,3 +197,9 @@ def test_documents(spark):
 def test_any_column_names(spark):
     df = spark.createDataFrame([(1, "a b c", "s", 5, 6, 7, 8)], "doc_id long, text string, source string, `a.b` int, s int, size int, row int")
     assert mix_documents(df).columns == df.columns and mix_documents(df).count() == 1
+
+
+def test_texts_are_shuffled_whatever_the_size(spark):
+    df = spark.createDataFrame([(k, f"w{k} x", "s") for k in range(50)], "doc_id long, text string, source string")
+    plan = mix_documents(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
