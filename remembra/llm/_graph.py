@@ -11,6 +11,8 @@ from remembra.llm._store import remove, stored, workspace
 
 #: A key is hot if over 1 of so many rows has it; hence there are fewer hot keys than this.
 HOT = 1000
+#: Words of 64 bits of which those are broadcast that keys set.
+WORDS = 1 << 17
 
 
 def join_hot(rows: DataFrame, groups: DataFrame, key: str, total: int, count: str = "__count", hint: str | None = None) -> DataFrame:
@@ -27,6 +29,19 @@ def join_hot(rows: DataFrame, groups: DataFrame, key: str, total: int, count: st
     return apart.unionByName(rest)
 
 
+def likely(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose `key` is one of those of keys, and few others; what follows is an exact join, whose shuffle takes only these.
+
+    Of WORDS words of 64 bits, those that the keys set are broadcast: some megabytes, however many keys there are. Of other rows a share of up to
+    (number of keys) / (64 * WORDS) comes along.
+    """
+    h = F.xxhash64(F.col(key), F.lit("bit"))
+    word, bit = F.pmod(h, F.lit(WORDS)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(64)).cast("int")
+    set_ = keys.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
+    marked = rows.withColumns({"__at": word, "__bit": bit})
+    return marked.join(F.broadcast(set_), (F.col("__at") == F.col("__word")) & (F.bit_get("__bits", F.col("__bit")) == 1), "left_semi").drop("__at", "__bit")
+
+
 def components(edges: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     """(node, root) for each node of edges (a, b): root is the smallest node of its component.
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from remembra.llm._bytes import SPACE, Texts, mix, ngrams, pieces
-from remembra.llm._graph import components, join_hot
+from remembra.llm._graph import components, join_hot, likely
 from remembra.llm._store import quoted, remove, stored, workspace
 
 #: Words of a shingle, and 100 times the least similarity of linked sets.
@@ -352,7 +352,8 @@ def minhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     def whole(nodes: DataFrame) -> DataFrame:
         """One row's text of each set, or several of rows equal in id and text."""
         those = texts.join(nodes, "node", "left_semi").select(F.col("best.hash").alias("hash"), F.col("best.doc_id").alias("own"), "node", "__count")
-        return join_hot(read, those, "hash", total).filter(F.col("doc_id").eqNullSafe(F.col("own"))).select("node", "__text")
+        those = stored(those, f"{place}/those")
+        return join_hot(likely(read, those, "hash"), those, "hash", total).filter(F.col("doc_id").eqNullSafe(F.col("own"))).select("node", "__text")
 
     roots, done = components(link_sets(texts, whole, place, percent, shingle))
     member = texts.select("node", F.col("best.doc_id").alias("least"), "__count").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from remembra.llm._bytes import pieces
-from remembra.llm._graph import components, join_hot
+from remembra.llm._graph import components, join_hot, likely
 from remembra.llm._store import held, quoted, released, remove, stored, workspace
 from remembra.llm.minhash import link_sets, sketch
 from remembra.llm.simhash import SEED, _shingles, links, majority
@@ -62,14 +62,15 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
     def whole(nodes: DataFrame) -> DataFrame:
         those = texts.join(nodes, "node", "left_semi").select(F.col("best.whole").alias("whole"), "node", "__count")
-        return join_hot(keyed.select("whole", "__text"), those, "whole", total).select("node", "__text")
+        those = stored(those, f"{place}/those")
+        return join_hot(likely(keyed.select("whole", "__text"), those, "whole"), those, "whole", total).select("node", "__text")
 
     alike = link_sets(texts, whole, place, PERCENT, SHINGLE, _balls(texts.filter("n_shingles > 0"), place))
     roots, done = components(alike)
     found = texts.select("node", "best").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "best")
     first = stored(found.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"), F.col("best.whole").alias("whole")), f"{place}/first")
     done()
-    for name in ("texts", "fingerprints"):
+    for name in ("texts", "fingerprints", "those"):
         remove(spark, f"{place}/{name}")
     kept = keyed.join(first, ["row", "whole"], "left_semi").dropDuplicates(["row", "whole"])
     return kept.select(F.col("__doc").alias("__row")).select(*released(docs.columns))

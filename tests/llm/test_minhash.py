@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from remembra.llm import minhash as module
+from remembra.llm._graph import likely
 from remembra.llm.minhash import BATCH, SIGNATURE, least_matches, minhash_components, shared, shingle_sets, signature, spanning, survivors
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -78,6 +79,15 @@ def test_large_bucket_of_unlinked_texts(spark):
     assert sorted(map(tuple, got.collect()), key=str) == want and 100 < len({x[2] for x in want}) < 1200
 
 
+def test_texts_that_nothing_needs_are_not_shuffled(spark):
+    rows = spark.range(20_000).select((F.xxhash64("id")).alias("key"), "id")
+    keys = rows.filter("id % 20 = 3")
+    got = likely(rows, keys, "key")
+    assert got.columns == ["key", "id"] and got.join(keys, "id", "left_semi").count() == 1000 and got.count() < 1100
+    assert likely(rows, keys.limit(0), "key").count() == 0
+    assert "BroadcastHashJoin" in (plan := got._jdf.queryExecution().executedPlan().toString()) and "Exchange hashpartitioning(key" not in plan
+
+
 def test_posterior_bounds():
     for percent in (80, 85):
         t = percent / 100
