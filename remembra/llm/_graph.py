@@ -13,6 +13,8 @@ from remembra.llm._store import remove, stored, workspace
 HOT = 1000
 #: Words of 64 bits of which those are broadcast that keys set.
 WORDS = 1 << 17
+#: Rows of a file of a round of components, more or less: small tables are not spread over as many tasks as the session has shuffle partitions.
+FILE = 1 << 14
 
 
 def join_hot(rows: DataFrame, groups: DataFrame, key: str, total: int, count: str = "__count", hint: str | None = None) -> DataFrame:
@@ -42,37 +44,43 @@ def likely(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return marked.join(F.broadcast(set_), (F.col("__at") == F.col("__word")) & (F.bit_get("__bits", F.col("__bit")) == 1), "left_semi").drop("__at", "__bit")
 
 
+def stars(edges: DataFrame) -> tuple[int, bool]:
+    """How many edges (a, b), a > b, there are, and whether each of their components is a star: every node is the larger end of one edge, or the smaller end of some."""
+    ends = edges.selectExpr("a as node", "1 as up", "0 as down").union(edges.selectExpr("b", "0", "1"))
+    ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    n, open_ = ends.agg(F.coalesce(F.sum("up"), F.lit(0)), F.coalesce(F.max(F.expr("up > 1 or (up = 1 and down = 1)")), F.lit(False))).first()
+    return n, not open_
+
+
 def components(edges: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     """(node, root) for each node of edges (a, b): root is the smallest node of its component.
 
     Alternating stars: each round hangs every node's larger neighbours on its smallest one, then
-    the smaller ones too; the number of rounds grows with the logarithm of the component's size.
-    Every round is a written table. Also returns what removes those tables once the result is used.
+    the smaller ones too; the number of rounds grows with the logarithm of the component's size, and there is none if all are stars.
+    Every round is a written table, in files of some FILE rows. Also returns what removes those tables once the result is used.
     """
     spark = edges.sparkSession
     place = workspace(spark, "components")
 
-    def signed(df: DataFrame):
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def put(df: DataFrame, most: int, name: str) -> DataFrame:
+        return stored(df.coalesce(max(1, -(-most // FILE))), f"{place}/{name}")
 
-    now = stored(edges.select("a", "b").filter("a <> b").distinct(), f"{place}/0")
-    seen, k = signed(now), 0
-    while True:
-        both = stored(now.selectExpr("a as u", "b as v").union(now.selectExpr("b", "a")).distinct(), f"{place}/{k}-both")
-        least = stored(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("__count")).withColumn("m", F.least("m", "u")), f"{place}/{k}-least")
+    now = stored(edges.selectExpr("greatest(a, b) as a", "least(a, b) as b").filter("a <> b").distinct(), f"{place}/0")
+    (count, done), k = stars(now), 0
+    while not done:
+        # a > b and no edge is there twice, so both has each edge once from either end
+        both, most = now.selectExpr("a as u", "b as v").union(now.selectExpr("b", "a")), 2 * count
+        least = put(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("__count")).withColumn("m", F.least("m", "u")), most, f"{k}-least")
         # both and down have no more rows than this; m <= u < v, so a larger neighbour hangs on a smaller node
-        most = 2 * seen[0]
-        down = stored(join_hot(both, least, "u", most).filter("v > u").selectExpr("v as u", "m as v").distinct(), f"{place}/{k}-down")
-        least = stored(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("__count")), f"{place}/{k}-least2")
+        down = put(join_hot(both, least, "u", most).filter("v > u").selectExpr("v as u", "m as v").distinct(), most, f"{k}-down")
+        least = put(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("__count")), most, f"{k}-least2")
         small = join_hot(down, least, "u", most).selectExpr("v as a", "m as b").union(least.select("u", "m")).filter("a <> b").distinct()
         k += 1
-        before, now = now, stored(small, f"{place}/{k}")
-        for name in ("both", "least", "down", "least2"):
+        before, now = now, put(small, most, f"{k}")
+        for name in ("least", "down", "least2"):
             remove(spark, f"{place}/{k - 1}-{name}")
         remove(spark, f"{place}/{k - 1}")
         del before
-        last, seen = seen, signed(now)
-        if seen == last:
-            break
-    out = now.selectExpr("greatest(a, b) as node", "least(a, b) as root")
+        count, done = stars(now)
+    out = now.selectExpr("a as node", "b as root")
     return out.union(out.selectExpr("root", "root").distinct()), lambda: remove(spark, place)

@@ -4,7 +4,9 @@ import re
 import pyarrow as pa
 import xxhash
 
+from remembra.llm import _graph
 from remembra.llm._graph import components
+from remembra.llm._store import stored
 from remembra.llm.simhash import fingerprints, simhash_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -100,3 +102,16 @@ def test_components_of_hubs_and_chains(spark):
         rows = found.collect()
         done()
         assert {x.node: x.root for x in rows} == want and len(rows) == len(want)
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(_graph, "stored", lambda df, path: (written.append(path), stored(df, path))[1])
+    stars = [(7, 200 + i) for i in range(20)] + [(100 + i, 1) for i in range(20)] + [(2, 3), (3, 2), (5, 5)]
+    found, done = components(spark.createDataFrame(stars, "a long, b long"))
+    found = {r.node: r.root for r in found.collect()}
+    done()
+    assert found == {7: 7, 1: 1, 2: 2, 3: 2} | {200 + i: 7 for i in range(20)} | {100 + i: 1 for i in range(20)}
+    assert len(written) == 1
+    components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long"))[1]()
+    assert len(written) == 6  # one round of four tables, and none to see that nothing changes
