@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from remembra.sources.store import Store, stored, workspace
 MOST_CELLS, SAMPLE, ROUNDS = 1024, 16_384, 8
 #: Queries up to which the cells that they need are gathered, so that other cells' files aren't opened.
 FEW_QUERIES = 64
+#: Rows and queries that a task compares at once, pairs of a step, and found rows of a task that ranks them.
+ROWS, QUERIES, PAIRS, FOUND = 1 << 13, 1 << 12, 1 << 18, 1 << 19
 #: Share by which bounds are widened for the rounding of distances.
 SLACK = 1e-9
 
@@ -44,6 +47,74 @@ def _matrix(column: pa.Array, n: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
 
 
+def _squared(a: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """From each of a to each of v, summed from left to right as vectors.squared_l2 does."""
+    out = np.zeros((len(a), len(v)))
+    for x, y in zip(a.T, v.T):
+        step = x[:, None] - y
+        out += step * step
+    return out
+
+
+def _least(d: np.ndarray, k: int) -> np.ndarray:
+    """Mask of the k least of each row of d, the first ones of equal ones."""
+    if d.shape[1] <= k:
+        return np.ones(d.shape, bool)
+    last = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    less, equal = d < last, d == last
+    return less | (equal & (np.cumsum(equal, axis=1) <= k - less.sum(1, keepdims=True)))
+
+
+def _matched(k: int, own: bool, report: bool):
+    """Of a task's rows, each query's k nearest among its cells and within its reach; report: also a row of its own, without an id, of how many were compared."""
+
+    def run(key, asked: pa.Table, rows: pa.Table) -> pa.Table:
+        asked, rows = asked.combine_chunks(), rows.take(pc.sort_indices(rows, [("cell", "ascending"), ("id", "ascending")])).combine_chunks()
+        ids = rows.column("id")
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        read = np.zeros(asked.num_rows, np.int64)
+        if asked.num_rows and rows.num_rows:
+            a, v = _matrix(asked.column("asked").chunk(0), asked.num_rows), _matrix(rows.column("vector").chunk(0), rows.num_rows)
+            cell, radius, reach = (x.to_numpy() for x in (rows.column("cell"), rows.column("radius"), asked.column("reach")))
+            wanted = asked.column("cells").chunk(0)
+            who, which, middle = np.repeat(np.arange(len(a)), pc.list_value_length(wanted).to_numpy()), wanted.flatten().to_numpy(), asked.column("middles").chunk(0).flatten().to_numpy()
+            order = np.argsort(which, kind="stable")
+            who, which, middle = who[order], which[order], middle[order]
+            if not own:  # equal ids by number
+                kinds = ids.unique()
+                number, mine = (pc.fill_null(pc.index_in(x, kinds), -1).to_numpy() for x in (ids, asked.column("me")))
+            for c in np.unique(cell):
+                lo, hi = np.searchsorted(cell, [c, c + 1])
+                p, q = np.searchsorted(which, [c, c + 1])
+                step = max(1, PAIRS // (hi - lo))
+                for at in range(p, q, step):
+                    some, mid = who[at : min(at + step, q)], middle[at : min(at + step, q)]
+                    bound = reach[some][:, None]
+                    ok = ~(np.abs(mid[:, None] - radius[lo:hi]) * (1 - SLACK) > bound)
+                    if not own:
+                        ok &= number[lo:hi] != mine[some][:, None]
+                    read[some] += ok.sum(1)
+                    d = _squared(a[some], v[lo:hi])
+                    order_by = np.where(ok, d, np.inf)
+                    x, y = np.nonzero(_least(np.where(np.isnan(order_by), np.inf, order_by), k) & ok & ~(np.sqrt(d) > bound))
+                    found.append((some[x], y + lo, d[x, y]))
+        who, row, d = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        rank = pc.rank(ids, tiebreaker="first").to_numpy() if rows.num_rows else np.zeros(0)
+        order = np.lexsort((rank[row], d, who))
+        who, row, d = who[order], row[order], d[order]
+        if len(who):
+            first = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
+            keep = np.arange(len(who)) - np.repeat(first, np.diff(np.append(first, len(who)))) < k
+            who, row, d = who[keep], row[keep], d[keep]
+        out = pa.table({"q": asked.column("q").take(pa.array(who)), "id": ids.take(pa.array(row)), "distance": pa.array(d), "read": pa.array(np.zeros(len(d), np.int64))})
+        if report:
+            told = {"q": asked.column("q"), "id": pa.nulls(len(read), ids.type), "distance": pa.nulls(len(read), pa.float64()), "read": pa.array(read)}
+            out = pa.concat_tables([out, pa.table(told)])
+        return out
+
+    return run
+
+
 class VectorIndex:
     """Vectors by id in cells around fixed centers, in two parts of a log of versions: rows (id, vector, cell, radius), a folder for each cell and sorted by their distance from
     its center (radius), and of each cell how many rows it has been given and their largest radius.
@@ -126,43 +197,70 @@ class VectorIndex:
         numbers, centers, radius, n = self._centers()
         kind, id_kind = dict(queries.dtypes)["q"], dict(self.rows.read().dtypes)["id"]
         more = 0 if own else 1
-
-        def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Each query's cells with the least distance there, and whether it starts with them."""
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    d = _distances(_matrix(batch.column(1).slice(i, 1), 1), centers)[0]
-                    order = np.argsort(d, kind="stable")
-                    order = order[n[order] > 0]
-                    before = np.cumsum(n[order]) - n[order]
-                    low = np.maximum(0, d[order] - radius[order])
-                    m = len(order)
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * m, batch.column(0).type), pa.array([batch.column(1)[i].as_py()] * m, batch.column(1).type), pa.array(numbers[order].astype(np.int32)), pa.array(d[order]), pa.array(low * (1 - SLACK)), pa.array(before < k + more)], ["q", "asked", "cell", "middle", "low", "first"])
-
+        # the rows of a cell are those of so many before and n more, whose tasks take ROWS each
+        before = np.cumsum(n) - n
         place = workspace(self.spark, "metric")
-        asked = queries.select("q", F.col("vector").cast("array<double>").alias("vector")).filter("q is not null and vector is not null")
-        cells = stored(asked.mapInArrow(bounds, f"q {kind}, asked array<double>, cell int, middle double, low double, first boolean"), f"{place}/cells")
-        rows = self.rows.read()
-        few = asked.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES
-
-        def compared(some: DataFrame, reach: str | None) -> DataFrame:
-            table = rows
-            if few:  # constants, so that other cells' folders aren't listed
-                table = table.filter(F.col("cell").isin([r.cell for r in some.select("cell").distinct().collect()]))
-            both = some.join(table, "cell")
-            if not own:
-                both = both.filter(F.col("q").cast(id_kind) != F.col("id"))
-            if reach:  # the row itself can't be nearer than this
-                both = both.filter(F.abs(F.col("middle") - F.col("radius")) * (1 - SLACK) <= F.col(reach))
-            return both.select("q", "id", vectors.squared_l2(F.col("vector"), F.col("asked")).alias("distance"))
-
-        rank = lambda df: df.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("distance", "id")))
-        near = stored(compared(cells.filter("first"), None), f"{place}/first")
+        me = F.col("q").cast(id_kind)
+        asked = queries.select("q", F.col("vector").cast("array<double>").alias("asked"), me.alias("me")).filter("q is not null and asked is not null" + ("" if own else " and me is not null"))
+        asked = stored(asked, f"{place}/asked")
+        count, reached = asked.count(), f"q {kind}, asked array<double>, me {id_kind}, reach double"
+        parts = max(1, -(-count // QUERIES))
+        groups = max(1, -(-int(n.sum()) // ROWS)) * parts
+
+        def dealt(first: bool, gathers: bool = False):
+            """For each task that holds rows of a query's cells, the query with these cells: those that it starts with, or those of the others that its reach touches. gathers: the cells only."""
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for i in range(batch.num_rows):
+                        d = _distances(_matrix(batch.column(1).slice(i, 1), 1), centers)[0]
+                        order = np.argsort(d, kind="stable")
+                        order = order[n[order] > 0]
+                        start = np.cumsum(n[order]) - n[order] < k + more
+                        if not first:
+                            low = np.maximum(0, d[order] - radius[order]) * (1 - SLACK)
+                            start = ~start & (low <= batch.column(3)[i].as_py())
+                        cells = order[start]
+                        if gathers:
+                            yield pa.RecordBatch.from_arrays([pa.array(numbers[cells].astype(np.int32))], ["cell"])
+                            continue
+                        low, high = before[cells] // ROWS, (before[cells] + n[cells] - 1) // ROWS
+                        spread = high - low + 1
+                        cells = np.repeat(cells, spread)
+                        task = np.repeat(low, spread) + np.arange(len(cells)) - np.repeat(np.cumsum(spread) - spread, spread)
+                        by = np.lexsort((numbers[cells], task))
+                        cells, task = cells[by], task[by]
+                        at = np.flatnonzero(np.append(True, task[1:] != task[:-1])) if len(task) else np.zeros(0, np.int64)
+                        ends = pa.array(np.append(at, len(task)).astype(np.int32))
+                        same = [c.take(pa.array(np.full(len(at), i))) for c in batch.columns]
+                        lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(numbers[cells].astype(np.int32)), pa.array(d[cells]))]
+                        yield pa.RecordBatch.from_arrays([pa.array(task[at]), *same, *lists], ["task", "q", "asked", "me", "reach", "cells", "middles"])
+
+            return run
+
+        spans = F.broadcast(self.spark.createDataFrame([(int(c), int(b), int(m)) for c, b, m in zip(numbers, before, n)], "cell int, before long, given long").filter("given > 0"))
+
+        def compared(some: DataFrame, first: bool) -> DataFrame:
+            table = self.rows.read()
+            if count <= FEW_QUERIES:  # constants, so that other cells' folders aren't listed
+                table = table.filter(F.col("cell").isin([r.cell for r in some.mapInArrow(dealt(first, True), "cell int").distinct().collect()]))
+            table = table.join(spans, "cell").withColumn("task", F.floor((F.col("before") + F.pmod(F.xxhash64("id"), "given")) / F.lit(ROWS)))
+            table = table.select("task", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "id", "cell", "radius", "vector")
+            some = some.mapInArrow(dealt(first), f"task long, {reached}, cells array<int>, middles array<double>").withColumn("part", F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int"))
+            by = ["task", "part"]
+            both = some.repartition(groups, *by).groupBy(*by).cogroup(table.repartition(groups, *by).groupBy(*by))
+            return stored(both.applyInArrow(_matched(k, own, report), f"q {kind}, id {id_kind}, distance double, read long"), f"{place}/{'first' if first else 'second'}")
+
+        def rank(df: DataFrame) -> DataFrame:
+            some = df.filter("id is not null")
+            return some.repartition(max(1, -(-df.count() // FOUND)), "q").withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("distance", "id"))).filter(F.col("rank") <= k)
+
+        near = compared(asked.withColumn("reach", F.lit(float("inf"))), True)
         limit = rank(near).filter(F.col("rank") == k).select("q", (F.sqrt("distance") * (1 + SLACK)).alias("reach"))
-        rest = cells.filter("not first").join(limit, "q", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf")))).filter("low <= reach")
-        all_ = near.union(stored(compared(stored(rest, f"{place}/rest"), "reach"), f"{place}/second"))
-        out = rank(all_).filter(F.col("rank") <= k).select("q", "rank", "id", "distance")
-        return out.join(all_.groupBy("q").agg(F.count("*").alias("read")), "q") if report else out
+        rest = stored(asked.join(limit, "q", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf")))), f"{place}/rest")
+        all_ = near.union(compared(rest, False))
+        out = rank(all_).select("q", "rank", "id", "distance")
+        return out.join(all_.groupBy("q").agg(F.sum("read").alias("read")), "q") if report else out
 
     def candidates(self, query: list[float], k: int) -> DataFrame:
         """(id, vector_score): as search.vector_candidates, from the index."""

@@ -7,10 +7,11 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from remembra.operators import metric
 from remembra.operators.bm25 import TextIndex, bm25
 from remembra.operators.metric import VectorIndex
 from remembra.sources.log import Conflict, Log
-from remembra.sources.store import Store, workspace
+from remembra.sources.store import Store, stored, workspace
 
 ROWS = "id long, content string, accessed_at timestamp, access_count long"
 
@@ -171,3 +172,26 @@ def test_metric_index(spark):
     empty = VectorIndex(spark, workspace(spark, "metric")).build(frame(range(300)).filter("false"))
     assert empty.nearest(queries, 3).count() == 0
     assert empty.add(frame([1, 2])).nearest(queries, 3).count() == 10
+
+
+def test_metric_index_keeps_only_the_nearest(spark, monkeypatch):
+    """What a search writes is k rows a query and task at most, not all that was compared; tasks take ROWS and QUERIES, and equal distances go by id."""
+    r = random.Random(5)
+    points = {i: [r.gauss(0, 1) for _ in range(8)] for i in range(300)}
+    points |= {i: points[3] for i in range(300, 400)}  # a cell of copies
+    rows = spark.createDataFrame([(f"n{i}", v) for i, v in points.items()], "id string, vector array<float>")
+    points = {x.id: x.vector for x in rows.collect()}
+    index = VectorIndex(spark, workspace(spark, "metric")).build(rows)
+    asked = ["n3", "n399", "n7", "n8", "n250"]
+    queries = rows.filter(rows.id.isin(asked)).withColumnRenamed("id", "q")
+    want = sorted((q, n + 1, i) for q in asked for n, (_, i) in enumerate(sorted((sum((x - y) ** 2 for x, y in zip(points[i], points[q])), i) for i in points if i != q)[:4]))
+    written = []
+    monkeypatch.setattr(metric, "stored", lambda df, path: (written.append((path, out := stored(df, path))), out)[1])
+    for size, many, pairs in ((1 << 13, 1 << 12, 1 << 18), (64, 2, 100)):
+        monkeypatch.setattr(metric, "ROWS", size, raising=False)
+        monkeypatch.setattr(metric, "QUERIES", many, raising=False)
+        monkeypatch.setattr(metric, "PAIRS", pairs, raising=False)
+        written.clear()
+        assert sorted((x.q, x["rank"], x.id) for x in index.nearest(queries, 4, own=False).collect()) == want
+        found = sum(df.count() for path, df in written if path.endswith(("/first", "/second")))
+        assert found <= 2 * 4 * len(asked) * -(-len(points) // size)
