@@ -1,13 +1,15 @@
 """Similarity of vectors in blocks: every pair of blocks meets once, as two matrices.
 
-Rows are packed into blocks; the cells of the block grid are made by an equi-join on both block numbers, so
-work is spread evenly whatever the data, and only pairs that pass leave a cell. There are MOST_BLOCKS blocks at most until
-they reach BLOCK_BYTES, so what is shuffled grows with the rows, not with their square; a cell is multiplied in strips.
+Rows are dealt to blocks, and the blocks to the cells of a grid, so work is spread evenly whatever the data, and only pairs that
+pass leave a cell. There are MOST_BLOCKS blocks at most until they reach BLOCK_BYTES, so what is shuffled grows with the rows, not
+with their square. A block travels in parts of PART_BYTES, sorted by cell and side: only the Python worker of a cell holds its
+two blocks, whatever their size; it multiplies them in strips.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -19,57 +21,84 @@ from remembra.sources.store import stored, workspace
 
 #: Rows of a strip, which are the least of a block; blocks of a side, and bytes of one beyond which there are more; pairs that are computed exactly at once.
 BLOCK, MOST_BLOCKS, BLOCK_BYTES, PAIRS = 2048, 24, 64 << 20, 8192
-#: How the vectors' numbers are kept; others as doubles.
+#: Bytes of the vectors of a part, and how the parts are written: in groups of few rows, since a group is read as a whole.
+PART_BYTES, FEW_ROWS = 256 << 10, {"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 4, "parquet.page.size.row.check.min": 4}
+#: How the vectors' numbers are kept; others as doubles. Whole ones take no more bytes than the largest of a part needs.
 NUMBERS = {"array<float>": "f4", "array<int>": "i4", "array<double>": "f8"}
 
 
+def _narrow(low: int | None, high: int | None) -> str:
+    return "i4" if (low or 0) < 0 or (high or 0) > 0xFFFF else "u2" if (high or 0) > 0xFF else "u1"
+
+
 def _blocks(df: DataFrame) -> int:
-    n, dim = df.agg(F.count("*"), F.max(F.size("vector"))).first()
-    size = n * max(dim or 0, 1) * np.dtype(NUMBERS.get(dict(df.dtypes)["vector"], "f8")).itemsize
+    kind = NUMBERS.get(dict(df.dtypes)["vector"], "f8")
+    n, dim, *ends = df.agg(F.count("*"), F.max(F.size("vector")), *([F.min(F.array_min("vector")), F.max(F.array_max("vector"))] if kind == "i4" else [])).first()
+    size = n * max(dim or 0, 1) * np.dtype(_narrow(*ends) if ends else kind).itemsize
     return max(1, min(-(-n // BLOCK), MOST_BLOCKS), -(-size // BLOCK_BYTES))
 
 
 def _packed(df: DataFrame, blocks: int, path: str) -> DataFrame:
-    """Blocks (block, dim, kind, ids, vectors) of rows (id, vector), written once however often the grid names them; ids and numbers keep their type."""
+    """Parts (block, dim, kind, ids, vectors) of rows (id, vector), made where these are read and written once however often the grid names them; ids and numbers keep their type."""
     kinds = dict(df.dtypes)
     kind = NUMBERS.get(kinds["vector"], "f8")
-    schema = f"block int, dim int, ids array<{kinds['id']}>, vectors binary"
-
-    def pack(table: pa.Table) -> pa.Table:
-        flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind)
-        ids = table.column("id").combine_chunks()
-        one = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "dim": pa.array([table.column("dim")[0].as_py()], pa.int32()), "ids": one, "vectors": pa.array([flat.tobytes()], pa.binary())})
 
-    rows = df.filter("id is not null and vector is not null").select("id", F.size("vector").alias("dim"), F.col("vector").cast(kinds["vector"] if kinds["vector"] in NUMBERS else "array<double>").alias("v"))
-    packed = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("block", "dim").applyInArrow(pack, schema)
-    return stored(packed.select("block", "dim", F.lit(kind).alias("kind"), "ids", "vectors"), path)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, vectors, block, dim = batch.columns
+            group = np.stack([block.to_numpy(), dim.to_numpy()], 1)
+            for b, d in np.unique(group, axis=0).tolist():
+                rows = np.flatnonzero((group == (b, d)).all(1))
+                step = max(1, PART_BYTES // max(1, d * np.dtype(kind).itemsize))
+                for at in range(0, len(rows), step):
+                    some = pa.array(rows[at : at + step])
+                    flat = vectors.take(some).flatten().to_numpy(zero_copy_only=False).astype(kind)
+                    if kind == "i4" and len(flat):
+                        flat = flat.astype(_narrow(flat.min(), flat.max()))
+                    one = pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), ids.take(some))
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([d], pa.int32()), pa.array([flat.dtype.str[1:]]), one, pa.array([flat.tobytes()], pa.binary())], ["block", "dim", "kind", "ids", "vectors"])
+
+    rows = df.filter("id is not null and vector is not null").select("id", F.col("vector").cast(kinds["vector"] if kinds["vector"] in NUMBERS else "array<double>").alias("v"))
+    rows = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.size("v").alias("dim"))
+    return stored(rows.mapInArrow(pack, f"block int, dim int, kind string, ids array<{kinds['id']}>, vectors binary"), path, **FEW_ROWS)
 
 
 def _cells(left: DataFrame, right: DataFrame | None) -> DataFrame:
-    """Cells of the grid of left and right blocks; without right, those of left with itself on and above the diagonal."""
+    """Parts of the cells of the grid of left and right blocks, a cell's in one task, left ones first; without right, of the cells of left with itself on and above the diagonal."""
     place = workspace(left.sparkSession, "blocks")
     a = _blocks(left)
     l = _packed(left, a, f"{place}/left")
     r, b = (l, a) if right is None else (_packed(right, b := _blocks(right), f"{place}/right"), b)
-    l = l.select(F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("j"), "dim", F.col("kind").alias("a_kind"), F.col("ids").alias("a_ids"), F.col("vectors").alias("a"))
-    r = r.select(F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(a - 1))).alias("i"), "dim", F.col("kind").alias("b_kind"), F.col("ids").alias("b_ids"), F.col("vectors").alias("b"))
+    part = ["i", "j", "dim", "side", "met", "kind", "ids", "vectors"]
+    l = l.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).withColumn("side", F.lit(0))
+    r = r.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(a - 1)))).withColumn("side", F.lit(1))
     if right is None:
-        l, r = l.filter("i <= j"), r.filter("i <= j")
-    # as many parts as cells, since their work is large where their bytes are few
-    l, r = (x.repartition(min(a * b, 1024), "i", "j", "dim") for x in (l, r))
-    met = F.lit(right is None) & (F.col("i") == F.col("j"))
-    return l.join(r, ["i", "j", "dim"]).select("dim", met.alias("met"), "a_kind", "a_ids", "a", "b_kind", "b_ids", "b")
-
-
-def _open(batch: pa.RecordBatch) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Whether a cell's two sides are one block, and of each side ids, and vectors as rows of a matrix. Ids compare as Python compares them, texts by code points."""
-    dim, met, *both = batch.columns
-    for k in range(batch.num_rows):
-        sides = []
-        for kind, ids, v in (both[:3], both[3:]):
-            sides += [ids[k].values.to_numpy(zero_copy_only=False), np.frombuffer(v[k].as_buffer(), kind[k].as_py()).reshape(-1, dim[k].as_py())]
-        yield (met[k].as_py(), *sides)
+        l, r = l.filter("i <= j"), r.filter("i < j")
+    both = l.withColumn("met", F.lit(right is None) & (F.col("i") == F.col("j"))).select(part).union(r.withColumn("met", F.lit(False)).select(part))
+    # as many tasks as cells, since their work is large where their bytes are few
+    return both.repartition(min(a * b, 1024), "i", "j", "dim").sortWithinPartitions("i", "j", "dim", "side")
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each cell whether its two sides are one block, and of each side ids, and vectors as rows of a matrix. Ids compare as Python compares them, texts by code points."""
+    rows = ((batch, k) for batch in batches for k in range(batch.num_rows))
+    for (_, _, dim, met), parts in groupby(rows, lambda x: tuple(x[0].column(c)[x[1]].as_py() for c in ("i", "j", "dim", "met"))):
+        sides: list[tuple[list, list]] = [([], []), ([], [])]
+        for batch, k in parts:
+            kind, ids, v = (batch.column(c)[k] for c in ("kind", "ids", "vectors"))
+            names, matrices = sides[batch.column("side")[k].as_py()]
+            names.append(ids.values.to_numpy(zero_copy_only=False))
+            matrices.append(np.frombuffer(v.as_buffer(), kind.as_py()).reshape(len(ids), dim))
+        if met:
+            sides[1] = sides[0]
+        if not (sides[0][0] and sides[1][0]):
+            continue
+        a_ids, b_ids = (np.concatenate(names) for names, _ in sides)
+        a = np.concatenate(sides[0][1])
+        sides[0][1].clear()
+        b = a if met else np.concatenate(sides[1][1])
+        sides.clear()
+        yield met, a_ids, a, b_ids, b
 
 
 def _folded(parts: np.ndarray) -> np.ndarray:
@@ -117,10 +146,9 @@ def _pairs(ids_a: np.ndarray, ids_b: np.ndarray, cosine: np.ndarray) -> pa.Recor
 
 def _unit_pairs(least: float, strict: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for met, a_ids, a, b_ids, b in _open(batch):
-                for x, y, cosine in _strips(met, a, b, least, strict):
-                    yield _pairs(a_ids[x], b_ids[y], cosine)
+        for met, a_ids, a, b_ids, b in _open(batches):
+            for x, y, cosine in _strips(met, a, b, least, strict):
+                yield _pairs(a_ids[x], b_ids[y], cosine)
 
     return run
 
@@ -146,16 +174,15 @@ def _forest(x: np.ndarray, y: np.ndarray, cosine: np.ndarray, n: int) -> np.ndar
 
 def _spanning(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for met, a_ids, a, b_ids, b in _open(batch):
-                shift = 0 if met else len(a)
-                x, y, cosine = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-                for found in _strips(met, a, b, least, False):
-                    x, y, cosine = np.concatenate([x, found[0]]), np.concatenate([y, found[1]]), np.concatenate([cosine, found[2]])
-                    if len(found[0]):
-                        keep = _forest(x, y + shift, cosine, shift + len(b))
-                        x, y, cosine = x[keep], y[keep], cosine[keep]
-                yield _pairs(a_ids[x], b_ids[y], cosine)
+        for met, a_ids, a, b_ids, b in _open(batches):
+            shift = 0 if met else len(a)
+            x, y, cosine = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+            for found in _strips(met, a, b, least, False):
+                x, y, cosine = np.concatenate([x, found[0]]), np.concatenate([y, found[1]]), np.concatenate([cosine, found[2]])
+                if len(found[0]):
+                    keep = _forest(x, y + shift, cosine, shift + len(b))
+                    x, y, cosine = x[keep], y[keep], cosine[keep]
+            yield _pairs(a_ids[x], b_ids[y], cosine)
 
     return run
 
@@ -178,13 +205,12 @@ def _found(vectors: DataFrame, run) -> DataFrame:
 
 def _first(least: float, strict: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for met, a_ids, a, b_ids, b in _open(batch):
-                best = np.full(len(b), np.iinfo(np.int64).max)
-                for x, y, _ in _strips(met, a, b, least, strict):
-                    np.minimum.at(best, y, a_ids[x])
-                some = best < np.iinfo(np.int64).max
-                yield pa.RecordBatch.from_arrays([pa.array(b_ids[some]), pa.array(best[some])], ["id", "first"])
+        for met, a_ids, a, b_ids, b in _open(batches):
+            best = np.full(len(b), np.iinfo(np.int64).max)
+            for x, y, _ in _strips(met, a, b, least, strict):
+                np.minimum.at(best, y, a_ids[x])
+            some = best < np.iinfo(np.int64).max
+            yield pa.RecordBatch.from_arrays([pa.array(b_ids[some]), pa.array(best[some])], ["id", "first"])
 
     return run
 
@@ -236,12 +262,11 @@ def _near(a: np.ndarray, b: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray, pl
 
 def _nearest(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, a_ids, a, b_ids, b in _open(batch):
-                place = np.argsort(np.argsort(b_ids, kind="stable"), kind="stable")  # ids in their order, as numbers
-                for s in range(0, len(a), BLOCK):
-                    x, y, d = _near(a[s : s + BLOCK], b, a_ids[s : s + BLOCK], b_ids, place, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(a_ids[s + x]), pa.array(b_ids[y]), pa.array(d)], ["q", "id", "distance"])
+        for _, a_ids, a, b_ids, b in _open(batches):
+            place = np.argsort(np.argsort(b_ids, kind="stable"), kind="stable")  # ids in their order, as numbers
+            for s in range(0, len(a), BLOCK):
+                x, y, d = _near(a[s : s + BLOCK], b, a_ids[s : s + BLOCK], b_ids, place, k)
+                yield pa.RecordBatch.from_arrays([pa.array(a_ids[s + x]), pa.array(b_ids[y]), pa.array(d)], ["q", "id", "distance"])
 
     return run
 

@@ -45,14 +45,14 @@ def workspace(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, path: str, records: int | None = None) -> DataFrame:
-    """df written as Parquet and read back, so that its lineage ends there. records: rows that go to Python at once, for rows of megabytes."""
+def stored(df: DataFrame, path: str, records: int | None = None, **options) -> DataFrame:
+    """df written as Parquet and read back, so that its lineage ends there. records: rows that go to Python at once, for rows of megabytes; options: of the writer."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(key)
     if records:
         conf.set(key, str(records))
     try:
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").options(**options).parquet(path)
     finally:
         conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -427,3 +427,24 @@ def test_export(spark):
     m = files.export_messages(df)
     assert [r.role for r in m.orderBy("place").collect()] == [None, "user", "assistant", "assistant", "user"]
     assert [len(r.text) for r in files.chunks(m).orderBy("chunk").collect()] == [30 + 6 + 2 + 11 + 1500, 1511]
+
+
+def test_blocks_travel_in_parts(spark, monkeypatch):
+    """No row of a cell holds more than PART_BYTES of vectors, however large its blocks are, and parts give what whole blocks give."""
+    from remembra.operators import blocks
+
+    r = random.Random(11)
+    top = lambda i: r.choice([1, 9]) * {0: 1, 1: 200, 2: 70_000, 3: -3}[i % 4]
+    rows = [(i, [top(i) if r.random() < 0.6 else 0 for _ in range(4)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, vector array<int>")
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    near = {(i, j) for i, a in rows for j, b in rows if i != j and any(a) and any(b) and dot(a, b) / math.sqrt(dot(a, a)) / math.sqrt(dot(b, b)) >= 0.9}
+    monkeypatch.setattr(blocks, "BLOCK", 40)
+    monkeypatch.setattr(blocks, "PART_BYTES", 64)
+    cells = blocks._cells(df, None)
+    assert cells.filter(F.length("vectors") > 64).count() == 0
+    # each of three blocks meets the two others and itself, as one side
+    assert cells.select(F.explode("ids")).count() == 3 * 120 and {x.kind for x in cells.select("kind").distinct().collect()} == {"u1", "u2", "i4"}
+    assert {(x.a, x.b) for x in similar_pairs(df, 0.9).collect()} == {(i, j) for i, j in near if i < j}
+    low, high = df.filter("id < 60"), df.filter("id >= 60")
+    assert {x.id: x.first for x in blocks.first_similar(low, high, 0.9).collect()} == {j: min(i for i, k in near if k == j and i < 60) for j in range(60, 120) if any(k == j and i < 60 for i, k in near)}
