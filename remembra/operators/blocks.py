@@ -123,8 +123,9 @@ def _rounding(dim: int) -> float:
     return (dim + 8) * 1.2e-7
 
 
-def _strips(met: bool, a: np.ndarray, b: np.ndarray, least: float, strict: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(x, y, cosine) of the rows of a and b with a cosine of `least` or more (strict: above it), by strips of b within strips of a; of one block with itself each pair once."""
+def _strips(met: bool, a: np.ndarray, b: np.ndarray, least: float, strict: bool, told: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, cosine) of the rows of a and b with a cosine of `least` or more (strict: above it), by strips of b within strips of a; of one block with itself each pair once.
+    Unless the cosines are to be told, those that single precision decides are not computed exactly."""
     na, nb = _lengths(a), _lengths(b)
     unit = lambda v, n: (v / np.where(n > 0, n, np.inf)[:, None]).astype(np.float32)
     for s in range(0, len(a), BLOCK):
@@ -134,7 +135,10 @@ def _strips(met: bool, a: np.ndarray, b: np.ndarray, least: float, strict: bool)
             x, y = np.nonzero(near >= least - _rounding(a.shape[1]))
             some = (na[s + x] > 0) & (nb[t + y] > 0) & ((s + x < t + y) | (not met))
             x, y = s + x[some], t + y[some]
-            exact = _by_parts(x, y, lambda p, q: _folded(a[p].astype(np.float64) * b[q]) / (na[p] * nb[q]))
+            exact, open_ = near[x - s, y - t].astype(np.float64), np.arange(len(x))
+            if not told:
+                open_ = np.flatnonzero(exact <= least + _rounding(a.shape[1]))
+            exact[open_] = _by_parts(x[open_], y[open_], lambda p, q: _folded(a[p].astype(np.float64) * b[q]) / (na[p] * nb[q]))
             keep = exact > least if strict else exact >= least
             yield x[keep], y[keep], exact[keep]
 
@@ -207,7 +211,7 @@ def _first(least: float, strict: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for met, a_ids, a, b_ids, b in _open(batches):
             best = np.full(len(b), np.iinfo(np.int64).max)
-            for x, y, _ in _strips(met, a, b, least, strict):
+            for x, y, _ in _strips(met, a, b, least, strict, told=False):
                 np.minimum.at(best, y, a_ids[x])
             some = best < np.iinfo(np.int64).max
             yield pa.RecordBatch.from_arrays([pa.array(b_ids[some]), pa.array(best[some])], ["id", "first"])

@@ -448,3 +448,19 @@ def test_blocks_travel_in_parts(spark, monkeypatch):
     assert {(x.a, x.b) for x in similar_pairs(df, 0.9).collect()} == {(i, j) for i, j in near if i < j}
     low, high = df.filter("id < 60"), df.filter("id >= 60")
     assert {x.id: x.first for x in blocks.first_similar(low, high, 0.9).collect()} == {j: min(i for i, k in near if k == j and i < 60) for j in range(60, 120) if any(k == j and i < 60 for i, k in near)}
+
+
+def test_sure_pairs_are_not_computed_exactly(monkeypatch):
+    """Where the cosines aren't told, only those that single precision leaves open are computed exactly; the pairs are the same."""
+    from remembra.operators import blocks
+
+    g = np.random.default_rng(12)
+    a, b = g.integers(0, 3, (60, 5)).astype(np.uint8), g.integers(0, 3, (50, 5)).astype(np.uint8)
+    b[:5] = [3, 4, 0, 0, 0]
+    a[:5] = [1, 0, 0, 0, 0]  # a cosine of 0.6, the threshold
+    exact, by_parts = [], blocks._by_parts
+    monkeypatch.setattr(blocks, "_by_parts", lambda x, y, f: exact.append(len(x)) or by_parts(x, y, f))
+    for strict in (False, True):
+        found = [sorted((x, y) for part in blocks._strips(False, a, b, 0.6, strict, told) for x, y in zip(part[0].tolist(), part[1].tolist())) for told in (True, False)]
+        assert found[0] == found[1] and ((0, 0) in found[0]) != strict
+    assert 25 <= exact[1] < exact[0] / 3
